@@ -1,6 +1,6 @@
 """Registered queries with their checks."""
 
-from locusframe.catalog import chunk_queries, record_queries  # noqa: F401
+from locusframe.catalog import chunk_queries, record_queries, vector_queries  # noqa: F401
 from locusframe.catalog.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
