@@ -1,5 +1,7 @@
 """Number-to-text Column helpers with Python and JavaScript rounding and layout."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,33 +10,31 @@ def fixed(value: Column, digits: int, ties: str = "even") -> Column:
     """Text with `digits` decimals, rounding the exact binary value.
 
     `ties` is "even" (Python's `:.nf`) or "up" (JavaScript's `toFixed`).
-    `format_string` rounds the shortest decimal text instead (1.005 gives 1.01), so
-    the value is scaled here and the error of that product is carried along.
+    `format_string` rounds the shortest decimal text instead (1.005 gives 1.01). Here a
+    scaled value that ends in exactly .5 is moved off the tie in the direction of the
+    error its multiplication made. The expression repeats `value` little, to keep the
+    generated code small.
     """
     if ties not in ("even", "up"):
         raise ValueError("ties must be 'even' or 'up'")
     value = value.cast("double")
-    unit = 10**digits
-    scale = F.lit(float(unit))
     size = F.abs(value)
-    # Splitting at 27 bits makes both partial products exact.
-    wide = size * F.lit(134217729.0)
-    high = wide - (wide - size)
+    scale = F.lit(float(10**digits))
     product = size * scale
+    # The single-precision part and the rest of a number both have exact products.
+    high = size.cast("float").cast("double")
     error = (high * scale - product) + (size - high) * scale
-    whole = F.floor(product)
-    rest = (product - whole.cast("double") - F.lit(0.5)) + error
-    tie = F.lit(True) if ties == "up" else (whole % 2 == 1)
-    count = whole + F.when((rest > 0) | ((rest == 0) & tie), 1).otherwise(0)
-    cents = count % unit
-    exact = F.concat(
-        F.when(value < 0, "-").otherwise(""),
-        ((count - cents) / unit).cast("bigint").cast("string"),
-        F.lit("."),
-        F.lpad(cents.cast("string"), digits, "0"),
-    )
-    return F.when(size < 1e12, exact).when(
-        value.isNotNull(), F.format_string(f"%.{digits}f", value)
+    if ties == "up":
+        nudge = F.when(error >= 0, 0.25).otherwise(-0.25)
+    else:
+        nudge = F.signum(error) * F.lit(0.25)
+    off_tie = F.when(product % F.lit(1.0) == 0.5, nudge).otherwise(0.0)
+    units = F.rint(product + off_tie).try_cast("bigint").cast("decimal(19,0)")
+    text = (units * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+    large = F.format_string(f"%.{digits}f", size)
+    return F.when(
+        value.isNotNull(),
+        F.concat(F.when(value < 0, "-").otherwise(""), F.coalesce(text, large)),
     )
 
 
@@ -44,38 +44,55 @@ def exponential(value: Column, digits: int = 2) -> Column:
     return F.when(value.isNotNull(), F.regexp_replace(text, r"e([+-])0(\d)$", "e$1$2"))
 
 
-def _plain(value: Column, decimals: int) -> Column:
-    """Positional notation of the shortest text, without trailing zeros."""
+def _digits(size: Column) -> Column:
+    """Significant digits of a number below 1e-3, whose text is in scientific notation."""
+    mantissa = F.substring_index(size.cast("string"), "E", 1)
+    return F.rtrim(F.replace(mantissa, F.lit("."), F.lit("")), F.lit("0"))
+
+
+def _sign(value: Column) -> Column:
+    return F.when(value < 0, "-").otherwise("")
+
+
+def _positional(value: Column, decimals: int) -> Column:
+    """A number written without exponent, keeping at least one decimal."""
     text = value.cast(f"decimal(38,{decimals})").cast("string")
     return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
 
 
+def _scientific(text: Column, before: str, after: str) -> Column:
+    """Java's scientific text with another exponent mark and without a ".0" mantissa."""
+    short = F.replace(text, F.lit(".0" + before), F.lit(before))
+    return F.replace(short, F.lit(before), F.lit(after))
+
+
 def number_text(value: Column) -> Column:
     """Shortest text of a double as Python's `str` writes it; NULL stays NULL."""
     value = value.cast("double")
-    size = F.abs(value)
-    text = value.cast("string")
-    science = F.regexp_replace(text, r"(?:\.0)?E-(\d)$", "e-0$1")
-    science = F.regexp_replace(science, r"(?:\.0)?E-(\d+)$", "e-$1")
-    science = F.regexp_replace(science, r"(?:\.0)?E(\d+)$", "e+$1")
+    size, text = F.abs(value), value.cast("string")
+    padded = F.regexp_replace(text, r"E-(\d)$", "E-0$1")
+    small = _scientific(padded, "E-", "e-")
     return (
-        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text)
-        .when((size >= 1e-4) & (size < 1e-3), _plain(value, 30))
-        .when((size >= 1e7) & (size < 1e16), _plain(value, 10))
-        .otherwise(science)
+        F.when((size < 1e7) & (size >= 1e-3) | (size == 0), text)
+        .when((size >= 1e-4) & (size < 1e16), _positional(value, 21))
+        .otherwise(F.replace(F.replace(small, F.lit(".0E"), F.lit("E")), F.lit("E"), F.lit("e+")))
     )
 
 
 def js_number_text(value: Column) -> Column:
     """Shortest text of a double as JavaScript writes it; NULL stays NULL."""
     value = value.cast("double")
-    size = F.abs(value)
-    text = value.cast("string")
-    science = F.regexp_replace(text, r"(?:\.0)?E-(\d+)$", "e-$1")
-    science = F.regexp_replace(science, r"(?:\.0)?E(\d+)$", "e+$1")
-    plain = (
-        F.when((size == 0) | ((size >= 1e-3) & (size < 1e7)), text)
-        .when((size >= 1e-6) & (size < 1e-3), _plain(value, 30))
-        .when((size >= 1e7) & (size < 1e21), _plain(value, 10))
+    size, text = F.abs(value), value.cast("string")
+    zeros = F.when(size < 1e-5, "0.00000").when(size < 1e-4, "0.0000").otherwise("0.000")
+    return (
+        F.when((size < 1e7) & (size >= 1e-3) | (size == 0), _whole(text))
+        .when(size < 1e-6, _scientific(text, "E-", "e-"))
+        .when(size < 1e-3, F.concat(_sign(value), zeros, _digits(size)))
+        .when(size < 1e21, _whole(_positional(value, 10)))
+        .otherwise(_scientific(text, "E", "e+"))
     )
-    return F.coalesce(F.regexp_replace(plain, r"\.0$", ""), science)
+
+
+def _whole(text: Column) -> Column:
+    """Text without a trailing ".0"."""
+    return F.regexp_replace(text, r"\.0$", "")

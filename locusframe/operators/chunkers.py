@@ -33,12 +33,28 @@ def _optional(columns: Sequence[str], name: str, default) -> Column:
 
 def _in_order(order: str, value: Column) -> Column:
     """Values of a group as an array in the order of a unique column."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
-    return F.transform(pairs, lambda pair: pair["v"])
+    pairs = F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v")))
+    return F.sort_array(pairs)["v"]
 
 
 def _names(order: str, name: str) -> Column:
-    return F.filter(_in_order(order, F.col(name)), lambda value: value.isNotNull())
+    """As `_in_order`, without missing values."""
+    pair = F.struct(F.col(order).alias("o"), F.col(name).alias("v"))
+    return F.sort_array(F.collect_list(F.when(F.col(name).isNotNull(), pair)))["v"]
+
+
+def _by_score(score: str, order: str, value: str) -> Column:
+    """Values of a group as structs with field `v`, best score first, missing scores last."""
+    return F.sort_array(
+        F.collect_list(
+            F.struct(
+                F.col(score).isNull().alias("missing"),
+                (-F.col(score)).alias("s"),
+                F.col(order).alias("o"),
+                F.col(value).alias("v"),
+            )
+        )
+    )
 
 
 def _raw(columns: Sequence[str], order: str, include: bool) -> list[Column]:
@@ -244,18 +260,8 @@ def chunk_by_significance(
 
 def top_k_in_block(k: int, score: str, order: str, name: str) -> Column:
     """Aggregate: names of the k best scores of a block, ties in block order."""
-    ranked = F.array_sort(
-        F.collect_list(
-            F.struct(
-                F.col(score).isNull().alias("missing"),
-                (-F.col(score)).alias("s"),
-                F.col(order).alias("o"),
-                F.col(name).alias("v"),
-            )
-        )
-    )
-    names = F.transform(F.slice(ranked, 1, k), lambda row: row["v"])
-    return F.filter(names, lambda value: value.isNotNull())
+    best = F.slice(_by_score(score, order, name), 1, k)
+    return F.array_compact(best["v"])
 
 
 def chunk_by_genomic_regions(
@@ -341,21 +347,11 @@ def chunk_by_gene_pathways(
     of_set = records.join(members.select(spec.entity, "set_no"), spec.entity)
     score_order = [F.desc_nulls_last(spec.score), F.asc(spec.row_id)]
     rows = _parts(of_set, score_order, "set_no", max_records, rows_per_task)
-    by_score = F.array_sort(
-        F.collect_list(
-            F.struct(
-                F.col(spec.score).isNull().alias("missing"),
-                (-F.col(spec.score)).alias("s"),
-                F.col(spec.row_id).alias("o"),
-                F.col("_line").alias("v"),
-            )
-        )
-    )
     chunks = (
         rows.withColumn("_line", format_record(columns, spec))
         .groupBy("set_no", "block")
         .agg(
-            F.transform(by_score, lambda row: row["v"]).alias("lines"),
+            _by_score(spec.score, spec.row_id, "_line")["v"].alias("lines"),
             F.count("*").alias("rows"),
             F.max(spec.score).alias("max_score"),
             F.avg(spec.score).alias("mean_score"),

@@ -137,7 +137,7 @@ def embed_text(
 
 def embed_chunks(chunks: DataFrame, method: str = "hashing", **options) -> DataFrame:
     """Embed the `content` of a chunk table; an empty table is an error."""
-    if chunks.isEmpty():
+    if chunks.select(F.lit(1)).isEmpty():
         raise ValueError("there are no chunks to embed")
     return embed_text(chunks, "content", method, **options)
 

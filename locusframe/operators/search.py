@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from locusframe.functions.numbers import fixed
 from locusframe.functions.text import preview
+from locusframe.storage import write_table
 
 # Query vectors sent to every task.
 QUERY_BYTES = 32 << 20
@@ -157,11 +158,13 @@ def nearest(
     schema = pa.schema(fields)
     result = f"query_id {query_kind}, chunk_id {corpus_kind}, score double"
 
-    size = queries.agg(F.coalesce(F.sum(F.size("embedding") * 4 + 32), F.lit(0))).first()[0]
+    # Embedding a query may be costly, so it happens once, before the queries are measured.
+    queries = queries.sparkSession.read.parquet(write_table(queries, "queries"))
+    bytes_ = F.coalesce(F.sum(F.size("embedding") * 4 + 32), F.lit(0))
+    size = queries.agg(bytes_).first()[0]
     if size <= query_bytes:
         candidates = _nearest_broadcast(corpus, queries, k, metric, schema, result)
     else:
-        bytes_ = F.coalesce(F.sum(F.size("embedding") * 4 + 32), F.lit(0))
         stripes = -(-corpus.agg(bytes_).first()[0] // cell_bytes) or 1
         blocks = -(-size // query_bytes)
         candidates = _nearest_grid(
@@ -227,7 +230,7 @@ def lookup_chunks(results: DataFrame, corpus: DataFrame, corpus_id: str = "chunk
 def cosine_search(corpus: DataFrame, queries: DataFrame, top_k: int = 5, **options) -> DataFrame:
     """`query_id, rank, chunk_id, similarity` plus the corpus columns."""
     corpus_id = options.get("corpus_id", "chunk_id")
-    if corpus.isEmpty():
+    if corpus.select(corpus_id).isEmpty():
         raise ValueError("there are no vectors to search")
     found = nearest(corpus, queries, top_k, "cosine", **options)
     return lookup_chunks(found.withColumnRenamed("score", "similarity"), corpus, corpus_id)

@@ -181,7 +181,7 @@ def _shared(records: DataFrame, spec: RecordSpec) -> DataFrame:
             ),
         ),
     )
-    ranked_groups = F.array_sort(
+    ranked_groups = F.sort_array(
         F.collect_list(
             F.struct(
                 (-F.col("rows")).alias("o"),
@@ -200,7 +200,7 @@ def _shared(records: DataFrame, spec: RecordSpec) -> DataFrame:
     compared = group_counts(records, LISTED, spec).agg(
         F.concat(
             F.array(F.lit("QTL distribution across chromosomes:\n")),
-            F.transform(ranked_groups, lambda row: row["line"]),
+            ranked_groups["line"],
         ).alias("lines")
     )
     summary = dataset_summary(records, spec).select(
@@ -259,8 +259,7 @@ def answer_texts(lines: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
     A list of more than `lines_per_part` lines continues in further parts.
     """
     part = F.floor(F.col("line_no") / lines_per_part) + 1
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
-    texts = F.transform(ordered, lambda row: row["line"])
+    texts = F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"]
     last = F.element_at(F.col("texts"), -1)
     open_end = ~last.startswith("\n... and ") & (F.col("intent") != "help")
     return (

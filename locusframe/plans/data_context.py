@@ -45,7 +45,7 @@ def selections(records: DataFrame, spec: RecordSpec = DEFAULT_SPEC) -> DataFrame
             )
         )
     )
-    ordered = F.slice(F.array_sort(F.collect_list(F.struct("place", "line"))), 1, SHOWN_ROWS)
+    ordered = F.slice(F.sort_array(F.collect_list(F.struct("place", "line"))), 1, SHOWN_ROWS)
     numbered = F.transform(
         ordered, lambda row, i: F.concat((i + 1).cast("string"), F.lit(". "), row["line"])
     )
