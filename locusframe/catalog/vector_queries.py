@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.catalog import sql as S
-from locusframe.catalog.inputs import SAMPLE_QUESTIONS, benchmark, peaks, table
+from locusframe.catalog.inputs import SAMPLE_QUESTIONS, benchmark, embed_tasks, peaks, table
 from locusframe.catalog.registry import query
 from locusframe.functions import vectors as V
 from locusframe.functions.text import rule_line
@@ -21,6 +21,11 @@ def documents(spark, folder) -> DataFrame:
     )
 
 
+def embedded_documents(spark, folder, **options) -> DataFrame:
+    tasks = embed_tasks(spark, folder, "documents")
+    return embed.embed_text(documents(spark, folder), "content", tasks=tasks, **options)
+
+
 def checksum(vector: Column) -> Column:
     """Position-weighted sum of a vector, to compare it in one number."""
     weighted = F.transform(vector.cast("array<double>"), lambda x, i: x * (i + 1))
@@ -39,7 +44,7 @@ _DOCUMENT_SUMS = "SELECT doc_id AS id, coalesce(checksum, 0) AS checksum FROM do
 
 @query("embed_documents", _checksums("documents", "doc_id", "text", _DOCUMENT_SUMS))
 def _(spark, folder):
-    embedded = embed.embed_text(documents(spark, folder), "content", title="documents")
+    embedded = embedded_documents(spark, folder, title="documents")
     return embedded.select("id", checksum(F.col("embedding")).alias("checksum"))
 
 
@@ -159,7 +164,7 @@ _QUESTION = SAMPLE_QUESTIONS[12].replace("'", "''")
     ),
 )
 def _(spark, folder):
-    embedded = embed.embed_text(documents(spark, folder), "content")
+    embedded = embedded_documents(spark, folder)
     asked = embed.hashing_embedder()([SAMPLE_QUESTIONS[12]])[0].tolist()
     scored = search.score_query(embedded, asked)
     return scored.select("id", (F.round("score", 6) + F.lit(0.0)).alias("score"))
@@ -176,7 +181,7 @@ def _hits(k: int) -> tuple[str, ...]:
 
 
 def _search(spark, folder, k: int) -> DataFrame:
-    corpus = embed.embed_text(documents(spark, folder), "content")
+    corpus = embedded_documents(spark, folder)
     asked = embed.embed_queries(benchmark(spark, folder))
     return search.nearest(corpus, asked, k, corpus_id="id")
 
@@ -217,7 +222,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    corpus = embed.embed_text(documents(spark, folder), "content")
+    corpus = embedded_documents(spark, folder)
     asked = embed.embed_queries(benchmark(spark, folder))
     found = search.cosine_search(corpus, asked, corpus_id="id")
     return found.select(
@@ -256,16 +261,12 @@ def _(spark, folder):
 )
 def _(spark, folder):
     chunks = chunkers.chunk_by_chromosome(peaks(spark, folder), include_raw=False)
-    corpus = embed.embed_chunks(chunks)
+    corpus = embed.embed_chunks(chunks, tasks=embed_tasks(spark, folder, "events"))
     asked = embed.embed_queries(benchmark(spark, folder))
     found = search.cosine_search(corpus, asked, 3, corpus_id="id")
     return search.search_result_card(found).select("query_id", "rank", "card")
 
 
-def _collection(spark, folder, **options) -> DataFrame:
-    return collections.collection_table(documents(spark, folder), [F.col("id")], **options)
-
-
 _L2 = S.with_(
     *_BENCHMARK_HITS,
     """pairs AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(greatest(coalesce(power(qn.n, 2), 0) + coalesce(power(dn.n, 2), 0)
@@ -297,14 +298,14 @@ _TEXT_HITS = S.hits(
 )
 def _(spark, folder):
     asked = embed.embed_queries(benchmark(spark, folder))
-    found = search.collection_query(_collection(spark, folder), asked)
+    found = search.collection_query(_created(spark, folder), asked)
     return found.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"), "document")
 
 
 @query("collection_query_l2", _L2)
 def _(spark, folder):
     asked = embed.embed_queries(benchmark(spark, folder))
-    found = search.collection_query(_collection(spark, folder, metric="l2"), asked, metric="l2")
+    found = search.collection_query(_created(spark, folder, metric="l2"), asked, metric="l2")
     return found.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
@@ -318,7 +319,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     asked = embed.embed_queries(benchmark(spark, folder))
-    found = search.collection_query(_collection(spark, folder), asked, n_results=2)
+    found = search.collection_query(_created(spark, folder), asked, n_results=2)
     similarity = search.distance_to_similarity(F.col("distance"))
     return found.select("query_id", "rank", F.round(similarity, 6).alias("similarity"))
 
@@ -335,7 +336,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     questions = benchmark(spark, folder)
-    found = search.collection_query(_collection(spark, folder), embed.embed_queries(questions))
+    found = search.collection_query(_created(spark, folder), embed.embed_queries(questions))
     return search.query_result_lines(questions, found).select("query_id", "rank", "line")
 
 
@@ -349,7 +350,7 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    listing = search.embedding_listing(_collection(spark, folder), limit=None)
+    listing = search.embedding_listing(_created(spark, folder), limit=None)
     cells = [F.col("first_dimensions")[i].cast("double") for i in range(2)]
     return listing.select(
         "number", "preview", F.format_string("%.5f %.5f", *cells).alias("dimensions")
@@ -362,9 +363,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     path = new_path(spark, "vectors")
-    vector_files.write_vectors(
-        embed.embed_text(documents(spark, folder), "content"), path, "hashing"
-    )
+    vector_files.write_vectors(embedded_documents(spark, folder), path, "hashing")
     return vector_files.vector_report(spark, path).select("vectors", "dimension")
 
 
@@ -378,19 +377,21 @@ def _(spark, folder):
 )
 def _(spark, folder):
     path = new_path(spark, "vectors")
-    vector_files.write_vectors(
-        embed.embed_text(documents(spark, folder), "content"), path, "hashing"
-    )
+    vector_files.write_vectors(embedded_documents(spark, folder), path, "hashing")
     return vector_files.read_vectors(spark, path).select(
         "id", "embedding_method", "embedding_dimension",
         checksum(F.col("embedding")).alias("checksum"),
     )
 
 
-def _created(spark, folder) -> DataFrame:
-    root = new_path(spark, "collections")
+def _created(spark, folder, **options) -> DataFrame:
     return collections.create_collection(
-        documents(spark, folder), [F.col("id")], root, "documents"
+        documents(spark, folder),
+        [F.col("id")],
+        new_path(spark, "collections"),
+        "documents",
+        tasks=embed_tasks(spark, folder, "documents"),
+        **options,
     )
 
 
@@ -414,7 +415,10 @@ def _(spark, folder):
 )
 def _(spark, folder):
     root = new_path(spark, "collections")
-    collections.create_collection(documents(spark, folder), [F.col("id")], root, "documents")
+    tasks = embed_tasks(spark, folder, "documents")
+    collections.create_collection(
+        documents(spark, folder), [F.col("id")], root, "documents", tasks=tasks
+    )
 
     def count(name: str) -> DataFrame:
         opened = collections.open_collection(spark, root, name)

@@ -84,12 +84,12 @@ def _parts(
 ) -> DataFrame:
     """Give every row of a group its `block` of at most `max_records` rows in `order`.
 
-    `position` then orders the rows of a block. Groups are ranked only when one of them
-    is too long for a single chunk.
+    Groups are ranked only when one of them is too long for a single chunk. The rows of
+    a block come together before their texts are made, which are longer than the rows.
     """
     if largest_group(df, [by]) > max_records:
         return blocks_in_order(df, order, max_records, [by], rows_per_task)
-    return df.withColumn("block", F.lit(1).cast("bigint"))
+    return df.withColumn("block", F.lit(1).cast("bigint")).repartition(by, "block")
 
 
 def chunk_by_row(

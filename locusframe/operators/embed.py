@@ -26,25 +26,35 @@ def hashing_embedder(dimension: int = 256, **_) -> Embedder:
     up is negative). A text without tokens gives a zero vector.
     """
     import hashlib
-    import re
-    from collections import Counter
-    from functools import lru_cache
 
     import numpy as np
 
-    tokens = re.compile(r"[^ \t\n\r\f]+")
+    blanks = str.maketrans(dict.fromkeys("\t\n\r\f", " "))
 
-    @lru_cache(maxsize=1 << 17)
-    def cell(token: str) -> tuple[int, int]:
-        digest = hashlib.md5(token.encode()).hexdigest()
-        return int(digest[:8], 16) % dimension, -1 if digest[8] >= "8" else 1
+    class Cells(dict):
+        """Token to 2 * cell + sign bit, forgotten when the vocabulary grows too big."""
+
+        def __missing__(self, token):
+            digest = hashlib.md5(token.encode()).hexdigest()
+            code = 2 * (int(digest[:8], 16) % dimension) + (digest[8] >= "8")
+            if len(self) >= 1 << 20:
+                self.clear()
+                self[""] = 2 * dimension
+            self[token] = code
+            return code
+
+    cells = Cells()
+    # Repeated blanks give empty tokens, which count in a cell past the vector.
+    nowhere = 2 * dimension
 
     def embed(texts):
         vectors = np.zeros((len(texts), dimension))
         for row, text in zip(vectors, texts):
-            for token, count in Counter(tokens.findall(text)).items():
-                bucket, sign = cell(token)
-                row[bucket] += sign * count
+            cells[""] = nowhere
+            tokens = text.translate(blanks).split(" ")
+            codes = np.fromiter(map(cells.__getitem__, tokens), "int64", len(tokens))
+            counts = np.bincount(codes, minlength=nowhere)[:nowhere]
+            row[:] = counts[0::2] - counts[1::2]
         norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         return np.divide(vectors, norms, out=vectors, where=norms > 0).astype("float32")
 
@@ -82,14 +92,20 @@ def embed_text(
     method: str = "hashing",
     task_type: str = "retrieval_document",
     title: str | None = None,
+    tasks: int | None = None,
     **options,
 ) -> DataFrame:
     """Add `embedding` and `embed_error`.
 
+    `tasks` spreads the texts over that many tasks first: more than the input has splits
+    for a small table and a slow model, fewer to limit the calls to a shared service.
+
     A text the embedder fails on, and a NULL text, has a NULL embedding and the reason in
     `embed_error`; the other texts of its batch are embedded one by one.
     """
     factory = embedder_factory(method)
+    if tasks is not None:
+        df = df.repartition(tasks)
     settings = {"task_type": task_type, "title": title, **options}
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -122,7 +138,9 @@ def embed_text(
 
     # The annotations tell Spark which kind of pandas UDF this is.
     result = f"embedding {VECTOR.simpleString()}, embed_error string"
-    embedded = F.pandas_udf(run, result)(F.col(text))
+    # As a nondeterministic column it is not copied into later filters: every text is
+    # embedded once.
+    embedded = F.pandas_udf(run, result).asNondeterministic()(F.col(text))
     return (
         df.withColumn("_embedded", embedded)
         .withColumns(

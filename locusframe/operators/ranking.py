@@ -39,8 +39,16 @@ def position_in_order(
     from the row counts of the written files.
     """
     if largest_group(df, by) <= rows_per_task:
-        window = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+        return _placed_by_window(df, order, by, name)
+    return _placed_by_sort(df, order, by, name)
+
+
+def _placed_by_window(df: DataFrame, order, by, name: str) -> DataFrame:
+    window = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn(name, (F.row_number().over(window) - 1).cast("bigint"))
+
+
+def _placed_by_sort(df: DataFrame, order, by, name: str) -> DataFrame:
     path = write_table(df.sort(*by, *order), "ordered")
     numbered = number_written_rows(df.sparkSession, path, name)
     if not by:
@@ -60,9 +68,16 @@ def blocks_in_order(
     by: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
-    """Add `position` and the 1-based `block` of `size` rows, within `by` groups."""
-    placed = position_in_order(df, order, by, "position", rows_per_task)
-    return placed.withColumn("block", block_number(F.col("position"), size))
+    """Add `position` and the 1-based `block` of `size` rows, within `by` groups.
+
+    The rows of a block are in one partition afterwards, so texts made from them need no
+    further shuffle when they are collected per group and block.
+    """
+    block = block_number(F.col("position"), size)
+    if largest_group(df, by) <= rows_per_task:
+        return _placed_by_window(df, order, by, "position").withColumn("block", block)
+    placed = _placed_by_sort(df, order, by, "position").withColumn("block", block)
+    return placed.repartition(*by, "block")
 
 
 def first_seen_index(
