@@ -21,6 +21,7 @@ from locusframe.operators.ranking import (
     top_n_by_score,
 )
 from locusframe.schema import DEFAULT_SPEC, RecordSpec, metadata
+from locusframe.storage import broadcast_small, stored
 
 # A chunk is one row, so a group with more records is continued in further chunks.
 MAX_RECORDS_PER_CHUNK = 10_000
@@ -340,11 +341,11 @@ def chunk_by_gene_pathways(
     `chunk_by_gene`.
     """
     columns = records.columns
-    members = entity_sets(records, genes_per_chunk, spec, rows_per_task)
+    members = stored(entity_sets(records, genes_per_chunk, spec, rows_per_task), "sets")
     sets = members.groupBy("set_no").agg(
         _in_order("ordinal", F.col(spec.entity)).alias("names"), F.count("*").alias("members")
     )
-    of_set = records.join(members.select(spec.entity, "set_no"), spec.entity)
+    of_set = records.join(broadcast_small(members.select(spec.entity, "set_no")), spec.entity)
     score_order = [F.desc_nulls_last(spec.score), F.asc(spec.row_id)]
     rows = _parts(of_set, score_order, "set_no", max_records, rows_per_task)
     chunks = (

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from locusframe.functions.text import block_number
 from locusframe.schema import DEFAULT_SPEC, RecordSpec
-from locusframe.storage import number_written_rows, write_table
+from locusframe.storage import broadcast_small, number_written_rows, write_table
 
 # A window sorts each of its groups in one task; up to this many rows that is cheap.
 ROWS_PER_TASK = 1_000_000
@@ -55,9 +55,9 @@ def _placed_by_sort(df: DataFrame, order, by, name: str) -> DataFrame:
         return numbered
     starts = numbered.groupBy(*by).agg(F.min(name).alias("_group_start"))
     return (
-        numbered.join(starts, list(by))
+        numbered.join(broadcast_small(starts), list(by))
         .withColumn(name, F.col(name) - F.col("_group_start"))
-        .drop("_group_start")
+        .select(*df.columns, name)
     )
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from locusframe.functions.numbers import fixed
 from locusframe.functions.text import preview
-from locusframe.storage import write_table
+from locusframe.storage import broadcast_small, stored
 
 # Query vectors sent to every task.
 QUERY_BYTES = 32 << 20
@@ -159,7 +159,7 @@ def nearest(
     result = f"query_id {query_kind}, chunk_id {corpus_kind}, score double"
 
     # Embedding a query may be costly, so it happens once, before the queries are measured.
-    queries = queries.sparkSession.read.parquet(write_table(queries, "queries"))
+    queries = stored(queries, "queries")
     bytes_ = F.coalesce(F.sum(F.size("embedding") * 4 + 32), F.lit(0))
     size = queries.agg(bytes_).first()[0]
     if size <= query_bytes:
@@ -222,9 +222,13 @@ def _nearest_grid(corpus, queries, k, metric, schema, result, stripes, blocks) -
 
 
 def lookup_chunks(results: DataFrame, corpus: DataFrame, corpus_id: str = "chunk_id") -> DataFrame:
-    """Attach the corpus columns to search results; vectors stay behind."""
+    """Attach the corpus columns to search results; vectors stay behind.
+
+    The results of a search over the whole corpus are kept, so that they can be counted:
+    few of them go to the corpus instead of the texts being shuffled.
+    """
     texts = corpus.drop("embedding", "embed_error").withColumnRenamed(corpus_id, "chunk_id")
-    return results.join(texts, "chunk_id")
+    return texts.join(broadcast_small(stored(results, "results")), "chunk_id")
 
 
 def cosine_search(corpus: DataFrame, queries: DataFrame, top_k: int = 5, **options) -> DataFrame:
@@ -246,8 +250,12 @@ def collection_query(
     found = nearest(collection, queries, n_results, metric, corpus_id="id", **options)
     score = F.col("score")
     distance = 1 - score if metric == "cosine" else -score
-    results = found.select("query_id", "rank", F.col("chunk_id").alias("id"), distance.alias("distance"))
-    return results.join(collection.select("id", "chunk_id", "document"), "id")
+    results = found.select("query_id", "rank", "chunk_id", distance.alias("distance"))
+    documents = collection.select("id", F.col("chunk_id").alias("key"), "document")
+    return lookup_chunks(results, documents, "id").select(
+        "query_id", "rank", F.col("chunk_id").alias("id"), F.col("key").alias("chunk_id"),
+        "document", "distance",
+    )
 
 
 def distance_to_similarity(distance: Column) -> Column:

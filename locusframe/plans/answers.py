@@ -15,6 +15,7 @@ from locusframe.operators.filters import has_pvalue, has_score
 from locusframe.operators.ranking import TOP_ROWS_IN_MEMORY, head_per_group, top_n_by_score
 from locusframe.operators.stats import dataset_summary, group_counts, unique_entities
 from locusframe.schema import DEFAULT_SPEC, RecordSpec
+from locusframe.storage import broadcast_small, stored
 
 # Defaults of the rules and the text of the help answer.
 DEFAULT_TOP, DEFAULT_PVALUE, LISTED = 5, 0.001, 10
@@ -104,7 +105,7 @@ def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
         }
     )
     keys = ["asked_group", "limit"]
-    parameters = numbered.select(*keys).distinct()
+    parameters = broadcast_small(numbered.select(*keys).distinct())
     passes = (F.col("limit") < 0) | (F.col(spec.score) > F.col("limit"))
     matches = records.join(parameters, F.col(spec.group) == F.col("asked_group")).filter(passes)
     counts = matches.groupBy(*keys).agg(F.count("*").alias("total"))
@@ -239,12 +240,15 @@ def answer_by_rules(
 
     A question about a group that names no number has no lines.
     """
-    routed = routed_questions(questions, literal)
+    # Every kind of answer reads the routed questions.
+    routed = stored(routed_questions(questions, literal), "routed")
 
     def of(intent: str) -> DataFrame:
         return routed.filter(F.col("intent") == intent)
 
-    shared = routed.select("query_id", "intent").join(_shared(records, spec), "intent")
+    # The shared answers have 34 lines at most.
+    lines = F.broadcast(_shared(records, spec))
+    shared = routed.select("query_id", "intent").join(lines, "intent")
     return (
         _top(records, of("top"), spec)
         .union(_group(records, of("group"), spec))

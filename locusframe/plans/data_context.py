@@ -14,10 +14,14 @@ from locusframe.operators.ranking import (
 )
 from locusframe.operators.stats import score_overview
 from locusframe.schema import DEFAULT_SPEC, RecordSpec
+from locusframe.storage import broadcast_small, stored
 
 # Rows chosen per selection, and lines shown.
 TOP_ROWS, GROUP_ROWS, PVALUE_ROWS, SAMPLE_ROWS, SHOWN_ROWS = 20, 50, 20, 10, 15
 
+# Selections of 15 lines each that may be broadcast.
+_BROADCAST_SELECTIONS = 10_000
+
 
 def selections(records: DataFrame, spec: RecordSpec = DEFAULT_SPEC) -> DataFrame:
     """The shown lines of every possible selection: `selection, selected_group, lines`.
@@ -75,8 +79,9 @@ def data_context(
         F.lit("\n\nSample of relevant records:\n"),
     )
     body = F.array_join(F.transform("lines", lambda line: F.concat(line, F.lit("\n"))), "")
+    chosen = broadcast_small(stored(selections(records, spec), "chosen"), _BROADCAST_SELECTIONS)
     return (
-        asked.join(selections(records, spec), ["selection", "selected_group"], "left")
+        asked.join(chosen, ["selection", "selected_group"], "left")
         .withColumn("_overview", overview)
         .withColumn("context", F.concat(header, F.coalesce(body, F.lit(""))))
         .select(*questions.columns, "selection", "selected_group", "context")

@@ -37,6 +37,24 @@ def write_table(df: DataFrame, label: str) -> str:
     return path
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """`df` written once and read back: used several times, it is computed once."""
+    return df.sparkSession.read.parquet(write_table(df, label))
+
+
+# Rows of a few hundred bytes that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a join side for broadcast if it is counted to have few rows.
+
+    Without the mark an adaptive plan shuffles the big side before it learns how small
+    the other one is. A side with more rows is left to the optimizer.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _rows_before(splits: DataFrame, order: list, out: str) -> DataFrame:
     """Running row count ahead of each split.
 
@@ -65,7 +83,7 @@ def number_written_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
         F.col("_metadata.row_index").alias("_at"),
     )
     return (
-        rows.join(offsets, "_file")
+        rows.join(broadcast_small(offsets), "_file")
         .withColumn(name, F.col("_before") + F.col("_at"))
         .drop("_file", "_at", "_before")
     )
@@ -91,7 +109,7 @@ def number_scanned_rows(scan: DataFrame, name: str) -> DataFrame:
     part = F.regexp_extract("_path", r"part-(\d+)[^/]*$", 1).try_cast("bigint")
     offsets = _rows_before(splits, [part, "_path", "_start"], "_before").drop("_rows")
     return (
-        table.join(offsets, ["_path", "_start"])
+        table.join(broadcast_small(offsets), ["_path", "_start"])
         .withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
         .drop("_path", "_start", "_at", "_first", "_before")
     )
