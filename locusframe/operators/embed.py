@@ -8,7 +8,8 @@ them, in Arrow batches, and the model is built once per task.
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +28,6 @@ def hashing_embedder(dimension: int = 256, **_) -> Embedder:
     """
     import hashlib
 
-    import numpy as np
-
     blanks = str.maketrans(dict.fromkeys("\t\n\r\f", " "))
 
     class Cells(dict):
@@ -108,39 +107,42 @@ def embed_text(
         df = df.repartition(tasks)
     settings = {"task_type": task_type, "title": title, **options}
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         embed = factory(**settings)
 
-        def one(value):
+        def one(text):
             try:
-                return embed([value])[0], None
+                return embed([text])[0], None
             except Exception as error:
                 return None, f"{type(error).__name__}: {error}"
 
         for batch in batches:
-            present = batch[batch.notna()]
+            texts = batch.to_pylist()
+            given = [i for i, text in enumerate(texts) if text is not None]
+            vectors = [None] * len(texts)
+            errors = ["text is missing"] * len(texts)
             try:
-                results = [(vector, None) for vector in embed(present.tolist())]
+                results = [(v, None) for v in embed([texts[i] for i in given])] if given else []
             except Exception:
-                results = [one(value) for value in present]
-            out = pd.DataFrame(
-                {"embedding": None, "embed_error": "text is missing"},
-                index=batch.index,
-                dtype=object,
-            )
-            out.loc[present.index, "embedding"] = pd.Series(
-                [vector for vector, _ in results], index=present.index, dtype=object
+                results = [one(texts[i]) for i in given]
+            for i, (vector, error) in zip(given, results, strict=True):
+                vectors[i], errors[i] = vector, error
+            lengths = [0 if v is None else len(v) for v in vectors]
+            flat = [np.asarray(v, dtype="float32") for v in vectors if v is not None]
+            cells = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()),
+                pa.array(np.concatenate(flat) if flat else [], pa.float32()),
+                mask=pa.array([v is None for v in vectors], pa.bool_()),
             )
-            out.loc[present.index, "embed_error"] = pd.Series(
-                [error for _, error in results], index=present.index, dtype=object
+            yield pa.StructArray.from_arrays(
+                [cells, pa.array(errors, pa.string())], names=["embedding", "embed_error"]
             )
-            yield out
 
-    # The annotations tell Spark which kind of pandas UDF this is.
+    # The annotations tell Spark that this is an iterator of Arrow arrays.
     result = f"embedding {VECTOR.simpleString()}, embed_error string"
     # As a nondeterministic column it is not copied into later filters: every text is
     # embedded once.
-    embedded = F.pandas_udf(run, result).asNondeterministic()(F.col(text))
+    embedded = F.arrow_udf(run, result).asNondeterministic()(F.col(text))
     return (
         df.withColumn("_embedded", embedded)
         .withColumns(
