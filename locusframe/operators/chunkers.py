@@ -90,7 +90,7 @@ def _parts(
     """
     if largest_group(df, [by]) > max_records:
         return blocks_in_order(df, order, max_records, [by], rows_per_task)
-    return df.withColumn("block", F.lit(1).cast("bigint")).repartition(by, "block")
+    return df.withColumn("block", F.lit(1).cast("bigint")).repartition(by)
 
 
 def chunk_by_row(

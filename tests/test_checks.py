@@ -43,3 +43,10 @@ def test_plans_have_no_pair_joins_and_no_python(spark, name):
 def test_only_the_asked_columns_are_read(spark):
     plan = queries()["in_group"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReadSchema: struct<event_id:bigint,value:double>", plan)
+
+
+@pytest.mark.parametrize("name", ["chunk_by_gene", "chunk_by_chromosome"])
+def test_rows_are_shuffled_once_and_before_their_text(spark, name):
+    plan = queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    assert plan.index("concat_ws") < plan.index("Exchange ")
