@@ -4,8 +4,9 @@ import re
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
 from check import compare, connect
+from locusframe.catalog import CHECKS, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,13 +16,13 @@ def engine():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, engine, name):
     assert compare(spark, engine, FOLDER, name) is None
 
 
 def test_every_query_has_a_check():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(CHECKS)
 
 
 def test_entry(spark):
