@@ -1,0 +1,22 @@
+"""The queries of this package, with the SQL that checks each of them."""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+CHECKS: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query `(spark, folder) -> DataFrame` and its equivalent SQL."""
+
+    def add(run: Query) -> Query:
+        QUERIES[name] = run
+        if sql is not None:
+            CHECKS[name] = sql
+        return run
+
+    return add
