@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from locusframe.llm import line_dedup, quality_rules, simhash
+from locusframe.llm import line_dedup, packing, quality_rules, simhash, warc
 from locusframe.llm.common import table
 from locusframe.llm.registry import CHECKS, QUERIES, query
 
@@ -62,3 +62,37 @@ def op6(spark, folder):
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
+
+
+@query("op9_packing")
+def op9(spark, folder):
+    pieces = packing.pack(table(spark, folder, "documents"))
+    return pieces.select(
+        F.col("id").alias("doc_id"),
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+@query("op10_warc", sql="""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS digest FROM p),
+g AS (SELECT digest, n, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY ALL HAVING count(*) > 1)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM d LEFT JOIN g USING (digest, n)
+""")
+def op10(spark, folder):
+    rows = warc.round_trip(spark, table(spark, folder, "pages"))
+    return rows.select(
+        F.col("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("type").alias("record_type"),
+        "refers_to",
+    )
