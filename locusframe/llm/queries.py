@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from locusframe.llm import line_dedup, packing, quality_rules, simhash, warc
+from locusframe.llm import decontaminate, line_dedup, packing, quality_rules, secret_scan, simhash, warc
 from locusframe.llm.common import table
 from locusframe.llm.registry import CHECKS, QUERIES, query
 
@@ -96,3 +96,22 @@ def op10(spark, folder):
         F.col("type").alias("record_type"),
         "refers_to",
     )
+
+
+@query("op5_secret_scan")
+def op5(spark, folder):
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    text = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        *(count(kind).alias(f"n_{kind}") for kind in secret_scan.BASE),
+        F.sha2("base_text", 256).alias("base_sha256"),
+        F.array_join(text, ",").alias("spans"),
+    )
+
+
+@query("op8_decontamination")
+def op8(spark, folder):
+    found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
