@@ -2,7 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, line_dedup, packing, quality_rules, secret_scan, simhash, warc
+from locusframe.llm import (
+    decontaminate,
+    html_text,
+    license_scan,
+    line_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    simhash,
+    url_filter,
+    warc,
+)
 from locusframe.llm.common import table
 from locusframe.llm.registry import CHECKS, QUERIES, query
 
@@ -115,3 +126,33 @@ def op5(spark, folder):
 def op8(spark, folder):
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op2_html_text")
+def op2(spark, folder):
+    pages = table(spark, folder, "pages")
+    found = html_text.extract(pages, html_text.fit(pages))
+    return found.select(
+        F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+@query("op3_url_filter")
+def op3(spark, folder):
+    judged = url_filter.judge(table(spark, folder, "pages"), URL_RULES)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", "score")
+
+
+@query("op4_license_scan")
+def op4(spark, folder):
+    found = license_scan.scan(table(spark, folder, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
