@@ -1,4 +1,4 @@
-"""The corpus pipeline: quality rules, line dedup and near-dedup of the documents.
+"""The corpus pipeline: from documents to packed sequences.
 
 Every stage takes `(spark, docs, sf_dir)` and returns a DataFrame, which is written as Parquet
 and read again as the next stage's `docs`. All but the last return the columns of
@@ -8,7 +8,7 @@ and read again as the next stage's `docs`. All but the last return the columns o
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm import line_dedup, quality_rules, simhash
+from locusframe.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from locusframe.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,9 +31,35 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every class of similar ones."""
+    docs = docs.select(*COLUMNS)
+    return simhash.first_of_each(docs, simhash.similar_documents(docs))
 
-# Near-duplicate components and greedy packing are iterative.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents into which no benchmark item leaked."""
+    docs = docs.select(*COLUMNS)
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("id", "text_hash").distinct()
+    own_id, own_hash = decontaminate.identity(docs, "doc_id", "text")
+    same = own_id.eqNullSafe(found["id"]) & (own_hash == found["text_hash"])
+    return docs.join(found, same, "left_anti")
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 1024 ids."""
+    return packing.pack(docs).withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", sequences),
+]
+
+# Near-duplicate classes are found by iteration, and packing is a sequence of choices.
 ORACLE_SQL = None
 
 

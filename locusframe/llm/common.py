@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from locusframe.storage import stored, write_table
 
-__all__ = ["SPACE", "bounded_batches", "count_words", "line_array", "pieces_of", "stored", "table", "word_array", "write_table"]
+__all__ = ["SPACE", "bounded_batches", "count_words", "identity", "line_array", "pieces_of", "stored", "table", "word_array", "write_table"]
 
 # The characters that separate words, as a Java character class.
 SPACE = r"[ \t\n\x0B\f\r]"
@@ -44,6 +44,14 @@ def line_array(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def identity(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
+    """A document is its id and text: rows that repeat both are one document."""
+    return [
+        F.col(id_column).cast("bigint").alias("id"),
+        F.xxhash64(F.col(text_column).cast("string")).alias("text_hash"),
+    ]
+
+
 def pieces_of(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     """The words of `data` in lists of bounded size, so that a long text needs no list of all."""
     start = 0

@@ -68,11 +68,12 @@ def _marked(attributes: str) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
+def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool]]:
     """`(feature, text, inside)`: tags with empty text, and runs of text; `inside` an article.
 
     A text's feature tells its block and whether it is in a link. The empty text of a block tag
-    ends a block.
+    ends a block. `everything` reads elements that never hold main text like others, for the
+    labelled pages tell from them what stands outside of an article.
     """
     at, end = 0, len(html)
     blocks = ["body"]
@@ -107,12 +108,15 @@ def tokens(html: str) -> Iterator[tuple[str, str, bool]]:
         if name in ("article", "main"):
             articles = max(0, articles - 1) if closing else articles + 1
         feature = f"tag {name if name in KNOWN else 'other'}"
-        if not closing and (name in NEVER or name not in ("body", "html", "article", "main") and _marked(attributes)):
+        if not closing and everything and name in RAW:
+            at = _raw_end(html, name, at)
+            continue
+        if not closing and not everything and (name in NEVER or name not in ("body", "html", "article", "main") and _marked(attributes)):
             if name in RAW:
                 at = _raw_end(html, name, at)
             elif name not in VOID and not attributes.endswith("/"):
                 skipped.append(name)
-            yield feature if name in KNOWN else "tag none", "", articles > 0
+            yield "tag none", "", articles > 0
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -137,7 +141,7 @@ def _raw_end(html: str, name: str, at: int) -> int:
 def counted(html: str) -> Counter:
     """Words and tags of a labelled page by `(feature, inside the article)`."""
     out: Counter = Counter()
-    for feature, text, inside in tokens(html):
+    for feature, text, inside in tokens(html, everything=True):
         if feature.startswith("word"):
             out[feature, inside] += len(text.split())
         else:
@@ -147,13 +151,14 @@ def counted(html: str) -> Counter:
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Score by feature: words up to 1, tags below 0 and the lower the rarer they are inside."""
-    out = {}
+    # An element without main text is no end of a region: its words are gone already.
+    out = {"tag none": -0.02}
     for feature in {f for f, _ in counts}:
         inside = counts.get((feature, True), 0) + PRIOR
         outside = counts.get((feature, False), 0) + PRIOR / 10
         share = inside / (inside + outside)
         # A word that is mostly outside costs little: the tags around it tell more.
-        out[feature] = max(2 * share - 1, -0.5) if feature.startswith("word") else -0.02 - 3 * (1 - share) ** 2
+        out[feature] = max(2 * share - 1, -0.5) if feature.startswith("word") else -0.02 - (1 - share) ** 2
     return out
 
 

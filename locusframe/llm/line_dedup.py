@@ -129,7 +129,7 @@ def dedup_lines(
 
     All columns and rows stay; `removed_lines` and `removed_words` are added. NULL and blank
     texts stay as they are. Rows that repeat an id and a text count as one document and get
-    the same result. Blank lines between deleted lines stay. Lines are equal if all their
+    the same result. Blank lines stay. Lines are equal if all their
     characters are. Documents without an id come after all others, in the order of their hash.
     """
     clashes = {"removed_lines", "removed_words"} & set(docs.columns)
@@ -148,22 +148,34 @@ def dedup_lines(
     text = F.col("row").getField(text_column)
     gone = F.coalesce("lines", F.array().cast("array<int>"))
 
-    def kept(lines):
+    has_word = f"[^{SPACE[1:-1]}]"
+
+    def cleaned(lines):
+        at = lambda i: F.element_at(lines, i + 1)
         every = F.sequence(F.lit(0), F.size(lines) - 1)
-        return F.transform(F.array_except(every, gone), lambda i: F.element_at(lines, i + 1))
+        full = F.filter(gone, lambda i: at(i).rlike(has_word))
+        kept = F.array_except(every, full)
+        return F.struct(
+            F.array_join(F.transform(kept, at), "\n").alias("text"),
+            (F.size(lines) - F.size(kept)).alias("removed"),
+        )
 
     # The lines are bound once by the outer transform; the inner one looks them up by number.
-    left = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(kept(lines), "\n"))
-    cleaned = F.when(F.size(gone) > 0, F.element_at(left, 1)).otherwise(text)
-    rows = joined.select("row", gone.alias("gone"), cleaned.alias("cleaned"))
+    left = F.element_at(F.transform(F.array(F.split(text, "\n", -1)), cleaned), 1)
+    rows = joined.select("row", F.when(F.size(gone) > 0, left).alias("left"))
+    rows = rows.select(
+        "row",
+        F.coalesce(F.col("left")["removed"], F.lit(0)).alias("removed"),
+        F.coalesce(F.col("left")["text"], F.col("row").getField(text_column)).alias("cleaned"),
+    )
     removed = F.when(
-        F.size("gone") > 0, count_words(F.col("row").getField(text_column)) - count_words(F.col("cleaned"))
+        F.col("removed") > 0, count_words(F.col("row").getField(text_column)) - count_words(F.col("cleaned"))
     ).otherwise(0)
     return rows.select(
         *(
             (F.col("cleaned") if c == text_column else F.col("row").getField(c)).alias(c)
             for c in names
         ),
-        F.size("gone").alias("removed_lines"),
+        F.col("removed").alias("removed_lines"),
         removed.alias("removed_words"),
     )

@@ -125,7 +125,7 @@ def op5(spark, folder):
 @query("op8_decontamination")
 def op8(spark, folder):
     found = decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
-    return found.withColumnRenamed("id", "doc_id")
+    return found.withColumnRenamed("id", "doc_id").drop("text_hash")
 
 
 @query("op2_html_text")

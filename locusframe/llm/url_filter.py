@@ -27,13 +27,16 @@ BLOCKED = (
     "crack warez torrent keygen free-money payday-loan loan-fast get-rich replica-cheap"
 ).split()
 ALLOWED = (
-    "news world-news blog tech-blog wiki docs library science history school university museum "
+    "news world-news tech-blog wiki docs library science history school university museum "
     "weather health research open-data city-guide travel recipes garden music film book-review "
     "magazine journal forum community support project software code academy sports culture art "
     "radio politics economy law medical-journal nature space physics math language law-review "
-    "free-software free-library open-source family-farm farm-news city-news track-and-field"
+    "open-software open-library open-source family-farm farm-news city-news track-and-field"
 ).split()
 
+# First labels of a host that tell how it is served, not what it is about.
+SERVICE = re.compile(r"^(?:(?:www\d?|m|mobile|blog|cdn|static)\.)+")
+
 # Costs of the segmentation in nats: a known word costs the negative logarithm of its share; an
 # unknown piece costs more than any known word, and more the longer it is.
 UNKNOWN, UNKNOWN_LETTER = 8.0, 1.2
@@ -104,7 +107,7 @@ class Model:
         return tuple(reversed(words))
 
     def segments(self, host: str, path: str) -> list[str]:
-        runs = re.findall(r"[a-z]+", host) + re.findall(r"[a-z]+", path.lower())
+        runs = re.findall(r"[a-z]+", SERVICE.sub("", host)) + re.findall(r"[a-z]+", path.lower())
         return [word for run in runs for word in self.split(run)]
 
     def score(self, words: list[str]) -> float:

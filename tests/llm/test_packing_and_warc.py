@@ -83,7 +83,7 @@ def test_pack_is_a_round_trip(documents):
 @pytest.fixture
 def pages(spark):
     big = "é" * 700
-    huge = "".join(chr(97 + i % 26) for i in range(700_001))
+    huge = "".join(chr(97 + i % 26) for i in range(3_000_001))
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (5, "http://c", big), (3, "u", None), (4, "u", ""),
             (6, "u", "short"), (7, "u", "short"), (8, "u", huge), (9, "u", "WARC/1.1\r\n\r\n" * 200), (None, "n", big),
             (None, None, None), (9, "u", "WARC/1.1\r\n\r\n" * 200)]

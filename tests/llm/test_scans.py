@@ -63,7 +63,7 @@ def test_confirmed_spans(documents):
     bad = f"-----BEGIN RSA PRIVATE KEY-----\n{base64.encodebytes(RSA[:-9]).decode()}-----END RSA PRIVATE KEY-----"
     texts = [f"é {token} x", f"é {fake} x", f"a {pem} b", f"a {bad} b", f"key {base64.b64encode(PKCS8).decode()}", f"é{RSA.hex().upper()}"]
     kinds = [[s.kind for s in r.spans] for r in secret_scan.scan(documents(list(enumerate(texts)))).orderBy("id").collect()]
-    assert kinds == [["token"], [], ["pem"], [], ["der"], ["der"]]
+    assert kinds == [["token"], [], ["pem"], [], ["der"], ["hex", "der"]]
     assert secret_scan.digest("") == hashlib.sha256(b"").hexdigest()
 
 
