@@ -8,7 +8,7 @@ from locusframe.llm import html_text, url_filter
 LONG = " ".join(f"plain{i}" for i in range(60))
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">menu one</a></li></ul></nav><!-- ad --><div class="ad">buy this</div>
-<article><h1>{title}</h1><p><b>First  part<br>of it<p>Fish &amp; chips &lt;3 &copy</p><p>" + LONG + """</p><form>field</form>
+<article><h1>{title}</h1><p><b>First  part<br>of it<p>Fish &amp; chips &lt;3 &copy</p><p>""" + LONG + """</p><form>field</form>
 <aside>side words</aside><script>x</script><p>Last.</p></article>
 <div id="comments"><p>a reader says much about all of this</p></div><footer>&copy; foot</footer></body></html>"""
 EXPECTED = "{title} First part of it Fish & chips <3 © " + LONG + " Last."
