@@ -28,6 +28,8 @@ CHUNK_BYTES = 1 << 20
 MIN_REVISIT = 1000
 # Bytes of an archive after which the writer begins the next one.
 ARCHIVE_BYTES = 1 << 30
+# Tasks that read archives, if there are as many archives.
+MOST_TASKS = 50_000
 EMPTY_SHA1 = hashlib.sha1().hexdigest()
 
 
@@ -73,20 +75,28 @@ def records(
     )
 
 
-def chunks(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """The chunk table of the payloads: `(record_id, digest, chunk, of, data)`."""
+def chunks(
+    pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
+) -> DataFrame:
+    """The chunk table of the payloads: `(record_id, digest, url, bytes, row, chunk, of, data)`.
+
+    `row` tells repeated rows apart inside one job.
+    """
     html = payload(F.col(html_column))
     rows = pages.select(
         F.col(id_column).cast("bigint").alias("record_id"),
+        F.col(url_column).cast("string").alias("url"),
         html.alias("html"),
         F.sha1(html.cast("binary")).alias("digest"),
+        F.octet_length(html).cast("bigint").alias("bytes"),
+        F.monotonically_increasing_id().alias("row"),
     )
     count = F.greatest(F.ceil(F.length("html") / CHUNK_CHARS), F.lit(1)).cast("int")
     rows = rows.withColumn("of", count)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("chunk"))
     part = F.substring("html", F.col("chunk") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS))
     data = F.when(F.col("of") == 1, F.col("html")).otherwise(part).cast("binary")
-    return rows.select("record_id", "digest", "chunk", "of", data.alias("data"))
+    return rows.select("record_id", "digest", "url", "bytes", "row", "chunk", "of", data.alias("data"))
 
 
 # --- writing --------------------------------------------------------------------------
@@ -149,15 +159,19 @@ class _Archive:
 
 
 def _written(folder: str):
-    """Write sorted chunk rows; a row per archive comes back."""
+    """Write sorted rows, a decision before the chunks of its records; a row per archive comes back."""
 
     def run(batches):
         attempt = uuid.uuid4().hex
         part = TaskContext.get().partitionId()
-        archive, number, done = None, 0, []
+        archive, number, done, decision = None, 0, [], {}
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                if row["chunk"] < 0:
+                    decision = {"type": row["type"], "refers_to": row["refers_to"]}
+                    continue
+                row |= decision
                 if row["chunk"] == 0:
                     if archive and archive.size >= ARCHIVE_BYTES:
                         done.append(archive.close())
@@ -166,7 +180,7 @@ def _written(folder: str):
                         archive = _Archive(folder, f"part-{part:06d}-{attempt}-{number:04d}.warc.gz")
                         number += 1
                     archive.begin(_head(row))
-                if row["data"] is not None:
+                if row["type"] == "response":
                     archive.append(row["data"])
                 if row["chunk"] == row["of"] - 1:
                     archive.end()
@@ -191,26 +205,15 @@ def write_archives(
     """Write the pages as archives below `folder` and return the manifest, which is stored.
 
     The manifest has `(path, records, size)` per archive. `folder` must be a place that all
-    executors share. Revisits carry no payload, so only response payloads are shuffled.
+    executors share. Payloads are shuffled once, with the decision on each record.
     """
     headers = records(pages, id_column, url_column, html_column, min_revisit)
-    data = chunks(pages, id_column, html_column)
-    # Repeated rows give equal headers, and as many payloads as headers: both are numbered.
-    once = headers.groupBy("record_id", "url", "bytes", "digest", "type", "refers_to").agg(
-        F.count("*").alias("copies")
-    )
-    whole = once.where("type = 'response'")
-    kept = data.dropDuplicates(["record_id", "digest", "chunk"])
-    joined = whole.join(
-        kept.withColumnsRenamed({"record_id": "r", "digest": "d"}),
-        F.col("record_id").eqNullSafe(F.col("r")) & (F.col("digest") == F.col("d")),
-    ).drop("r", "d")
-    revisits = once.where("type = 'revisit'").select(
-        *once.columns, F.lit(0).alias("chunk"), F.lit(1).alias("of"), F.lit(None).cast("binary").alias("data")
+    decisions = headers.select("record_id", "digest", "type", "refers_to").distinct()
+    rows = chunks(pages, id_column, url_column, html_column).unionByName(
+        decisions.withColumn("chunk", F.lit(-1)), allowMissingColumns=True
     )
-    rows = joined.unionByName(revisits)
-    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).drop("copies")
-    order = ["record_id", "digest", "url", "copy", "chunk"]
+    # NULL comes before all row numbers, so a decision is read before its chunks.
+    order = ["record_id", "digest", "row", "chunk"]
     rows = bounded_batches(rows.repartition("record_id", "digest").sortWithinPartitions(*order))
     return stored(rows.mapInArrow(_written(folder), "path string, records bigint, size bigint"), "manifest")
 
@@ -329,8 +332,9 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
                 if out:
                     yield batch_of(out)
 
-    rows = manifest.select("path").repartition("path")
-    return rows.mapInArrow(run, READ)
+    # A number of partitions that is asked for is not merged: an archive is a task of its own.
+    paths = manifest.select("path")
+    return paths.repartition(max(1, min(paths.count(), MOST_TASKS))).mapInArrow(run, READ)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
