@@ -60,6 +60,29 @@ def _(spark, folder):
     return flat(chunks, "gene_symbol", "qtl_count", "max_lod", "chromosomes", "gene_type")
 
 
+@query(
+    "chunk_by_gene_parts",
+    S.over_peaks(
+        f"""SELECT concat('gene_', gene_symbol, CASE WHEN part > 1 THEN concat('_part_', part) ELSE '' END) AS id,
+ concat('QTL findings for gene ', gene_symbol, E':\\n\\n', txt) AS content, gene_symbol, n AS qtl_count, max_lod,
+ coalesce(chromosomes, '') AS chromosomes, gene_type, part, CAST((n + 4) // 5 AS BIGINT) AS parts, raw_ids
+ FROM (SELECT gene_symbol, part, string_agg(line, E'\\n\\n' ORDER BY row_id) AS txt, {S.raw_ids('row_id')}
+  FROM (SELECT *, CAST((row_number() OVER (PARTITION BY gene_symbol ORDER BY row_id) - 1) // 5 + 1 AS BIGINT) AS part
+   FROM lines WHERE gene_symbol IS NOT NULL) GROUP BY 1, 2)
+ JOIN (SELECT gene_symbol, count(*) AS n, max(qtl_lod) AS max_lod, arg_min(gene_type, row_id) AS gene_type
+  FROM lines WHERE gene_symbol IS NOT NULL GROUP BY 1) USING (gene_symbol)
+ LEFT JOIN chromosomes USING (gene_symbol)""",
+        S.LINES_CTE,
+        S.names("gene_symbol", "qtl_chr", "row_id", "lines", "chromosomes"),
+    ),
+)
+def _(spark, folder):
+    chunks = chunkers.chunk_by_gene(peaks(spark, folder), max_records=5)
+    return flat(
+        chunks, "gene_symbol", "qtl_count", "max_lod", "chromosomes", "gene_type", "part", "parts"
+    )
+
+
 _CHR_SQL = S.over_peaks("SELECT * FROM chunks", *S.CHROMOSOME_CHUNKS)
 _CHR_FIELDS = ["chromosome", "qtl_count", "position_range", "max_lod", "genes"]
 
@@ -159,6 +182,34 @@ def _(spark, folder):
     return flat(chunks, *fields).withColumn("avg_lod", F.round("avg_lod", 6))
 
 
+@query(
+    "chunk_by_gene_pathways_parts",
+    S.over_peaks(
+        f"""SELECT concat('gene_set_', set_no, CASE WHEN part > 1 THEN concat('_part_', part) ELSE '' END) AS id,
+ concat('Gene set ', set_no, ': ', gene_count, ' genes with ', n, E' QTLs\\nGenes: ', shown, E'\\n\\nQTL Details:\\n', txt) AS content,
+ n AS qtl_count, max_lod, coalesce(chromosomes, '') AS chromosomes, round(mean, 6) AS avg_lod, part,
+ CAST((n + 49) // 50 AS BIGINT) AS parts, raw_ids
+ FROM (SELECT set_no, part, string_agg(line, E'\\n' ORDER BY qtl_lod DESC NULLS LAST, row_id) AS txt, {S.raw_ids('row_id')}
+  FROM (SELECT *, CAST((row_number() OVER (PARTITION BY set_no ORDER BY qtl_lod DESC NULLS LAST, row_id) - 1) // 50 + 1 AS BIGINT)
+   AS part FROM members) GROUP BY 1, 2)
+ JOIN (SELECT set_no, count(*) AS n, max(qtl_lod) AS max_lod, avg(qtl_lod) AS mean FROM members GROUP BY 1) USING (set_no)
+ JOIN (SELECT set_no, count(*) AS gene_count,
+  string_agg(gene_symbol, ', ' ORDER BY ordinal) FILTER (ordinal % 20 < 10) || CASE WHEN count(*) > 10 THEN '...' ELSE '' END AS shown
+  FROM sets GROUP BY 1) USING (set_no) LEFT JOIN chromosomes USING (set_no)""",
+        S.LINES_CTE,
+        """sets AS (SELECT gene_symbol, ordinal, ordinal // 20 + 1 AS set_no FROM
+ (SELECT gene_symbol, row_number() OVER (ORDER BY min(row_id)) - 1 AS ordinal FROM peaks
+  WHERE gene_symbol IS NOT NULL GROUP BY 1))""",
+        "members AS (SELECT * FROM lines JOIN sets USING (gene_symbol))",
+        S.names("set_no", "qtl_chr", "row_id", "members", "chromosomes"),
+    ),
+)
+def _(spark, folder):
+    chunks = chunkers.chunk_by_gene_pathways(peaks(spark, folder), max_records=50)
+    fields = ["qtl_count", "max_lod", "chromosomes", "avg_lod", "part", "parts"]
+    return flat(chunks, *fields).withColumn("avg_lod", F.round("avg_lod", 6))
+
+
 def top_chunks() -> tuple[str, ...]:
     """CTEs `top_body` over peaks: the chunks of the top 200 records."""
     return (

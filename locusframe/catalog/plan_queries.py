@@ -298,6 +298,7 @@ _ANSWERS = (
   CASE WHEN lim IS NULL THEN '' ELSE concat(' with LOD > ', {_shown('lim')}) END, E':\\n') FROM grouped
  UNION ALL SELECT query_id, 'group', n, line FROM asked a JOIN matched m ON m.chr = a.chr AND m.lim IS NOT DISTINCT FROM a.lim AND n <= 10
  UNION ALL SELECT query_id, 'group', 11, concat(E'\\n... and ', total - 10, ' more results.') FROM grouped WHERE total > 10
+ UNION ALL SELECT query_id, 'group', 0, '' FROM routed WHERE intent = 'group' AND number IS NULL
  UNION ALL SELECT query_id, 'pvalue', 0, concat('Found ', total, ' genes with p-values < ', {S.js_text_of('lim')}, E':\\n') FROM pgrouped
  UNION ALL SELECT query_id, 'pvalue', n, line FROM pasked JOIN pmatched USING (lim) WHERE n <= 10
  UNION ALL SELECT query_id, 'pvalue', 11, concat(E'\\n... and ', total - 10, ' more results.') FROM pgrouped WHERE total > 10
@@ -315,10 +316,23 @@ def _(spark, folder):
     S.with_(
         *_ANSWERS,
         body="""SELECT query_id, intent, CAST(1 AS BIGINT) AS part, concat(txt,
- CASE WHEN intent = 'help' OR (intent IN ('group', 'pvalue') AND last = 11) THEN '' ELSE E'\\n' END) AS answer
+ CASE WHEN txt = '' OR intent = 'help' OR (intent IN ('group', 'pvalue') AND last = 11) THEN '' ELSE E'\\n' END) AS answer
  FROM (SELECT query_id, intent, string_agg(line, E'\\n' ORDER BY line_no) AS txt, max(line_no) AS last
   FROM answers GROUP BY 1, 2)""",
     ),
 )
 def _(spark, folder):
     return answer_texts(answer_by_rules(peaks(spark, folder), questions(spark, folder)))
+
+
+@query(
+    "answer_texts_parts",
+    S.with_(
+        *_ANSWERS,
+        body="""SELECT query_id, intent, CAST(line_no // 4 + 1 AS BIGINT) AS part, concat(string_agg(line, E'\\n' ORDER BY line_no),
+ CASE WHEN max(line) = '' OR intent = 'help' OR (intent IN ('group', 'pvalue') AND max(line_no) = 11) THEN '' ELSE E'\\n' END) AS answer
+ FROM answers GROUP BY 1, 2, 3""",
+    ),
+)
+def _(spark, folder):
+    return answer_texts(answer_by_rules(peaks(spark, folder), questions(spark, folder)), 4)

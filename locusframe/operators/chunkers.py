@@ -23,7 +23,8 @@ from locusframe.operators.ranking import (
 from locusframe.schema import DEFAULT_SPEC, RecordSpec, metadata
 from locusframe.storage import broadcast_small, stored
 
-# A chunk is one row, so a group with more records is continued in further chunks.
+# A chunk is one row, so a group with more records is continued in further chunks. Every part
+# carries the figures of the whole group.
 MAX_RECORDS_PER_CHUNK = 10_000
 
 
@@ -80,17 +81,40 @@ def _continued(id: Column) -> Column:
     return F.concat(id, F.when(F.col("block") > 1, suffix).otherwise(""))
 
 
-def _parts(
-    df: DataFrame, order: list[Column], by: str, max_records: int, rows_per_task: int
-) -> DataFrame:
-    """Give every row of a group its `block` of at most `max_records` rows in `order`.
+def _figures(records: DataFrame, by: str, spec: RecordSpec) -> dict[str, Column]:
+    """Aggregates that describe a group of records."""
+    has_category = spec.category in records.columns
+    return {
+        "rows": F.count("*"),
+        "max_score": F.max(spec.score),
+        "mean_score": F.avg(spec.score),
+        "category": F.min_by(spec.category, spec.row_id) if has_category else F.lit("Unknown"),
+    }
 
-    Groups are ranked only when one of them is too long for a single chunk. The rows of
-    a block come together before their texts are made, which are longer than the rows.
-    """
-    if largest_group(df, [by]) > max_records:
-        return blocks_in_order(df, order, max_records, [by], rows_per_task)
-    return df.withColumn("block", F.lit(1).cast("bigint")).repartition(by)
+
+def _with_figures(
+    df: DataFrame, texts: list[Column], by: str, order: list[Column], max_records: int,
+    spec: RecordSpec, rows_per_task: int,
+) -> DataFrame:
+    """Texts per part of a group, each part with the figures of its whole group.
+
+    `df` has the line of every record. The figures come with the texts while every group is
+    one part; otherwise they are aggregated on their own and joined to the parts.
+    """
+    figures = [value.alias(name) for name, value in _figures(df, by, spec).items()]
+    groups = F.array_distinct(_names(spec.row_id, spec.group)).alias("groups")
+    if largest_group(df, [by]) <= max_records:
+        rows = df.repartition(by).groupBy(by).agg(*texts, *figures, groups)
+        return rows.select("*", F.lit(1).alias("block"), F.lit(1).alias("parts"))
+    parts = blocks_in_order(df, order, max_records, [by], rows_per_task).groupBy(by, "block").agg(*texts)
+    # The groups of a record set are few; their first places give their order.
+    first = df.filter(F.col(spec.group).isNotNull()).groupBy(by, spec.group).agg(
+        F.min(spec.row_id).alias("_first")
+    )
+    seen = first.groupBy(by).agg(_in_order("_first", F.col(spec.group)).alias("groups"))
+    whole = df.groupBy(by).agg(*figures).join(seen, by, "left")
+    whole = whole.withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
+    return parts.join(whole, by).withColumn("parts", F.ceil(F.col("rows") / max_records))
 
 
 def chunk_by_row(
@@ -124,24 +148,17 @@ def chunk_by_gene(
     """One chunk per entity with its records in row order.
 
     An entity with more than `max_records` records continues in chunks whose ids end in
-    `_part_2`, `_part_3`, ...; each describes its own records.
+    `_part_2`, `_part_3`, ...; `metadata` has `part` and `parts`, and in every part the figures
+    of the whole entity.
     """
     columns = records.columns
     named = records.filter(F.col(spec.entity).isNotNull())
-    rows = _parts(named, [F.col(spec.row_id)], spec.entity, max_records, rows_per_task)
-    has_category = spec.category in columns
-    category = F.min_by(spec.category, spec.row_id) if has_category else F.lit("Unknown")
-    chunks = (
-        rows.withColumn("_line", format_record(columns, spec))
-        .groupBy(spec.entity, "block")
-        .agg(
-            _in_order(spec.row_id, F.col("_line")).alias("lines"),
-            F.count("*").alias("rows"),
-            F.max(spec.score).alias("max_score"),
-            F.array_distinct(_names(spec.row_id, spec.group)).alias("groups"),
-            category.alias("category"),
-            *_raw(columns, spec.row_id, include_raw),
-        )
+    texts = [
+        _in_order(spec.row_id, format_record(columns, spec)).alias("lines"),
+        *_raw(columns, spec.row_id, include_raw),
+    ]
+    chunks = _with_figures(
+        named, texts, spec.entity, [F.col(spec.row_id)], max_records, spec, rows_per_task
     )
     entity = F.col(spec.entity)
     content = F.concat(
@@ -153,6 +170,8 @@ def chunk_by_gene(
         max_lod=F.col("max_score"),
         chromosomes=F.col("groups"),
         gene_type=F.col("category"),
+        part=F.col("block"),
+        parts=F.col("parts"),
     )
     id = _continued(F.concat(F.lit("gene_"), entity))
     return chunks.select(*_chunk(id, "gene_group", content, meta, include_raw))
@@ -338,7 +357,7 @@ def chunk_by_gene_pathways(
     """Sets of entities in order of first appearance, with their records by score.
 
     A set with more than `max_records` records continues in further chunks, as in
-    `chunk_by_gene`.
+    `chunk_by_gene`; the text and the figures of every part are about the whole set.
     """
     columns = records.columns
     members = stored(entity_sets(records, genes_per_chunk, spec, rows_per_task), "sets")
@@ -347,20 +366,13 @@ def chunk_by_gene_pathways(
     )
     of_set = records.join(broadcast_small(members.select(spec.entity, "set_no")), spec.entity)
     score_order = [F.desc_nulls_last(spec.score), F.asc(spec.row_id)]
-    rows = _parts(of_set, score_order, "set_no", max_records, rows_per_task)
-    chunks = (
-        rows.withColumn("_line", format_record(columns, spec))
-        .groupBy("set_no", "block")
-        .agg(
-            _by_score(spec.score, spec.row_id, "_line")["v"].alias("lines"),
-            F.count("*").alias("rows"),
-            F.max(spec.score).alias("max_score"),
-            F.avg(spec.score).alias("mean_score"),
-            F.array_distinct(_names(spec.row_id, spec.group)).alias("groups"),
-            *_raw(columns, spec.row_id, include_raw),
-        )
-        .join(sets, "set_no")
-    )
+    lined = of_set.withColumn("_line", format_record(columns, spec))
+    texts = [
+        _by_score(spec.score, spec.row_id, "_line")["v"].alias("lines"),
+        *_raw(columns, spec.row_id, include_raw),
+    ]
+    chunks = _with_figures(lined, texts, "set_no", score_order, max_records, spec, rows_per_task)
+    chunks = chunks.join(sets, "set_no")
     number = F.col("set_no").cast("string")
     content = F.concat(
         F.lit("Gene set "),
@@ -381,6 +393,8 @@ def chunk_by_gene_pathways(
         max_lod=F.col("max_score"),
         chromosomes=F.col("groups"),
         avg_lod=F.col("mean_score"),
+        part=F.col("block"),
+        parts=F.col("parts"),
     )
     id = _continued(F.concat(F.lit("gene_set_"), number))
     return chunks.select(*_chunk(id, "gene_set", content, meta, include_raw))

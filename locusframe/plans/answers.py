@@ -122,7 +122,9 @@ def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
         ).otherwise(""),
         F.lit(":\n"),
     )
-    return _listing(totals, numbered.join(first, keys), header)
+    # A question that names no group has an empty answer.
+    unknown = asked.filter(F.col("number").isNull()).select("query_id", "intent", *_line(0, ""))
+    return _listing(totals, numbered.join(first, keys), header).union(unknown)
 
 
 def _pvalue(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -238,7 +240,7 @@ def answer_by_rules(
 ) -> DataFrame:
     """Lines of the answer to every question: `query_id, intent, line_no, line`.
 
-    A question about a group that names no number has no lines.
+    A question about a group that names no number has one empty line.
     """
     # Every kind of answer reads the routed questions.
     routed = stored(routed_questions(questions, literal), "routed")
@@ -260,18 +262,20 @@ def answer_by_rules(
 def answer_texts(lines: DataFrame, lines_per_part: int = 10_000) -> DataFrame:
     """Answers as text: `query_id, intent, part, answer`.
 
-    A list of more than `lines_per_part` lines continues in further parts.
+    Every question has a part, and an empty answer if it has no lines but an empty one. A list
+    of more than `lines_per_part` lines continues in further parts.
     """
     part = F.floor(F.col("line_no") / lines_per_part) + 1
     texts = F.sort_array(F.collect_list(F.struct("line_no", "line")))["line"]
     last = F.element_at(F.col("texts"), -1)
+    empty = (F.size("texts") == 1) & (last == "")
     open_end = ~last.startswith("\n... and ") & (F.col("intent") != "help")
     return (
         lines.groupBy("query_id", "intent", part.alias("part"))
         .agg(texts.alias("texts"))
         .withColumn(
             "answer",
-            F.concat(F.array_join("texts", "\n"), F.when(open_end, "\n").otherwise("")),
+            F.concat(F.array_join("texts", "\n"), F.when(open_end & ~empty, "\n").otherwise("")),
         )
         .drop("texts")
     )

@@ -73,6 +73,8 @@ METADATA = T.StructType(
         T.StructField("lod_range", _NUMBERS),
         T.StructField("rank_start", T.LongType()),
         T.StructField("rank_end", T.LongType()),
+        T.StructField("part", T.LongType()),
+        T.StructField("parts", T.LongType()),
     ]
 )
 

@@ -93,6 +93,7 @@ def test_answers(spark, make_records):
     assert texts == {
         0: "Here are the top 3 QTLs with highest LOD scores:\n\n" + top,
         1: "Found 1 QTLs on chromosome 1 with LOD > 3:\n\n• i1: LOD=9.13, Position=2, P-value=0.00e+0\n",
+        2: "",
         3: "Found 0 QTLs on chromosome 7:\n\n",
         4: "Found 2 genes with p-values < 0.05:\n\n• a: P-value=4.00e-4, LOD=3.00 (Chr 1)\n"
         "• b: P-value=4.00e-2, LOD=0.00 (Chr X)\n",
