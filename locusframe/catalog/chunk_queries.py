@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from locusframe.catalog import sql as S
 from locusframe.catalog.inputs import peaks
@@ -304,6 +305,47 @@ def _(spark, folder):
     return flat(json_chunks.read_chunks_json(spark, path, df.schema), *_CHR_FIELDS)
 
 
+def _array_file(spark, folder) -> DataFrame:
+    """Row and gene chunks of one array file, the first with an object as raw data."""
+    df = peaks(spark, folder)
+    single = chunkers.chunk_by_row(df).select("id", "type", "content", "metadata", F.get("raw_data", F.lit(0)).alias("raw"))
+    groups = chunkers.chunk_by_gene(df).select("id", "type", "content", "metadata", F.col("raw_data").alias("raw"))
+
+    def line(chunks: DataFrame) -> DataFrame:
+        given = F.struct("id", "type", "content", "metadata", F.col("raw").alias("raw_data"))
+        text = F.to_json(given, {"ignoreNullFields": "false"})
+        return chunks.select(F.regexp_replace(text, '"qtl_lod":null', '"qtl_lod":NaN').alias("value"))
+
+    lines = line(single).union(line(groups)).withColumn("n", F.monotonically_increasing_id())
+    # The file begins with "[", and every line but the first with a comma.
+    mark = F.when(F.row_number().over(Window.orderBy("n")) == 1, "[").otherwise(",")
+    body = lines.select("n", F.concat(mark, F.col("value")).alias("value"))
+    end = spark.range(1).select(F.lit((1 << 62)).alias("n"), F.lit("]").alias("value"))
+    path = new_path(spark, "array")
+    body.union(end).orderBy("n").coalesce(1).select("value").write.text(path)
+    return json_chunks.read_chunks_json(spark, path, df.schema, array_file=True)
+
+
+@query(
+    "read_chunk_array_file",
+    S.over_peaks(
+        """SELECT concat('qtl_', row_id) AS id, qtl_lod, CAST(NULL AS BIGINT) AS qtl_count, CAST(row_id AS VARCHAR) AS raw_ids FROM peaks
+ UNION ALL SELECT concat('gene_', gene_symbol), NULL, count(*), string_agg(CAST(row_id AS VARCHAR), ' ' ORDER BY row_id)
+ FROM peaks WHERE gene_symbol IS NOT NULL GROUP BY gene_symbol"""
+    ),
+)
+def _(spark, folder):
+    return flat(_array_file(spark, folder), "qtl_lod", "qtl_count").drop("content")
+
+
+@query(
+    "row_chunk_stats_array_file",
+    S.over_peaks("SELECT count(*) AS chunks, min(qtl_lod) AS min_lod, max(qtl_lod) AS max_lod FROM peaks"),
+)
+def _(spark, folder):
+    return stats.row_chunk_stats(_array_file(spark, folder).where("type = 'single_qtl'"))
+
+
 @query("read_chunk_contents", S.over_peaks("SELECT content FROM chunks", *S.CHROMOSOME_CHUNKS))
 def _(spark, folder):
     df = peaks(spark, folder)

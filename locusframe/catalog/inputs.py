@@ -96,12 +96,3 @@ def benchmark(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question")
     )
-
-
-def embed_tasks(spark: SparkSession, folder: str, source: str) -> int | None:
-    """Tasks to embed a table with: every core for a small one, which has few splits.
-
-    A large table is left as it is split.
-    """
-    small = table(spark, folder, source).count() < 1_000_000
-    return spark.sparkContext.defaultParallelism if small else None

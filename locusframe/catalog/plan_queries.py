@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.catalog import sql as S
-from locusframe.catalog.inputs import embed_tasks, peaks, questions
+from locusframe.catalog.inputs import peaks, questions
 from locusframe.catalog.registry import query
 from locusframe.functions import parsing
 from locusframe.operators import chunkers, embed, search
@@ -65,8 +65,7 @@ def _corpus(spark, folder) -> DataFrame:
     """Embedded chunks, stored once as in a real build."""
     chunks = chunkers.chunk_by_chromosome(peaks(spark, folder), include_raw=False)
     path = new_path(spark, "vectors")
-    tasks = embed_tasks(spark, folder, "events")
-    write_vectors(embed.embed_chunks(chunks, tasks=tasks), path, "hashing")
+    write_vectors(embed.embed_chunks(chunks), path, "hashing")
     return read_vectors(spark, path)
 
 
@@ -124,8 +123,8 @@ def _collection_context(k: int) -> tuple[str, ...]:
 
 def _chunk_collection(spark, folder) -> DataFrame:
     chunks = chunkers.chunk_by_chromosome(peaks(spark, folder), include_raw=False)
-    root, tasks = new_path(spark, "collections"), embed_tasks(spark, folder, "events")
-    return create_collection(chunks, [F.col("id")], root, "chunks", tasks=tasks)
+    root = new_path(spark, "collections")
+    return create_collection(chunks, [F.col("id")], root, "chunks")
 
 
 @query(

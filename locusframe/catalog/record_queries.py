@@ -44,6 +44,25 @@ def _(spark, folder):
     return rejected.select("row_id", "gene_id", "parse_error")
 
 
+@query(
+    "read_records_quoted",
+    S.over_peaks(
+        """SELECT row_id, concat('a "', gene_symbol, '", ', qtl_chr) AS gene_symbol, gene_id,
+ concat('"', gene_type, '"') AS gene_type, qtl_lod FROM peaks WHERE gene_symbol IS NOT NULL
+ UNION ALL SELECT row_id, NULL, gene_id, concat('"', gene_type, '"'), qtl_lod FROM peaks WHERE gene_symbol IS NULL"""
+    ),
+)
+def _(spark, folder):
+    symbol = F.concat(F.lit('a "'), F.col("gene_symbol"), F.lit('", '), F.col("qtl_chr"))
+    quoted = peaks(spark, folder).withColumns(
+        {"gene_symbol": symbol, "gene_type": F.concat(F.lit('"'), F.col("gene_type"), F.lit('"'))}
+    )
+    path = new_path(spark, "quoted")
+    quoted.sort("row_id").drop("row_id").write.csv(path, header=True, escape='"')
+    rows = read_records_csv(spark, path)
+    return rows.select("row_id", "gene_symbol", "gene_id", "gene_type", "qtl_lod")
+
+
 @query("row_ids", S.over_peaks("SELECT row_id, gene_id, qtl_pos FROM peaks"))
 def _(spark, folder):
     rows = read_records_csv(spark, _csv(peaks(spark, folder), "csv"))

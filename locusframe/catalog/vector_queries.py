@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.catalog import sql as S
-from locusframe.catalog.inputs import SAMPLE_QUESTIONS, benchmark, embed_tasks, peaks, table
+from locusframe.catalog.inputs import SAMPLE_QUESTIONS, benchmark, peaks, table
 from locusframe.catalog.registry import query
 from locusframe.functions import vectors as V
 from locusframe.functions.text import rule_line
@@ -22,8 +22,7 @@ def documents(spark, folder) -> DataFrame:
 
 
 def embedded_documents(spark, folder, **options) -> DataFrame:
-    tasks = embed_tasks(spark, folder, "documents")
-    return embed.embed_text(documents(spark, folder), "content", tasks=tasks, **options)
+    return embed.embed_text(documents(spark, folder), "content", **options)
 
 
 def checksum(vector: Column) -> Column:
@@ -261,7 +260,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     chunks = chunkers.chunk_by_chromosome(peaks(spark, folder), include_raw=False)
-    corpus = embed.embed_chunks(chunks, tasks=embed_tasks(spark, folder, "events"))
+    corpus = embed.embed_chunks(chunks)
     asked = embed.embed_queries(benchmark(spark, folder))
     found = search.cosine_search(corpus, asked, 3, corpus_id="id")
     return search.search_result_card(found).select("query_id", "rank", "card")
@@ -305,7 +304,7 @@ def _(spark, folder):
 @query("collection_query_l2", _L2)
 def _(spark, folder):
     asked = embed.embed_queries(benchmark(spark, folder))
-    found = search.collection_query(_created(spark, folder, metric="l2"), asked, metric="l2")
+    found = search.collection_query(_created(spark, folder, metric="l2"), asked)
     return found.select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
 
 
@@ -357,6 +356,27 @@ def _(spark, folder):
     )
 
 
+@query(
+    "query_result_listing",
+    S.with_(
+        *_BENCHMARK_HITS,
+        _TEXT_HITS,
+        body="""SELECT query_id, rank, substr(text, 1, 200) || '...' AS preview, CAST(10 AS INT) AS cells,
+ printf('%.5f %.5f', coalesce(a.x, 0), coalesce(b.x, 0)) AS dimensions
+ FROM hits JOIN documents ON CAST(doc_id AS VARCHAR) = chunk_id LEFT JOIN dvec a ON a.key = doc_id AND a.b = 0
+ LEFT JOIN dvec b ON b.key = doc_id AND b.b = 9""",
+    ),
+)
+def _(spark, folder):
+    asked = embed.embed_queries(benchmark(spark, folder))
+    found = search.collection_query(_created(spark, folder), asked, with_embedding=True)
+    cells = [F.col("first_dimensions")[i].cast("double") for i in (0, 9)]
+    return search.query_result_listing(found).select(
+        "query_id", "rank", "preview", F.size("first_dimensions").alias("cells"),
+        F.format_string("%.5f %.5f", *cells).alias("dimensions"),
+    )
+
+
 @query(
     "write_vectors",
     "SELECT count(*) AS vectors, CAST(256 AS BIGINT) AS dimension FROM documents",
@@ -390,7 +410,6 @@ def _created(spark, folder, **options) -> DataFrame:
         [F.col("id")],
         new_path(spark, "collections"),
         "documents",
-        tasks=embed_tasks(spark, folder, "documents"),
         **options,
     )
 
@@ -415,9 +434,8 @@ def _(spark, folder):
 )
 def _(spark, folder):
     root = new_path(spark, "collections")
-    tasks = embed_tasks(spark, folder, "documents")
     collections.create_collection(
-        documents(spark, folder), [F.col("id")], root, "documents", tasks=tasks
+        documents(spark, folder), [F.col("id")], root, "documents"
     )
 
     def count(name: str) -> DataFrame:

@@ -10,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,32 +29,33 @@ def hashing_embedder(dimension: int = 256, **_) -> Embedder:
     """
     import hashlib
 
-    blanks = str.maketrans(dict.fromkeys("\t\n\r\f", " "))
+    known: dict[str, int] = {}
 
-    class Cells(dict):
-        """Token to 2 * cell + sign bit, forgotten when the vocabulary grows too big."""
-
-        def __missing__(self, token):
+    def code(token: str) -> int:
+        """2 * cell + sign bit of a token."""
+        found = known.get(token)
+        if found is None:
             digest = hashlib.md5(token.encode()).hexdigest()
-            code = 2 * (int(digest[:8], 16) % dimension) + (digest[8] >= "8")
-            if len(self) >= 1 << 20:
-                self.clear()
-                self[""] = 2 * dimension
-            self[token] = code
-            return code
-
-    cells = Cells()
-    # Repeated blanks give empty tokens, which count in a cell past the vector.
-    nowhere = 2 * dimension
+            found = 2 * (int(digest[:8], 16) % dimension) + (digest[8] >= "8")
+            if len(known) >= 1 << 20:
+                known.clear()
+            known[token] = found
+        return found
 
     def embed(texts):
-        vectors = np.zeros((len(texts), dimension))
-        for row, text in zip(vectors, texts):
-            cells[""] = nowhere
-            tokens = text.translate(blanks).split(" ")
-            codes = np.fromiter(map(cells.__getitem__, tokens), "int64", len(tokens))
-            counts = np.bincount(codes, minlength=nowhere)[:nowhere]
-            row[:] = counts[0::2] - counts[1::2]
+        rows = pa.array(texts, pa.large_string())
+        tokens = pc.split_pattern_regex(rows, "[ \t\n\r\f]+")
+        owners = pc.list_parent_indices(tokens).to_numpy()
+        coded = pc.dictionary_encode(pc.list_flatten(tokens))
+        # Leading and trailing blanks give empty tokens, which count in no cell.
+        words = coded.dictionary.to_pylist()
+        codes = np.fromiter((code(w) if w else -1 for w in words), "int64", len(words))
+        codes = codes[coded.indices.to_numpy()] if len(words) else np.zeros(0, "int64")
+        real = codes >= 0
+        places = owners[real] * (2 * dimension) + codes[real]
+        counts = np.bincount(places, minlength=len(texts) * 2 * dimension)
+        counts = counts.reshape(len(texts), dimension, 2)
+        vectors = (counts[:, :, 0] - counts[:, :, 1]).astype("float64")
         norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         return np.divide(vectors, norms, out=vectors, where=norms > 0).astype("float32")
 
@@ -96,15 +98,18 @@ def embed_text(
 ) -> DataFrame:
     """Add `embedding` and `embed_error`.
 
-    `tasks` spreads the texts over that many tasks first: more than the input has splits
-    for a small table and a slow model, fewer to limit the calls to a shared service.
+    The texts are spread evenly over `tasks` tasks first, because a model costs more than a
+    shuffle; without a number, over as many as a shuffle has, or all cores if they are more.
 
     A text the embedder fails on, and a NULL text, has a NULL embedding and the reason in
     `embed_error`; the other texts of its batch are embedded one by one.
     """
     factory = embedder_factory(method)
-    if tasks is not None:
-        df = df.repartition(tasks)
+    if tasks is None:
+        session = df.sparkSession
+        shuffled = int(session.conf.get("spark.sql.shuffle.partitions"))
+        tasks = max(shuffled, session.sparkContext.defaultParallelism)
+    df = df.repartition(tasks)
     settings = {"task_type": task_type, "title": title, **options}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -145,14 +145,19 @@ def head_per_group(
 def stride_sample(
     df: DataFrame, n: int = 10, literal: bool = False, spec: RecordSpec = DEFAULT_SPEC
 ) -> DataFrame:
-    """n rows spread evenly over a table whose row ids are dense from 0.
+    """n rows spread evenly over a table in the order of its row ids, which may have gaps.
 
-    `literal=True` keeps the original loop bound, which stops at row n.
+    Only the row ids are put in order. `literal=True` keeps the original loop bound, which
+    stops at row n.
     """
-    stride = max(df.count() // n, 1)
+    ids = df.select(spec.row_id)
+    stride = max(ids.count() // n, 1)
     end = n if literal else n * stride
-    row = F.col(spec.row_id)
-    return df.filter((row < end) & (row % stride == 0))
+    place = F.col("_place")
+    placed = position_in_order(ids, [F.col(spec.row_id)], name="_place")
+    chosen = placed.filter((place < end) & (place % stride == 0)).select(spec.row_id)
+    # At most n of them.
+    return df.join(F.broadcast(chosen), spec.row_id, "left_semi")
 
 
 def top_plus_sample(df: DataFrame, n: int = 10, spec: RecordSpec = DEFAULT_SPEC) -> DataFrame:

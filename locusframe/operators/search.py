@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,12 +35,15 @@ SCORE_DECIMALS = 9
 METRICS = ("cosine", "l2")
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Equally long vectors of an Arrow list column as a double matrix."""
+def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Vectors of an Arrow list column as a double matrix; all must be `width` cells long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if len(column) == 0:
-        return np.zeros((0, 0))
+        return np.zeros((0, width))
+    lengths = pc.list_value_length(column)
+    if pc.min(lengths).as_py() != width or pc.max(lengths).as_py() != width:
+        raise ValueError(f"vectors of {pc.min(lengths)} to {pc.max(lengths)} cells meet vectors of {width}")
     values = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
     return values.reshape(len(column), -1)
 
@@ -142,14 +146,16 @@ def nearest(
 ) -> DataFrame:
     """The k best corpus vectors of every query: `query_id, rank, chunk_id, score`.
 
-    Both sides carry an `embedding` column; rows without one take no part. `score` is the
+    Both sides carry an `embedding` column; rows without one, or with a NULL or NaN cell, take
+    no part. Vectors of different lengths are an error. `score` is the
     cosine similarity, or minus the squared distance for "l2"; it is NULL, and last, for
     a vector of length zero. Equal scores rank by corpus id.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     vector = F.col("embedding").cast("array<float>").alias("embedding")
-    known = F.col("embedding").isNotNull()
+    holes = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    known = F.col("embedding").isNotNull() & ~holes
     corpus = corpus.filter(known).select(F.col(corpus_id).alias("chunk_id"), vector)
     queries = queries.filter(known).select(F.col(query_id).alias("query_id"), vector)
     query_kind, query_type = _id_field(queries, "query_id")
@@ -161,14 +167,19 @@ def nearest(
     # Embedding a query may be costly, so it happens once, before the queries are measured.
     queries = stored(queries, "queries")
     bytes_ = F.coalesce(F.sum(F.size("embedding") * 4 + 32), F.lit(0))
-    size = queries.agg(bytes_).first()[0]
+    size, least, width = queries.agg(
+        bytes_, F.min(F.size("embedding")), F.max(F.size("embedding"))
+    ).first()
+    if least != width:
+        raise ValueError(f"the queries have vectors of {least} to {width} cells")
+    width = width or 0
     if size <= query_bytes:
-        candidates = _nearest_broadcast(corpus, queries, k, metric, schema, result)
+        candidates = _nearest_broadcast(corpus, queries, k, metric, schema, result, width)
     else:
         stripes = -(-corpus.agg(bytes_).first()[0] // cell_bytes) or 1
         blocks = -(-size // query_bytes)
         candidates = _nearest_grid(
-            corpus, queries, k, metric, schema, result, int(stripes), int(blocks)
+            corpus, queries, k, metric, schema, result, int(stripes), int(blocks), width
         )
     return rank_results(candidates, k)
 
@@ -180,11 +191,11 @@ def rank_results(candidates: DataFrame, k: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _nearest_broadcast(corpus, queries, k, metric, schema, result) -> DataFrame:
+def _nearest_broadcast(corpus, queries, k, metric, schema, result, width) -> DataFrame:
     """Map-only over the corpus; the query block has been measured to be small."""
     block = queries.toArrow()
     shared = corpus.sparkSession.sparkContext.broadcast(
-        (_ids(block["query_id"]), _matrix(block["embedding"]))
+        (_ids(block["query_id"]), _matrix(block["embedding"], width))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,13 +205,13 @@ def _nearest_broadcast(corpus, queries, k, metric, schema, result) -> DataFrame:
         best = _Running(matrix, k, metric)
         for batch in batches:
             if batch.num_rows:
-                best.add(_ids(batch.column(0)), _matrix(batch.column(1)))
+                best.add(_ids(batch.column(0)), _matrix(batch.column(1), width))
         yield from best.table(query_ids, schema).to_batches()
 
     return corpus.mapInArrow(run, result)
 
 
-def _nearest_grid(corpus, queries, k, metric, schema, result, stripes, blocks) -> DataFrame:
+def _nearest_grid(corpus, queries, k, metric, schema, result, stripes, blocks, width) -> DataFrame:
     """Every stripe of the corpus meets every block of the queries in one grid cell."""
 
     def cut(df: DataFrame, id: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
@@ -213,8 +224,8 @@ def _nearest_grid(corpus, queries, k, metric, schema, result, stripes, blocks) -
     def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
         if asked.num_rows == 0 or vectors.num_rows == 0:
             return schema.empty_table()
-        best = _Running(_matrix(asked["embedding"]), k, metric)
-        best.add(_ids(vectors["chunk_id"]), _matrix(vectors["embedding"]))
+        best = _Running(_matrix(asked["embedding"], width), k, metric)
+        best.add(_ids(vectors["chunk_id"]), _matrix(vectors["embedding"], width))
         return best.table(_ids(asked["query_id"]), schema)
 
     grouped = left.groupBy("stripe", "block").cogroup(right.groupBy("stripe", "block"))
@@ -241,23 +252,42 @@ def cosine_search(corpus: DataFrame, queries: DataFrame, top_k: int = 5, **optio
 
 
 def collection_query(
-    collection: DataFrame, queries: DataFrame, n_results: int = 3, metric: str = "cosine", **options
+    collection: DataFrame,
+    queries: DataFrame,
+    n_results: int = 3,
+    metric: str | None = None,
+    with_embedding: bool = False,
+    **options,
 ) -> DataFrame:
-    """`query_id, rank, chunk_id, document, distance` from a collection.
+    """`query_id, rank, chunk_id, document, distance[, embedding]` from a collection.
 
-    The distance is 1 - cosine, or the squared Euclidean distance for "l2".
+    The metric is the one that the collection was created with; another one is an error. The
+    distance is 1 - cosine, or the squared Euclidean distance for "l2".
     """
+    metric = _metric_of(collection, metric)
     found = nearest(collection, queries, n_results, metric, corpus_id="id", **options)
     score = F.col("score")
     distance = 1 - score if metric == "cosine" else -score
     results = found.select("query_id", "rank", "chunk_id", distance.alias("distance"))
-    documents = collection.select("id", F.col("chunk_id").alias("key"), "document")
+    vector = [F.col("embedding").alias("vector")] if with_embedding else []
+    documents = collection.select("id", F.col("chunk_id").alias("key"), "document", *vector)
     return lookup_chunks(results, documents, "id").select(
         "query_id", "rank", F.col("chunk_id").alias("id"), F.col("key").alias("chunk_id"),
-        "document", "distance",
+        "document", "distance", *([F.col("vector").alias("embedding")] if with_embedding else []),
     )
 
 
+def _metric_of(collection: DataFrame, metric: str | None) -> str:
+    """The metric of a collection, which `metric` must not contradict."""
+    known = ["metric"] if "metric" in collection.columns else []
+    stated = [r[0] for r in collection.select(*known).distinct().limit(2).collect()] if known else []
+    if len(stated) > 1:
+        raise ValueError(f"the collection mixes the metrics {sorted(stated)}")
+    if stated and metric not in (None, stated[0]):
+        raise ValueError(f"the collection was created with {stated[0]}, not {metric}")
+    return stated[0] if stated else metric or METRICS[0]
+
+
 def distance_to_similarity(distance: Column) -> Column:
     return 1 - distance
 
@@ -324,6 +354,20 @@ def embedding_head(vector: Column, n: int) -> Column:
     return F.slice(vector, 1, n)
 
 
+def query_result_listing(
+    results: DataFrame, preview_length: int = 200, dimensions: int = 10
+) -> DataFrame:
+    """Rank, distance, preview and first vector cells of query results with embeddings."""
+    return results.select(
+        "query_id",
+        "rank",
+        "id",
+        "distance",
+        preview(F.col("document"), preview_length, always=True).alias("preview"),
+        embedding_head(F.col("embedding"), dimensions).alias("first_dimensions"),
+    )
+
+
 def embedding_listing(
     collection: DataFrame, limit: int | None = 5, preview_length: int = 100, dimensions: int = 5
 ) -> DataFrame:

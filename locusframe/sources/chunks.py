@@ -1,6 +1,7 @@
 """Chunk tables as JSON."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusframe.schema import chunk_schema
@@ -11,15 +12,36 @@ def write_chunks_json(chunks: DataFrame, path: str) -> None:
     chunks.write.partitionBy("type").json(path)
 
 
+def _without_nan(value: Column, kind: T.DataType) -> Column:
+    """A value with every NaN inside it replaced by NULL."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(value), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _without_nan(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        fields = [_without_nan(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
 def read_chunks_json(
     spark: SparkSession, path: str, record: T.StructType, array_file: bool = False
 ) -> DataFrame:
     """Chunks from JSON lines, or from files that each hold one JSON array.
 
-    An array file cannot be split, so it is read by a single task.
+    An array file cannot be split, so it is read by a single task. `raw_data` may be one
+    record or an array of them, and a bare NaN is a missing number.
     """
     schema = chunk_schema(record)
-    return spark.read.schema(schema).json(path, multiLine=array_file).select(*schema.names)
+    text = T.StructType(
+        [T.StructField(f.name, T.StringType() if f.name == "raw_data" else f.dataType) for f in schema]
+    )
+    rows = spark.read.schema(text).json(path, multiLine=array_file)
+    raw, kind = F.col("raw_data"), T.ArrayType(record)
+    # An object becomes an array of one record.
+    several = F.when(raw.startswith("["), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    rows = rows.withColumn("raw_data", F.from_json(several, kind))
+    return rows.select(*(_without_nan(F.col(f.name), f.dataType).alias(f.name) for f in schema))
 
 
 def read_chunk_contents(

@@ -17,34 +17,34 @@ _CORRUPT = "_corrupt_record"
 _ERROR = "parse_error"
 
 
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as text, with the raw line of rows that have the wrong number of cells."""
+def _scan(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All cells as text, with the raw line of rows that have the wrong number of cells.
+
+    A file whose header has other names or another order than the first one is an error.
+    """
     names = spark.read.option("header", True).csv(path).columns
     fields = [T.StructField(name, T.StringType()) for name in [*names, _CORRUPT]]
     return (
         spark.read.schema(T.StructType(fields))
         .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
+        .options(escape='"', multiLine=multi_line, enforceSchema=False)
         .csv(path)
     )
 
 
-def _typed(spark: SparkSession, path: str, spec: RecordSpec) -> DataFrame:
-    """Typed columns, the row id, and what is wrong with the row in `parse_error`."""
-    scan = _scan(spark, path)
-    types = spec.types()
-    if spec.row_id in scan.columns:
-        types[spec.row_id] = T.LongType()
-    else:
-        scan = number_scanned_rows(scan, spec.row_id)
+def _typed(spark: SparkSession, path: str, spec: RecordSpec, multi_line: bool) -> DataFrame:
+    """Typed columns, the row id, and what is wrong with the row in `parse_error`.
+
+    Without a row id column the typed rows are written once, to be numbered.
+    """
+    scan = _scan(spark, path, multi_line)
+    types = {**spec.types(), spec.row_id: T.LongType()}
     columns, errors = [], []
     errors.append(F.when(F.col(_CORRUPT).isNotNull(), F.concat(F.lit("row: "), F.col(_CORRUPT))))
     for field in scan.schema.fields:
         name = field.name
         if name == _CORRUPT:
             continue
-        if field.dataType != T.StringType():
-            columns.append(F.col(name))
-            continue
         cell = F.when(~F.col(name).isin(NA_TOKENS), F.col(name))
         type = types.get(name, T.StringType())
         value = cell if type == T.StringType() else cell.try_cast(type)
@@ -53,18 +53,27 @@ def _typed(spark: SparkSession, path: str, spec: RecordSpec) -> DataFrame:
             errors.append(
                 F.when(cell.isNotNull() & value.isNull(), F.concat(F.lit(f"{name}: "), cell))
             )
-    return clean_records(scan.select(*columns, F.coalesce(*errors).alias(_ERROR)))
+    rows = scan.select(*columns, F.coalesce(*errors).alias(_ERROR), "_metadata")
+    if spec.row_id not in scan.columns:
+        rows = number_scanned_rows(rows, spec.row_id)
+    return clean_records(rows.drop("_metadata"))
 
 
 def read_records_csv(
-    spark: SparkSession, path: str, spec: RecordSpec = DEFAULT_SPEC, strict: bool = False
+    spark: SparkSession,
+    path: str,
+    spec: RecordSpec = DEFAULT_SPEC,
+    strict: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A typed record table with a dense row id in file order.
 
     Cells that do not parse become NULL; with `strict` the first one ends the job.
-    Columns without a role stay text. A column named like the row id is taken as is.
+    Columns without a role stay text. A column named like the row id is taken as is. A quote
+    inside a quoted cell is doubled. `multi_line` reads cells with line breaks; such a file
+    cannot be split, so each is read by one task.
     """
-    rows = _typed(spark, path, spec)
+    rows = _typed(spark, path, spec, multi_line)
     if strict:
         rows = rows.filter(_no_error(spec))
     return rows.drop(_ERROR)
@@ -79,9 +88,9 @@ def _no_error(spec: RecordSpec) -> Column:
 
 
 def split_records_csv(
-    spark: SparkSession, path: str, spec: RecordSpec = DEFAULT_SPEC
+    spark: SparkSession, path: str, spec: RecordSpec = DEFAULT_SPEC, multi_line: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """Rows that parse, and rejected rows with `parse_error`."""
-    rows = _typed(spark, path, spec)
+    rows = _typed(spark, path, spec, multi_line)
     good = rows.filter(F.col(_ERROR).isNull()).drop(_ERROR)
     return good, rows.filter(F.col(_ERROR).isNotNull())

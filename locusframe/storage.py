@@ -20,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    if context.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     return _local_folder(context.applicationId)
 
@@ -97,7 +97,7 @@ def number_scanned_rows(scan: DataFrame, name: str) -> DataFrame:
     disagree with them when a scan is split or retried differently.
     """
     located = scan.select(
-        "*",
+        *(name for name in scan.columns if name != "_metadata"),
         F.col("_metadata.file_path").alias("_path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_at"),
