@@ -162,14 +162,21 @@ def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     return out
 
 
-def fit(pages: DataFrame, html_column: str = "html", sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weights from at most `sample` labelled pages, those with the smallest hash.
+def fit(
+    pages: DataFrame,
+    url_column: str = "url",
+    html_column: str = "html",
+    sample: int = SAMPLE_PAGES,
+) -> dict[str, float]:
+    """Weights from the labelled ones of about `sample` pages, which their hash chooses.
 
-    A page is labelled if it has an article or main element. Features are fixed in number.
+    A page is labelled if it has an article or main element. Features are fixed in number, so
+    counts of every task are small, whatever the number of pages is.
     """
     html = F.col(html_column).cast("string")
-    labelled = pages.select(html.alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
-    chosen = labelled.orderBy(F.xxhash64("html")).limit(sample)
+    every = max(1, pages.count() // sample)
+    chosen = pages.where(F.pmod(F.xxhash64(F.col(url_column), html), F.lit(every)) == 0)
+    chosen = chosen.select(html.alias("html")).where(F.col("html").rlike("(?i)<(article|main)[\\s>]"))
 
     def run(batches):
         total: Counter = Counter()
