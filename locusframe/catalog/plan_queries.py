@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.catalog import sql as S
+from locusframe.catalog.chunk_queries import top_chunks
 from locusframe.catalog.inputs import peaks, questions
 from locusframe.catalog.registry import query
 from locusframe.functions import parsing
@@ -102,6 +103,40 @@ def _(spark, folder):
     return context_from_chunks(ask, found)
 
 
+# The default corpus: chunks of the top records, which have a range of scores.
+_TOP_CONTEXT = f"""contexts AS (SELECT query_id, question, coalesce(string_agg(entry, E'\\n' ORDER BY rank), '') AS context
+ FROM asked LEFT JOIN (SELECT query_id, rank, concat_ws(E'\\n', concat('[Chunk ', rank, ' - Similarity: ',
+   coalesce({S.fixed('sim', 3)}, 'nan'), ']'), concat('LOD range: ', {S.fixed('lod_range_lo', 2)}, ' - ', {S.fixed('lod_range_hi', 2)}),
+   concat('Number of QTLs: ', qtl_count),
+   CASE WHEN genes <> '' THEN concat('Genes: ', array_to_string(string_split(genes, ', ')[1:5], ', ')) END,
+   content, repeat('-', 40)) AS entry FROM hits JOIN top_body ON id = chunk_id) USING (query_id) GROUP BY ALL)"""
+
+
+@query(
+    "context_from_top_chunks",
+    S.with_(
+        S.PEAKS_CTE,
+        S.QUESTIONS_CTE,
+        _ASKED,
+        *top_chunks(),
+        S.vectors("top_body", "id", "content", "d"),
+        S.vectors("asked", "query_id", "question", "q"),
+        S.hits("top_body", "id", "asked", "query_id", 3),
+        _TOP_CONTEXT,
+        body="SELECT query_id, question, context FROM contexts",
+    ),
+)
+def _(spark, folder):
+    ask = asked(questions(spark, folder))
+    chunks = chunkers.chunk_top_records(peaks(spark, folder), include_raw=False)
+    path = new_path(spark, "vectors")
+    write_vectors(embed.embed_chunks(chunks), path, "hashing")
+    found = search.cosine_search(
+        read_vectors(spark, path), embed.embed_queries(ask), 3, corpus_id="id"
+    )
+    return context_from_chunks(ask, found)
+
+
 # In a collection equal scores rank by the position of the chunk, as text.
 def _collection_context(k: int) -> tuple[str, ...]:
     return (

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.catalog import sql as S
+from locusframe.catalog.chunk_queries import top_chunks
 from locusframe.catalog.inputs import SAMPLE_QUESTIONS, benchmark, peaks, table
 from locusframe.catalog.registry import query
 from locusframe.functions import vectors as V
@@ -266,6 +267,29 @@ def _(spark, folder):
     return search.search_result_card(found).select("query_id", "rank", "card")
 
 
+@query(
+    "search_result_card_top",
+    S.with_(
+        S.PEAKS_CTE,
+        *top_chunks(),
+        S.vectors("top_body", "id", "content", "d"),
+        S.vectors("benchmark", "item_id", "text", "q"),
+        S.hits("top_body", "id", "benchmark", "item_id", 3),
+        body=f"""SELECT query_id, rank, concat_ws(E'\\n', concat(rank, '. Similarity: ', {S.fixed('sim', 3)}),
+ concat('   Chunk ID: ', chunk_id), '   Type: top_qtls',
+ concat('   LOD range: ', {S.fixed('lod_range_lo', 2)}, ' - ', {S.fixed('lod_range_hi', 2)}), concat('   QTL count: ', qtl_count),
+ CASE WHEN len(string_split(genes, ', ')) <= 5 THEN concat('   Genes: ', genes) END,
+ concat('   Content: ', CASE WHEN length(content) > 300 THEN substr(content, 1, 300) || '...' ELSE content END),
+ repeat('-', 40)) AS card FROM hits JOIN top_body ON id = chunk_id""",
+    ),
+)
+def _(spark, folder):
+    chunks = chunkers.chunk_top_records(peaks(spark, folder), include_raw=False)
+    asked = embed.embed_queries(benchmark(spark, folder))
+    found = search.cosine_search(embed.embed_chunks(chunks), asked, 3, corpus_id="id")
+    return search.search_result_card(found).select("query_id", "rank", "card")
+
+
 _L2 = S.with_(
     *_BENCHMARK_HITS,
     """pairs AS (SELECT item_id AS query_id, doc_id AS chunk_id, round(greatest(coalesce(power(qn.n, 2), 0) + coalesce(power(dn.n, 2), 0)
