@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from locusframe.functions.numbers import fixed, js_number_text
 from locusframe.functions.parsing import (
@@ -30,9 +31,10 @@ HELP = (
     "'Show me significant genes with p-value < 0.001'"
 )
 
-# Ranks that questions and records meet on; a question for the top n asks for n / 10,000
-# blocks instead of n single ranks.
-_RANK_BLOCK = 10_000
+# Thresholds of one page: a record finds its page, then its place in it.
+_PAGE = 128
+# Page rows of up to 128 thresholds that may be broadcast: 4 MB.
+_BROADCAST_PAGES = 4_000
 
 
 def routed_questions(questions: DataFrame, literal: bool = False) -> DataFrame:
@@ -73,50 +75,112 @@ def _listing(totals: DataFrame, first: DataFrame, header: Column) -> DataFrame:
 
 
 def _top(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
-    wanted = asked.withColumn("wanted", F.coalesce("number", F.lit(DEFAULT_TOP)))
+    """Questions for the top n; those with one n share its lines.
+
+    The ranks below n are cut into blocks of powers of two, one for each bit of n, and a
+    ranked line is in one block of every size: lines and questions meet without a rank that
+    was not asked for.
+    """
+    wanted = asked.withColumn("wanted", F.coalesce("number", F.lit(DEFAULT_TOP)).cast("bigint"))
     most = wanted.agg(F.max("wanted")).first()[0] or 0
     scored = has_score(records, keep_zero=False, spec=spec)
     if most > TOP_ROWS_IN_MEMORY:
         most = min(most, scored.count())
-    block = F.floor((F.col("rank") - 1) / _RANK_BLOCK)
+    levels = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
     ranked = top_n_by_score(scored, most, spec=spec).select(
-        "rank", ranked_line(F.col("rank"), spec).alias("line"), block.alias("block")
+        "rank", ranked_line(F.col("rank"), spec).alias("line"), F.explode(levels).alias("level")
+    )
+    ranked = ranked.withColumn("block", F.expr("shiftright(rank - 1, level)"))
+    blocks = (
+        wanted.select("wanted", F.least("wanted", F.lit(int(most))).alias("n"))
+        .distinct()
+        .withColumn("level", F.explode(levels))
+        .filter(F.expr("shiftright(n, level) % 2 = 1"))
+        .select("wanted", "level", F.expr("shiftright(n, level + 1) * 2").alias("block"))
     )
-    last = F.floor((F.least("wanted", F.lit(max(most, 1))) - 1) / _RANK_BLOCK)
-    blocks = wanted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    rows = blocks.join(ranked, "block").filter(F.col("rank") <= F.col("wanted"))
+    lines = blocks.join(ranked, ["level", "block"]).select("wanted", "rank", "line")
     header = F.concat(
         F.lit("Here are the top "),
         F.col("wanted").cast("string"),
         F.lit(" QTLs with highest LOD scores:\n"),
     )
+    rows = wanted.join(lines, "wanted")
     return wanted.select("query_id", "intent", *_line(0, header)).union(
         rows.select("query_id", "intent", *_line(F.col("rank"), F.col("line")))
     )
 
 
+def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec):
+    """How many records are above each limit, and the first ones of them.
+
+    `records` has `key` and `value`, `limits` different `(key, limit)`. The sorted limits of a
+    key cut its values into intervals, and a record is counted in its one interval. Totals are
+    running sums over the intervals. The first rows of intervals are merged into those of
+    blocks of 2, 4, 8, ... intervals, and all intervals above a limit are a few such blocks.
+    So nothing grows with records times limits, or with limits times limits.
+    """
+    sorted_limits = Window.partitionBy("key").orderBy("limit")
+    numbered = stored(limits.withColumn("n", F.row_number().over(sorted_limits) - 1), "limits")
+    page = F.floor(F.col("n") / _PAGE)
+    pages = numbered.groupBy("key", page.alias("page")).agg(
+        F.min("n").alias("base"), F.sort_array(F.collect_list("limit")).alias("limits")
+    )
+    tops = pages.groupBy("key").agg(F.sort_array(F.collect_list(F.get("limits", F.lit(0)))).alias("lows"))
+    below = lambda values: F.size(F.filter(values, lambda limit: limit < F.col("value")))
+    paged = records.join(broadcast_small(tops, _BROADCAST_PAGES), "key")
+    paged = paged.withColumn("page", (below("lows") - 1).cast("bigint")).filter(F.col("page") >= 0)
+    placed = paged.drop("lows").join(broadcast_small(pages, _BROADCAST_PAGES), ["key", "page"])
+    # Records above the limits 0 to n, and no other, are in interval n.
+    placed = placed.withColumn("n", F.col("base") + below("limits") - 1)
+    matches = stored(placed.select("key", "n", spec.row_id, line.alias("line")), "matches")
+
+    counts = matches.groupBy("key", "n").agg(F.count("*").alias("rows"))
+    down = Window.partitionBy("key").orderBy(F.desc("n"))
+    totals = numbered.join(counts, ["key", "n"], "left").withColumn(
+        "total", F.coalesce(F.sum("rows").over(down), F.lit(0))
+    )
+    most = numbered.agg(F.max("n")).first()[0] or 0
+    levels = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
+    first = head_per_group(matches, LISTED, ["key", "n"], [F.col(spec.row_id)]).drop("rank")
+    blocks = first.withColumn("level", F.explode(levels)).withColumn(
+        "block", F.expr("shiftright(n, level)")
+    )
+    heads = head_per_group(blocks, LISTED, ["key", "level", "block"], [F.col(spec.row_id)])
+    # The intervals from n on: a block of each level at which n, rounded up, is odd.
+    up = F.expr("shiftright(n + shiftleft(1, level) - 1, level)")
+    parts = (
+        numbered.withColumn("level", F.explode(levels))
+        .withColumn("block", up.cast("bigint"))
+        .filter((F.col("block") % 2 == 1) | ((F.col("n") == 0) & (F.col("level") == int(most).bit_length())))
+    )
+    met = parts.select("key", "limit", "level", "block").join(
+        heads.select("key", "level", F.col("block").cast("bigint").alias("block"), spec.row_id, "line"),
+        ["key", "level", "block"],
+    )
+    listed = head_per_group(met, LISTED, ["key", "limit"], [F.col(spec.row_id)])
+    return totals.select("key", "limit", "total"), listed.select("key", "limit", "rank", "line")
+
+
 def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
-    """Questions about a group; those that ask the same share one pass over its rows."""
+    """Questions about a group; those that ask the same share its lines."""
     numbered = asked.filter(F.col("number").isNotNull()).withColumns(
         {
-            "asked_group": F.col("number").cast("string"),
-            # Thresholds are never negative, so -1 stands for none in join keys.
-            "limit": F.coalesce("score_limit", F.lit(-1.0)),
+            "key": F.col("number").cast("string"),
+            # Every record is above minus infinity, also one without a score.
+            "limit": F.coalesce("score_limit", F.lit(float("-inf"))),
         }
     )
-    keys = ["asked_group", "limit"]
-    parameters = broadcast_small(numbered.select(*keys).distinct())
-    passes = (F.col("limit") < 0) | (F.col(spec.score) > F.col("limit"))
-    matches = records.join(parameters, F.col(spec.group) == F.col("asked_group")).filter(passes)
-    counts = matches.groupBy(*keys).agg(F.count("*").alias("total"))
-    first = head_per_group(matches, LISTED, keys, [F.col(spec.row_id)])
-    first = first.select(*keys, "rank", group_line(spec).alias("line"))
-    totals = numbered.join(counts, keys, "left").fillna(0, ["total"])
+    keys = ["key", "limit"]
+    lowest = F.lit(-1.7976931348623157e308)
+    valued = records.withColumns(
+        {"key": F.col(spec.group), "value": F.coalesce(spec.score, lowest)}
+    )
+    totals, first = _above(valued, numbered.select(*keys).distinct(), group_line(spec), spec)
     header = F.concat(
         F.lit("Found "),
         F.col("total").cast("string"),
         F.lit(" QTLs on chromosome "),
-        F.col("asked_group"),
+        F.col("key"),
         F.when(
             F.col("limit") >= 0, F.concat(F.lit(" with LOD > "), js_number_text(F.col("limit")))
         ).otherwise(""),
@@ -124,45 +188,28 @@ def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
     )
     # A question that names no group has an empty answer.
     unknown = asked.filter(F.col("number").isNull()).select("query_id", "intent", *_line(0, ""))
-    return _listing(totals, numbered.join(first, keys), header).union(unknown)
+    counted = numbered.join(totals, keys)
+    return _listing(counted, numbered.join(first, keys), header).union(unknown)
 
 
 def _pvalue(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
-    """Questions about p-values below a threshold.
-
-    Sorted thresholds cut the p-values into intervals. Each record counts in its one
-    interval; the few interval totals and first rows are then added up per threshold.
-    """
-    limited = asked.withColumn("limit", F.coalesce("pvalue_limit", F.lit(DEFAULT_PVALUE)))
-    limits = limited.agg(F.array_sort(F.collect_set("limit")).alias("limits")).scalar()
-    interval = F.size(F.filter("limits", lambda limit: limit <= F.col(spec.pvalue)))
-    small = (
-        has_pvalue(records, keep_zero=False, spec=spec)
-        .withColumn("limits", limits)
-        .withColumn("interval", interval)
-        .filter(F.col("interval") < F.size("limits"))
+    """Questions about p-values below a threshold: their negatives are above its negative."""
+    limited = asked.withColumns(
+        {"key": F.lit(""), "limit": -F.coalesce("pvalue_limit", F.lit(DEFAULT_PVALUE))}
     )
-    counts = small.groupBy("interval", "limits").agg(F.count("*").alias("rows"))
-    first = head_per_group(small, LISTED, ["interval"], [F.col(spec.row_id)]).select(
-        "interval", "limits", spec.row_id, pvalue_line(spec).alias("line")
+    keys = ["key", "limit"]
+    valued = has_pvalue(records, keep_zero=False, spec=spec).withColumns(
+        {"key": F.lit(""), "value": -F.col(spec.pvalue)}
     )
-
-    def per_limit(df: DataFrame) -> DataFrame:
-        """Repeat a row for every threshold above its interval's p-values."""
-        above = F.slice("limits", F.col("interval") + 1, F.size("limits"))
-        return df.withColumn("limit", F.explode(above)).drop("limits", "interval")
-
-    totals = per_limit(counts).groupBy("limit").agg(F.sum("rows").alias("total"))
-    listed = head_per_group(per_limit(first), LISTED, ["limit"], [F.col(spec.row_id)])
+    totals, first = _above(valued, limited.select(*keys).distinct(), pvalue_line(spec), spec)
     header = F.concat(
         F.lit("Found "),
         F.col("total").cast("string"),
         F.lit(" genes with p-values < "),
-        js_number_text(F.col("limit")),
+        js_number_text(-F.col("limit")),
         F.lit(":\n"),
     )
-    counted = limited.join(totals, "limit", "left").fillna(0, ["total"])
-    return _listing(counted, limited.join(listed, "limit"), header)
+    return _listing(limited.join(totals, keys), limited.join(first, keys), header)
 
 
 def _shared(records: DataFrame, spec: RecordSpec) -> DataFrame:

@@ -128,3 +128,31 @@ def test_data_context_without_number_has_no_records(spark, make_records):
     line = "Gene: a | LOD: 1.5 | P-val: 1e-7 | Chr: 1 | Pos: null | Cis: true | Type: N/A\n"
     assert one == empty + "1. " + line
     assert mixed == empty + "1. " + line + "2. " + line
+
+
+def test_thousands_of_thresholds(spark, make_records):
+    """Each threshold has the totals and first rows that a filter over all records gives."""
+    scores = [((i * 7919) % 3001) / 10 for i in range(3001)]
+    pvalues = [1 / (1 + (i * 31) % 2999) for i in range(3001)]
+    records = make_records(
+        [dict(gene_symbol=f"g{i}", qtl_chr="1", qtl_pos=1.0, qtl_lod=s, qtl_pval=p) for i, (s, p) in enumerate(zip(scores, pvalues))]
+    )
+    asked = [f"chr 1 lod > {i / 10}" for i in range(2, 3100, 2)] + [f"p-value < 0.{i:05d}" for i in range(1, 1500)]
+    asked += ["top 1 lod", "top 37 lod", "top 64 lod", "top 4000 lod"]
+    lines = answer_by_rules(records, ask(spark, *asked)).collect()
+    found = {}
+    for line in lines:
+        found.setdefault(line.query_id, {})[line.line_no] = line.line
+    assert len(found) == len(asked)
+    for i, question in enumerate(asked):
+        if question.startswith("top"):
+            assert len(found[i]) == 1 + min(int(question.split()[1]), sum(s > 0 for s in scores))
+            continue
+        limit = float(question.split()[-1])
+        if question.startswith("chr"):
+            matches = [n for n, s in enumerate(scores) if s > limit]
+        else:
+            matches = [n for n, p in enumerate(pvalues) if p < limit]
+        assert found[i][0].startswith(f"Found {len(matches)} ")
+        names = [found[i][k].split(":")[0].removeprefix("• ") for k in range(1, 1 + min(10, len(matches)))]
+        assert names == [f"g{n}" for n in matches[:10]]
