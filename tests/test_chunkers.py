@@ -70,7 +70,8 @@ def test_long_groups_continue_in_parts(make_records):
     assert [x.row_id for x in chunks["gene_g0_part_2"].raw_data] == list(range(20, 40))
     sets = by_id(chunkers.chunk_by_gene_pathways(df, max_records=30, rows_per_task=10))
     assert set(sets) == {"gene_set_1", "gene_set_1_part_2"}
-    assert sum(c.metadata.qtl_count for c in sets.values()) == 51
+    assert [c.metadata.qtl_count for c in sets.values()] == [51, 51]
+    assert sum(len(c.raw_data) for c in sets.values()) == 51
     lods = [x.qtl_lod for x in sorted(sets["gene_set_1"].raw_data, key=lambda x: -x.qtl_lod)]
     assert min(lods) >= max(x.qtl_lod for x in sets["gene_set_1_part_2"].raw_data)
 
@@ -96,3 +97,32 @@ def test_missing_columns_take_defaults(make_records):
     assert (meta.gene_symbol, meta.qtl_lod, meta.qtl_chr, meta.qtl_pval, meta.cis, meta.gene_type) == (
         "a", 0.0, "Unknown", 1.0, False, "Unknown",
     )
+
+
+def test_every_part_tells_of_the_whole_gene(make_records):
+    rows = [dict(gene_symbol="a", qtl_chr=str(i % 3 + 1), gene_type=f"t{i}", qtl_lod=float(i)) for i in range(12)]
+    rows.append(dict(gene_symbol="b", qtl_lod=1.0))
+    chunks = chunkers.chunk_by_gene(make_records(rows), max_records=5).orderBy("id").collect()
+    assert [c.id for c in chunks] == ["gene_a", "gene_a_part_2", "gene_a_part_3", "gene_b"]
+    for part, c in enumerate(chunks[:3], 1):
+        m = c.metadata
+        assert (m.qtl_count, m.max_lod, m.chromosomes, m.gene_type, m.part, m.parts) == (12, 11.0, ["1", "2", "3"], "t0", part, 3)
+    sets = chunkers.chunk_by_gene_pathways(make_records(rows), max_records=5).collect()
+    assert len(sets) == 3
+    for c in sets:
+        assert "Gene set 1: 2 genes with 13 QTLs" in c.content and c.metadata.qtl_count == 13
+    assert sum(len(c.raw_data) for c in sets) == 13
+
+
+def test_chunk_files_that_are_one_array(spark, make_records, tmp_path):
+    from locusframe.sources.chunks import read_chunks_json
+
+    record = make_records([dict(gene_symbol="a")]).schema
+    (tmp_path / "c.json").write_text(
+        '[{"id": "x", "type": "single_qtl", "content": "c", "metadata": {"qtl_lod": NaN, "lod_range": [NaN, 2.0]},'
+        ' "raw_data": {"gene_symbol": "a", "qtl_lod": NaN}},\n {"id": "y", "type": "gene_group", "content": "d",'
+        ' "metadata": {"qtl_lod": 3.0}, "raw_data": [{"gene_symbol": "a", "qtl_lod": 1.5}, {"gene_symbol": "b"}]}]'
+    )
+    x, y = read_chunks_json(spark, f"file://{tmp_path}/c.json", record, array_file=True).orderBy("id").collect()
+    assert (x.metadata.qtl_lod, x.metadata.lod_range, x.raw_data[0].gene_symbol, x.raw_data[0].qtl_lod) == (None, [None, 2.0], "a", None)
+    assert [(r.gene_symbol, r.qtl_lod) for r in y.raw_data] == [("a", 1.5), ("b", None)]

@@ -83,3 +83,9 @@ def test_head_per_group(spark):
     df = scored(spark, [("a", float(i)) for i in range(9)] + [("b", 1.0)])
     rows = ranking.head_per_group(df, 3, ["g"], [F.col("row_id")]).collect()
     assert sorted((r.g, r.row_id) for r in rows) == [("a", 0), ("a", 1), ("a", 2), ("b", 9)]
+
+
+def test_stride_sample_of_ids_with_gaps(spark, make_records):
+    records = make_records([dict(row_id=i * 7 + 3, gene_symbol="a") for i in range(40)])
+    rows = [r.row_id for r in ranking.stride_sample(records, 10).orderBy("row_id").collect()]
+    assert rows == [i * 7 + 3 for i in range(0, 40, 4)]

@@ -90,3 +90,24 @@ def test_row_ids_follow_file_order_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert len(rows) == 12000
     assert all(r.row_id == int(r.gene_symbol) * 4000 + r.qtl_lod for r in rows)
+
+
+HEADER = "gene_symbol,gene_id,qtl_chr,qtl_lod\n"
+
+
+def test_quotes_commas_and_line_breaks_in_cells(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text(HEADER + '"a ""b"", c",i0,1,2.5\n"two\nlines",i1,X,3\n')
+    rows = read_records_csv(spark, f"file://{path}", multi_line=True).orderBy("row_id").collect()
+    assert [(r.row_id, r.gene_symbol, r.gene_id, r.qtl_lod) for r in rows] == [
+        (0, 'a "b", c', "i0", 2.5), (1, "two\nlines", "i1", 3.0)
+    ]
+    path.write_text(HEADER + '"a ""b"", c",i0,1,2.5\n')
+    assert read_records_csv(spark, f"file://{path}").first().gene_symbol == 'a "b", c'
+
+
+def test_files_with_another_column_order_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "a,i0,1,2.5\n")
+    (tmp_path / "b.csv").write_text("gene_id,gene_symbol,qtl_chr,qtl_lod\ni1,b,2,3.5\n")
+    with pytest.raises(Exception, match="CSV header does not conform|header"):
+        read_records_csv(spark, f"file://{tmp_path}").collect()

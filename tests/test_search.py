@@ -165,3 +165,56 @@ def test_questions_without_results(spark):
 
     context = context_from_documents(questions, results).first().context
     assert context == "No relevant QTL data found for this query."
+
+
+def _vectors(spark, rows, name):
+    return spark.createDataFrame(rows, f"{name} long, embedding array<float>")
+
+
+def test_vectors_of_other_lengths_are_refused(spark):
+    asked = _vectors(spark, [(0, [1.0, 2.0, 3.0])], "query_id")
+    for limits in ({}, {"query_bytes": 1, "cell_bytes": 1}):
+        for cells in ([1.0, 2.0], [1.0, 2.0, 3.0, 4.0]):
+            with pytest.raises(Exception, match="cells"):
+                search.nearest(_vectors(spark, [(1, cells)], "chunk_id"), asked, 1, **limits).collect()
+    mixed = _vectors(spark, [(0, [1.0]), (1, [1.0, 2.0])], "query_id")
+    with pytest.raises(ValueError, match="1 to 2 cells"):
+        search.nearest(_vectors(spark, [(1, [1.0])], "chunk_id"), mixed, 1)
+
+
+def test_vectors_with_holes_take_no_part(spark):
+    corpus = _vectors(spark, [(1, [1.0, None]), (2, [float("nan"), 1.0]), (3, [1.0, 1.0])], "chunk_id")
+    asked = _vectors(spark, [(0, [1.0, 1.0]), (1, [None, 1.0])], "query_id")
+    assert [(r.query_id, r.chunk_id) for r in search.nearest(corpus, asked, 5).collect()] == [(0, 3)]
+
+
+def test_grid_of_several_stripes_and_blocks(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(300, 4)).round(2), rng.normal(size=(40, 4)).round(2)
+    corpus = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(a)], "chunk_id")
+    asked = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(b)], "query_id")
+    whole = search.nearest(corpus, asked, 3).collect()
+    assert sorted(whole) == sorted(search.nearest(corpus, asked, 3, query_bytes=500, cell_bytes=900).collect())
+
+
+def test_the_metric_belongs_to_the_collection(spark, tmp_path):
+    texts = spark.createDataFrame([(0, "a"), (1, "a a a b"), (2, "c")], "id long, content string")
+    made = collections.create_collection(texts, [F.col("id")], str(tmp_path), "x", metric="l2")
+    asked = embed.embed_queries(spark.createDataFrame([(0, "a b")], "query_id long, question string"))
+    plain = search.collection_query(made, asked).orderBy("rank").collect()
+    assert plain == search.collection_query(made, asked, metric="l2").orderBy("rank").collect()
+    with pytest.raises(ValueError, match="created with l2"):
+        search.collection_query(made, asked, metric="cosine")
+    found = search.collection_query(made, asked, with_embedding=True)
+    listing = search.query_result_listing(found).orderBy("rank").first()
+    assert len(listing.first_dimensions) == 10 and listing.preview.endswith("...")
+
+
+def test_collection_ids_follow_the_order(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in (5, 3, 9, 3, 1)]
+    texts = spark.createDataFrame(rows, "id long, content string").repartition(3)
+    made = collections.create_collection(texts, [F.desc("id")], str(tmp_path), "x")
+    got = [(int(r.id), r.chunk_id, r.document) for r in made.orderBy(F.col("id").cast("int")).collect()]
+    assert [g[0] for g in got] == [0, 1, 2, 3, 4]
+    assert [g[1] for g in got] == ["9", "5", "3", "3", "1"]
+    assert all(g[2] == f"text {g[1]}" for g in got)
