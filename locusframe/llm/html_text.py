@@ -75,13 +75,17 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
     ends a block. `everything` reads elements that never hold main text like others, for the
     labelled pages tell from them what stands outside of an article.
     """
-    at, end = 0, len(html)
+    # A tag ends at the last ">" at the latest, so no search for one runs past it.
+    at, end = 0, html.rfind(">") + 1
     blocks = ["body"]
+    opened: Counter = Counter()  # names in `blocks` and in `skipped`
     skipped: list[str] = []  # open elements below and with the one that has no main text
     links = articles = 0
-    while at < end:
-        m = _TAG.search(html, at)
-        stop = m.start() if m else end
+    while at < len(html):
+        m = _TAG.search(html, at, end) if at < end else None
+        stop = m.start() if m else len(html)
+        if not m and (comment := html.find("<!--", at)) >= 0:
+            stop = comment
         if stop > at and not skipped:
             text = html[at:stop]
             yield f"word {'link' if links else blocks[-1]}", text, articles > 0
@@ -94,16 +98,17 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
         closing, name, attributes = bool(m[1] or m[4]), name.lower(), m[3] or m[6] or ""
         if skipped:
             if closing:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
+                if opened["-", name]:
+                    while True:
+                        opened["-", last := skipped.pop()] -= 1
+                        if last == name:
+                            break
             elif name not in VOID and not attributes.endswith("/"):
                 if name in RAW:
                     at = _raw_end(html, name, at)
                 elif not (name == skipped[-1] and name in ("p", "li", "tr", "td", "dt", "dd", "option")):
                     skipped.append(name)
-            if not skipped and name in RAW:
-                continue
+                    opened["-", name] += 1
             continue
         if name in ("article", "main"):
             articles = max(0, articles - 1) if closing else articles + 1
@@ -116,19 +121,23 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
                 at = _raw_end(html, name, at)
             elif name not in VOID and not attributes.endswith("/"):
                 skipped.append(name)
+                opened["-", name] += 1
             yield "tag none", "", articles > 0
             continue
         if name == "a":
             links = 0 if closing else 1
         elif name not in INLINE and name not in VOID:
+            block = name if name in KNOWN else "other"
             if closing:
-                if name in blocks[1:]:
-                    while len(blocks) > 1 and blocks.pop() != name:
-                        pass
+                while opened[block] and len(blocks) > 1:
+                    opened[last := blocks.pop()] -= 1
+                    if last == block:
+                        break
             else:
                 if blocks[-1] == "p":
-                    blocks.pop()
-                blocks.append(name if name in KNOWN else "other")
+                    opened[blocks.pop()] -= 1
+                blocks.append(block)
+                opened[block] += 1
         yield feature, "" if name not in INLINE else "\0", articles > 0
 
 

@@ -118,7 +118,11 @@ class Templates:
             )
             for _, text, _ in self.templates
         ]
-        self.found = lru_cache(maxsize=50_000)(self._found)
+        self._remembered = lru_cache(maxsize=50_000)(self._found)
+
+    def found(self, block: str) -> tuple[tuple[str, float, int, int], ...]:
+        """Confirmed `(license, reduction, missing, added)` of a block; short ones are remembered."""
+        return self._remembered(block) if len(block) <= 400 else self._found(block)
 
     def reductions(self, block: str) -> list[tuple[float, int]]:
         """Saved part of the compressed size by template, the largest first."""
@@ -143,7 +147,6 @@ class Templates:
         return (len(missing), added) if added <= max(2, len(template) // 4) else None
 
     def _found(self, block: str) -> tuple[tuple[str, float, int, int], ...]:
-        """Confirmed `(license, reduction, missing, added)` of a block."""
         words, out = words_of(block), {}
         ranked = self.reductions(block)
         # A block of several notices is saved less by each; all with any saving are compared.

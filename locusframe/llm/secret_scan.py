@@ -35,7 +35,7 @@ LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----"
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|-(?!----))*+)-----END \1-----"
 )
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
 HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")

@@ -136,3 +136,16 @@ def test_license_rows(documents):
     for r in rows:
         assert texts[r.id][r.start : r.end] == r.block
     assert license_scan.scan(documents([])).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for text in ("-----BEGIN RSA PRIVATE KEY-----\n" * 20_000, "M" * 2_000_000, "30" * 500_000, "token=" * 200_000, "eyJ" * 300_000):
+        secret_scan.spans(text)
+    for text in ("copyright " * 50_000, "All rights reserved. " * 5_000, "license\n" * 5_000):
+        templates = license_scan.Templates()
+        for a, b in license_scan.blocks(text):
+            templates.found(text[a:b])
+    assert time.process_time() - start < 120

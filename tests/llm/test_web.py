@@ -110,3 +110,16 @@ def test_held_out_names():
                     known += 1
                     right += (score > 0) == blocked
     assert known > 20 and right >= 0.7 * known
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a '" * 100_000, "a > " + "<a <b " * 100_000, "<div>" * 60_000 + "x" + "</p>" * 60_000, "<nav>" * 60_000 + "</p>" * 60_000,
+     "<p title=it's>w" * 50_000, "<!--" * 50_000, "</div>" * 60_000 + "x", "<script>" * 50_000],
+)
+def test_broken_markup_takes_linear_time(weights, html):
+    import time
+
+    start = time.process_time()
+    assert isinstance(html_text.main_text(html, weights), str)
+    assert time.process_time() - start < 15
