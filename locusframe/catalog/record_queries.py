@@ -7,7 +7,8 @@ from locusframe.catalog import sql as S
 from locusframe.catalog.inputs import peaks
 from locusframe.catalog.registry import query
 from locusframe.functions import numbers, text
-from locusframe.operators import filters, ranking, stats
+from locusframe.operators import chunkers, filters, ranking, stats
+from locusframe.schema import clean_records
 from locusframe.sources.records import read_records_csv, split_records_csv
 from locusframe.storage import new_path
 
@@ -206,12 +207,11 @@ def _(spark, folder):
 
 @query(
     "bounded_min",
-    S.over_peaks("SELECT row_id, least(row_id + 25, 200) AS bounded FROM peaks"),
+    S.over_peaks("SELECT row_id, least((row_id // 25 + 1) * 25, 200) AS bounded FROM peaks"),
 )
 def _(spark, folder):
-    return peaks(spark, folder).select(
-        "row_id", F.least(F.col("row_id") + 25, F.lit(200).cast("bigint")).alias("bounded")
-    )
+    _, end = ranking.rank_bounds(text.block_number(F.col("row_id"), 25), 25, 200)
+    return peaks(spark, folder).select("row_id", end.alias("bounded"))
 
 
 @query("block_number", S.over_peaks("SELECT row_id, row_id // 25 + 1 AS block FROM peaks"))
@@ -221,11 +221,18 @@ def _(spark, folder):
     )
 
 
-@query("span", S.over_peaks("SELECT row_id, round(qtl_ci_hi - qtl_ci_lo, 6) AS span FROM peaks"))
+@query(
+    "span",
+    S.over_peaks(
+        """SELECT concat('region_chr', qtl_chr, '_', block) AS id, round(max(qtl_pos) - min(qtl_pos), 6) AS span
+ FROM placed GROUP BY qtl_chr, block""",
+        S.LINES_CTE,
+        S.placed("qtl_pos NULLS LAST, row_id", "30", "qtl_chr"),
+    ),
+)
 def _(spark, folder):
-    return peaks(spark, folder).select(
-        "row_id", F.round(F.col("qtl_ci_hi") - F.col("qtl_ci_lo"), 6).alias("span")
-    )
+    chunks = chunkers.chunk_by_genomic_regions(peaks(spark, folder), include_raw=False)
+    return chunks.select("id", F.round("metadata.region_span_mb", 6).alias("span"))
 
 
 @query(
@@ -252,7 +259,8 @@ def _(spark, folder):
     S.over_peaks("SELECT row_id, gene_symbol IS NULL AS no_name, qtl_lod IS NULL AS no_score FROM peaks"),
 )
 def _(spark, folder):
-    return peaks(spark, folder).select(
+    score = F.coalesce("qtl_lod", F.lit(float("nan")))
+    return clean_records(peaks(spark, folder).withColumn("qtl_lod", score)).select(
         "row_id",
         F.col("gene_symbol").isNull().alias("no_name"),
         F.col("qtl_lod").isNull().alias("no_score"),

@@ -48,6 +48,20 @@ def _(spark, folder):
     return embedded.select("id", checksum(F.col("embedding")).alias("checksum"))
 
 
+@query(
+    "embed_by_method",
+    _checksums("documents", "doc_id", "text", _DOCUMENT_SUMS.replace("SELECT", "SELECT 'short_hashing' AS method,", 1))
+    .replace("% 256", "% 64"),
+)
+def _(spark, folder):
+    """A method of the caller's own, chosen by its name."""
+    embed.register_embedder("short_hashing", lambda **_: embed.hashing_embedder(64))
+    embedded = embedded_documents(spark, folder, method="short_hashing")
+    return embedded.select(
+        F.lit("short_hashing").alias("method"), "id", checksum(F.col("embedding")).alias("checksum")
+    )
+
+
 @query(
     "embed_queries",
     _checksums(
