@@ -16,7 +16,7 @@ from locusframe.operators.filters import has_pvalue, has_score
 from locusframe.operators.ranking import TOP_ROWS_IN_MEMORY, head_per_group, top_n_by_score
 from locusframe.operators.stats import dataset_summary, group_counts, unique_entities
 from locusframe.schema import DEFAULT_SPEC, RecordSpec
-from locusframe.storage import broadcast_small, stored
+from locusframe.storage import stored
 
 # Defaults of the rules and the text of the help answer.
 DEFAULT_TOP, DEFAULT_PVALUE, LISTED = 5, 0.001, 10
@@ -33,8 +33,8 @@ HELP = (
 
 # Thresholds of one page: a record finds its page, then its place in it.
 _PAGE = 128
-# Page rows of up to 128 thresholds that may be broadcast: 4 MB.
-_BROADCAST_PAGES = 4_000
+# Thresholds whose pages may be broadcast: 4 MB of numbers.
+_BROADCAST_LIMITS = 500_000
 
 
 def routed_questions(questions: DataFrame, literal: bool = False) -> DataFrame:
@@ -121,15 +121,17 @@ def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec
     """
     sorted_limits = Window.partitionBy("key").orderBy("limit")
     numbered = stored(limits.withColumn("n", F.row_number().over(sorted_limits) - 1), "limits")
+    many, most = numbered.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    few = (lambda df: F.broadcast(df)) if many <= _BROADCAST_LIMITS else (lambda df: df)
     page = F.floor(F.col("n") / _PAGE)
     pages = numbered.groupBy("key", page.alias("page")).agg(
         F.min("n").alias("base"), F.sort_array(F.collect_list("limit")).alias("limits")
     )
     tops = pages.groupBy("key").agg(F.sort_array(F.collect_list(F.get("limits", F.lit(0)))).alias("lows"))
     below = lambda values: F.size(F.filter(values, lambda limit: limit < F.col("value")))
-    paged = records.join(broadcast_small(tops, _BROADCAST_PAGES), "key")
+    paged = records.join(few(tops), "key")
     paged = paged.withColumn("page", (below("lows") - 1).cast("bigint")).filter(F.col("page") >= 0)
-    placed = paged.drop("lows").join(broadcast_small(pages, _BROADCAST_PAGES), ["key", "page"])
+    placed = paged.drop("lows").join(few(pages), ["key", "page"])
     # Records above the limits 0 to n, and no other, are in interval n.
     placed = placed.withColumn("n", F.col("base") + below("limits") - 1)
     matches = stored(placed.select("key", "n", spec.row_id, line.alias("line")), "matches")
@@ -139,7 +141,6 @@ def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec
     totals = numbered.join(counts, ["key", "n"], "left").withColumn(
         "total", F.coalesce(F.sum("rows").over(down), F.lit(0))
     )
-    most = numbered.agg(F.max("n")).first()[0] or 0
     levels = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
     first = head_per_group(matches, LISTED, ["key", "n"], [F.col(spec.row_id)]).drop("rank")
     blocks = first.withColumn("level", F.explode(levels)).withColumn(
