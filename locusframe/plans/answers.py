@@ -134,7 +134,9 @@ def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec
     placed = paged.drop("lows").join(few(pages), ["key", "page"])
     # Records above the limits 0 to n, and no other, are in interval n.
     placed = placed.withColumn("n", F.col("base") + below("limits") - 1)
-    matches = stored(placed.select("key", "n", spec.row_id, line.alias("line")), "matches")
+    # Texts are made for the listed records alone, at the end.
+    record = F.struct(*(c for c in records.columns if c not in ("key", "value", spec.row_id)))
+    matches = stored(placed.select("key", "n", spec.row_id, record.alias("record")), "matches")
 
     counts = matches.groupBy("key", "n").agg(F.count("*").alias("rows"))
     down = Window.partitionBy("key").orderBy(F.desc("n"))
@@ -155,11 +157,12 @@ def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec
         .filter((F.col("block") % 2 == 1) | ((F.col("n") == 0) & (F.col("level") == int(most).bit_length())))
     )
     met = parts.select("key", "limit", "level", "block").join(
-        heads.select("key", "level", F.col("block").cast("bigint").alias("block"), spec.row_id, "line"),
+        heads.select("key", "level", F.col("block").cast("bigint").alias("block"), spec.row_id, "record"),
         ["key", "level", "block"],
     )
     listed = head_per_group(met, LISTED, ["key", "limit"], [F.col(spec.row_id)])
-    return totals.select("key", "limit", "total"), listed.select("key", "limit", "rank", "line")
+    listed = listed.select("key", "limit", "rank", "record.*")
+    return totals.select("key", "limit", "total"), listed.select("key", "limit", "rank", line.alias("line"))
 
 
 def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
