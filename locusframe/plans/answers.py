@@ -110,6 +110,14 @@ def _top(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
     )
 
 
+def _paged(records: DataFrame, pages: DataFrame, few, below) -> DataFrame:
+    """Records with the page of limits that their value falls in; none if it is below all."""
+    lows = F.sort_array(F.collect_list(F.get("limits", F.lit(0)))).alias("lows")
+    found = records.join(few(pages.groupBy("key").agg(lows)), "key")
+    found = found.withColumn("page", (below("lows") - 1).cast("bigint")).filter(F.col("page") >= 0)
+    return found.drop("lows").join(few(pages), ["key", "page"])
+
+
 def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec):
     """How many records are above each limit, and the first ones of them.
 
@@ -120,23 +128,24 @@ def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec
     So nothing grows with records times limits, or with limits times limits.
     """
     sorted_limits = Window.partitionBy("key").orderBy("limit")
-    numbered = stored(limits.withColumn("n", F.row_number().over(sorted_limits) - 1), "limits")
+    numbered = limits.withColumn("n", F.row_number().over(sorted_limits) - 1)
     many, most = numbered.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
     few = (lambda df: F.broadcast(df)) if many <= _BROADCAST_LIMITS else (lambda df: df)
     page = F.floor(F.col("n") / _PAGE)
     pages = numbered.groupBy("key", page.alias("page")).agg(
         F.min("n").alias("base"), F.sort_array(F.collect_list("limit")).alias("limits")
     )
-    tops = pages.groupBy("key").agg(F.sort_array(F.collect_list(F.get("limits", F.lit(0)))).alias("lows"))
     below = lambda values: F.size(F.filter(values, lambda limit: limit < F.col("value")))
-    paged = records.join(few(tops), "key")
-    paged = paged.withColumn("page", (below("lows") - 1).cast("bigint")).filter(F.col("page") >= 0)
-    placed = paged.drop("lows").join(few(pages), ["key", "page"])
+    if most < _PAGE:
+        # Every key has one page.
+        placed = records.join(few(pages), "key")
+    else:
+        placed = _paged(records, pages, few, below)
     # Records above the limits 0 to n, and no other, are in interval n.
-    placed = placed.withColumn("n", F.col("base") + below("limits") - 1)
+    placed = placed.withColumn("n", F.col("base") + below("limits") - 1).filter(F.col("n") >= 0)
     # Texts are made for the listed records alone, at the end.
     record = F.struct(*(c for c in records.columns if c not in ("key", "value", spec.row_id)))
-    matches = stored(placed.select("key", "n", spec.row_id, record.alias("record")), "matches")
+    matches = placed.select("key", "n", spec.row_id, record.alias("record"))
 
     counts = matches.groupBy("key", "n").agg(F.count("*").alias("rows"))
     down = Window.partitionBy("key").orderBy(F.desc("n"))
@@ -293,7 +302,9 @@ def answer_by_rules(
 
     A question about a group that names no number has one empty line.
     """
-    # Every kind of answer reads the routed questions.
+    # The records are read once; every kind of answer reads the columns that answers show.
+    shown = {spec.row_id, *(f for f in spec.types() if f not in (spec.flag, spec.category))}
+    records = stored(records.select(*(c for c in records.columns if c in shown)), "records")
     routed = stored(routed_questions(questions, literal), "routed")
 
     def of(intent: str) -> DataFrame:
