@@ -130,6 +130,53 @@ def test_similar_documents_are_linked_and_others_are_not(documents):
     assert all(got[n] == n for n in range(0, 240, 2))
 
 
+def edited(rng, vocabulary, words, least, most):
+    """A copy with scattered edits whose similarity is from `least` to below `most`."""
+    copy = list(words)
+    while True:
+        similarity = jaccard(" ".join(words), " ".join(copy))
+        if similarity < most:
+            return " ".join(copy) if similarity >= least else None
+        copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+
+
+def test_pairs_below_the_similarity_are_not_linked(documents):
+    rng = random.Random(18)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(900)]
+    docs = {}
+    for n in range(0, 240, 2):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(120, 500))]
+        copy = edited(rng, vocabulary, words, 0.6, 0.65 + 0.15 * (n / 240))
+        if copy:
+            docs[n], docs[n + 1] = " ".join(words), copy
+    assert len(docs) > 200
+    assert all(0.6 <= jaccard(docs[n], docs[n + 1]) < 0.8 for n in docs if n % 2 == 0)
+    got = {r.id: r.component["id"] for r in simhash.similar_documents(documents(list(docs.items()))).collect()}
+    assert all(got[n] == n for n in docs)
+
+
+@pytest.mark.parametrize("sets", [512, 7])
+def test_groups_of_candidates_are_compared_exactly(documents, monkeypatch, sets):
+    monkeypatch.setattr(simhash, "SETS", sets)
+    rng = random.Random(28)
+    base = [str(rng.randrange(500)) for _ in range(200)]
+    texts = [" ".join(base)]
+    for _ in range(59):
+        words = rng.choice(texts).split()
+        for _ in range(rng.randint(1, 9)):
+            words[rng.randrange(len(words))] = str(rng.randrange(500))
+        texts.append(" ".join(words))
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert 1 < len(set(root)) < len(texts)
+    out = simhash.similar_documents(documents(list(enumerate(texts)))).collect()
+    assert {r.id: r.component["id"] for r in out} == dict(enumerate(root))
+
+
 def test_first_of_each_keeps_one_row_per_class(documents):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (None, "q r s"), (5, "t u v")]
     docs = documents(rows)
