@@ -177,6 +177,32 @@ def test_groups_of_candidates_are_compared_exactly(documents, monkeypatch, sets)
     assert {r.id: r.component["id"] for r in out} == dict(enumerate(root))
 
 
+def test_added_and_cut_blocks_are_found(documents):
+    rng = random.Random(38)
+    docs = {}
+    for n in range(0, 800, 2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        block = [f"n{rng.randrange(10**6)}" for _ in range(rng.randint(30, 46))]
+        at = rng.choice([0, 200, rng.randrange(200)])
+        pair = [" ".join(words), " ".join(words[:at] + block + words[at:])]
+        assert 0.78 < jaccard(*pair) < 0.9
+        rng.shuffle(pair)
+        if jaccard(*pair) >= 0.8:
+            docs[n], docs[n + 1] = pair
+    assert len(docs) > 600
+    got = {r.id: r.component["id"] for r in simhash.similar_documents(documents(list(docs.items()))).collect()}
+    assert all(got[n + 1] == n for n in docs if n % 2 == 0)
+
+
+def test_bands_find_all_pairs_of_the_similarity():
+    rng = np.random.default_rng(4)
+    for size in (9, 90, 900):
+        for _ in range(1500):
+            values = rng.integers(0, 1 << 64, size + size // 9, np.uint64)
+            a, b = values[:size], values[size // 9 :]
+            assert (simhash.band_keys(a) == simhash.band_keys(b)).any()
+
+
 def test_first_of_each_keeps_one_row_per_class(documents):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (None, "q r s"), (5, "t u v")]
     docs = documents(rows)
