@@ -52,7 +52,6 @@ def _encoders(vocabulary: str, folder: str | None):
 
     place = (lambda name: f"{folder}/{name}") if folder else public_tokenizers.path
     slow = Tokenizer.from_file(str(place(f"{vocabulary}.json")))
-    slow.encode_special_tokens = True
     with open(place(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding(
@@ -61,11 +60,29 @@ def _encoders(vocabulary: str, folder: str | None):
     return slow, fast
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A long text in parts; no token spans a single space between two letters or digits."""
-    start = 0
+@lru_cache(maxsize=2)
+def _added(vocabulary: str, folder: str | None) -> re.Pattern | None:
+    """The literals of the added tokens, which only the tokenizer itself turns into one id."""
+    slow, _ = _encoders(vocabulary, folder)
+    literals = sorted((t.content for t in slow.get_added_tokens_decoder().values()), key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, literals))) if literals else None
+
+
+def _parts(text: str, added: re.Pattern | None = None) -> Iterator[str]:
+    """A long text in parts; no token spans a single space between two letters or digits.
+
+    Nor is a text cut inside or beside a literal of `added`.
+    """
+    taken = [m.span() for m in added.finditer(text)] if added and len(text) > PART_CHARS else []
+    start = at = 0
     while len(text) - start > PART_CHARS:
         found = _CUT.search(text, start + PART_CHARS)
+        while found:
+            while at < len(taken) and taken[at][1] < found.start():
+                at += 1
+            if at == len(taken) or found.end() < taken[at][0]:
+                break
+            found = _CUT.search(text, max(found.end(), taken[at][1] + 1))
         if not found:
             break
         yield text[start : found.start()]
@@ -76,9 +93,10 @@ def _parts(text: str) -> Iterator[str]:
 def token_ids(text: str, vocabulary: str = VOCABULARY, folder: str | None = None) -> np.ndarray:
     """Ids of a text and the end id."""
     slow, fast = _encoders(vocabulary, folder)
+    added = _added(vocabulary, folder)
     ids = []
-    for part in _parts(text):
-        if _PLAIN.fullmatch(part):
+    for part in _parts(text, added):
+        if _PLAIN.fullmatch(part) and not (added and added.search(part)):
             found = fast.encode_ordinary(part)
         else:
             found = slow.encode(part, add_special_tokens=False).ids

@@ -28,6 +28,29 @@ def test_long_text_is_cut_without_changing_ids(monkeypatch):
     assert whole == [*slow.encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_added_tokens_are_encoded_as_the_tokenizer_does(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(str(public_tokenizers.path(f"{packing.VOCABULARY}.json")))
+    own = lambda text: [*fresh.encode(text, add_special_tokens=False).ids, 0]
+    texts = ["end of doc <|endoftext|> next", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext |>", "日 <|endoftext|>\n本",
+             "one two <|endoftext|> three four<|endoftext|>five six " * 30]
+    assert own(texts[0])[4] == 50256
+    for chars in (packing.PART_CHARS, 5, 9):
+        monkeypatch.setattr(packing, "PART_CHARS", chars)
+        for text in texts:
+            assert packing.token_ids(text).tolist() == own(text)
+
+
+def test_cuts_leave_added_tokens_with_spaces_whole():
+    text = "ab cd ef gh ij" * (packing.PART_CHARS // 7)
+    added = packing.re.compile("cd ef")
+    parts = list(packing._parts(text, added))
+    assert "".join(parts) == text and len(parts) > 1
+    assert sum(len(added.findall(p)) for p in parts) == len(added.findall(text))
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_fill_places_everything_within_capacity(cut):
     rng = random.Random(4)
