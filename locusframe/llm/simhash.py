@@ -50,7 +50,7 @@ GENERATOR = 0b101011100011
 MIXERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
 
 # Two sets of Jaccard similarity J share a minimum with probability J, so they share none of the
-# bands with probability (1 - J ** BAND_ROWS) ** BANDS: 4e-8 at 0.8, 8e-11 at 0.85.
+# bands with probability (1 - J ** BAND_ROWS) ** BANDS: 5e-8 at 0.8, 6e-11 at 0.85.
 BANDS, BAND_ROWS = 32, 4
 _rng = np.random.default_rng(SEED)
 _MINIMA = _rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)

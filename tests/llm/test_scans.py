@@ -104,6 +104,27 @@ def test_slots_that_disagree_do_not_count(documents, spark):
     assert [r.id for r in rows] == [1]
 
 
+def test_one_disagreeing_slot_drops_only_its_windows(documents, benchmark, spark):
+    once = ITEM.replace("does Tom", "does Ann")
+    mixed = once.replace("12 red", "30 red")
+    opener = "The " + SECOND.split(" ", 1)[1].replace("river", "stream") + " The bridge that spans it was built of grey stone by men who lived far away."
+    other = opener.replace("The bridge", "One bridge")
+    rows = decontaminate.leaks(documents([(1, once), (2, mixed)]), benchmark).collect()
+    by_id = {r.id: r for r in rows}
+    assert set(by_id) == {1, 2}
+    # The eight windows with the second name are lost, and the five tokens only they have.
+    assert by_id[1].coverage == 19 / 24 and by_id[1].changed_slots == 0
+    assert by_id[2].changed_slots == 1
+    one = spark.createDataFrame([(1, opener)], "item_id long, text string")
+    assert [r.id for r in decontaminate.leaks(documents([(1, other)]), one).collect()] == [1]
+    # A value exchanged twice and once by another: the windows of the odd one are lost.
+    item = " ".join(f"Tom {' '.join(f'w{i}{c}' for c in 'abcdefghi')}".replace("w", "v").replace("0", "o").replace("1", "i").replace("2", "z") for i in range(3))
+    copy = item.replace("Tom", "Ann", 2).replace("Tom", "Bob")
+    one = spark.createDataFrame([(1, item)], "item_id long, text string")
+    (row,) = decontaminate.leaks(documents([(1, copy)]), one).collect()
+    assert row.coverage > 0.9 and row.changed_slots == 2
+
+
 def test_stripes_give_the_same(documents, benchmark):
     docs = documents([(1, ITEM), (2, SECOND), (2, SECOND), (None, SECOND), (3, "nothing")])
     key = lambda r: str(tuple(r))
