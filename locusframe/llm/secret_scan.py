@@ -3,7 +3,8 @@
 Three base kinds are found by their spelling. Every longer run of base64 or hex characters is
 decoded as well, and reported only if its bytes have the structure of a secret: a DER key
 whose nested lengths fit, an OpenSSH key whose length-prefixed fields fit, or a signed token
-whose header names an algorithm.
+whose header names an algorithm. A run goes on over line breaks, real or escaped, and a key may
+start anywhere in it. Base64 of a PEM file is decoded and searched like a text.
 """
 
 import base64
@@ -11,6 +12,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,12 +36,32 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
 
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+# A line break, real or escaped (also more than once), and the indent after it.
+_BREAK = r"(?:\r?\n|\\++(?:r\\++)?n)[ \t]*+"
 PEM = re.compile(
-    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|-(?!----))*+)-----END \1-----"
+    r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s:,]|\\++[nrt/]|-(?!----))*+)-----END \1-----"
+)
+_ESCAPE = re.compile(r"\\+([nrt/])")
+# The first line of a run has 16 characters or more; a key has at least 48 bytes.
+ENCODED = re.compile(rf"[A-Za-z0-9+/_-]{{16,}}+(?:{_BREAK}[A-Za-z0-9+/_-]++)*+={{0,2}}")
+HEXES = re.compile(rf"(?<![0-9A-Fa-f])[0-9A-Fa-f]{{16,}}+(?:{_BREAK}[0-9A-Fa-f]++)*+")
+LEAST = 32
+_BREAKS = re.compile(_BREAK)
+# Where a key can start: a DER sequence, an OpenSSH key, or "-----BEGIN " at each of three offsets.
+DER_START = re.compile(r"(?=M[A-H]|MI[G-P])")
+DER_HEAD = re.compile(
+    rb"\x30(?:[\x00-\x7f]|\x81.|\x82..|\x83...|\x84....)(?:\x02\x01|\x30(?:[\x00-\x7f]|\x81.|\x82..)\x06)", re.DOTALL
+)
+HEX_START = re.compile(
+    r"(?=30(?:[0-7].|81..|82.{4}|83.{6}|84.{8})(?:0201|30(?:[0-7].|81..|82.{4})06)|6f70656e7373682d6b65792d763100)"
 )
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-HEXES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 OPENSSH_MAGIC = b"openssh-key-v1\0"
+OPENSSH_START = base64.b64encode(OPENSSH_MAGIC).decode()
+# The characters that a PEM heading fixes, and how many bytes of its group are before it.
+PEM_STARTS = [
+    (base64.b64encode(b"\0" * k + b"-----BEGIN ").decode()[-(-8 * k // 6) : (k + 11) * 8 // 6], -(-8 * k // 6))
+    for k in range(3)
+]
 # Object identifiers of key algorithms: RSA, EC, DSA, X25519, X448, Ed25519, Ed448.
 KEY_OIDS = {
     bytes.fromhex(x)
@@ -100,7 +122,7 @@ def is_der_key(data: bytes) -> bool:
 
 def is_openssh_key(data: bytes) -> bool:
     """Whether `data` is an OpenSSH private key whose length-prefixed fields fit."""
-    if not data.startswith(OPENSSH_MAGIC):
+    if data[: len(OPENSSH_MAGIC)] != OPENSSH_MAGIC:
         return False
     at = len(OPENSSH_MAGIC)
 
@@ -157,32 +179,89 @@ def confirmed_spans(text: str) -> Iterator[tuple[int, int, str]]:
     for m in TOKEN.finditer(text):
         if is_signed_token(m[0]):
             yield m.start(), m.end(), "token"
-    inside: list[tuple[int, int]] = []
-    if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            lines = [line for line in m[2].split("\n") if ":" not in line]
-            data = _decoded("".join("".join(lines).split()))
-            # A key with a cipher header is encrypted: only its length can be checked.
-            sealed = "Proc-Type:" in m[2] and data and len(data) % 8 == 0
-            if data and (sealed or is_der_key(data) or is_openssh_key(data)):
-                inside.append(m.span())
-                yield m.start(), m.end(), "pem"
-    free = lambda m: not any(a <= m.start() and m.end() <= b for a, b in inside)
-    for m in ENCODED.finditer(text):
-        # Both structures begin with a byte that fixes the first base64 character.
-        if m[0][0] in "Mb" and free(m):
-            data = _decoded(m[0])
-            if data and is_openssh_key(data):
-                yield m.start(), m.end(), "openssh"
-            elif data and is_der_key(data):
-                yield m.start(), m.end(), "der"
-    for m in HEXES.finditer(text):
-        if m[0][:2] in ("30", "6f") and free(m):
-            data = bytes.fromhex(m[0])
-            if is_openssh_key(data):
-                yield m.start(), m.end(), "openssh"
-            elif is_der_key(data):
-                yield m.start(), m.end(), "der"
+    inside = list(pem_spans(text))
+    yield from ((start, end, "pem") for start, end in inside)
+    free = lambda start, end: not any(a <= start and end <= b for a, b in inside)
+    for pattern, search in ((ENCODED, _encoded_keys), (HEXES, _hex_keys)):
+        for m in pattern.finditer(text):
+            run = m[0]
+            if len(run) < LEAST:
+                continue
+            # The run without its breaks, and for its pieces their places there and in the text.
+            pieces, places, at, size = [], [], 0, 0
+            for gap in [*_BREAKS.finditer(run), None] if "\n" in run or "\\" in run else [None]:
+                piece = run[at : gap.start() if gap else len(run)]
+                pieces.append(piece)
+                places.append((size, m.start() + at))
+                size += len(piece)
+                at = gap.end() if gap else at
+            here = lambda i: (p := places[bisect_right(places, (i, len(text))) - 1])[1] + i - p[0]
+            reached = 0
+            for start, end, kind in search("".join(pieces)):
+                if start >= reached and free(here(start), here(end - 1) + 1):
+                    reached = end
+                    yield here(start), here(end - 1) + 1, kind
+
+
+def pem_spans(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of confirmed PEM blocks."""
+    if "PRIVATE KEY-----" not in text:
+        return
+    for m in PEM.finditer(text):
+        body = _ESCAPE.sub(lambda e: "/" if e[1] == "/" else "\n", m[2])
+        lines = [line for line in body.split("\n") if ":" not in line]
+        data = _decoded("".join("".join(lines).split()))
+        # A key with a cipher header is encrypted: only its length can be checked.
+        sealed = "Proc-Type:" in m[2] and data and len(data) % 8 == 0
+        if data and (sealed or is_der_key(data) or is_openssh_key(data)):
+            yield m.span()
+
+
+def _encoded_keys(run: str) -> Iterator[tuple[int, int, str]]:
+    """Keys that start anywhere in a base64 run without breaks, in order of start."""
+    starts = {m.start(): "der" for m in DER_START.finditer(run)}
+    starts.update((m.start(), "openssh") for m in re.finditer(OPENSSH_START, run))
+    for needle, before in PEM_STARTS:
+        starts.update((m.start() - before, "pem") for m in re.finditer(re.escape(needle), run) if m.start() >= before)
+    phases: dict[int, bytes] = {}
+    done = 0
+    for start, kind in sorted(starts.items()):
+        if start < done:
+            continue
+        if kind == "der" and not DER_HEAD.match(_decoded(run[start : start + 16]) or b""):
+            continue
+        # The run is decoded once for each place in a group of four characters.
+        phase = start % 4
+        if phase not in phases:
+            phases[phase] = _decoded(run[phase:]) or b""
+        data = memoryview(phases[phase])[(start - phase) // 4 * 3 :]
+        end = None
+        if kind == "der" and is_der_key(data):
+            end = start + -(-_item(data, 0, len(data))[2] // 3) * 4
+        elif kind == "openssh" and is_openssh_key(data):
+            end = len(run)
+        elif kind == "pem":
+            for _, last in pem_spans(bytes(data).decode("latin-1")):
+                end = start + -(-last // 3) * 4
+        if end is not None:
+            done = min(end, len(run))
+            yield start, done, kind
+
+
+def _hex_keys(run: str) -> Iterator[tuple[int, int, str]]:
+    """Keys that start anywhere in a hex run without breaks, in order of start."""
+    run = run.lower()
+    phases: dict[int, bytes] = {}
+    for m in HEX_START.finditer(run):
+        start = m.start()
+        phase = start % 2
+        if phase not in phases:
+            phases[phase] = bytes.fromhex(run[phase : len(run) - (len(run) - phase) % 2])
+        data = memoryview(phases[phase])[(start - phase) // 2 :]
+        if is_openssh_key(data):
+            yield start, len(run), "openssh"
+        elif is_der_key(data):
+            yield start, start + 2 * _item(data, 0, len(data))[2], "der"
 
 
 def spans(text: str | None) -> list[tuple[int, int, str]]:

@@ -67,6 +67,25 @@ def test_confirmed_spans(documents):
     assert secret_scan.digest("") == hashlib.sha256(b"").hexdigest()
 
 
+def test_keys_behind_breaks_escapes_and_encodings():
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    ssh = secret_scan.OPENSSH_MAGIC + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(b"p" * 51) + field(b"s" * 90)
+    wrapped = base64.encodebytes(RSA).decode()
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{wrapped}-----END RSA PRIVATE KEY-----\n"
+    plain = base64.b64encode(RSA).decode()
+    kinds = lambda text: [k for _, _, k in secret_scan.confirmed_spans(text)]
+    assert kinds(json.dumps({"private_key": pem})) == ["pem"]
+    assert kinds(json.dumps(json.dumps({"private_key": pem}))) == ["pem"]
+    assert kinds(json.dumps({"key": "\n" + wrapped})) == ["der"]
+    assert kinds(f"key:\n{wrapped}") == kinds(f"abcdefghijklmnopq{plain}") == ["der"]
+    for before in ("", "#", "##"):
+        assert kinds("tls.key: " + base64.b64encode((before + pem).encode()).decode()) == ["pem"]
+    assert kinds("x " + ssh.hex().upper()) == ["openssh"]
+    assert kinds(f"key:\n{base64.encodebytes(RSA[:-9]).decode()}") == kinds(base64.b64encode(pem.replace("M", "N").encode()).decode()) == []
+    text = f"a {plain} b"
+    assert [text[a:b] for a, b, _ in secret_scan.confirmed_spans(text)] == [plain]
+
+
 # --- benchmark ------------------------------------------------------------------------
 
 ITEM = "Tom Brown has 12 red apples and gives 5 apples to his sister before lunch. How many apples does Tom keep after 3 days?"
