@@ -21,9 +21,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; a text with nothing left is dropped."""
+    """Texts without later repeated runs of words; a text with nothing left is dropped."""
     cleaned = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    changed = F.col("removed_lines") > 0
+    changed = F.col("removed_runs") > 0
     return (
         cleaned.where(~changed | F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
         .withColumn("n_chars", F.when(changed, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))

@@ -1,122 +1,201 @@
-"""Line dedup by winnowing over line hashes.
-
-Lines end at line feeds; a line counts if it has a word. From every line on, the shortest
-run of lines with `min_words` words is a window, and so is the shortest such run that ends
-at it. The smallest line hash of a window is its fingerprint: any run of `min_words` words
-that two places share contains whole windows, and equal windows choose the same line. Only
-windows whose fingerprint occurs at two places go on: they are joined by fingerprint and
-extended both ways to the ends of the window, and equal ones form a group. All members of a
-group but the first, in the order of document and place, are repeated, and their lines are
-deleted. Windows reach back as well as on, so together they cover every repeated run to its
-ends. The first place of every line stays.
-
-Every step is an aggregation, join or window by key. The rows are lines, not pairs of them:
-a passage in a third of all documents costs one row per place and window.
+"""Line dedup by winnowing: later repeated runs of words are deleted.
+
+Line ends differ between copies, and a passage may begin and end inside a line, so hashes are
+taken over lines of eight words, one from every word on, wherever the text breaks. Of every window of
+`min_words` words the smallest of these hashes is the fingerprint. Equal windows choose the same
+hash, so every run of `min_words` words that two places share is guaranteed to share a
+fingerprint. Neighbouring windows of one fingerprint form a group.
+
+Groups of equal windows are joined with their first place, in the order of document and
+position; all other places are repeated as a whole. Where a fingerprint has groups that differ,
+a match ends inside them: there the first places are extended word by word, one window for each
+word, and windows are joined with their first place. The words of all repeated windows are
+deleted, so a match reaches as far both ways as the words agree, into the lines around it.
+
+Every step is an aggregation, join or window by key. The rows are groups, about one for 22
+words, and single windows at the ends of matches; never pairs. A passage in a third of all
+documents costs one row per place, and is extended at its first place only.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import SPACE, count_words, stored
+from locusframe.llm.common import SPACE, stored
 
 MIN_WORDS = 50
+# Words under one hash.
+GRAM = 8
+BLANKS = " \t\n\x0b\f\r"
+DOC = ["rank", "id", "text_hash"]
 
 
-def _identity(docs: DataFrame, id_column: str, text_column: str) -> list:
-    """A document is its id and text: rows that repeat both are one document."""
+def _identity(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
+    """A document is its id and text, in the order of the ids: by number for integer ids, NULL last."""
+    kind = dict(docs.dtypes)[id_column]
+    name = F.col(id_column)
+    rank = name.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(name.isNotNull(), F.lit(0))
     return [
-        F.col(id_column).cast("string").alias("id"),
+        F.coalesce(rank, F.lit((1 << 63) - 1)).cast("bigint").alias("rank"),
+        name.cast("string").alias("id"),
         F.xxhash64(F.col(text_column)).alias("text_hash"),
     ]
 
 
-def _order(id_column: str, docs: DataFrame):
-    """Documents in the order of their ids: by number for integer ids, NULL last."""
-    kind = dict(docs.dtypes)[id_column]
-    name = F.col(id_column)
-    rank = name.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.lit(0)
-    return F.coalesce(rank, F.lit((1 << 63) - 1)).cast("bigint").alias("rank")
-
-
-def line_units(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """One row per line with a word: its place, hash and running word offsets."""
-    words = lambda line: F.size(F.split(F.regexp_replace(line, f"^{SPACE}+|{SPACE}+$", ""), f"{SPACE}+"))
-    has_word = f"[^{SPACE[1:-1]}]"
-    lines = F.transform(
-        F.split(F.col("text"), "\n", -1),
-        lambda line, i: F.struct(
-            i.alias("line"),
-            F.xxhash64(line).alias("h"),
-            F.when(line.rlike(has_word), words(line)).otherwise(0).alias("words"),
-        ),
+def _zipped(df: DataFrame, out: str, name: str, shift: int, of) -> DataFrame:
+    """Add `out`: each value of the array `name` combined with the one `shift` places on."""
+    values = F.col(name)
+    return df.withColumn(out, F.zip_with(values, F.slice(values, shift + 1, F.size(values)), of))
+
+
+def _grown(df: DataFrame, name: str, out: str, have: int, want: int, of) -> DataFrame:
+    """Values over `have` neighbours become values over `want`, by doubling; overlaps do no harm."""
+    while have < want:
+        shift = min(have, want - have)
+        df = _zipped(df, out, name, shift, of)
+        name, have = out, have + shift
+    return df
+
+
+def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
+    """`grams` (a hash for every eight words) and `windows` (one for every `min_words`) of each text."""
+    words = F.split(F.btrim("text", F.lit(BLANKS)), f"{SPACE}+")
+    df = docs.withColumn("grams", F.transform(words, lambda w: F.xxhash64(w)))
+    df = df.where(F.size("grams") >= min_words).withColumn("count", F.size("grams") - min_words + 1)
+    both = lambda x, y: F.xxhash64(x, y)
+    df = _grown(df, "grams", "grams", 1, min(GRAM, min_words), both)
+    df = _grown(df.withColumn("windows", F.col("grams")), "windows", "windows", min(GRAM, min_words), min_words, both)
+    return df.withColumn("windows", F.slice("windows", 1, F.col("count")))
+
+
+def window_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Runs of neighbouring windows with one fingerprint, of `(rank, id, text_hash, text)`.
+
+    `start` is the first word, `windows` the number of windows, `whole` the hash of them all, and
+    `loops` tells that some of them are equal.
+    """
+    df = _hashes(docs, min_words)
+    gram = min(GRAM, min_words)
+    df = _grown(df.withColumn("least", F.col("grams")), "least", "least", 1, min_words - gram + 1, lambda x, y: F.least(x, y))
+    df = df.withColumn("least", F.slice("least", 1, F.col("count"))).select(*DOC, "count", "least", "windows")
+    # A group begins where the fingerprint differs from the one before.
+    before = F.concat(F.array(F.bitwise_not(F.get("least", F.lit(0)))), F.slice("least", 1, F.col("count") - 1))
+    changes = F.zip_with("least", before, lambda x, y: F.when(x != y, x))
+    begins = F.filter(
+        F.transform(changes, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("start"), x.alias("fingerprint")))),
+        lambda x: x.isNotNull(),
     )
-    rows = (
-        docs.select(
-            *_identity(docs, id_column, text_column),
-            _order(id_column, docs),
-            F.col(text_column).alias("text"),
-        )
-        .where("text IS NOT NULL")
-        .select("id", "text_hash", "rank", F.explode(F.filter(lines, lambda x: x["words"] > 0)).alias("unit"))
+    df = df.withColumn("begins", begins)
+    end = F.struct(F.col("count").alias("start"), F.lit(0).cast("bigint").alias("fingerprint"))
+    following = F.concat(F.slice("begins", 2, F.size("begins")), F.array(end))
+    groups = F.zip_with(
+        "begins", following,
+        lambda a, b: F.struct(a["start"].alias("start"), (b["start"] - a["start"]).alias("windows"), a["fingerprint"].alias("fingerprint")),
+    )
+    # The windows are bound once by the outer transform; the inner one takes slices of them.
+    bound = F.array(F.struct(groups.alias("groups"), F.col("windows").alias("all")))
+    cut = F.transform(
+        bound,
+        lambda b: F.transform(
+            b["groups"],
+            lambda g: F.struct(g.alias("g"), F.slice(b["all"], g["start"] + 1, g["windows"]).alias("own")),
+        ),
     )
-    # Repeated rows give equal units; one of each is enough.
-    return rows.select("id", "text_hash", "rank", "unit.*")
+    loops = F.size(F.array_distinct("part.own")) < F.size("part.own")
+    parts = df.select(*DOC, F.explode(F.element_at(cut, 1)).alias("part"))
+    return parts.select(*DOC, "part.g.*", F.xxhash64("part.own").alias("whole"), loops.alias("loops"))
+
+
+def _repeats(places: DataFrame, firsts: DataFrame, on: list[str], min_words: int) -> DataFrame:
+    """The words `begin` to `end` of places that come after the first one of their key.
+
+    A run that repeats itself overlaps its first place, whose words stay.
+    """
+    place = F.struct(*DOC, "start")
+    joined = places.join(firsts.select(*on, "first"), on).where(place > F.col("first"))
+    same = F.lit(True)
+    for name in DOC:
+        same = same & F.col(name).eqNullSafe(F.col("first")[name])
+    begin = F.when(same, F.greatest("start", F.col("first")["start"] + min_words)).otherwise(F.col("start"))
+    end = F.col("start") + F.col("windows") + min_words - 1
+    return joined.select(*DOC, begin.alias("begin"), end.alias("end")).where("begin < end")
 
 
-def repeated_lines(
+def repeated_runs(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """Lines that belong to a later repeated run: `(id, text_hash, lines)` per document.
+    """Words that belong to a later repeated run: `(rank, id, text_hash, runs)` per document.
 
-    `lines` has the 0-based numbers of the lines to delete, sorted.
+    `runs` has the 0-based words `begin` to `end` (not included), sorted and disjoint.
     """
-    doc = ["id", "text_hash", "rank"]
-    units = line_units(docs, id_column, text_column).distinct()
-    along = Window.partitionBy(*doc).orderBy("line")
-    units = units.withColumn("stop", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    units = units.withColumn("start", F.col("stop") - F.col("words"))
-    ahead = Window.partitionBy(*doc).orderBy("start").rangeBetween(0, min_words - 1)
-    back = Window.partitionBy(*doc).orderBy("stop").rangeBetween(-(min_words - 1), 0)
-
-    def window(over: Window):
-        return F.struct(
-            F.min("line").over(over).alias("first"),
-            F.max("line").over(over).alias("last"),
-            F.sum("words").over(over).alias("words"),
-            F.min("h").over(over).alias("fingerprint"),
-            F.xxhash64(F.collect_list("h").over(over)).alias("content"),
-        )
-
-    windows = (
-        units.select(*doc, window(ahead).alias("ahead"), window(back).alias("back"))
-        .select(*doc, F.explode(F.array("ahead", "back")).alias("w"))
-        .select(*doc, "w.*")
-        .where(F.col("words") >= min_words)
-        .distinct()
+    texts = docs.select(*_identity(docs, id_column, text_column), F.col(text_column).cast("string").alias("text"))
+    texts = texts.where("text IS NOT NULL")
+    groups = stored(window_groups(texts, min_words), "window-groups")
+    place = F.struct(*DOC, "start")
+    wholes = stored(
+        groups.groupBy("fingerprint", "whole").agg(
+            F.min(place).alias("first"),
+            F.first("windows").alias("windows"),
+            F.first("loops").alias("loops"),
+            F.count("*").alias("places"),
+        ),
+        "equal-groups",
     )
-    windows = stored(windows, "line-windows")
-    place = F.struct("rank", "id", "text_hash", "first")
-    # Positions joined by fingerprint: those at one place only have no partner.
-    met = (
-        windows.groupBy("fingerprint")
-        .agg(F.min(place).alias("low"), F.max(place).alias("high"))
-        .where("low <> high")
-        .select("fingerprint")
+    later = _repeats(groups, wholes.where("places > 1"), ["fingerprint", "whole"], min_words)
+
+    # Groups of one fingerprint that differ may still share some of their windows, and a
+    # text that repeats itself has equal windows in one group.
+    mixed = wholes.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.max("loops").alias("loop"))
+    mixed = mixed.where((F.col("kinds") > 1) | F.col("loop"))
+    ends = wholes.join(mixed, "fingerprint", "left_semi").select("first.*", "windows")
+    asked = ends.groupBy(*DOC).agg(F.collect_list(F.struct("start", "windows")).alias("groups"))
+    asked = asked.select(F.col("rank"), F.col("id").alias("asked_id"), "text_hash", "groups")
+    same = texts["id"].eqNullSafe(asked["asked_id"])
+    found = texts.join(asked, (texts["rank"] == asked["rank"]) & (texts["text_hash"] == asked["text_hash"]) & same)
+    found = _hashes(found.select(texts["rank"], "id", texts["text_hash"], "text", "groups"), min_words)
+    bound = F.array(F.struct("groups", F.col("windows").alias("all")))
+    cut = F.transform(
+        bound,
+        lambda b: F.flatten(
+            F.transform(
+                b["groups"],
+                lambda g: F.transform(
+                    F.slice(b["all"], g["start"] + 1, g["windows"]),
+                    lambda w, i: F.struct((g["start"] + i).alias("start"), w.alias("window")),
+                ),
+            )
+        ),
     )
-    candidates = windows.join(met, "fingerprint", "left_semi")
-    # Extended to both ends of the window, places agree if all lines between agree.
-    whole = (
-        candidates.groupBy("fingerprint", "content")
-        .agg(F.min(place).alias("original"), F.max(place).alias("high"))
-        .where("original <> high")
-        .select("fingerprint", "content", "original")
+    single = found.select(*DOC, F.explode(F.element_at(cut, 1)).alias("w")).select(*DOC, "w.*", F.lit(1).alias("windows"))
+    single = stored(single, "single-windows")
+    firsts = single.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    extended = _repeats(single, firsts.where("first <> last"), ["window"], min_words)
+
+    # Overlapping repeats become one run.
+    along = Window.partitionBy(*DOC).orderBy("begin", "end")
+    reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    runs = later.union(extended).distinct().withColumn("new", F.coalesce(F.col("begin") > reached, F.lit(True)))
+    runs = runs.withColumn("run", F.sum(F.col("new").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*DOC, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
+
+
+def _without(text: Column, runs: Column) -> Column:
+    """A text without some words and the white space before them."""
+    space, word = SPACE[1:-1], f"[^{SPACE[1:-1]}]"
+    words = F.regexp_extract_all(text, F.lit(f"[{space}]*{word}+"), F.lit(0))
+    begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    ends = F.concat(F.transform(runs, lambda r: r["begin"]), F.array(F.lit((1 << 31) - 1)))
+    gaps = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("begin"), (b - a).alias("words")))
+    # The words are bound once by the outer transform.
+    bound = F.array(F.struct(words.alias("words"), gaps.alias("gaps")))
+    kept = F.transform(
+        bound, lambda b: F.flatten(F.transform(b["gaps"], lambda g: F.slice(b["words"], g["begin"] + 1, g["words"])))
     )
-    later = candidates.join(whole, ["fingerprint", "content"]).where(place > F.col("original"))
-    lines = later.select("id", "text_hash", F.explode(F.sequence("first", "last")).alias("line"))
-    return lines.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    tail = F.substring(text, F.length(F.rtrim(text, F.lit(BLANKS))) + 1, F.length(text))
+    return F.concat(F.array_join(F.element_at(kept, 1), ""), tail)
 
 
 def dedup_lines(
@@ -125,57 +204,37 @@ def dedup_lines(
     text_column: str = "text",
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """`docs` with later repeated runs of lines deleted from their texts.
-
-    All columns and rows stay; `removed_lines` and `removed_words` are added. NULL and blank
-    texts stay as they are. Rows that repeat an id and a text count as one document and get
-    the same result. Blank lines stay. Lines are equal if all their
-    characters are. Documents without an id come after all others, in the order of their hash.
+    """`docs` with later repeated runs of `min_words` words or more deleted from their texts.
+
+    A word goes if some `min_words` words in a row around it, with any white space between them,
+    occur at an earlier place: in a document of smaller id, or earlier in its own document. There, words
+    of the first place stay. With the word goes the white space before it, so lines that go
+    as a whole leave nothing behind.
+
+    All columns and rows stay; `removed_runs` and `removed_words` are added, in place of columns
+    of this name. NULL texts and those of fewer words stay as they are. Rows that repeat an id and a text
+    count as one document and get the same result. Words are equal if all their characters are.
+    Documents without an id come after all others, in the order of their hash; ids that are no
+    integers come in the order of their text.
     """
-    clashes = {"removed_lines", "removed_words"} & set(docs.columns)
-    base = docs.drop(*clashes)
-    names = [c for c in base.columns]
-    found = repeated_lines(base, id_column, text_column, min_words)
+    base = docs.drop(*{"removed_runs", "removed_words"} & set(docs.columns))
+    names = base.columns
+    found = repeated_runs(base, id_column, text_column, min_words)
     keyed = base.select(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
         *_identity(base, id_column, text_column),
     )
-    joined = keyed.join(
-        found.select(F.col("id").alias("found_id"), F.col("text_hash").alias("found_hash"), "lines"),
-        F.col("id").eqNullSafe(F.col("found_id")) & (F.col("text_hash") == F.col("found_hash")),
-        "left",
-    )
+    found = found.select(*(F.col(c).alias(f"found_{c}") for c in DOC), "runs")
+    same = (F.col("rank") == F.col("found_rank")) & (F.col("text_hash") == F.col("found_text_hash"))
+    joined = keyed.join(found, same & F.col("id").eqNullSafe(F.col("found_id")), "left")
     text = F.col("row").getField(text_column)
-    gone = F.coalesce("lines", F.array().cast("array<int>"))
-
-    has_word = f"[^{SPACE[1:-1]}]"
-
-    def cleaned(lines):
-        at = lambda i: F.element_at(lines, i + 1)
-        every = F.sequence(F.lit(0), F.size(lines) - 1)
-        full = F.filter(gone, lambda i: at(i).rlike(has_word))
-        kept = F.array_except(every, full)
-        return F.struct(
-            F.array_join(F.transform(kept, at), "\n").alias("text"),
-            (F.size(lines) - F.size(kept)).alias("removed"),
-        )
-
-    # The lines are bound once by the outer transform; the inner one looks them up by number.
-    left = F.element_at(F.transform(F.array(F.split(text, "\n", -1)), cleaned), 1)
-    rows = joined.select("row", F.when(F.size(gone) > 0, left).alias("left"))
-    rows = rows.select(
-        "row",
-        F.coalesce(F.col("left")["removed"], F.lit(0)).alias("removed"),
-        F.coalesce(F.col("left")["text"], F.col("row").getField(text_column)).alias("cleaned"),
-    )
-    removed = F.when(
-        F.col("removed") > 0, count_words(F.col("row").getField(text_column)) - count_words(F.col("cleaned"))
-    ).otherwise(0)
+    rows = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _without(text, F.col("runs"))).alias("left"))
+    gone = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["begin"])
     return rows.select(
         *(
-            (F.col("cleaned") if c == text_column else F.col("row").getField(c)).alias(c)
+            (F.coalesce("left", text) if c == text_column else F.col("row").getField(c)).alias(c)
             for c in names
         ),
-        F.col("removed").alias("removed_lines"),
-        removed.alias("removed_words"),
+        F.coalesce(F.size("runs"), F.lit(0)).alias("removed_runs"),
+        F.coalesce(gone, F.lit(0)).alias("removed_words"),
     )

@@ -62,52 +62,116 @@ def test_ablation_counts_by_bits(spark):
     assert judged.where(quality_rules.passes(judged["failed"], 1)).count() == 1
 
 
-def brute_lines(docs, least):
-    """Lines to delete: those in a run of `least` words that occurs at an earlier place."""
-    units = {}
-    for doc, text in docs.items():
-        units[doc] = [(i, x, len(words_of(x))) for i, x in enumerate(text.split("\n")) if words_of(x)]
-    places = defaultdict(list)
-    for doc in sorted(units):
-        u = units[doc]
-        for a in range(len(u)):
-            for b in range(a, len(u)):
-                if sum(x[2] for x in u[a : b + 1]) >= least:
-                    places[tuple(x[1] for x in u[a : b + 1])].append((doc, a, b))
-    gone = defaultdict(set)
-    for found in places.values():
-        first = min(found)
-        for doc, a, b in found:
-            if (doc, a) > first[:2]:
-                gone[doc] |= {units[doc][i][0] for i in range(a, b + 1)}
+def brute_runs(docs, least):
+    """Words to delete of `(order, text)`: those of windows that occur at an earlier place."""
+    units = {key: words_of(text) for key, text in docs}
+    first = {}
+    for key in sorted(units):
+        for i in range(len(units[key]) - least + 1):
+            first.setdefault(tuple(units[key][i : i + least]), (key, i))
+    gone = {key: set() for key in units}
+    for key, words in units.items():
+        for i in range(len(words) - least + 1):
+            other, at = first[tuple(words[i : i + least])]
+            if (other, at) < (key, i):
+                # A run that repeats itself overlaps its first place, whose words stay.
+                begin = max(i, at + least) if other == key else i
+                gone[key] |= set(range(begin, i + least))
     return gone
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_line_dedup_equals_brute_force(documents, seed):
-    rng = random.Random(seed)
-    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(9)] + ["", " "]
-    docs = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for i in range(40)}
-    rows = line_dedup.dedup_lines(documents(list(docs.items())), min_words=6).collect()
-    assert len(rows) == 40
-    gone = brute_lines(docs, 6)
+def without(text, gone):
+    """A text without some words and the white space before them."""
+    parts = re.findall(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r]+", text)
+    tail = text[sum(map(len, parts)) :]
+    return "".join(p for i, p in enumerate(parts) if i not in gone) + tail
+
+
+def check_runs(documents, docs, least):
+    rows = line_dedup.dedup_lines(documents(list(docs.items())).repartition(3), min_words=least).collect()
+    assert len(rows) == len(docs)
+    gone = brute_runs(docs.items(), least)
     for row in rows:
-        lines = docs[row.doc_id].split("\n")
-        assert row.text == "\n".join(x for i, x in enumerate(lines) if i not in gone[row.doc_id])
-        assert row.removed_lines == len(gone[row.doc_id])
-        assert row.removed_words == sum(len(words_of(lines[i])) for i in gone[row.doc_id])
+        key = row.doc_id
+        assert row.text == without(docs[key], gone[key]), (key, docs[key])
+        assert row.removed_words == len(gone[key])
+        assert row.removed_runs == sum(i - 1 not in gone[key] for i in gone[key])
+    return sum(map(len, gone.values()))
 
 
-def test_line_dedup_edge_rows(documents):
+@pytest.mark.parametrize("seed", range(4))
+def test_line_dedup_equals_brute_force(documents, seed):
+    """Word runs across and inside lines, of few words and of few different ones."""
+    rng = random.Random(seed)
+    letters = "abcdefgh"[: 2 + 2 * seed]
+    space = lambda: rng.choice([" ", " ", "\n", "  ", "\t\n", "\x0b"])
+    pool = [[rng.choice(letters) + str(rng.randrange(1 + 40 * seed)) for _ in range(rng.randrange(3, 25))] for _ in range(8)]
+    def text():
+        words = []
+        for _ in range(rng.randrange(6)):
+            part = rng.choice(pool)
+            a = rng.randrange(len(part))
+            words += part[a : a + rng.randrange(1, 20)] if rng.random() < 0.7 else [rng.choice(letters)]
+        return rng.choice(["", " ", "\n"]) + "".join(w + space() for w in words)
+    docs = {i: text() for i in range(60)}
+    for least in (2, 6, 11):
+        assert check_runs(documents, docs, least) > 20
+
+
+def test_runs_that_repeat_themselves(documents):
+    docs = {1: "a " * 300, 2: "a b " * 150, 3: "x " * 20 + "a b " * 40, 4: "a " * 301, 5: "a b c " * 30 + "q " + "a b c " * 40}
+    assert check_runs(documents, docs, 50) > 700
+    assert check_runs(documents, docs, 3) > 900
+
+
+def numbered(name, n):
+    return " ".join(f"{name}{i}" for i in range(n))
+
+
+def test_passages_inside_and_across_lines(documents):
+    """Sixty shared words inside one line, and sixty of which 36 are whole lines."""
+    inside, across = numbered("p", 60), numbered("q", 60).split()
+    broken = "\n".join(" ".join(across[i : i + 12]) for i in range(0, 60, 12))
+    docs = {
+        1: f"{numbered('a', 30)} {inside} {numbered('b', 30)}",
+        2: f"{numbered('c', 20)} {inside} {numbered('d', 20)}",
+        3: f"{numbered('e', 9)} {broken} {numbered('f', 9)}",
+        4: f"{numbered('g', 5)} {broken} {numbered('h', 5)}",
+        5: f"{numbered('i', 5)}\n{' '.join(across[:49])}\n{numbered('j', 5)}",
+    }
+    assert check_runs(documents, docs, 50) == 120
+
+
+def test_a_passage_in_many_documents_is_kept_once(documents):
+    passage = numbered("p", 55)
+    docs = {i: f"{numbered(f'a{i}x', 60)}\n{passage}\n{numbered(f'b{i}x', 60)}" for i in range(400)}
+    rows = line_dedup.dedup_lines(documents(list(docs.items()))).collect()
+    assert sorted(r.doc_id for r in rows if passage in r.text) == [0]
+    assert all(r.removed_words == 55 and r.removed_runs == 1 for r in rows if r.doc_id)
+
+
+def test_line_dedup_edge_rows(spark, documents):
     long = " ".join(f"w{i}" for i in range(60))
-    rows = [(2, long), (1, long), (1, long), (None, long), (None, None), (3, ""), (4, f"head\n{long}\ntail"), (5, "short")]
-    out = line_dedup.dedup_lines(documents(rows)).collect()
+    rows = [(2, long), (1, long), (1, long), (None, long), (None, None), (3, ""), (4, f"head\n{long}\ntail"), (5, "short"), (6, " \n ")]
+    docs = documents(rows, "removed_words long, start string")
+    out = line_dedup.dedup_lines(docs).collect()
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in out), key=str)
     assert len(out) == len(rows)
     assert (False, 1, long) in got and got.count((False, 1, long)) == 2  # one document, given twice
     assert (False, 2, "") in got and (True, 0, "") in got and (True, 0, None) in got
-    assert (False, 4, "head\ntail") in got and (False, 5, "short") in got
+    assert (False, 4, "head\ntail") in got and (False, 5, "short") in got and (False, 6, " \n ") in got
+    assert out[0].start == "x" and {r.doc_id: r.removed_words for r in out}[4] == 60
     assert line_dedup.dedup_lines(documents([])).count() == 0
+    named = spark.createDataFrame([("b", long), ("a", long), (None, long)], "doc_id string, text string")
+    assert {r.doc_id: r.removed_words for r in line_dedup.dedup_lines(named).collect()} == {"a": 0, "b": 60, None: 60}
+
+
+def test_line_dedup_of_a_very_long_text(documents):
+    half = numbered("w", 250_000)
+    out = line_dedup.dedup_lines(documents([(1, f"{half}\nmiddle\n{half}"), (2, f"x {half[:4000]}")])).collect()
+    by_id = {r.doc_id: r for r in out}
+    assert by_id[1].text == f"{half}\nmiddle" and by_id[1].removed_words == 250_000
+    assert by_id[2].text.split()[0] == "x" and len(by_id[2].text.split()) <= 2
 
 
 def test_native_plans_have_no_python(documents):
