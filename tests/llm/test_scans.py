@@ -4,9 +4,7 @@ import json
 import random
 import re
 
-import pytest
-
-from locusframe.llm import decontaminate, license_scan, secret_scan
+from locusframe.llm import license_scan, secret_scan
 
 # --- secrets --------------------------------------------------------------------------
 
@@ -86,74 +84,6 @@ def test_keys_behind_breaks_escapes_and_encodings():
     assert [text[a:b] for a, b, _ in secret_scan.confirmed_spans(text)] == [plain]
 
 
-# --- benchmark ------------------------------------------------------------------------
-
-ITEM = "Tom Brown has 12 red apples and gives 5 apples to his sister before lunch. How many apples does Tom keep after 3 days?"
-SECOND = "The river that crosses the old town carries melted snow from the northern hills every spring until late may."
-
-
-@pytest.fixture
-def benchmark(spark):
-    rows = [(1, ITEM), (2, SECOND), (3, "too short"), (4, None), (5, ""), (None, "also one item without any id but with enough words")]
-    return spark.createDataFrame(rows, "item_id long, text string")
-
-
-def test_leaks_of_all_kinds(documents, benchmark):
-    changed = ITEM.replace("Tom", "Ann").replace("12", "40").replace("5", "7").replace("3 days", "9 hours").replace("Brown", "White")
-    mixed = ITEM.replace("How many apples does Tom", "How many apples does Ann").replace("12 red", "30 red")
-    half = " ".join(SECOND.split()[:12])
-    texts = [None, "", ITEM, f"before {ITEM} after", f"before {changed} after", ITEM.upper(), mixed, half, " ".join(SECOND.split()[:7]),
-             "Words that have nothing to do with any question in the set, 12 of them and Tom.",
-             "x " * 5000 + SECOND, f"{ITEM} {SECOND}"]
-    rows = decontaminate.leaks(documents(list(enumerate(texts))), benchmark).collect()
-    found = {(r.id, r.item_id) for r in rows}
-    assert found >= {(2, 1), (3, 1), (4, 1), (5, 1), (7, 2), (10, 2), (11, 1), (11, 2)}
-    assert not {i for i, _ in found} & {0, 1, 8, 9}
-    by_id = {(r.id, r.item_id): r for r in rows}
-    assert by_id[2, 1].changed_slots == 0 and by_id[4, 1].changed_slots > 4
-    assert by_id[10, 2].first_token == 5000
-
-
-def test_slots_that_disagree_do_not_count(documents, spark):
-    item = "alpha 1 beta 2 gamma 1 delta 2 epsilon 1 zeta 2 eta 1 theta 2 iota 1 kappa"
-    one = spark.createDataFrame([(1, item)], "item_id long, text string")
-    same = item.replace("1", "7").replace("2", "8")
-    random_slots = "alpha 1 beta 3 gamma 4 delta 5 epsilon 6 zeta 7 eta 8 theta 9 iota 3 kappa"
-    rows = decontaminate.leaks(documents([(1, same), (2, random_slots)]), one).collect()
-    assert [r.id for r in rows] == [1]
-
-
-def test_one_disagreeing_slot_drops_only_its_windows(documents, benchmark, spark):
-    once = ITEM.replace("does Tom", "does Ann")
-    mixed = once.replace("12 red", "30 red")
-    opener = "The " + SECOND.split(" ", 1)[1].replace("river", "stream") + " The bridge that spans it was built of grey stone by men who lived far away."
-    other = opener.replace("The bridge", "One bridge")
-    rows = decontaminate.leaks(documents([(1, once), (2, mixed)]), benchmark).collect()
-    by_id = {r.id: r for r in rows}
-    assert set(by_id) == {1, 2}
-    # The eight windows with the second name are lost, and the five tokens only they have.
-    assert by_id[1].coverage == 19 / 24 and by_id[1].changed_slots == 0
-    assert by_id[2].changed_slots == 1
-    one = spark.createDataFrame([(1, opener)], "item_id long, text string")
-    assert [r.id for r in decontaminate.leaks(documents([(1, other)]), one).collect()] == [1]
-    # A value exchanged twice and once by another: the windows of the odd one are lost.
-    item = " ".join(f"Tom {' '.join(f'w{i}{c}' for c in 'abcdefghi')}".replace("w", "v").replace("0", "o").replace("1", "i").replace("2", "z") for i in range(3))
-    copy = item.replace("Tom", "Ann", 2).replace("Tom", "Bob")
-    one = spark.createDataFrame([(1, item)], "item_id long, text string")
-    (row,) = decontaminate.leaks(documents([(1, copy)]), one).collect()
-    assert row.coverage > 0.9 and row.changed_slots == 2
-
-
-def test_stripes_give_the_same(documents, benchmark):
-    docs = documents([(1, ITEM), (2, SECOND), (2, SECOND), (None, SECOND), (3, "nothing")])
-    key = lambda r: str(tuple(r))
-    whole = decontaminate.leaks(docs, benchmark).collect()
-    assert len(whole) == 4
-    assert sorted(map(key, whole)) == sorted(map(key, decontaminate.leaks(docs, benchmark, stripe_bytes=150).collect()))
-    assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
-    assert decontaminate.leaks(documents([]), benchmark).count() == 0
-
-
 # --- licenses -------------------------------------------------------------------------
 
 
