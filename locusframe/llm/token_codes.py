@@ -12,9 +12,9 @@ document may cross segments, never files, and the files follow each other in the
 document ids, so the position of a document in the whole corpus is the ids of all files before
 its own and its start there.
 
-Texts are encoded once, in the tasks that read them; only ids are shuffled. Files are written
-into the shared folder under a name of their attempt, and the manifest of the writing job names
-the ones that count, so files of lost or repeated tasks are never read.
+Texts are sorted over the cluster and encoded once, in the tasks that write the files. Files are
+written into the shared folder under a name of their attempt, and the manifest of the writing job
+names the ones that count, so files of lost or repeated tasks are never read.
 """
 
 import bisect
@@ -41,8 +41,8 @@ END = 2
 CHUNK_BITS = 8
 BLOCK = 512  # positions between two entries of a rank directory
 SEGMENT_IDS = 1 << 20
-# Bytes of ids (four each) that a file should have at most, and below which no further task pays.
-FILE_BYTES, LEAST_FILE_BYTES = 256 << 20, 4 << 20
+# Bytes of the texts that a file should have, and below which no further task pays.
+FILE_BYTES, LEAST_FILE_BYTES = 128 << 20, 4 << 20
 MOST_TASKS = 50_000
 MAGIC = b"ADDRCODE"
 
@@ -325,73 +325,23 @@ class TokenFile:
 # --- the operator ---------------------------------------------------------------------
 
 
-def token_table(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    vocabulary: str = VOCABULARY,
-    end: int = END,
-    folder: str | None = None,
-) -> DataFrame:
-    """`(id, at, part, ids)`: the ids of every row, long texts in several parts, the end id last.
-
-    `at` tells apart rows that share an id. The table is stored, so a text is encoded once.
-    """
-    kind = dict(docs.dtypes)[id_column]
-    names = ["id", "at", "part", "ids"]
-
-    def run(batches):
-        encoder = _encoder(vocabulary, folder)
-        last = np.array([end], "<u4").tobytes()
-        for batch in batches:
-            out, size = [], 0
-
-            def rows():
-                types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.binary()]
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), types)], names=names
-                )
-
-            for key, at, text in zip(*(c for c in batch.columns)):
-                key, at, part, before = key.as_py(), at.as_py(), 0, None
-                for ids in encoder.encode(text.as_py() or ""):
-                    if before is not None:
-                        out.append((key, at, part, before))
-                        part += 1
-                    before, size = ids, size + len(ids)
-                    if size >= 8 << 20:
-                        if out:
-                            yield rows()
-                        out, size = [], 0
-                out.append((key, at, part, (before or b"") + last))
-            if out:
-                yield rows()
-
-    rows = bounded_batches(docs).select(
-        F.col(id_column).alias("id"),
-        F.monotonically_increasing_id().alias("at"),
-        F.col(text_column).cast("string").alias("text"),
-    )
-    return stored(rows.mapInArrow(run, f"id {kind}, at bigint, part bigint, ids binary"), "token-ids")
-
-
-def _written(folder: str, segment_ids: int):
+def _written(folder: str, vocabulary: str, end: int, vocabulary_folder: str | None, segment_ids: int):
     def run(batches):
         system, base = _file_system(folder)
         system.create_dir(base, recursive=True)
+        encoder, last = _encoder(vocabulary, vocabulary_folder), np.array([end], "<u4")
         number = TaskContext.get().partitionId()
         name = f"part-{number:06d}-{uuid.uuid4().hex}.ids"
         stream = writer = None
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            parts = batch.column(1).to_pylist()
-            for key, part, ids in zip(keys, parts, batch.column(2)):
+            for key, text in zip(*batch.columns):
                 if writer is None:
                     stream = system.open_output_stream(f"{base}/{name}", compression=None)
                     writer = TokenFileWriter(stream, segment_ids)
-                if part == 0:
-                    writer.begin(key)
-                writer.append(np.frombuffer(ids.as_buffer(), "<u4"))
+                writer.begin(key.as_py())
+                for ids in encoder.encode(text.as_py() or ""):
+                    writer.append(np.frombuffer(ids, "<u4"))
+                writer.append(last)
         if writer:
             documents, tokens = writer.close()
             stream.close()
@@ -418,27 +368,30 @@ def write_token_files(
 
     The manifest that comes back is stored: `(path, number, documents, tokens, before)`, where
     `before` are the ids of all files of smaller number. Documents lie in ascending order of
-    their id, NULL first; rows that share an id are documents of their own, in table order. A
-    NULL or blank text is the end id alone. Other columns are not read.
+    their id, NULL first; rows that share an id are documents of their own, in the order in which they
+    are read. A NULL or blank text is the end id alone. Other columns are not read.
+
+    A file has the texts of about `file_bytes` bytes. Texts are shuffled once, to the task that
+    encodes and writes them.
     """
-    kind = dict(docs.dtypes)[id_column]
-    table = token_table(docs, id_column, text_column, vocabulary, end, vocabulary_folder)
-    size = table.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0]
-    cores = table.sparkSession.sparkContext.defaultParallelism
+    text = F.col(text_column).cast("string")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    cores = docs.sparkSession.sparkContext.defaultParallelism
     files = max(1, -(-size // file_bytes), min(cores, size // LEAST_FILE_BYTES))
     # Rows of one id are told apart by `at`, so that no id, however frequent, makes a file grow.
     rows = (
-        bounded_batches(table)
+        bounded_batches(docs)
+        .select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("at"), text.alias("text"))
         .repartitionByRange(int(files), "id", "at")
-        .sortWithinPartitions("id", "at", "part")
-        .select(F.col("id").cast("string").alias("key"), "part", "ids")
+        .sortWithinPartitions("id", "at")
+        .select(F.col("id").cast("string").alias("key"), "text")
     )
     schema = "path string, number bigint, documents bigint, tokens bigint"
-    manifest = stored(rows.mapInArrow(_written(folder, segment_ids), schema), "manifest")
+    write = _written(folder, vocabulary, end, vocabulary_folder, segment_ids)
+    manifest = stored(rows.mapInArrow(write, schema), "manifest")
     # One row per file: a few hundred thousand for 100 TB.
     earlier = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("tokens").over(earlier), F.lit(0))
-    return manifest.withColumn("before", before).withColumn("kind", F.lit(kind))
+    return manifest.withColumn("before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
 
 
 READ = (
