@@ -127,7 +127,7 @@ def hits(corpus: str, corpus_key: str, queries: str, query_key: str, k: int) ->
     return f"""dots AS (SELECT q.key AS query_id, d.key AS chunk_id, sum(q.x * d.x) AS dot
  FROM qvec q JOIN dvec d ON q.b = d.b GROUP BY ALL),
 scored AS (SELECT query_id, chunk_id, round(CASE WHEN qn.n IS NULL OR dn.n IS NULL THEN NULL
-  ELSE coalesce(dot, 0) / (qn.n * dn.n) END, 9) AS sim
+  ELSE coalesce(dot, 0) / (qn.n * dn.n) END, 9) + 0.0 AS sim
  FROM (SELECT {query_key} AS query_id FROM {queries}) CROSS JOIN (SELECT {corpus_key} AS chunk_id FROM {corpus})
  LEFT JOIN dots USING (query_id, chunk_id)
  LEFT JOIN qnorm qn ON qn.key = query_id LEFT JOIN dnorm dn ON dn.key = chunk_id),

@@ -32,10 +32,11 @@ def fixed(value: Column, digits: int, ties: str = "even") -> Column:
     units = F.rint(product + off_tie).try_cast("bigint").cast("decimal(19,0)")
     text = (units * F.lit(Decimal(1).scaleb(-digits))).cast("string")
     large = F.format_string(f"%.{digits}f", size)
-    return F.when(
-        value.isNotNull(),
-        F.concat(F.when(value < 0, "-").otherwise(""), F.coalesce(text, large)),
-    )
+    sign = F.when(value < 0, "-")
+    if ties == "even":
+        # Python writes the sign of a negative zero, JavaScript does not.
+        sign = sign.when((value == 0) & value.cast("string").startswith("-"), "-")
+    return F.when(value.isNotNull(), F.concat(sign.otherwise(""), F.coalesce(text, large)))
 
 
 def exponential(value: Column, digits: int = 2) -> Column:

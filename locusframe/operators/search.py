@@ -53,16 +53,19 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Score of every (query, vector), higher is better; -inf where undefined."""
+    """Score of every (query, vector), higher is better; -inf where undefined.
+
+    A rounded score of zero has no sign, which would tell the order of its sums.
+    """
     product = queries @ vectors.T
     query_squares = (queries * queries).sum(axis=1)[:, None]
     vector_squares = (vectors * vectors).sum(axis=1)[None, :]
     if metric == "l2":
-        return np.round(-np.maximum(query_squares + vector_squares - 2 * product, 0), SCORE_DECIMALS)
+        return np.round(-np.maximum(query_squares + vector_squares - 2 * product, 0), SCORE_DECIMALS) + 0.0
     norms = np.sqrt(query_squares) * np.sqrt(vector_squares)
     cosine = np.full(product.shape, -np.inf)
     np.divide(product, norms, out=cosine, where=norms > 0)
-    return np.round(cosine, SCORE_DECIMALS)
+    return np.round(cosine, SCORE_DECIMALS) + 0.0
 
 
 def _best_of_block(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,6 +27,15 @@ def test_fixed_rounds_ties_up_like_javascript(spark):
     assert column(spark, values, lambda x: fixed(x, 2, "up")) == exact
 
 
+def test_fixed_of_zeros_keeps_the_sign_that_python_writes(spark):
+    values = [-0.0, 0.0, -0.0001, -0.0005, -0.00049, 0.0001, -1e-300]
+    for digits in (2, 3):
+        texts = column(spark, values, lambda x: fixed(x, digits))
+        assert texts == [f"{v:.{digits}f}" for v in values]
+    # JavaScript writes no sign before a zero, but one before a number that is rounded to it.
+    assert column(spark, values[:3], lambda x: fixed(x, 2, "up")) == ["0.00", "0.00", "-0.00"]
+
+
 def test_fixed_of_missing_and_large_values(spark):
     assert column(spark, [None, 1e25, 5e-324], lambda x: fixed(x, 2)) == [
         None,
