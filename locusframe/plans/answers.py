@@ -13,7 +13,12 @@ from locusframe.functions.parsing import (
 )
 from locusframe.functions.text import group_line, pvalue_line, ranked_line
 from locusframe.operators.filters import has_pvalue, has_score
-from locusframe.operators.ranking import TOP_ROWS_IN_MEMORY, head_per_group, top_n_by_score
+from locusframe.operators.ranking import (
+    TOP_ROWS_IN_MEMORY,
+    head_per_group,
+    position_in_order,
+    top_n_by_score,
+)
 from locusframe.operators.stats import dataset_summary, group_counts, unique_entities
 from locusframe.schema import DEFAULT_SPEC, RecordSpec
 from locusframe.storage import stored
@@ -31,10 +36,27 @@ HELP = (
     "'Show me significant genes with p-value < 0.001'"
 )
 
-# Thresholds of one page: a record finds its page, then its place in it.
-_PAGE = 128
-# Thresholds whose pages may be broadcast: 4 MB of numbers.
-_BROADCAST_LIMITS = 500_000
+# Wordings around numbers and names.
+MORE = ("\n... and ", " more results.")
+TOP_HEADER = ("Here are the top ", " QTLs with highest LOD scores:\n")
+GROUP_HEADER = ("Found ", " QTLs on chromosome ", " with LOD > ", ":\n")
+PVALUE_HEADER = ("Found ", " genes with p-values < ", ":\n")
+ENTITIES_HEADER = ("Your dataset contains ", " unique genes. Here are some examples:\n")
+COMPARE_HEADER = "QTL distribution across chromosomes:\n"
+COMPARE_LINE = ("• Chromosome ", ": ", " QTLs")
+SUMMARY_HEADER = "📊 Dataset Summary:\n"
+SUMMARY_LABELS = (
+    "• Total QTL records: ",
+    "• Average LOD score: ",
+    "• Maximum LOD score: ",
+    "• Chromosomes covered: ",
+    "• Unique genes: ",
+)
+
+# Thresholds that one sorted array may hold: 1 MB of numbers.
+_PAGE = 1 << 17
+# Thresholds whose arrays may be broadcast, and rows of lines that may be.
+_BROADCAST_LIMITS, _BROADCAST_LINES = 500_000, 100_000
 
 
 def routed_questions(questions: DataFrame, literal: bool = False) -> DataFrame:
@@ -62,7 +84,7 @@ def _line(number: Column | int, text: Column | str) -> list[Column]:
 
 def _more(total: Column) -> Column:
     rest = (total - LISTED).cast("string")
-    return F.concat(F.lit("\n... and "), rest, F.lit(" more results."))
+    return F.concat(F.lit(MORE[0]), rest, F.lit(MORE[1]))
 
 
 def _listing(totals: DataFrame, first: DataFrame, header: Column) -> DataFrame:
@@ -99,65 +121,92 @@ def _top(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
         .select("wanted", "level", F.expr("shiftright(n, level + 1) * 2").alias("block"))
     )
     lines = blocks.join(ranked, ["level", "block"]).select("wanted", "rank", "line")
-    header = F.concat(
-        F.lit("Here are the top "),
-        F.col("wanted").cast("string"),
-        F.lit(" QTLs with highest LOD scores:\n"),
-    )
+    header = F.concat(F.lit(TOP_HEADER[0]), F.col("wanted").cast("string"), F.lit(TOP_HEADER[1]))
     rows = wanted.join(lines, "wanted")
     return wanted.select("query_id", "intent", *_line(0, header)).union(
         rows.select("query_id", "intent", *_line(F.col("rank"), F.col("line")))
     )
 
 
-def _paged(records: DataFrame, pages: DataFrame, few, below) -> DataFrame:
-    """Records with the page of limits that their value falls in; none if it is below all."""
+def count_below(values: Column, value: Column, most: int) -> Column:
+    """How many of at most `most` ascending `values` are below `value`: a binary search.
+
+    A place that is far enough on is taken if its value is still below; beyond the end there
+    is none, and none is taken.
+    """
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(most, 1).bit_length()))))
+
+    def further(count: Column, step: Column) -> Column:
+        return F.when(F.get(values, count + step - 1) < value, count + step).otherwise(count)
+
+    return F.when(value.isNotNull(), F.aggregate(steps, F.lit(0), further))
+
+
+def _arrays(limits: DataFrame, by: list[str], most: int, few, page: int) -> tuple[DataFrame, DataFrame | None]:
+    """The sorted limits of each key, or of pages of them and the lowest limits of the pages."""
+    limit = F.sort_array(F.collect_list("limit")).alias("limits")
+    if most < page:
+        return few(limits.groupBy(*by).agg(limit).withColumn("base", F.lit(0).cast("bigint"))), None
+    paged = limits.withColumn("page", F.floor(F.col("n") / page).cast("bigint"))
+    pages = paged.groupBy(*by, "page").agg(limit, F.min("n").alias("base"))
     lows = F.sort_array(F.collect_list(F.get("limits", F.lit(0)))).alias("lows")
-    found = records.join(few(pages.groupBy("key").agg(lows)), "key")
-    found = found.withColumn("page", (below("lows") - 1).cast("bigint")).filter(F.col("page") >= 0)
-    return found.drop("lows").join(few(pages), ["key", "page"])
+    return few(pages), pages.groupBy(*by).agg(lows)
+
 
+def _placed(records: DataFrame, limits: DataFrame, by: list[str], many: int, most: int, page: int) -> DataFrame:
+    """Records with the number `n` of the highest limit below their value, if there is one.
 
-def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec):
+    Without keys the limits are one row, a scalar subquery, and meet the records in no join.
+    """
+    few = (lambda df: F.broadcast(df)) if many <= _BROADCAST_LIMITS else (lambda df: df)
+    arrays, lows = _arrays(limits, by, most, few, page)
+    value = F.col("value")
+    if lows is None:
+        if by:
+            found = records.join(arrays, by)
+        else:
+            one = arrays.select(F.struct("limits", "base").alias("one")).scalar()
+            found = records.withColumn("one", one).select("*", "one.*").drop("one")
+    else:
+        if by:
+            found = records.join(lows, by)
+        else:
+            found = records.withColumn("lows", lows.select("lows").scalar())
+        at = count_below(F.col("lows"), value, most // page + 1) - 1
+        found = found.withColumn("page", at.cast("bigint")).filter(F.col("page") >= 0).drop("lows")
+        found = found.join(arrays, [*by, "page"])
+    below = count_below(F.col("limits"), value, min(most, page) + 1)
+    return found.withColumn("n", F.col("base") + below - 1).filter(F.col("n") >= 0)
+
+
+def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec, by: list[str], page: int = _PAGE):
     """How many records are above each limit, and the first ones of them.
 
-    `records` has `key` and `value`, `limits` different `(key, limit)`. The sorted limits of a
-    key cut its values into intervals, and a record is counted in its one interval. Totals are
-    running sums over the intervals. The first rows of intervals are merged into those of
+    `records` has `value` and the columns `by`, `limits` different limits of them. The sorted limits
+    cut the values into intervals, and a record finds its one interval by binary search. Totals
+    are running sums over the intervals. The first rows of intervals are merged into those of
     blocks of 2, 4, 8, ... intervals, and all intervals above a limit are a few such blocks.
     So nothing grows with records times limits, or with limits times limits.
     """
-    sorted_limits = Window.partitionBy("key").orderBy("limit")
-    numbered = limits.withColumn("n", F.row_number().over(sorted_limits) - 1)
+    numbered = stored(position_in_order(limits, [F.col("limit")], by, "n"), "limits")
     many, most = numbered.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
-    few = (lambda df: F.broadcast(df)) if many <= _BROADCAST_LIMITS else (lambda df: df)
-    page = F.floor(F.col("n") / _PAGE)
-    pages = numbered.groupBy("key", page.alias("page")).agg(
-        F.min("n").alias("base"), F.sort_array(F.collect_list("limit")).alias("limits")
-    )
-    below = lambda values: F.size(F.filter(values, lambda limit: limit < F.col("value")))
-    if most < _PAGE:
-        # Every key has one page.
-        placed = records.join(few(pages), "key")
-    else:
-        placed = _paged(records, pages, few, below)
+    placed = _placed(records, numbered, by, many, most, page)
     # Records above the limits 0 to n, and no other, are in interval n.
-    placed = placed.withColumn("n", F.col("base") + below("limits") - 1).filter(F.col("n") >= 0)
     # Texts are made for the listed records alone, at the end.
-    record = F.struct(*(c for c in records.columns if c not in ("key", "value", spec.row_id)))
-    matches = placed.select("key", "n", spec.row_id, record.alias("record"))
+    record = F.struct(*(c for c in records.columns if c not in (*by, "value", spec.row_id)))
+    matches = placed.select(*by, "n", spec.row_id, record.alias("record"))
 
-    counts = matches.groupBy("key", "n").agg(F.count("*").alias("rows"))
-    down = Window.partitionBy("key").orderBy(F.desc("n"))
-    totals = numbered.join(counts, ["key", "n"], "left").withColumn(
+    counts = matches.groupBy(*by, "n").agg(F.count("*").alias("rows"))
+    down = Window.partitionBy(*by).orderBy(F.desc("n"))
+    totals = numbered.join(counts, [*by, "n"], "left").withColumn(
         "total", F.coalesce(F.sum("rows").over(down), F.lit(0))
     )
     levels = F.sequence(F.lit(0), F.lit(int(most).bit_length()))
-    first = head_per_group(matches, LISTED, ["key", "n"], [F.col(spec.row_id)]).drop("rank")
+    first = head_per_group(matches, LISTED, [*by, "n"], [F.col(spec.row_id)]).drop("rank")
     blocks = first.withColumn("level", F.explode(levels)).withColumn(
         "block", F.expr("shiftright(n, level)")
     )
-    heads = head_per_group(blocks, LISTED, ["key", "level", "block"], [F.col(spec.row_id)])
+    heads = head_per_group(blocks, LISTED, [*by, "level", "block"], [F.col(spec.row_id)])
     # The intervals from n on: a block of each level at which n, rounded up, is odd.
     up = F.expr("shiftright(n + shiftleft(1, level) - 1, level)")
     parts = (
@@ -165,13 +214,15 @@ def _above(records: DataFrame, limits: DataFrame, line: Column, spec: RecordSpec
         .withColumn("block", up.cast("bigint"))
         .filter((F.col("block") % 2 == 1) | ((F.col("n") == 0) & (F.col("level") == int(most).bit_length())))
     )
-    met = parts.select("key", "limit", "level", "block").join(
-        heads.select("key", "level", F.col("block").cast("bigint").alias("block"), spec.row_id, "record"),
-        ["key", "level", "block"],
+    met = parts.select(*by, "limit", "level", "block").join(
+        heads.select(*by, "level", F.col("block").cast("bigint").alias("block"), spec.row_id, "record"),
+        [*by, "level", "block"],
     )
-    listed = head_per_group(met, LISTED, ["key", "limit"], [F.col(spec.row_id)])
-    listed = listed.select("key", "limit", "rank", "record.*")
-    return totals.select("key", "limit", "total"), listed.select("key", "limit", "rank", line.alias("line"))
+    listed = head_per_group(met, LISTED, [*by, "limit"], [F.col(spec.row_id)])
+    listed = listed.select(*by, "limit", "rank", "record.*").select(*by, "limit", "rank", line.alias("line"))
+    # Questions may all ask for one limit, so they stay where they are while lines are few.
+    few = F.broadcast if many * LISTED <= _BROADCAST_LINES else lambda df: df
+    return few(totals.select(*by, "limit", "total")), few(listed)
 
 
 def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -188,16 +239,15 @@ def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
     valued = records.withColumns(
         {"key": F.col(spec.group), "value": F.coalesce(spec.score, lowest)}
     )
-    totals, first = _above(valued, numbered.select(*keys).distinct(), group_line(spec), spec)
+    totals, first = _above(valued, numbered.select(*keys).distinct(), group_line(spec), spec, ["key"])
+    found, on, above, end = map(F.lit, GROUP_HEADER)
     header = F.concat(
-        F.lit("Found "),
+        found,
         F.col("total").cast("string"),
-        F.lit(" QTLs on chromosome "),
+        on,
         F.col("key"),
-        F.when(
-            F.col("limit") >= 0, F.concat(F.lit(" with LOD > "), js_number_text(F.col("limit")))
-        ).otherwise(""),
-        F.lit(":\n"),
+        F.when(F.col("limit") >= 0, F.concat(above, js_number_text(F.col("limit")))).otherwise(""),
+        end,
     )
     # A question that names no group has an empty answer.
     unknown = asked.filter(F.col("number").isNull()).select("query_id", "intent", *_line(0, ""))
@@ -207,22 +257,12 @@ def _group(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
 
 def _pvalue(records: DataFrame, asked: DataFrame, spec: RecordSpec) -> DataFrame:
     """Questions about p-values below a threshold: their negatives are above its negative."""
-    limited = asked.withColumns(
-        {"key": F.lit(""), "limit": -F.coalesce("pvalue_limit", F.lit(DEFAULT_PVALUE))}
-    )
-    keys = ["key", "limit"]
-    valued = has_pvalue(records, keep_zero=False, spec=spec).withColumns(
-        {"key": F.lit(""), "value": -F.col(spec.pvalue)}
-    )
-    totals, first = _above(valued, limited.select(*keys).distinct(), pvalue_line(spec), spec)
-    header = F.concat(
-        F.lit("Found "),
-        F.col("total").cast("string"),
-        F.lit(" genes with p-values < "),
-        js_number_text(-F.col("limit")),
-        F.lit(":\n"),
-    )
-    return _listing(limited.join(totals, keys), limited.join(first, keys), header)
+    limited = asked.withColumn("limit", -F.coalesce("pvalue_limit", F.lit(DEFAULT_PVALUE)))
+    valued = has_pvalue(records, keep_zero=False, spec=spec).withColumn("value", -F.col(spec.pvalue))
+    totals, first = _above(valued, limited.select("limit").distinct(), pvalue_line(spec), spec, [])
+    found, below, end = map(F.lit, PVALUE_HEADER)
+    header = F.concat(found, F.col("total").cast("string"), below, js_number_text(-F.col("limit")), end)
+    return _listing(limited.join(totals, "limit"), limited.join(first, "limit"), header)
 
 
 def _shared(records: DataFrame, spec: RecordSpec) -> DataFrame:
@@ -237,11 +277,7 @@ def _shared(records: DataFrame, spec: RecordSpec) -> DataFrame:
         F.lit("entities").alias("intent"),
         *_line(
             0,
-            F.concat(
-                F.lit("Your dataset contains "),
-                F.col("total"),
-                F.lit(" unique genes. Here are some examples:\n"),
-            ),
+            F.concat(F.lit(ENTITIES_HEADER[0]), F.col("total"), F.lit(ENTITIES_HEADER[1])),
         ),
     )
     ranked_groups = F.sort_array(
@@ -251,31 +287,30 @@ def _shared(records: DataFrame, spec: RecordSpec) -> DataFrame:
                 F.col(spec.group).try_cast("bigint").isNull().alias("text"),
                 F.col(spec.group).try_cast("bigint").alias("n"),
                 F.concat(
-                    F.lit("• Chromosome "),
+                    F.lit(COMPARE_LINE[0]),
                     F.col(spec.group),
-                    F.lit(": "),
+                    F.lit(COMPARE_LINE[1]),
                     F.col("rows").cast("string"),
-                    F.lit(" QTLs"),
+                    F.lit(COMPARE_LINE[2]),
                 ).alias("line"),
             )
         )
     )
     compared = group_counts(records, LISTED, spec).agg(
         F.concat(
-            F.array(F.lit("QTL distribution across chromosomes:\n")),
+            F.array(F.lit(COMPARE_HEADER)),
             ranked_groups["line"],
         ).alias("lines")
     )
-    summary = dataset_summary(records, spec).select(
-        F.array(
-            F.lit("📊 Dataset Summary:\n"),
-            F.concat(F.lit("• Total QTL records: "), F.col("records").cast("string")),
-            F.concat(F.lit("• Average LOD score: "), fixed(F.col("mean_score"), 2, "up")),
-            F.concat(F.lit("• Maximum LOD score: "), fixed(F.col("max_score"), 2, "up")),
-            F.concat(F.lit("• Chromosomes covered: "), F.col("groups").cast("string")),
-            F.concat(F.lit("• Unique genes: "), F.col("entities").cast("string")),
-        ).alias("lines")
-    )
+    figures = [
+        F.col("records").cast("string"),
+        fixed(F.col("mean_score"), 2, "up"),
+        fixed(F.col("max_score"), 2, "up"),
+        F.col("groups").cast("string"),
+        F.col("entities").cast("string"),
+    ]
+    lines = [F.concat(F.lit(label), figure) for label, figure in zip(SUMMARY_LABELS, figures)]
+    summary = dataset_summary(records, spec).select(F.array(F.lit(SUMMARY_HEADER), *lines).alias("lines"))
 
     def exploded(df: DataFrame, intent: str) -> DataFrame:
         lines = df.select(F.posexplode("lines").alias("n", "text"))

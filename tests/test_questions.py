@@ -1,9 +1,18 @@
+import bisect
+import math
+import random
+import re
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from locusframe.catalog.inputs import SAMPLE_QUESTIONS
 from locusframe.functions import parsing
-from locusframe.plans.answers import answer_by_rules, answer_texts
+from locusframe.plans import answers
+from locusframe.plans.answers import answer_by_rules, answer_texts, count_below
 from locusframe.plans.data_context import data_context
 
 # Intent in the original order of the rules, and the selection of records.
@@ -130,6 +139,49 @@ def test_data_context_without_number_has_no_records(spark, make_records):
     assert mixed == empty + "1. " + line + "2. " + line
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(-20, 20), max_size=40, unique=True), st.integers(-25, 25))
+def test_count_below_is_a_binary_search(spark, values, value):
+    row = spark.range(1).select(
+        count_below(F.lit(sorted(values)).cast("array<int>"), F.lit(value), max(len(values), 1)).alias("n"),
+        count_below(F.lit(sorted(values)).cast("array<int>"), F.lit(None).cast("int"), 40).alias("none"),
+    )
+    assert tuple(row.first()) == (bisect.bisect_left(sorted(values), value), None)
+
+
+def _places(spark, limits, values, by, page):
+    """The interval of every value, as the answers find it."""
+    table = spark.createDataFrame([("k", float(x)) for x in limits], "key string, limit double").select(*by, "limit")
+    numbered = answers.position_in_order(table, [F.col("limit")], by, "n")
+    rows = spark.createDataFrame([("k", float(v)) for v in values], "key string, value double").select(*by, "value")
+    placed = answers._placed(rows, numbered, by, len(limits), len(limits) - 1, page)
+    return placed, {r.value: r.n for r in placed.select("value", "n").collect()}
+
+
+@pytest.mark.parametrize("by", [[], ["key"]])
+@pytest.mark.parametrize("page", [1, 3, 64, 1 << 17])
+def test_values_find_their_interval(spark, by, page):
+    rng = random.Random(page)
+    limits = rng.sample(range(200), 64)
+    values = [rng.randrange(-5, 210) + rng.choice([0, 0.5]) for _ in range(100)]
+    _, found = _places(spark, limits, values, by, page)
+    expected = {v: bisect.bisect_left(sorted(limits), v) - 1 for v in values}
+    assert found == {v: n for v, n in expected.items() if n >= 0}
+
+
+def test_a_hundred_thousand_limits_cost_their_logarithm(spark):
+    limits, values = range(0, 200_000, 2), [x * 7.3 for x in range(20_000)]
+    start = time.time()
+    placed, found = _places(spark, limits, values, [], 1 << 17)
+    assert found == {v: math.ceil(v / 2) - 1 for v in values if v > 0 and v <= 200_000} | {
+        v: 99_999 for v in values if v > 200_000
+    }
+    # A linear search makes two billion comparisons.
+    assert time.time() - start < 60
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" in plan and not re.search(r"NestedLoop|Cartesian|Join", plan)
+
+
 def test_thousands_of_thresholds(spark, make_records):
     """Each threshold has the totals and first rows that a filter over all records gives."""
     scores = [((i * 7919) % 3001) / 10 for i in range(3001)]
