@@ -20,8 +20,10 @@ names the ones that count, so files of lost or repeated tasks are never read.
 import bisect
 import json
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,7 +44,7 @@ CHUNK_BITS = 8
 BLOCK = 512  # positions between two entries of a rank directory
 SEGMENT_IDS = 1 << 20
 # Bytes of the texts that a file should have, and below which no further task pays.
-FILE_BYTES, LEAST_FILE_BYTES = 128 << 20, 4 << 20
+FILE_BYTES, LEAST_FILE_BYTES = 64 << 20, 4 << 20
 MOST_TASKS = 50_000
 MAGIC = b"ADDRCODE"
 
@@ -52,8 +54,19 @@ MAGIC = b"ADDRCODE"
 # Words of these characters are cut by the tokenizer's own pattern and looked up piece by piece;
 # for each of the characters the tests compare that with the tokenizer.
 _PLAIN = r"[\x21-\x7e\xa1-ɏ‐-‧€]+"
-# Words whose ids a Python worker remembers; beyond it begins anew.
-_REMEMBERED = 400_000
+# Words whose ids a Python worker remembers, beyond which it begins anew; long ones rarely come again.
+_REMEMBERED, _LONG = 400_000, 100
+
+
+def _visible_bytes() -> list[str]:
+    """The sign that a byte-level vocabulary writes for each byte: its own if that is visible."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [byte for byte in range(256) if byte not in own]
+    signs = dict(zip(own, own)) | {byte: 256 + n for n, byte in enumerate(others)}
+    return [chr(signs[byte]) for byte in range(256)]
+
+
+_VISIBLE = _visible_bytes()
 
 
 class WordEncoder:
@@ -75,34 +88,43 @@ class WordEncoder:
             setup = json.load(file)
         splits = (setup.get("pre_tokenizer") or {}).get("pretokenizers") or []
         pattern = next((s["pattern"]["Regex"] for s in splits if s["type"] == "Split"), None)
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are little-endian numbers of four bytes")
         if pattern is None or setup["model"].get("end_of_word_suffix") != "</w>":
             raise ValueError(f"{vocabulary} is not a vocabulary of separate words")
         self.pieces = regex.compile(pattern).findall
         self.plain = regex.compile(_PLAIN).fullmatch
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = {literal[:2].encode() for literal in self.added}
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _part(self, part: str) -> bytes:
+        """The ids of a run of letters or signs, or of a digit, in lower case."""
         found = self.parts.get(part)
         if found is None:
-            if part.isascii():
-                ids = [token.id for token in self.tokenizer.model.tokenize(part)]
-            else:
-                ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-            if len(self.parts) >= _REMEMBERED:
-                self.parts.clear()
-            found = self.parts[part] = np.array(ids, "<u4").tobytes()
+            visible = part if part.isascii() else "".join(map(_VISIBLE.__getitem__, part.encode()))
+            found = array("I", [token.id for token in self.tokenizer.model.tokenize(visible)]).tobytes()
+            if len(part) <= _LONG:
+                if len(self.parts) >= _REMEMBERED:
+                    self.parts.clear()
+                self.parts[part] = found
         return found
 
     def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if self.plain(text) and not any(literal in text for literal in self.added):
-            found = b"".join(map(self._part, self.pieces(text.lower())))
+        body = word[:-1] if word[-1] in b".,;:!?" else word
+        if body.isalpha():
+            found = self._part(body.lower().decode())
+            if body is not word:
+                found += self._part(chr(word[-1]))
         else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        # A long word is rarely met again.
-        if len(word) <= 100:
+            text = word.decode()
+            if self.plain(text) and not any(literal in text for literal in self.added):
+                found = b"".join(map(self._part, self.pieces(text.lower())))
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                found = array("I", ids).tobytes()
+        if len(word) <= _LONG:
             if len(self.words) >= _REMEMBERED:
                 self.words.clear()
             self.words[word] = found
@@ -110,8 +132,12 @@ class WordEncoder:
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text as little-endian unsigned 32-bit numbers, in parts of bounded size."""
-        for words in pieces_of(text.encode("utf-8", "replace")):
-            known = self.words.get
+        data = text.encode("utf-8", "replace")
+        # Case tells nothing but whether an added token is meant.
+        if not any(mark in data for mark in self.marks):
+            data = data.lower()
+        known = self.words.get
+        for words in pieces_of(data):
             yield b"".join([known(word) or self._word(word) for word in words])
 
 
