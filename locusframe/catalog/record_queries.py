@@ -64,6 +64,22 @@ def _(spark, folder):
     return rows.select("row_id", "gene_symbol", "gene_id", "gene_type", "qtl_lod")
 
 
+@query(
+    "read_records_multi_line",
+    S.over_peaks(
+        """SELECT row_id, concat('a "', gene_symbol, E'",\n', qtl_chr) AS gene_symbol, gene_id, qtl_lod FROM peaks
+ WHERE gene_symbol IS NOT NULL UNION ALL SELECT row_id, NULL, gene_id, qtl_lod FROM peaks WHERE gene_symbol IS NULL"""
+    ),
+)
+def _(spark, folder):
+    """Cells with line breaks, in one file that several tasks read."""
+    symbol = F.concat(F.lit('a "'), F.col("gene_symbol"), F.lit('",\n'), F.col("qtl_chr"))
+    broken = peaks(spark, folder).withColumn("gene_symbol", symbol)
+    path = new_path(spark, "multi-line")
+    broken.sort("row_id").drop("row_id").coalesce(1).write.csv(path, header=True, escape='"')
+    return read_records_csv(spark, path, multi_line=True).select("row_id", "gene_symbol", "gene_id", "qtl_lod")
+
+
 @query("row_ids", S.over_peaks("SELECT row_id, gene_id, qtl_pos FROM peaks"))
 def _(spark, folder):
     rows = read_records_csv(spark, _csv(peaks(spark, folder), "csv"))

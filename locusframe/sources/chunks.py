@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from locusframe.schema import chunk_schema
+from locusframe.sources.splits import ArrayElements, read_split_records
 
 
 def write_chunks_json(chunks: DataFrame, path: str) -> None:
@@ -29,14 +30,18 @@ def read_chunks_json(
 ) -> DataFrame:
     """Chunks from JSON lines, or from files that each hold one JSON array.
 
-    An array file cannot be split, so it is read by a single task. `raw_data` may be one
+    An array file is read twice, by many tasks; its elements are objects. `raw_data` may be one
     record or an array of them, and a bare NaN is a missing number.
     """
     schema = chunk_schema(record)
     text = T.StructType(
         [T.StructField(f.name, T.StringType() if f.name == "raw_data" else f.dataType) for f in schema]
     )
-    rows = spark.read.schema(text).json(path, multiLine=array_file)
+    if array_file:
+        elements = read_split_records(spark, path, ArrayElements)
+        rows = elements.select(F.from_json("text", text).alias("chunk")).select("chunk.*")
+    else:
+        rows = spark.read.schema(text).json(path)
     raw, kind = F.col("raw_data"), T.ArrayType(record)
     # An object becomes an array of one record.
     several = F.when(raw.startswith("["), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
