@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from locusframe.catalog import sql as S
 from locusframe.catalog.chunk_queries import top_chunks
 from locusframe.catalog.inputs import SAMPLE_QUESTIONS, benchmark, peaks, table
-from locusframe.catalog.registry import query
+from locusframe.catalog.registry import CHECKS, query
 from locusframe.functions import vectors as V
 from locusframe.functions.text import rule_line
-from locusframe.operators import chunkers, embed, search, stats
+from locusframe.operators import chunkers, embed, pruned_search, search, stats
 from locusframe.sources import chatlog, collections
 from locusframe.sources import vectors as vector_files
 from locusframe.storage import new_path
@@ -48,6 +48,15 @@ def _(spark, folder):
     return embedded.select("id", checksum(F.col("embedding")).alias("checksum"))
 
 
+@query("embed_documents_once", CHECKS["embed_documents"])
+def _(spark, folder):
+    """Every different text is embedded once: half of them in a first run, the rest in a second."""
+    store, docs = new_path(spark, "vectors-by-text"), documents(spark, folder)
+    embed.embed_once(docs.where(F.col("id") % 2 == 0), "content", store).count()
+    embedded = embed.embed_once(docs, "content", store)
+    return embedded.select("id", checksum(F.col("embedding")).alias("checksum"))
+
+
 @query(
     "embed_by_method",
     _checksums("documents", "doc_id", "text", _DOCUMENT_SUMS.replace("SELECT", "SELECT 'short_hashing' AS method,", 1))
@@ -258,6 +267,17 @@ def _(spark, folder):
     return found.withColumn("score", F.round("score", 6))
 
 
+@query("cosine_search_pruned", CHECKS["cosine_search_vectors"])
+def _(spark, folder):
+    """The same rows from clustered vectors, without those that are too far away."""
+    vectors = table(spark, folder, "embeddings")
+    path = new_path(spark, "clustered")
+    vector_files.write_clustered_vectors(vectors, path, "given")
+    clustered = vector_files.read_clustered_vectors(spark, path)
+    found = pruned_search.nearest_pruned(clustered, vectors, 5, corpus_id="vec_id", query_id="vec_id")
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query(
     "search_result_card",
     S.with_(

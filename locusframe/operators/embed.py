@@ -11,10 +11,12 @@ from typing import Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.schema import VECTOR
+from locusframe.storage import stored
 
 
 class Embedder(Protocol):
@@ -87,6 +89,17 @@ def embedder_factory(method: str) -> Callable[..., Embedder]:
     return _FACTORIES[method]
 
 
+def _spread(df: DataFrame, tasks: int | None) -> DataFrame:
+    """`df` over `tasks` tasks, or over all cores if its files have fewer splits."""
+    if tasks is not None:
+        return df.repartition(tasks)
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        # Shuffled rows are spread already, and counting their partitions would run the shuffle.
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def embed_text(
     df: DataFrame,
     text: str,
@@ -98,18 +111,14 @@ def embed_text(
 ) -> DataFrame:
     """Add `embedding` and `embed_error`.
 
-    The texts are spread evenly over `tasks` tasks first, because a model costs more than a
-    shuffle; without a number, over as many as a shuffle has, or all cores if they are more.
+    Texts are embedded where they lie. Files in fewer splits than there are cores are spread over
+    all cores first, because a model costs more than a shuffle; `tasks` spreads them over so many.
 
     A text the embedder fails on, and a NULL text, has a NULL embedding and the reason in
     `embed_error`; the other texts of its batch are embedded one by one.
     """
     factory = embedder_factory(method)
-    if tasks is None:
-        session = df.sparkSession
-        shuffled = int(session.conf.get("spark.sql.shuffle.partitions"))
-        tasks = max(shuffled, session.sparkContext.defaultParallelism)
-    df = df.repartition(tasks)
+    df = _spread(df, tasks)
     settings = {"task_type": task_type, "title": title, **options}
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -176,3 +185,40 @@ def embed_queries(
 def embed_failures(embedded: DataFrame) -> DataFrame:
     """Rows without an embedding, for reporting or a later retry."""
     return embedded.filter(F.col("embed_error").isNotNull())
+
+
+def embed_once(
+    df: DataFrame,
+    text: str,
+    store: str,
+    method: str = "hashing",
+    **options,
+) -> DataFrame:
+    """Add `embedding` and `embed_error`; texts that are equal, now or in an earlier run, are embedded once.
+
+    The folder `store` keeps a vector for every different text, by the SHA-256 of the text and the
+    method, and grows by those of new texts. Texts that failed are tried again. A NULL text has no
+    vector. `options` should be the same in every run of a store.
+    """
+    session = df.sparkSession
+    key = F.sha2(F.concat(F.lit(method + ":"), F.col(text)), 256)
+    rows = df.withColumn("_key", key)
+    texts = rows.where(F.col("_key").isNotNull()).select("_key", F.col(text).alias("_text"))
+    texts = texts.groupBy("_key").agg(F.first("_text").alias("_text"))
+    schema = f"_key string, embedding {VECTOR.simpleString()}"
+
+    def known() -> DataFrame:
+        try:
+            # Two runs at once may have stored a text twice.
+            return session.read.schema(schema).parquet(store).dropDuplicates(["_key"])
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return session.createDataFrame([], schema)
+
+    fresh = stored(embed_text(texts.join(known(), "_key", "left_anti"), "_text", method, **options), "embedded")
+    fresh.where(F.col("embedding").isNotNull()).select("_key", "embedding").write.mode("append").parquet(store)
+    failed = fresh.where(F.col("embedding").isNull()).select("_key", F.col("embed_error").alias("_error"))
+    joined = rows.join(known(), "_key", "left").join(failed, "_key", "left")
+    error = F.when(F.col(text).isNull(), F.lit("text is missing")).otherwise(F.col("_error"))
+    return joined.withColumn("embed_error", error).drop("_key", "_error")

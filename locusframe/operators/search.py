@@ -1,16 +1,19 @@
 """Exact nearest neighbours of a whole table of queries, and result projections.
 
-Vectors meet in blocks: a task multiplies a block of corpus vectors by a block of query
-vectors and keeps k candidates per query, so pairs are never rows. Query vectors travel
-to the corpus while they fit `QUERY_BYTES`; otherwise both sides are cut into stripes
-that meet in the cells of a grid.
+Vectors meet in blocks: a task holds a block of query vectors, reads corpus vectors batch by batch
+and keeps k candidates per query, so pairs are never rows and no task holds a stripe. Query
+vectors travel to the corpus while they fit `QUERY_BYTES`; otherwise both sides are cut into
+stripes that meet in the cells of a grid. Candidates of many tasks are merged in two levels.
 """
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,11 +22,15 @@ from locusframe.functions.numbers import fixed
 from locusframe.functions.text import preview
 from locusframe.storage import broadcast_small, stored
 
-# Query vectors sent to every task.
+# Query vectors held by a task.
 QUERY_BYTES = 32 << 20
 
-# Corpus vectors in one grid cell.
-CELL_BYTES = 64 << 20
+# Tasks of a search per core. More would only send more candidates, as a task reads any number
+# of vectors.
+TASKS_PER_CORE = 4
+
+# Candidates of more tasks than this are merged in groups of tasks first.
+MERGED_TASKS = 64
 
 # Similarities computed at once inside a task.
 SCORES_AT_ONCE = 4_000_000
@@ -52,17 +59,18 @@ def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.to_numpy() if isinstance(column, pa.ChunkedArray) else column.to_numpy(False)
 
 
-def _scores(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
+def _scores(
+    queries: np.ndarray, vectors: np.ndarray, metric: str, query_squares: np.ndarray, vector_squares: np.ndarray
+) -> np.ndarray:
     """Score of every (query, vector), higher is better; -inf where undefined.
 
     A rounded score of zero has no sign, which would tell the order of its sums.
     """
     product = queries @ vectors.T
-    query_squares = (queries * queries).sum(axis=1)[:, None]
-    vector_squares = (vectors * vectors).sum(axis=1)[None, :]
     if metric == "l2":
-        return np.round(-np.maximum(query_squares + vector_squares - 2 * product, 0), SCORE_DECIMALS) + 0.0
-    norms = np.sqrt(query_squares) * np.sqrt(vector_squares)
+        distances = query_squares[:, None] + vector_squares[None, :] - 2 * product
+        return np.round(-np.maximum(distances, 0), SCORE_DECIMALS) + 0.0
+    norms = np.sqrt(query_squares)[:, None] * np.sqrt(vector_squares)[None, :]
     cosine = np.full(product.shape, -np.inf)
     np.divide(product, norms, out=cosine, where=norms > 0)
     return np.round(cosine, SCORE_DECIMALS) + 0.0
@@ -84,27 +92,34 @@ class _Running:
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
+        self.squares = (queries * queries).sum(axis=1)
         self.row = np.zeros(0, dtype="int64")
         self.id = None
         self.score = np.zeros(0)
         self.limit = np.full(len(queries), -np.inf)
         self.full = np.zeros(len(queries), dtype=bool)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+    def add(
+        self, ids: np.ndarray, vectors: np.ndarray, norms: np.ndarray | None = None, rows: np.ndarray | None = None
+    ) -> None:
+        """Vectors with their norms, if these are known, for all queries or for those in `rows`."""
+        rows = np.arange(len(self.queries)) if rows is None else rows
+        squares = (vectors * vectors).sum(axis=1) if norms is None else norms * norms
         order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
-        step = max(SCORES_AT_ONCE // max(len(self.queries), 1), 1)
+        ids, vectors, squares = ids[order], vectors[order], squares[order]
+        step = max(SCORES_AT_ONCE // max(len(rows), 1), 1)
         for start in range(0, len(ids), step):
-            self._add(ids[start : start + step], vectors[start : start + step])
+            part = slice(start, start + step)
+            self._add(ids[part], vectors[part], squares[part], rows)
 
-    def _add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        scores = _scores(self.queries, vectors, self.metric)
-        open_rows = np.nonzero(~self.full | (scores >= self.limit[:, None]).any(axis=1))[0]
+    def _add(self, ids: np.ndarray, vectors: np.ndarray, squares: np.ndarray, asked: np.ndarray) -> None:
+        scores = _scores(self.queries[asked], vectors, self.metric, self.squares[asked], squares)
+        open_rows = np.nonzero(~self.full[asked] | (scores >= self.limit[asked, None]).any(axis=1))[0]
         if len(open_rows) == 0:
             return
         row, column = _best_of_block(scores[open_rows], self.k)
         found = scores[open_rows[row], column]
-        rows = np.concatenate([self.row, open_rows[row]])
+        rows = np.concatenate([self.row, asked[open_rows[row]]])
         all_ids = ids[column] if self.id is None else np.concatenate([self.id, ids[column]])
         values = np.concatenate([self.score, found])
         # Sorting by id first lets the stable sorts after it break ties by id.
@@ -120,13 +135,12 @@ class _Running:
         last = np.searchsorted(self.row, np.nonzero(self.full)[0], side="right") - 1
         self.limit[self.full] = self.score[last]
 
-    def table(self, query_ids: np.ndarray, schema: pa.Schema) -> pa.Table:
+    def table(self, query_ids: np.ndarray, schema: pa.Schema, part: int) -> pa.Table:
         found = np.zeros(0) if self.id is None else self.id
         score = pa.array(self.score, mask=np.isneginf(self.score))
-        columns = [pa.array(query_ids[self.row]), pa.array(found), score]
-        return pa.table(
-            [c.cast(f.type) for c, f in zip(columns, schema)], schema=schema
-        )
+        parts = np.full(len(self.row), part, "int32")
+        columns = [pa.array(query_ids[self.row]), pa.array(found), score, pa.array(parts)]
+        return pa.table([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def _id_field(df: DataFrame, name: str) -> tuple[str, pa.DataType]:
@@ -137,6 +151,35 @@ def _id_field(df: DataFrame, name: str) -> tuple[str, pa.DataType]:
     return kind, types[kind]
 
 
+def _known(df: DataFrame, id_column: str, name: str) -> DataFrame:
+    """Id, vector and stored norm, if there is one, of the rows with a whole vector."""
+    vector = F.col("embedding").cast("array<float>").alias("embedding")
+    holes = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+    norm = [F.col("norm").cast("double").alias("norm")] if "norm" in df.columns and id_column != "norm" else []
+    known = df.filter(F.col("embedding").isNotNull() & ~holes)
+    return known.select(F.col(id_column).alias(name), vector, *norm)
+
+
+class _Shape:
+    """Types of the ids and of the candidate rows."""
+
+    def __init__(self, corpus: DataFrame, queries: DataFrame):
+        self.query_kind, query_type = _id_field(queries, "query_id")
+        self.corpus_kind, corpus_type = _id_field(corpus, "chunk_id")
+        fields = [("query_id", query_type), ("chunk_id", corpus_type), ("score", pa.float64()), ("part", pa.int32())]
+        self.schema = pa.schema(fields)
+        self.result = f"query_id {self.query_kind}, chunk_id {self.corpus_kind}, score double, part int"
+
+
+def _measured(df: DataFrame) -> tuple[int, int]:
+    """Bytes of the vectors of a table and their cells; different lengths are an error."""
+    cells = F.size("embedding")
+    size, least, width = df.agg(F.coalesce(F.sum(cells * 4 + 32), F.lit(0)), F.min(cells), F.max(cells)).first()
+    if least != width:
+        raise ValueError(f"the queries have vectors of {least} to {width} cells")
+    return size, width or 0
+
+
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -145,56 +188,60 @@ def nearest(
     corpus_id: str = "chunk_id",
     query_id: str = "query_id",
     query_bytes: int = QUERY_BYTES,
-    cell_bytes: int = CELL_BYTES,
+    tasks: int | None = None,
 ) -> DataFrame:
     """The k best corpus vectors of every query: `query_id, rank, chunk_id, score`.
 
     Both sides carry an `embedding` column; rows without one, or with a NULL or NaN cell, take
-    no part. Vectors of different lengths are an error. `score` is the
+    no part. A `norm` column of the corpus is taken as it is. Vectors of different lengths are an error. `score` is the
     cosine similarity, or minus the squared distance for "l2"; it is NULL, and last, for
-    a vector of length zero. Equal scores rank by corpus id.
+    a vector of length zero. Equal scores rank by corpus id. `tasks` bounds the tasks that read vectors.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
-    vector = F.col("embedding").cast("array<float>").alias("embedding")
-    holes = F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
-    known = F.col("embedding").isNotNull() & ~holes
-    corpus = corpus.filter(known).select(F.col(corpus_id).alias("chunk_id"), vector)
-    queries = queries.filter(known).select(F.col(query_id).alias("query_id"), vector)
-    query_kind, query_type = _id_field(queries, "query_id")
-    corpus_kind, corpus_type = _id_field(corpus, "chunk_id")
-    fields = [("query_id", query_type), ("chunk_id", corpus_type), ("score", pa.float64())]
-    schema = pa.schema(fields)
-    result = f"query_id {query_kind}, chunk_id {corpus_kind}, score double"
-
+    corpus, queries = _known(corpus, corpus_id, "chunk_id"), _known(queries, query_id, "query_id").drop("norm")
+    shape = _Shape(corpus, queries)
+    tasks = tasks or TASKS_PER_CORE * corpus.sparkSession.sparkContext.defaultParallelism
     # Embedding a query may be costly, so it happens once, before the queries are measured.
     queries = stored(queries, "queries")
-    bytes_ = F.coalesce(F.sum(F.size("embedding") * 4 + 32), F.lit(0))
-    size, least, width = queries.agg(
-        bytes_, F.min(F.size("embedding")), F.max(F.size("embedding"))
-    ).first()
-    if least != width:
-        raise ValueError(f"the queries have vectors of {least} to {width} cells")
-    width = width or 0
+    size, width = _measured(queries)
     if size <= query_bytes:
-        candidates = _nearest_broadcast(corpus, queries, k, metric, schema, result, width)
+        candidates = _nearest_broadcast(corpus, queries, k, metric, shape, width, tasks)
     else:
-        stripes = -(-corpus.agg(bytes_).first()[0] // cell_bytes) or 1
+        # Every block of queries meets every stripe: each further block copies the corpus once
+        # more, each further stripe the queries. So blocks are as few as tasks can hold, and stripes
+        # as many as keep the tasks busy.
         blocks = -(-size // query_bytes)
-        candidates = _nearest_grid(
-            corpus, queries, k, metric, schema, result, int(stripes), int(blocks), width
-        )
-    return rank_results(candidates, k)
+        stripes = max(1, -(-tasks // blocks))
+        candidates = _nearest_grid(corpus, queries, k, metric, shape, int(stripes), int(blocks), width)
+        tasks = stripes
+    return rank_results(candidates, k, tasks)
 
 
-def rank_results(candidates: DataFrame, k: int) -> DataFrame:
-    """Number the candidates of each query by score and keep the best k."""
-    best_first = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), "chunk_id")
+def _best(candidates: DataFrame, k: int, by: list[str]) -> DataFrame:
+    best_first = Window.partitionBy(*by).orderBy(F.desc_nulls_last("score"), "chunk_id")
     ranked = candidates.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return ranked.filter(F.col("rank") <= k)
+
+
+def rank_results(candidates: DataFrame, k: int, tasks: int = 1) -> DataFrame:
+    """Number the candidates of each query by score and keep the best k.
+
+    With many tasks, whose number is in `part`, the square root of them is merged at a time.
+    """
+    if tasks > MERGED_TASKS:
+        groups = math.isqrt(tasks - 1) + 1
+        candidates = _best(candidates.withColumn("part", F.col("part") % groups), k, ["query_id", "part"]).drop("rank")
+    return _best(candidates, k, ["query_id"]).select("query_id", "rank", "chunk_id", "score")
 
 
-def _nearest_broadcast(corpus, queries, k, metric, schema, result, width) -> DataFrame:
+def _columns(batch: pa.RecordBatch, at: int, width: int) -> tuple:
+    """Ids, vectors and norms from column `at` on."""
+    norms = batch.column(at + 2).to_numpy(zero_copy_only=False) if batch.num_columns > at + 2 else None
+    return _ids(batch.column(at)), _matrix(batch.column(at + 1), width), norms
+
+
+def _nearest_broadcast(corpus, queries, k, metric, shape, width, tasks) -> DataFrame:
     """Map-only over the corpus; the query block has been measured to be small."""
     block = queries.toArrow()
     shared = corpus.sparkSession.sparkContext.broadcast(
@@ -208,41 +255,90 @@ def _nearest_broadcast(corpus, queries, k, metric, schema, result, width) -> Dat
         best = _Running(matrix, k, metric)
         for batch in batches:
             if batch.num_rows:
-                best.add(_ids(batch.column(0)), _matrix(batch.column(1), width))
-        yield from best.table(query_ids, schema).to_batches()
+                best.add(*_columns(batch, 0, width))
+        yield from best.table(query_ids, shape.schema, TaskContext.get().partitionId()).to_batches()
 
-    return corpus.mapInArrow(run, result)
+    # A task reads several splits one after the other.
+    return corpus.coalesce(tasks).mapInArrow(run, shape.result)
 
 
-def _nearest_grid(corpus, queries, k, metric, schema, result, stripes, blocks, width) -> DataFrame:
-    """Every stripe of the corpus meets every block of the queries in one grid cell."""
+def _nearest_grid(corpus, queries, k, metric, shape, stripes, blocks, width) -> DataFrame:
+    """Every stripe of the corpus meets every block of the queries in one grid cell.
 
-    def cut(df: DataFrame, id: str, own: str, parts: int, other: str, copies: int) -> DataFrame:
-        placed = df.withColumn(own, F.pmod(F.xxhash64(id), F.lit(parts)).cast("int"))
-        return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    The queries of a cell come first and are held; corpus vectors stream past them.
+    """
 
-    left = cut(corpus, "chunk_id", "stripe", stripes, "block", blocks)
-    right = cut(queries, "query_id", "block", blocks, "stripe", stripes)
+    def cut(df: DataFrame, id: str, parts: int) -> Column:
+        return F.pmod(F.xxhash64(id), F.lit(parts)).cast("int")
 
-    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
-        if asked.num_rows == 0 or vectors.num_rows == 0:
-            return schema.empty_table()
-        best = _Running(_matrix(asked["embedding"], width), k, metric)
-        best.add(_ids(vectors["chunk_id"]), _matrix(vectors["embedding"], width))
-        return best.table(_ids(asked["query_id"]), schema)
+    norm = ["norm"] if "norm" in corpus.columns else []
+    stripe, block = cut(corpus, "chunk_id", stripes), cut(queries, "query_id", blocks)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = corpus.withColumn("stripe", stripe).withColumn("block", every(blocks)).withColumn("side", F.lit(1))
+    right = queries.withColumn("block", block).withColumn("stripe", every(stripes)).withColumn("side", F.lit(0))
+    both = right.unionByName(left, allowMissingColumns=True).withColumn("cell", F.col("block") * stripes + F.col("stripe"))
+    rows = both.repartition(stripes * blocks, "cell").sortWithinPartitions("cell", "side")
 
-    grouped = left.groupBy("stripe", "block").cogroup(right.groupBy("stripe", "block"))
-    return grouped.applyInArrow(run, result)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts, best = None, [], [], None
+
+        def results():
+            if best is not None:
+                # Candidates of one query come from every stripe.
+                yield from best.table(np.concatenate(ids), shape.schema, now % stripes).to_batches()
+
+        for batch in batches:
+            cells = batch.column(0).to_numpy()
+            sides = batch.column(1).to_numpy()
+            edges = np.flatnonzero((np.diff(cells) != 0) | (np.diff(sides) != 0)) + 1
+            for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows]):
+                if begin == end:
+                    continue
+                if cells[begin] != now:
+                    yield from results()
+                    now, ids, parts, best = cells[begin], [], [], None
+                piece = batch.slice(begin, end - begin)
+                if sides[begin] == 0:
+                    ids.append(_ids(piece.column(2)))
+                    parts.append(_matrix(piece.column(4), width))
+                elif ids:
+                    best = best or _Running(np.concatenate(parts), k, metric)
+                    best.add(*_columns(piece, 3, width))
+        yield from results()
+
+    return rows.select("cell", "side", "query_id", "chunk_id", "embedding", *norm).mapInArrow(run, shape.result)
+
+
+# Results whose ids are turned into ranges for the scan, and the ranges they make at most.
+LOOKUP_IDS, LOOKUP_RANGES = 10_000, 64
+
+
+def _id_ranges(results: DataFrame, ids: Column) -> Column | None:
+    """A filter that holds for all ids of few results, which a scan can compare with row groups."""
+    wanted = results.select("chunk_id").distinct().limit(LOOKUP_IDS + 1).toArrow()["chunk_id"].to_pylist()
+    if len(wanted) > LOOKUP_IDS or None in wanted:
+        return None
+    # Java and Python order texts alike by their UTF-8 bytes.
+    wanted.sort(key=lambda x: x.encode() if isinstance(x, str) else x)
+    step = max(1, -(-len(wanted) // LOOKUP_RANGES))
+    parts = [wanted[i : i + step] for i in range(0, len(wanted), step)]
+    ranges = [(ids >= part[0]) & (ids <= part[-1]) for part in parts]
+    return functools.reduce(lambda a, b: a | b, ranges) if ranges else F.lit(False)
 
 
 def lookup_chunks(results: DataFrame, corpus: DataFrame, corpus_id: str = "chunk_id") -> DataFrame:
     """Attach the corpus columns to search results; vectors stay behind.
 
     The results of a search over the whole corpus are kept, so that they can be counted:
-    few of them go to the corpus instead of the texts being shuffled.
+    few of them go to the corpus instead of the texts being shuffled, and their ids, as ranges,
+    to its scan, which leaves out the row groups of a corpus in order of its ids.
     """
     texts = corpus.drop("embedding", "embed_error").withColumnRenamed(corpus_id, "chunk_id")
-    return texts.join(broadcast_small(stored(results, "results")), "chunk_id")
+    results = stored(results, "results")
+    ranges = _id_ranges(results, F.col("chunk_id"))
+    if ranges is not None:
+        texts = texts.where(ranges)
+    return texts.join(broadcast_small(results), "chunk_id")
 
 
 def cosine_search(corpus: DataFrame, queries: DataFrame, top_k: int = 5, **options) -> DataFrame:

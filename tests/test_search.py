@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from locusframe.operators import embed, search
+from locusframe.operators import embed, pruned_search, search
 from locusframe.sources import collections
 from locusframe.sources import vectors as vector_files
 
@@ -28,7 +30,7 @@ def brute(corpus, queries, k, metric):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
-@pytest.mark.parametrize("limits", [{}, {"query_bytes": 600, "cell_bytes": 3000}])
+@pytest.mark.parametrize("limits", [{}, {"query_bytes": 600, "tasks": 9}, {"tasks": 200}])
 @pytest.mark.parametrize("k", [1, 4, 300])
 def test_nearest_equals_brute_force(spark, metric, limits, k):
     random = np.random.default_rng(3)
@@ -173,7 +175,7 @@ def _vectors(spark, rows, name):
 
 def test_vectors_of_other_lengths_are_refused(spark):
     asked = _vectors(spark, [(0, [1.0, 2.0, 3.0])], "query_id")
-    for limits in ({}, {"query_bytes": 1, "cell_bytes": 1}):
+    for limits in ({}, {"query_bytes": 1, "tasks": 3}):
         for cells in ([1.0, 2.0], [1.0, 2.0, 3.0, 4.0]):
             with pytest.raises(Exception, match="cells"):
                 search.nearest(_vectors(spark, [(1, cells)], "chunk_id"), asked, 1, **limits).collect()
@@ -188,13 +190,95 @@ def test_vectors_with_holes_take_no_part(spark):
     assert [(r.query_id, r.chunk_id) for r in search.nearest(corpus, asked, 5).collect()] == [(0, 3)]
 
 
-def test_grid_of_several_stripes_and_blocks(spark):
+@pytest.mark.parametrize("tasks", [1, 3, 40, 200])
+def test_grid_of_several_stripes_and_blocks(spark, tasks):
+    """The same rows whatever the number of stripes, and k candidates per query and task."""
     rng = np.random.default_rng(3)
     a, b = rng.normal(size=(300, 4)).round(2), rng.normal(size=(40, 4)).round(2)
-    corpus = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(a)], "chunk_id")
+    corpus = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(a)], "chunk_id").repartition(50)
     asked = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(b)], "query_id")
-    whole = search.nearest(corpus, asked, 3).collect()
-    assert sorted(whole) == sorted(search.nearest(corpus, asked, 3, query_bytes=500, cell_bytes=900).collect())
+    whole = sorted(search.nearest(corpus, asked, 3).collect())
+    assert whole == sorted(search.nearest(corpus, asked, 3, tasks=tasks).collect())
+    assert whole == sorted(search.nearest(corpus, asked, 3, query_bytes=500, tasks=tasks).collect())
+    shape = search._Shape(corpus, asked)
+    found = search._nearest_broadcast(corpus, asked, 3, "cosine", shape, 4, tasks)
+    assert found.count() <= 3 * 40 * min(tasks, 50) and found.select("part").distinct().count() == min(tasks, 50)
+    found = search._nearest_grid(corpus, asked, 3, "cosine", shape, tasks, 4, 4)
+    per_query = found.groupBy("query_id").count().collect()
+    assert len(per_query) == 40 and max(r["count"] for r in per_query) <= 3 * tasks
+
+
+def test_stored_norms_are_used(spark):
+    corpus = spark.createDataFrame([(1, [3.0, 4.0], 50.0), (2, [3.0, 4.0], 5.0)], "chunk_id long, embedding array<float>, norm double")
+    asked = _vectors(spark, [(0, [3.0, 4.0])], "query_id")
+    assert [(r.chunk_id, r.score) for r in search.nearest(corpus, asked, 2).orderBy("rank").collect()] == [(2, 1.0), (1, 0.1)]
+
+
+def _clustered(spark, tmp_path, metric, matrix, pivots=16):
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(matrix)]
+    df = spark.createDataFrame(rows, "chunk_id long, embedding array<float>").repartition(4)
+    vector_files.write_clustered_vectors(df, f"{tmp_path}/{metric}", "given", metric, pivots)
+    return df, vector_files.read_clustered_vectors(spark, f"{tmp_path}/{metric}")
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_pruned_search_equals_the_full_scan(spark, tmp_path, metric):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8)) * 5
+    corpus = (centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.1).round(3)
+    corpus[100:160] = corpus[7]  # ties
+    corpus[3] = 0
+    queries = np.vstack([centres[:4] + 0.05, corpus[7:8], rng.normal(size=(3, 8)), np.zeros((1, 8))])
+    df, clustered = _clustered(spark, tmp_path, metric, corpus)
+    for rows in (queries[:4], queries):
+        asked = vectors(spark, rows, "query_id")
+        for k in (1, 5, 80):
+            whole = sorted(search.nearest(df, asked, k, metric).collect())
+            assert sorted(pruned_search.nearest_pruned(clustered, asked, k).collect()) == whole
+    read = pruned_search.searched_vectors(clustered, vectors(spark, queries[:4], "query_id"), 5).first()
+    assert read.vectors == 900 and read["read"] < 900 / 2
+    # The rings reach the scan as filters.
+    asked = vectors(spark, queries[:4], "query_id")
+    plan = pruned_search.nearest_pruned(clustered, asked, 5)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: .*Or\(.*pivot_d", plan)
+    none = clustered._replace(vectors=clustered.vectors.limit(0))
+    assert pruned_search.nearest_pruned(none, asked, 3).count() == 0
+    assert pruned_search.nearest_pruned(clustered, asked.limit(0), 3).count() == 0
+
+
+def test_lookup_reads_few_row_groups(spark, tmp_path):
+    rows = spark.range(40_000).select(
+        F.format_string("chunk_%06d", "id").alias("id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("content"),
+        F.array(F.lit(1.0), F.col("id").cast("double")).cast("array<float>").alias("embedding"),
+    )
+    before = spark.conf.get("parquet.block.size", None)
+    spark.conf.set("parquet.block.size", 200_000)
+    try:
+        vector_files.write_vectors(rows.orderBy(F.xxhash64("id")), f"{tmp_path}/v", "given")
+    finally:
+        spark.conf.unset("parquet.block.size") if before is None else spark.conf.set("parquet.block.size", before)
+    corpus = vector_files.read_vectors(spark, f"{tmp_path}/v")
+    found = spark.createDataFrame([(0, 1, "chunk_000007"), (0, 2, "chunk_031000")], "query_id long, rank long, chunk_id string")
+    looked = search.lookup_chunks(found, corpus, "id")
+    assert {r.chunk_id for r in looked.collect()} == {"chunk_000007", "chunk_031000"}
+
+    def scanned(df):
+        """Rows that come out of the scans of texts."""
+        plan, total = df._jdf.queryExecution().executedPlan(), 0
+        nodes = [plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+        while nodes:
+            node = nodes.pop()
+            if "content" in node.toString() and node.getClass().getSimpleName() == "FileSourceScanExec":
+                total += node.metrics().apply("numOutputRows").value()
+            kids = node.children()
+            nodes += [kids.apply(i) for i in range(kids.size())]
+            if hasattr(node, "plan") and node.getClass().getSimpleName().endswith("QueryStageExec"):
+                nodes.append(node.plan())
+        return total
+
+    looked = search.lookup_chunks(found, corpus, "id")
+    looked.collect()
+    assert 0 < scanned(looked) < 8_000
 
 
 def test_the_metric_belongs_to_the_collection(spark, tmp_path):
@@ -218,3 +302,71 @@ def test_collection_ids_follow_the_order(spark, tmp_path):
     assert [g[0] for g in got] == [0, 1, 2, 3, 4]
     assert [g[1] for g in got] == ["9", "5", "3", "3", "1"]
     assert all(g[2] == f"text {g[1]}" for g in got)
+
+
+def test_collections_are_replaced_beside_their_readers(spark, tmp_path):
+    texts = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "id long, content string")
+    root, order = str(tmp_path), [F.col("id")]
+    first = collections.create_collection(texts("a", "b"), order, root, "x")
+    second = collections.create_collection(texts("c"), order, root, "x")
+    # The version before is readable as it was.
+    assert sorted(r.document for r in first.collect()) == ["a", "b"]
+    assert [r.document for r in second.collect()] == ["c"]
+    own = second.select(F.col("id").cast("long").alias("id"), F.concat("document", F.lit(" again")).alias("content"))
+    third = collections.create_collection(own.union(own.withColumn("id", F.col("id") + 1)), order, root, "x")
+    assert [r.document for r in third.collect()] == ["c again"] * 2
+    assert collections.open_collection(spark, root, "x").count() == 2
+    assert len(collections.drop_old_versions(spark, root, "x")) == 2
+    assert collections.open_collection(spark, root, "x").count() == 2
+    assert collections.drop_old_versions(spark, root, "none") == []
+    # A replacement that fails leaves the collection as it is.
+    with pytest.raises(Exception):
+        collections.create_collection(texts("d"), order, root, "x", method="unknown")
+    assert [r.document for r in collections.open_collection(spark, root, "x").collect()] == ["c again"] * 2
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    """Equal texts of one run, and texts of an earlier run, do not reach the embedder."""
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def counting(**_):
+        import uuid
+
+        inner = embed.hashing_embedder(8)
+
+        def run(texts):
+            if "bad" in texts:
+                raise ValueError("bad")
+            (log / uuid.uuid4().hex).write_text("\n".join(texts))
+            return inner(texts)
+
+        return run
+
+    embed.register_embedder("counting", counting)
+    calls = lambda: sorted(t for f in log.iterdir() for t in f.read_text().split("\n"))
+    make = lambda *rows: spark.createDataFrame(list(enumerate(rows)), "id long, content string").repartition(3)
+    store = f"{tmp_path}/store"
+    one = embed.embed_once(make("a", "b", "a", "a", None, "bad"), "content", store, "counting").orderBy("id").collect()
+    assert calls() == ["a", "b"]
+    assert [r.embedding is not None for r in one] == [True, True, True, True, False, False]
+    assert [r.embed_error for r in one[:5]] == [None] * 4 + ["text is missing"] and "bad" in one[5].embed_error
+    two = embed.embed_once(make("b", "c", "a"), "content", store, "counting").orderBy("id").collect()
+    assert calls() == ["a", "b", "c"]
+    assert two[2].embedding == one[0].embedding and two[0].embedding == one[1].embedding
+    direct = embed.embed_text(make("b", "c", "a"), "content", "hashing", dimension=8).orderBy("id").collect()
+    assert [r.embedding for r in two] == [r.embedding for r in direct]
+
+
+def test_texts_are_embedded_where_they_lie(spark, tmp_path):
+    spark.range(400).select("id", F.lit("some text").alias("content")).repartition(20).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", 128 << 20)
+    try:
+        read = spark.read.parquet(f"{tmp_path}/t")
+        assert "Exchange" not in embed.embed_text(read, "content")._jdf.queryExecution().executedPlan().toString()
+        few = read.coalesce(2)
+        assert embed.embed_text(few, "content").rdd.getNumPartitions() >= 8
+        assert embed.embed_text(read, "content", tasks=3).rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
