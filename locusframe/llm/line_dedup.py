@@ -6,118 +6,284 @@ taken over lines of eight words, one from every word on, wherever the text break
 hash, so every run of `min_words` words that two places share is guaranteed to share a
 fingerprint. Neighbouring windows of one fingerprint form a group.
 
-Groups of equal windows are joined with their first place, in the order of document and
-position; all other places are repeated as a whole. Where a fingerprint has groups that differ,
-a match ends inside them: there the first places are extended word by word, one window for each
-word, and windows are joined with their first place. The words of all repeated windows are
-deleted, so a match reaches as far both ways as the words agree, into the lines around it.
-
-Every step is an aggregation, join or window by key. The rows are groups, about one for 22
-words, and single windows at the ends of matches; never pairs. A passage in a third of all
-documents costs one row per place, and is extended at its first place only.
+Groups whose fingerprint occurs once are left behind. Of the others, groups of equal windows are
+joined with their first place, in the order of document and position; all other places are
+repeated as a whole. Where a fingerprint has groups that differ, a match ends inside them:
+there the first places are extended word by word, one window for each word, and windows are
+compared with their first place. The words of all repeated windows are deleted, so a match
+reaches as far both ways as the words agree, into the lines around it.
+
+Hashes are made of whole batches of texts by array arithmetic, where the texts lie, once for each
+of the three steps: which fingerprints repeat, their groups, and the windows at the ends of
+matches. Filters of bounded size tell the second and third one what to pass on, so what is shuffled
+are groups, about one for 22 words of repeated text, and single windows; never texts or pairs. A
+passage in a third of all documents costs one row per place, and is extended at its first place only.
 """
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import SPACE, stored
+from locusframe.llm.common import HashFilter, SPACE, bounded_batches, hash_filter, stored
 
 MIN_WORDS = 50
 # Words under one hash.
 GRAM = 8
+# Bytes of text hashed at once; a longer text is taken in parts.
+PIECE_BYTES = 1 << 20
+# Runs that are sent to the documents: up to so many bytes are broadcast.
+BROADCAST_BYTES = 64 << 20
 BLANKS = " \t\n\x0b\f\r"
 DOC = ["rank", "id", "text_hash"]
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_BLANK = np.zeros(256, bool)
+_BLANK[list(BLANKS.encode())] = True
+
 
 def _identity(docs: DataFrame, id_column: str, text_column: str) -> list[Column]:
-    """A document is its id and text, in the order of the ids: by number for integer ids, NULL last."""
-    kind = dict(docs.dtypes)[id_column]
+    """A document is its id and text, in the order of the ids: by number for integer ids, NULL last.
+
+    Integer ids are their own rank, and have no text.
+    """
     name = F.col(id_column)
-    rank = name.cast("bigint") if kind in ("tinyint", "smallint", "int", "bigint") else F.when(name.isNotNull(), F.lit(0))
+    if dict(docs.dtypes)[id_column] in ("tinyint", "smallint", "int", "bigint"):
+        rank, text = name.cast("bigint"), F.lit(None).cast("string")
+    else:
+        rank, text = F.when(name.isNotNull(), F.lit(0)), name.cast("string")
     return [
         F.coalesce(rank, F.lit((1 << 63) - 1)).cast("bigint").alias("rank"),
-        name.cast("string").alias("id"),
+        text.alias("id"),
         F.xxhash64(F.col(text_column)).alias("text_hash"),
     ]
 
 
-def _zipped(df: DataFrame, out: str, name: str, shift: int, of) -> DataFrame:
-    """Add `out`: each value of the array `name` combined with the one `shift` places on."""
-    values = F.col(name)
-    return df.withColumn(out, F.zip_with(values, F.slice(values, shift + 1, F.size(values)), of))
+# --- hashes ---------------------------------------------------------------------------
+
+
+@lru_cache(maxsize=4)
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        powers = np.full(count, base, np.uint64)
+        powers[0] = 1
+        out.append(np.cumprod(powers, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ values >> np.uint64(31)) * _MIX
+    return values ^ values >> np.uint64(29)
+
+
+class Sums:
+    """Hashes of any slices of a sequence, as differences of running sums."""
+
+    def __init__(self, values: np.ndarray):
+        size = 1 << max(10, (len(values) + 1).bit_length())
+        powers, self.inverse = _powers(size)
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * powers[: len(values)], dtype=np.uint64, out=self.sums[1:])
+
+    def of(self, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[ends] - self.sums[begins]) * self.inverse[begins])
+
+
+def _parts(data: bytes, min_words: int) -> Iterator[tuple[bytes, int]]:
+    """A text in parts with the bytes in which their own words begin; the last windows are whole."""
+    start = 0
+    while len(data) - start > PIECE_BYTES:
+        stop = start + PIECE_BYTES
+        while stop < len(data) and not _BLANK[data[stop]]:
+            stop += 1
+        end = stop
+        for _ in range(min_words - 1):
+            while end < len(data) and _BLANK[data[end]]:
+                end += 1
+            while end < len(data) and not _BLANK[data[end]]:
+                end += 1
+        yield data[start:end], stop - start
+        start = stop
+    yield (data[start:] if start else data), len(data) - start
+
+
+class Winnowed:
+    """The windows of pieces `(document, bytes, own bytes, words before)` and their fingerprints.
+
+    `document`, `start` (its first word), `hash` and `least` tell of each window that begins in the
+    own bytes of its piece, in order; `words` are the own words of each piece.
+    """
+
+    def __init__(self, pieces: list[tuple[int, bytes, int, int]], min_words: int):
+        joined = b"\n".join([data for _, data, _, _ in pieces]) + b"\n"
+        data = np.frombuffer(joined, np.uint8)
+        sizes = np.array([len(d) + 1 for _, d, _, _ in pieces], np.int64)
+        offsets = np.cumsum(sizes) - sizes
+        blank = _BLANK[data]
+        edges = np.flatnonzero(np.diff(blank.view(np.int8), prepend=1))
+        begins, ends = edges[::2], edges[1::2]
+        piece = np.searchsorted(offsets, begins, side="right") - 1
+        own = begins - offsets[piece] < np.array([n for _, _, n, _ in pieces], np.int64)[piece]
+        self.words = np.bincount(piece[own], minlength=len(pieces))
+        first = np.searchsorted(piece, np.arange(len(pieces)))
+
+        words = Sums(Sums(data.astype(np.uint64) + np.uint64(1)).of(begins, ends) if len(begins) else np.zeros(0, np.uint64))
+        count = max(len(begins) - min_words + 1, 0)
+        gram = min(GRAM, min_words)
+        at = np.arange(count + min_words - gram) if count else np.zeros(0, np.int64)
+        least = words.of(at, at + gram)
+        have, want = 1, min_words - gram + 1
+        while have < want and count:
+            shift = min(have, want - have)
+            least = np.minimum(least[:-shift], least[shift:])
+            have += shift
+        at = np.arange(count)
+        inside = own[:count] & (piece[:count] == piece[count and min_words - 1 :][:count])
+        at = at[inside]
+        self.hash = words.of(at, at + min_words)
+        self.least = least[: count][inside]
+        of = piece[at]
+        self.document = np.array([d for d, _, _, _ in pieces], np.int64)[of]
+        self.start = at - first[of] + np.array([b for _, _, _, b in pieces], np.int64)[of]
+        # A group is a run of windows of one fingerprint in one piece.
+        cut = np.ones(len(at), bool)
+        cut[1:] = (np.diff(self.least) != 0) | (np.diff(at) != 1) | (np.diff(of) != 0)
+        self.begins = np.flatnonzero(cut)
+        self.ends = np.append(self.begins[1:], len(at)) if len(at) else self.begins
+
+    def wholes(self) -> np.ndarray:
+        """The hash of all windows of each group."""
+        return Sums(self.hash).of(self.begins, self.ends)
+
+    def loops(self) -> np.ndarray:
+        """Whether windows of a group are equal: a text that repeats itself."""
+        group = np.repeat(np.arange(len(self.begins)), self.ends - self.begins)
+        # Equal windows come in order of their place, so those of one group are neighbours.
+        order = np.argsort(self.hash, kind="stable")
+        again = (np.diff(group[order]) == 0) & (np.diff(self.hash[order]) == 0)
+        out = np.zeros(len(self.begins), bool)
+        out[group[order[1:][again]]] = True
+        return out
+
 
+def winnowed(texts: pa.Array, min_words: int) -> Iterator[Winnowed]:
+    """The windows of numbered texts, of about `PIECE_BYTES` bytes at a time."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        data, before = text.as_buffer().to_pybytes(), 0
+        for part, own in _parts(data, min_words):
+            held.append((i, part, own, before))
+            size += len(part)
+            if size >= PIECE_BYTES or own < len(part):
+                made = Winnowed(held, min_words)
+                before += int(made.words[-1])
+                yield made
+                held, size = [], 0
+    if held:
+        yield Winnowed(held, min_words)
 
-def _grown(df: DataFrame, name: str, out: str, have: int, want: int, of) -> DataFrame:
-    """Values over `have` neighbours become values over `want`, by doubling; overlaps do no harm."""
-    while have < want:
-        shift = min(have, want - have)
-        df = _zipped(df, out, name, shift, of)
-        name, have = out, have + shift
-    return df
 
+_DOC_TYPES = [pa.int64(), pa.string(), pa.int64()]
+_GROUP = "rank bigint, id string, text_hash bigint, fingerprint bigint, start bigint, windows bigint, whole bigint, loops boolean"
+_SINGLE = "rank bigint, id string, text_hash bigint, fingerprint bigint, start bigint, window bigint"
 
-def _hashes(docs: DataFrame, min_words: int) -> DataFrame:
-    """`grams` (a hash for every eight words) and `windows` (one for every `min_words`) of each text."""
-    words = F.split(F.btrim("text", F.lit(BLANKS)), f"{SPACE}+")
-    df = docs.withColumn("grams", F.transform(words, lambda w: F.xxhash64(w)))
-    df = df.where(F.size("grams") >= min_words).withColumn("count", F.size("grams") - min_words + 1)
-    both = lambda x, y: F.xxhash64(x, y)
-    df = _grown(df, "grams", "grams", 1, min(GRAM, min_words), both)
-    df = _grown(df.withColumn("windows", F.col("grams")), "windows", "windows", min(GRAM, min_words), min_words, both)
-    return df.withColumn("windows", F.slice("windows", 1, F.col("count")))
 
+def _batches(columns: list, schema: str) -> Iterator[pa.RecordBatch]:
+    names = [field.split()[0] for field in schema.split(", ")]
+    yield from pa.table(columns, names=names).to_batches(max_chunksize=10_000)
 
-def window_groups(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Runs of neighbouring windows with one fingerprint, of `(rank, id, text_hash, text)`.
+
+def _signed(hashes: np.ndarray) -> np.ndarray:
+    return hashes.view(np.int64)
+
+
+def fingerprints(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """`(fingerprint)` of every group of `(rank, id, text_hash, text)`; of one that loops twice."""
+
+    def run(batches):
+        for batch in batches:
+            for made in winnowed(batch.column(0), min_words):
+                found = made.least[np.concatenate([made.begins, made.begins[made.loops()]])]
+                yield from _batches([_signed(found)], "fingerprint bigint")
+
+    return bounded_batches(texts).select("text").mapInArrow(run, "fingerprint bigint")
+
+
+def window_groups(texts: DataFrame, repeated: HashFilter, min_words: int = MIN_WORDS) -> DataFrame:
+    """The groups of windows whose fingerprint may be in `repeated`.
 
     `start` is the first word, `windows` the number of windows, `whole` the hash of them all, and
     `loops` tells that some of them are equal.
     """
-    df = _hashes(docs, min_words)
-    gram = min(GRAM, min_words)
-    df = _grown(df.withColumn("least", F.col("grams")), "least", "least", 1, min_words - gram + 1, lambda x, y: F.least(x, y))
-    df = df.withColumn("least", F.slice("least", 1, F.col("count"))).select(*DOC, "count", "least", "windows")
-    # A group begins where the fingerprint differs from the one before.
-    before = F.concat(F.array(F.bitwise_not(F.get("least", F.lit(0)))), F.slice("least", 1, F.col("count") - 1))
-    changes = F.zip_with("least", before, lambda x, y: F.when(x != y, x))
-    begins = F.filter(
-        F.transform(changes, lambda x, i: F.when(x.isNotNull(), F.struct(i.alias("start"), x.alias("fingerprint")))),
-        lambda x: x.isNotNull(),
-    )
-    df = df.withColumn("begins", begins)
-    end = F.struct(F.col("count").alias("start"), F.lit(0).cast("bigint").alias("fingerprint"))
-    following = F.concat(F.slice("begins", 2, F.size("begins")), F.array(end))
-    groups = F.zip_with(
-        "begins", following,
-        lambda a, b: F.struct(a["start"].alias("start"), (b["start"] - a["start"]).alias("windows"), a["fingerprint"].alias("fingerprint")),
-    )
-    # The windows are bound once by the outer transform; the inner one takes slices of them.
-    bound = F.array(F.struct(groups.alias("groups"), F.col("windows").alias("all")))
-    cut = F.transform(
-        bound,
-        lambda b: F.transform(
-            b["groups"],
-            lambda g: F.struct(g.alias("g"), F.slice(b["all"], g["start"] + 1, g["windows"]).alias("own")),
-        ),
-    )
-    loops = F.size(F.array_distinct("part.own")) < F.size("part.own")
-    parts = df.select(*DOC, F.explode(F.element_at(cut, 1)).alias("part"))
-    return parts.select(*DOC, "part.g.*", F.xxhash64("part.own").alias("whole"), loops.alias("loops"))
+    shared = texts.sparkSession.sparkContext.broadcast(repeated)
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            for made in winnowed(batch.column(3), min_words):
+                if not len(made.begins):
+                    continue
+                chosen = np.flatnonzero(held.may_hold(made.least[made.begins]))
+                begins = made.begins[chosen]
+                doc = made.document[begins]
+                columns = [batch.column(i).take(pa.array(doc)) for i in range(3)]
+                columns += [
+                    _signed(made.least[begins]), made.start[begins], (made.ends - made.begins)[chosen],
+                    _signed(made.wholes()[chosen]), made.loops()[chosen],
+                ]
+                yield from _batches(columns, _GROUP)
+
+    return bounded_batches(texts).select(*DOC, "text").mapInArrow(run, _GROUP)
 
 
-def _repeats(places: DataFrame, firsts: DataFrame, on: list[str], min_words: int) -> DataFrame:
-    """The words `begin` to `end` of places that come after the first one of their key.
+def _place_key(doc: Column, start: Column) -> Column:
+    return doc.bitwiseXOR(F.shiftleft(start, 24))
+
+
+def single_windows(texts: DataFrame, places: HashFilter, min_words: int = MIN_WORDS) -> DataFrame:
+    """The windows of the groups whose place may be in `places`."""
+    shared = texts.sparkSession.sparkContext.broadcast(places)
+
+    def run(batches):
+        held = shared.value
+        for batch in batches:
+            keys = batch.column(4).to_numpy().view(np.uint64)
+            for made in winnowed(batch.column(3), min_words):
+                if not len(made.begins):
+                    continue
+                at = made.begins
+                key = keys[made.document[at]] ^ (made.start[at].astype(np.uint64) << np.uint64(24))
+                group = np.repeat(held.may_hold(key), made.ends - made.begins)
+                chosen = np.flatnonzero(group)
+                columns = [batch.column(i).take(pa.array(made.document[chosen])) for i in range(3)]
+                columns += [_signed(made.least[chosen]), made.start[chosen], _signed(made.hash[chosen])]
+                yield from _batches(columns, _SINGLE)
+
+    rows = bounded_batches(texts).select(*DOC, "text", F.xxhash64(*DOC).alias("key"))
+    return rows.mapInArrow(run, _SINGLE)
+
+
+# --- runs -----------------------------------------------------------------------------
+
+
+def _later(places: DataFrame, min_words: int) -> DataFrame:
+    """The words `begin` to `end` of places, with their `first` one, that come after it.
 
     A run that repeats itself overlaps its first place, whose words stay.
     """
-    place = F.struct(*DOC, "start")
-    joined = places.join(firsts.select(*on, "first"), on).where(place > F.col("first"))
+    later = places.where(F.struct(*DOC, "start") > F.col("first"))
     same = F.lit(True)
     for name in DOC:
         same = same & F.col(name).eqNullSafe(F.col("first")[name])
     begin = F.when(same, F.greatest("start", F.col("first")["start"] + min_words)).otherwise(F.col("start"))
     end = F.col("start") + F.col("windows") + min_words - 1
-    return joined.select(*DOC, begin.alias("begin"), end.alias("end")).where("begin < end")
+    return later.select(*DOC, begin.alias("begin"), end.alias("end")).where("begin < end")
 
 
 def repeated_runs(
@@ -126,68 +292,53 @@ def repeated_runs(
     text_column: str = "text",
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """Words that belong to a later repeated run: `(rank, id, text_hash, runs)` per document.
+    """Words that belong to a later repeated run: `(rank, id, text_hash, runs)` per document, stored.
 
     `runs` has the 0-based words `begin` to `end` (not included), sorted and disjoint.
     """
     texts = docs.select(*_identity(docs, id_column, text_column), F.col(text_column).cast("string").alias("text"))
     texts = texts.where("text IS NOT NULL")
-    groups = stored(window_groups(texts, min_words), "window-groups")
+    again = fingerprints(texts, min_words).groupBy("fingerprint").agg(F.count("*").alias("places")).where("places > 1")
+    again = stored(again.select("fingerprint"), "fingerprints")
+    groups = stored(window_groups(texts, hash_filter(again), min_words), "window-groups")
     place = F.struct(*DOC, "start")
-    wholes = stored(
-        groups.groupBy("fingerprint", "whole").agg(
-            F.min(place).alias("first"),
-            F.first("windows").alias("windows"),
-            F.first("loops").alias("loops"),
-            F.count("*").alias("places"),
-        ),
-        "equal-groups",
+    wholes = groups.groupBy("fingerprint", "whole").agg(
+        F.min(place).alias("first"),
+        F.first("loops").alias("loops"),
+        F.count("*").alias("places"),
     )
-    later = _repeats(groups, wholes.where("places > 1"), ["fingerprint", "whole"], min_words)
+    wholes = stored(wholes, "equal-groups")
+    firsts = wholes.where("places > 1").select("fingerprint", "whole", "first")
+    later = _later(groups.join(firsts, ["fingerprint", "whole"]), min_words)
 
     # Groups of one fingerprint that differ may still share some of their windows, and a
     # text that repeats itself has equal windows in one group.
     mixed = wholes.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.max("loops").alias("loop"))
-    mixed = mixed.where((F.col("kinds") > 1) | F.col("loop"))
-    ends = wholes.join(mixed, "fingerprint", "left_semi").select("first.*", "windows")
-    asked = ends.groupBy(*DOC).agg(F.collect_list(F.struct("start", "windows")).alias("groups"))
-    asked = asked.select(F.col("rank"), F.col("id").alias("asked_id"), "text_hash", "groups")
-    same = texts["id"].eqNullSafe(asked["asked_id"])
-    found = texts.join(asked, (texts["rank"] == asked["rank"]) & (texts["text_hash"] == asked["text_hash"]) & same)
-    found = _hashes(found.select(texts["rank"], "id", texts["text_hash"], "text", "groups"), min_words)
-    bound = F.array(F.struct("groups", F.col("windows").alias("all")))
-    cut = F.transform(
-        bound,
-        lambda b: F.flatten(
-            F.transform(
-                b["groups"],
-                lambda g: F.transform(
-                    F.slice(b["all"], g["start"] + 1, g["windows"]),
-                    lambda w, i: F.struct((g["start"] + i).alias("start"), w.alias("window")),
-                ),
-            )
-        ),
-    )
-    single = found.select(*DOC, F.explode(F.element_at(cut, 1)).alias("w")).select(*DOC, "w.*", F.lit(1).alias("windows"))
-    single = stored(single, "single-windows")
-    firsts = single.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    extended = _repeats(single, firsts.where("first <> last"), ["window"], min_words)
+    mixed = mixed.where((F.col("kinds") > 1) | F.col("loop")).select("fingerprint")
+    ends = wholes.join(mixed, "fingerprint", "left_semi").select("first.*")
+    keys = stored(ends.select(_place_key(F.xxhash64(*DOC), F.col("start")).alias("key")), "places")
+    single = single_windows(texts, hash_filter(keys), min_words)
+    # A window is met at the first places of groups only, however many copies these have.
+    alike = Window.partitionBy("fingerprint", "window")
+    single = single.withColumn("first", F.min(place).over(alike)).withColumn("windows", F.lit(1))
+    extended = _later(single, min_words)
 
     # Overlapping repeats become one run.
     along = Window.partitionBy(*DOC).orderBy("begin", "end")
     reached = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    runs = later.union(extended).distinct().withColumn("new", F.coalesce(F.col("begin") > reached, F.lit(True)))
+    runs = later.union(extended).withColumn("new", F.coalesce(F.col("begin") > reached, F.lit(True)))
     runs = runs.withColumn("run", F.sum(F.col("new").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     runs = runs.groupBy(*DOC, "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
-    return runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
+    runs = runs.groupBy(*DOC).agg(F.sort_array(F.collect_list(F.struct("begin", "end"))).alias("runs"))
+    return stored(runs, "runs")
 
 
 def _without(text: Column, runs: Column) -> Column:
     """A text without some words and the white space before them."""
     space, word = SPACE[1:-1], f"[^{SPACE[1:-1]}]"
     words = F.regexp_extract_all(text, F.lit(f"[{space}]*{word}+"), F.lit(0))
-    begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
-    ends = F.concat(F.transform(runs, lambda r: r["begin"]), F.array(F.lit((1 << 31) - 1)))
+    begins = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"].cast("int")))
+    ends = F.concat(F.transform(runs, lambda r: r["begin"].cast("int")), F.array(F.lit((1 << 31) - 1)))
     gaps = F.zip_with(begins, ends, lambda a, b: F.struct(a.alias("begin"), (b - a).alias("words")))
     # The words are bound once by the outer transform.
     bound = F.array(F.struct(words.alias("words"), gaps.alias("gaps")))
@@ -224,7 +375,9 @@ def dedup_lines(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
         *_identity(base, id_column, text_column),
     )
+    size = found.agg(F.sum(F.size("runs") * 32 + 64)).first()[0] or 0
     found = found.select(*(F.col(c).alias(f"found_{c}") for c in DOC), "runs")
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
     same = (F.col("rank") == F.col("found_rank")) & (F.col("text_hash") == F.col("found_text_hash"))
     joined = keyed.join(found, same & F.col("id").eqNullSafe(F.col("found_id")), "left")
     text = F.col("row").getField(text_column)
