@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm import decontaminate, line_dedup, packing, quality_rules, simhash
-from locusframe.llm.common import stored, table
+from locusframe.llm.common import identity, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,16 +32,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every class of similar ones."""
+    """The first document of every component of fingerprints at most three bits apart."""
     docs = docs.select(*COLUMNS)
-    return simhash.first_of_each(docs, simhash.similar_documents(docs))
+    return simhash.first_of_each(docs, simhash.near_duplicates(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaked."""
     docs = docs.select(*COLUMNS)
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("id", "text_hash").distinct()
-    own_id, own_hash = decontaminate.identity(docs, "doc_id", "text")
+    own_id, own_hash = identity(docs, "doc_id", "text")
     same = own_id.eqNullSafe(found["id"]) & (own_hash == found["text_hash"])
     return docs.join(found, same, "left_anti")
 

@@ -1,26 +1,22 @@
 """SimHash near-duplicates found with keys from the binary Golay code.
 
 Two 64-bit fingerprints that differ in at most three bits have a 32-bit half with at most
-one differing bit. Such a half is cut into 23 bits and 9 bits:
-
-- the bit differs among the 23: the 9 agree, and so does a Golay key. The perfect Golay
-  code has exactly one codeword within distance 3 of any 23-bit word; a neighbour of that
-  word is within distance 4 of the same codeword. Every word therefore gives the indices of
-  all codewords within distance 4 (one or six of them), and neighbours share one;
-- the bit differs among the 9, or nowhere: the 23 agree.
-
-No link is lost, and a fingerprint gives 4 to 14 keys. Rows that share a key are compared
+one differing bit, and what differs in the other half are the rest. A half is cut into 23 bits and
+9 bits, the other half into three blocks:
+
+- no bit of the half differs: the half is a key of its own;
+- the bit differs among the 9: the 23 agree, at most two bits of the other half differ, and one of
+  its three blocks agrees;
+- the bit differs among the 23: the 9 agree, a block of the other half agrees, and so does a Golay
+  key. The perfect Golay code has exactly one codeword within distance 3 of any 23-bit word; a
+  neighbour of that word is within distance 4 of the same codeword. Every word therefore gives the
+  indices of all codewords within distance 4 (one or six of them), and neighbours share one.
+
+No link is lost. Every key has 31 bits or more, so a table of billions of fingerprints has few
+chance meetings to a key; a fingerprint gives 14 to 44 keys. Rows that share a key are compared
 exactly. A key shared by many fingerprints is cut into blocks whose pairs are compared in
 separate tasks. A task reports the links of a cell as a star around the smallest member of
 each connected part, never as all pairs.
-
-`near_duplicates` links fingerprints of word shingles at three bits. `similar_documents` is
-for texts whose five-word shingles have a Jaccard similarity of 0.8 or more, which differ in
-about a seventh of the bits of a SimHash of these shingles. There the keys come from the
-fingerprints of single words, of which such texts share nearly all if edits are scattered, and
-from bands of shingle minima, which do not depend on where words were added. Pairs that share a key and
-differ in few of 256 fingerprint bits of their shingles form groups of candidates. Inside a
-group the shingle sets themselves are compared, and only pairs that reach 0.8 are linked.
 """
 
 from collections.abc import Iterator
@@ -46,15 +42,6 @@ HOT_KEYS = 100_000
 # Generator polynomial of the (23, 12) Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
 
-# Odd multipliers that make further 64-bit hashes of one.
-MIXERS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9]
-
-# Two sets of Jaccard similarity J share a minimum with probability J, so they share none of the
-# bands with probability (1 - J ** BAND_ROWS) ** BANDS: 5e-8 at 0.8, 6e-11 at 0.85.
-BANDS, BAND_ROWS = 32, 4
-_rng = np.random.default_rng(SEED)
-_MINIMA = _rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64, endpoint=False) | np.uint64(1)
-
 
 # --- fingerprints ---------------------------------------------------------------------
 
@@ -75,80 +62,40 @@ def _hashes(text: str, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(b" ".join(kept), seed)], np.uint64)
 
 
-def _majority(parts: Iterator[np.ndarray], bits: int = 64) -> np.ndarray:
-    """For each of `bits` places whether over half of the hashes have it set, as 64-bit words."""
-    total, ones = 0, np.zeros(bits, np.int64)
+def _majority(parts: Iterator[np.ndarray]) -> int:
+    """The bits that over half of the hashes have set."""
+    total, ones = 0, np.zeros(64, np.int64)
     for hashes in parts:
         for start in range(0, len(hashes), 1 << 15):
             part = hashes[start : start + (1 << 15)]
-            wide = [part]
-            for mixer in MIXERS[: bits // 64 - 1]:
-                mixed = part * np.uint64(mixer)
-                mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(MIXERS[0])
-                wide.append(mixed ^ mixed >> np.uint64(29))
-            rows = np.stack(wide, axis=1).view(np.uint8)
+            rows = part[:, None].view(np.uint8)
             ones += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
             total += len(part)
-    return np.packbits(2 * ones > total, bitorder="little").view(np.uint64)
-
-
-def band_keys(shingles: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band: a hash of the smallest hashes of a set under BAND_ROWS functions."""
-    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
-    # Small parts stay in the cache. Shingle hashes are mixed well before they come here.
-    for start in range(0, len(shingles), 128):
-        mixed = shingles[start : start + 128] ^ _MINIMA[0]
-        mixed *= _MINIMA[1]
-        np.minimum(least, mixed.min(axis=1), out=least)
-    rows = least.reshape(BANDS, BAND_ROWS)
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for k in range(BAND_ROWS):
-        keys = (keys ^ rows[:, k]) * np.uint64(MIXERS[1])
-        keys ^= keys >> np.uint64(29)
-    return keys
+    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text; zero for one without words."""
-    return int(_majority(_hashes(text or "", words))[0])
-
-
-def wide_fingerprints(text: str | None, words: int = 5) -> np.ndarray:
-    """Eight 64-bit words: four for the set of single words, four for the shingles."""
-    text = text or ""
-    single = [np.unique(part) for part in _hashes(text, 1)]
-    single = [np.unique(np.concatenate(single))] if single else []
-    return np.concatenate([_majority(iter(single), 256), _majority(_hashes(text, words), 256)])
+    """The SimHash of a text's shingles; zero without words."""
+    return _majority(_hashes(text or "", words))
 
 
 def fingerprints(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    words: int = 3,
-    wide: bool = False,
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 3
 ) -> DataFrame:
-    """One row `(id, text_hash, v0, ...)` per document; signed 64-bit fingerprint words."""
-    names = [f"v{i}" for i in range(8 if wide else 1)]
+    """One row `(id, text_hash, v0)` per document; `v0` is its fingerprint as a signed number."""
+    kind = dict(docs.dtypes)[id_column]
 
     def run(batches):
         for batch in batches:
-            texts = (text.as_py() for text in batch.column(2))
-            if wide:
-                rows = [wide_fingerprints(text, words) for text in texts]
-            else:
-                rows = [np.array([fingerprint(text, words)], np.uint64) for text in texts]
-            values = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(names))]
+            values = np.array([fingerprint(text.as_py(), words) for text in batch.column(2)], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *columns], names=["id", "text_hash", *names]
+                [*batch.columns[:2], pa.array(values.view(np.int64))], names=["id", "text_hash", "v0"]
             )
 
     rows = bounded_batches(docs).select(
         *identity(docs, id_column, text_column), F.col(text_column).cast("string").alias("text")
     )
-    schema = "id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"id {kind}, text_hash bigint, v0 bigint")
 
 
 # --- Golay keys -----------------------------------------------------------------------
@@ -185,50 +132,48 @@ def _syndromes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of(values: np.ndarray, place: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of 64-bit words, and for each key the index of its word.
+# The blocks of a half: where they begin and how many bits they have.
+_BLOCKS = [(0, 11), (11, 11), (22, 10)]
 
-    `place` keeps the keys of several fingerprint words apart.
-    """
+
+def keys_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of 64-bit fingerprints, and for each key the index of its fingerprint."""
     _, patterns, sizes = golay_tables()
     index = np.arange(len(values))
+    halves = [(values.view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF for half in range(2)]
     keys, owners = [], []
-    for half in range(2):
-        part = (values.view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
+    for half, (part, other) in enumerate([halves, halves[::-1]]):
         long, short = part & 0x7FFFFF, part >> 23
-        mark = (2 * place + half) << 40
-        keys.append(mark | 1 << 39 | long)
-        owners.append(index)
         syndromes = _syndromes(long)
+        codewords = [(index, long, 1)]
         for k in range(6):
-            own = sizes[syndromes] > k
-            codeword = long[own] ^ patterns[syndromes[own], k]
+            own = np.flatnonzero(sizes[syndromes] > k)
             # The high 12 bits of a codeword tell it from all others.
-            keys.append(mark | codeword >> 11 << 9 | short[own])
-            owners.append(index[own])
+            index_bits = (long[own] ^ patterns[syndromes[own], k]) >> 11
+            codewords.append((own, index_bits << 9 | short[own], 2))
+        keys.append(half << 44 | part)
+        owners.append(index)
+        for block, (begin, bits) in enumerate(_BLOCKS):
+            agreed = other >> begin & (1 << bits) - 1
+            for own, known, kind in codewords:
+                # Marks keep the kinds of keys apart, those of 23 and of 21 bits too.
+                keys.append((half << 4 | block << 2 | kind) << 40 | known << 11 | agreed[own])
+                owners.append(own)
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _keyed(unique: DataFrame, key_words: list[str], verified: list[str], listed: list[str] = []) -> DataFrame:
-    """Rows `(key, node, verified words)` for every key of the key words, and every one in the columns `listed`."""
-    at = {name: i for i, name in enumerate(unique.columns)}
+def _keyed(unique: DataFrame) -> DataFrame:
+    """Rows `(key, node, v0)` for every key of the fingerprints `v0`."""
 
     def run(batches):
         for batch in batches:
-            columns = [None if n in listed else c.to_numpy(zero_copy_only=False) for n, c in zip(batch.schema.names, batch.columns)]
-            found = [keys_of(columns[at[word]], place) for place, word in enumerate(key_words)]
-            for name in listed:
-                lists = batch.column(at[name])
-                owners = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-                found.append((lists.flatten().to_numpy(), owners))
-            for keys, owners in found:
-                rest = [columns[at[name]][owners] for name in ["node", *verified]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in (keys, *rest)], names=["key", "node", *verified]
-                )
-
-    schema = ", ".join(f"{name} bigint" for name in ["key", "node", *verified])
-    return unique.mapInArrow(run, schema)
+            nodes, values = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for at in range(0, len(values), 2000):
+                keys, owners = keys_of(values[at : at + 2000])
+                columns = (keys, nodes[at : at + 2000][owners], values[at : at + 2000][owners])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "v0"])
+
+    return unique.select("node", "v0").mapInArrow(run, "key bigint, node bigint, v0 bigint")
 
 
 # --- links ----------------------------------------------------------------------------
@@ -313,18 +258,14 @@ def _linked_rows(cells: DataFrame, radius: int) -> DataFrame:
 
 def links(
     unique: DataFrame,
-    key_words: list[str],
-    verified: list[str],
     radius: int,
     block: int = BLOCK,
-    listed: list[str] = [],
 ) -> DataFrame:
-    """Links `(a, b)` of nodes that share a key and differ in at most `radius` verified bits.
+    """Links `(a, b)` of nodes whose fingerprints `v0` share a key and differ in at most `radius` bits.
 
-    They connect exactly what all such pairs connect. `unique` has one row per `node`; its columns
-    `listed` are arrays of further keys.
+    They connect exactly what all such pairs connect. `unique` has one row per `node`.
     """
-    keyed = _keyed(unique.select("node", *dict.fromkeys(key_words + verified + listed)), key_words, verified, listed)
+    keyed = _keyed(unique)
     hot = stored(
         keyed.groupBy("key")
         .agg(F.count("*").alias("n"))
@@ -341,29 +282,27 @@ def links(
         i, j = F.least("own", "other"), F.greatest("own", "other")
     else:
         i = j = F.lit(0)
-    cells = keyed.select("key", i.alias("i"), j.alias("j"), "node", *verified)
+    cells = keyed.select("key", i.alias("i"), j.alias("j"), "node", "v0")
     together = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return _linked_rows(together, radius).distinct()
 
 
-def _classes(rows: DataFrame, unique: DataFrame, found: DataFrame, values: list[str]) -> DataFrame:
-    """`rows` with the `component_id` of their fingerprint words `values`."""
+def _classes(rows: DataFrame, unique: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` with the `component` of their fingerprint `v0`: its smallest document."""
     parts = connected_components(found).withColumnRenamed("node", "part")
     named = unique.join(parts, unique["node"] == parts["part"], "left").select(
-        "node", *values, "least", F.coalesce("root", "node").alias("root")
+        "node", "v0", "least", F.coalesce("root", "node").alias("root")
     )
     named = stored(named, "named-fingerprints")
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = named.join(smallest, "root").select(*values, "component")
-    return rows.join(classes, values)
+    classes = named.join(smallest, "root").select("v0", "component")
+    return rows.join(classes, "v0")
 
 
-def _grouped(rows: DataFrame, values: list[str], same: list[str] = []) -> DataFrame:
-    """One row per different fingerprint, with its smallest document and the columns `same` that follow from it."""
-    node = F.col(values[0]) if len(values) == 1 else F.xxhash64(*values)
+def _grouped(rows: DataFrame) -> DataFrame:
+    """One row per different fingerprint, with its smallest document."""
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "text_hash")
-    rest = [F.min(name).alias(name) for name in same]
-    return rows.groupBy(*values).agg(F.min(place).alias("least"), *rest).withColumn("node", node)
+    return rows.groupBy("v0").agg(F.min(place).alias("least")).withColumn("node", F.col("v0"))
 
 
 def near_duplicates(
@@ -374,194 +313,33 @@ def near_duplicates(
     radius: int = RADIUS,
     block: int = BLOCK,
 ) -> DataFrame:
-    """One row `(id, text_hash, fp, component_id)` per document.
+    """One row `(id, text_hash, fp, component_id, component)` per document.
 
     `component_id` is the smallest id that is reachable over fingerprints at most `radius`
-    bits apart. Texts without words, NULL ones included, have fingerprint zero and are linked
-    like any other; fewer words than a shingle has count as one shingle. A NULL id is kept,
-    and names no component unless all its ids are NULL. Repeated rows stay.
+    bits apart, and `component` the document of this id. Texts without words, NULL ones included, have fingerprint
+    zero and are linked like any other; fewer words than a shingle has count as one shingle. A NULL id is kept,
+    and names no component unless all its ids are NULL. Repeated rows stay. Integer ids are compared as
+    numbers, others as texts.
     """
     if radius > RADIUS:
         raise ValueError("the keys find all pairs that differ in three bits at most")
     rows = stored(fingerprints(docs, id_column, text_column, words), "fingerprints")
-    unique = stored(_grouped(rows, ["v0"]), "unique-fingerprints")
-    found = links(unique, ["v0"], ["v0"], radius, block)
-    return _classes(rows, unique, found, ["v0"]).select(
-        "id", "text_hash", F.col("v0").alias("fp"), F.col("component")["id"].alias("component_id")
+    unique = stored(_grouped(rows), "unique-fingerprints")
+    found = links(unique, radius, block)
+    return _classes(rows, unique, found).select(
+        "id", "text_hash", F.col("v0").alias("fp"), F.col("component")["id"].alias("component_id"), "component"
     )
 
 
-# Texts of similarity 0.8 differ in 39 of 256 bits on average, give or take 6; sets of five
-# shingles in 48. More than these are differed in by fewer than one pair in a million.
-SIMILAR_BITS = 80
-# The least similarity, as a fraction.
-SIMILAR = (4, 5)
-# Shingle sets, and hashes in all, of a group of candidates that are compared in one task.
-SETS = 512
-HASHES = 1 << 21
-
-
-def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
-    """The different shingle hashes of a text, in order."""
-    parts = [np.unique(part) for part in _hashes(text or "", words)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5) -> DataFrame:
-    """One row `(id, text_hash, s0, s1, size, v0, ..., bands)` per document.
-
-    `s0` and `s1` are a digest of the shingle set, `size` is its size, `v0` to `v7` are the
-    words of `wide_fingerprints`, and `bands` has the keys of the set's minima.
-    """
-    names = ["s0", "s1", "size", *(f"v{i}" for i in range(8))]
-
-    def run(batches):
-        for batch in batches:
-            rows, bands = [], []
-            for text in batch.column(2):
-                text = text.as_py()
-                shingles = shingle_set(text, words)
-                digest = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.uint64)
-                size = np.array([len(shingles)], np.uint64)
-                rows.append(np.concatenate([digest, size, wide_fingerprints(text, words)]))
-                bands.append(band_keys(shingles).view(np.int64))
-            values = np.array(rows, np.uint64).reshape(-1, len(names)).view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(values[:, i])) for i in range(len(names))]
-            columns.append(pa.array(bands, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["id", "text_hash", *names, "bands"])
-
-    rows = bounded_batches(docs).select(
-        *identity(docs, id_column, text_column), F.col(text_column).cast("string").alias("text")
-    )
-    return rows.mapInArrow(run, "id bigint, text_hash bigint, " + ", ".join(f"{n} bigint" for n in names) + ", bands array<bigint>")
-
-
-def _exact_stars(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """Stars of the indices of sets that chains of pairs with Jaccard similarity SIMILAR connect.
-
-    A set that has joined a part is compared only with the sets that are in no part yet.
-    """
-    part, whole = SIMILAR
-    sizes = np.array([len(s) for s in sets])
-    left = np.flatnonzero(sizes)
-    if len(left) < 2:
-        return [], []
-    codes = np.unique(np.concatenate([sets[i] for i in left]), return_inverse=True)[1]
-    own = dict(zip(left.tolist(), np.split(codes, np.cumsum(sizes[left])[:-1])))
-    mark = np.zeros(int(codes.max()) + 1, bool)
-    nodes, centres = [], []
-    waiting: list[int] = []
-    centre = -1
-    while len(left):
-        if not waiting:
-            centre = int(left[0])
-            waiting, codes, left = [centre], codes[sizes[centre] :], left[1:]
-            continue
-        now = waiting.pop()
-        mark[own[now]] = True
-        starts = np.cumsum(sizes[left]) - sizes[left]
-        common = np.add.reduceat(mark[codes], starts, dtype=np.int64)
-        mark[own[now]] = False
-        # common / (a + b - common) >= part / whole
-        joined = (part + whole) * common >= part * (sizes[now] + sizes[left])
-        if joined.any():
-            more = left[joined].tolist()
-            waiting += more
-            nodes += more
-            centres += [centre] * len(more)
-            codes = codes[np.repeat(~joined, sizes[left])]
-            left = left[~joined]
-    return nodes, centres
-
-
-def _verified(docs: DataFrame, unique: DataFrame, candidates: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
-    """Links `(a, b)` that connect what all pairs of SIMILAR shingle sets connect in groups of candidates.
-
-    The set of a node is made again from the text of its smallest document. A large group is
-    cut into blocks, and every two blocks meet in a task.
-    """
-    groups = connected_components(candidates)
-    named = stored(groups.join(unique.select("node", "least", "size"), "node"), "candidates")
-    blocks = named.groupBy("root").agg(
-        F.greatest(F.lit(1), F.ceil(F.count("*") / SETS), F.ceil(F.sum("size") / HASHES)).cast("int").alias("blocks")
-    )
-    place = named.join(blocks, "root").select(
-        "root", "node", "blocks", F.col("least")["id"].alias("_id"), F.col("least")["text_hash"].alias("_hash")
-    )
-    own_id, own_hash = identity(docs, id_column, text_column)
-    texts = bounded_batches(docs).select(own_id, own_hash, F.col(text_column).cast("string").alias("text"))
-    texts = texts.join(place, (texts["text_hash"] == place["_hash"]) & texts["id"].eqNullSafe(place["_id"]))
-
-    def hashed(batches):
-        for batch in batches:
-            sets = [shingle_set(text.as_py(), words).tobytes() for text in batch.column(3)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sets, pa.binary())], names=["root", "node", "blocks", "hashes"]
-            )
-
-    sets = texts.select("root", "node", "blocks", "text").mapInArrow(
-        hashed, "root bigint, node bigint, blocks int, hashes binary"
-    )
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = sets.select(
-        "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes"
-    )
-
-    def compared(cell: pa.Table) -> pa.Table:
-        # Rows that repeat a document repeat its node.
-        own = dict(zip(cell["node"].to_pylist(), cell["hashes"]))
-        keys = sorted(own)
-        nodes, centres = _exact_stars([np.frombuffer(own[k].as_buffer(), np.uint64) for k in keys])
-        return pa.table(
-            {"a": pa.array([keys[i] for i in nodes], pa.int64()), "b": pa.array([keys[i] for i in centres], pa.int64())}
-        )
-
-    return cells.groupBy("root", "i", "j").applyInArrow(compared, "a bigint, b bigint").distinct()
-
-
-def similar_documents(
-    docs: DataFrame,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    words: int = 5,
-    radius: int = SIMILAR_BITS,
-    block: int = BLOCK,
-) -> DataFrame:
-    """One row `(id, text_hash, component)` per document, linked by similarity.
-
-    `component` is the struct `(unknown, id, text_hash)` of the first document that is
-    reachable over pairs whose shingle sets have a Jaccard similarity of 0.8 or more; documents
-    without an id come last. No other pair is linked. Lost pairs: at a similarity of just 0.8
-    fewer than one in a million shares no key or exceeds the radius, wherever the texts differ;
-    above it still fewer. NULL and blank texts are equal to each other, as are texts with equal shingles. Rows that repeat an id and
-    a text are one document.
-    """
-    rows = stored(sketches(docs, id_column, text_column, words), "sketches")
-    fingerprint_words = [f"v{i}" for i in range(8)]
-    unique = stored(_grouped(rows, ["s0", "s1"], ["size", *fingerprint_words, "bands"]), "unique-sketches")
-    candidates = links(unique, fingerprint_words[:4], fingerprint_words[4:], radius, block, ["bands"])
-    found = _verified(docs, unique, candidates, id_column, text_column, words)
-    return _classes(rows, unique, found, ["s0", "s1"]).select("id", "text_hash", "component")
-
-
 def first_of_each(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of `docs` that are the first document of their component, once each."""
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)).cast("bigint"))
-    first = classes.select(
-        key(F.col("component")["id"]).alias("_id"),
-        F.col("component")["unknown"].alias("_unknown"),
-        F.col("component")["text_hash"].alias("_hash"),
-    ).distinct()
+    first = classes.select(F.col("component")["id"].alias("_id"), F.col("component")["text_hash"].alias("_hash")).distinct()
     names = docs.columns
     own_id, own_hash = identity(docs, id_column, text_column)
-    keyed = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),
-        key(own_id).alias("_id"),
-        own_id.isNull().alias("_unknown"),
-        own_hash.alias("_hash"),
-    )
-    on = ["_id", "_unknown", "_hash"]
-    kept = keyed.join(first, on, "left_semi")
-    once = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1))))
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    keyed = docs.select(row, own_id.alias("_own"), own_hash.alias("_own_hash"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_hash") == F.col("_hash"))
+    kept = keyed.join(first, same, "left_semi")
+    alike = Window.partitionBy("_own", "_own_hash").orderBy(F.lit(1))
+    once = kept.withColumn("_n", F.row_number().over(alike))
     return once.where("_n = 1").select(*(F.col("_row").getField(c).alias(c) for c in names))
