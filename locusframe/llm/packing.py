@@ -1,12 +1,12 @@
 """Packing of tokenized documents into windows by multiway Karmarkar-Karp differencing.
 
 A document is its token ids and one end id. Whole windows are cut from its front; what is
-left waits with the rests of other documents until they fill a block of windows. A block is
-then split into near-equal windows: every rest starts as a partition with one used window,
+left, in pieces of a quarter window, waits with the rests of other documents until they fill a block of
+windows. A block is then split into near-equal windows: every piece starts as a partition with one used window,
 and the two partitions with the largest imbalance are merged, the fullest window of one with
-the emptiest of the other, until one partition is left. If a window exceeds its capacity,
-the piece that sticks out is cut there and its end fills windows with room; where pieces
-must stay whole, the block is split again into one window more.
+the emptiest of the other, until one partition is left. While a window exceeds its capacity,
+the block is split again into more windows. The smallest pieces are merged beforehand, so a block
+of many of them needs no more memory than any other.
 
 Blocks are formed inside the partitions of the input, so texts are not shuffled and a lost
 task is repeated alone. A partition leaves at most one block that is not full.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from locusframe.llm.common import bounded_batches
 
 WINDOW = 1024
-# Windows of a block; about one in so many windows is lost to padding at most.
+# Windows of a block; about one in so many windows is lost to padding.
 BLOCK_WINDOWS = 256
 END = 0
 VOCABULARY = "byte_bpe_50k"
@@ -146,37 +146,49 @@ def difference(sizes: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def fill(sizes: list[int], capacity: int = WINDOW, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of pieces `(index, start, length)` that hold all of `sizes`."""
-    if not cut and max(sizes, default=0) > capacity:
-        raise ValueError("a piece that must stay whole is longer than a window")
+# A rest is cut into pieces of this part of a window, as two long ones might share no window.
+PIECE = 1 / 4
+# A bundle of small pieces has this part of a window at most.
+BUNDLE = 32
+
+
+def bundled(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Indices of `sizes` in bundles: the small ones together, so that bundles are few.
+
+    Differencing holds two numbers per window for each part, and there may be as many pieces as tokens.
+    """
+    most = max(capacity // BUNDLE, 1)
+    out, held, total = [], [], 0
+    for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i)):
+        if sizes[i] > most:
+            out.append([i])
+            continue
+        if total + sizes[i] > most:
+            out.append(held)
+            held, total = [], 0
+        held.append(i)
+        total += sizes[i]
+    return out + [held] if held else out
+
+
+def fill(sizes: list[int], capacity: int = WINDOW) -> list[list[int]]:
+    """Windows of pieces, given as indices of `sizes`, that hold `capacity` at most.
+
+    The pieces are split into as few windows as could hold them; while one exceeds its capacity, into
+    more: as many as what sticks out would fill, one at least.
+    """
+    if max(sizes, default=0) > capacity:
+        raise ValueError("a piece is longer than a window")
+    bundles = bundled(sizes, capacity)
+    totals = [sum(sizes[i] for i in bundle) for bundle in bundles]
     windows = max(1, -(-sum(sizes) // capacity))
     while True:
-        groups = difference(sizes, windows)
-        if cut or max(sum(sizes[i] for i in g) for g in groups) <= capacity:
+        groups = difference(totals, windows)
+        over = sum(max(0, sum(totals[i] for i in group) - capacity) for group in groups)
+        if not over:
             break
-        windows += 1
-    out, rests, room = [], [], []
-    for group in groups:
-        pieces, used = [], 0
-        for i in group:
-            taken = min(sizes[i], capacity - used)
-            if taken:
-                pieces.append((i, 0, taken))
-            if taken < sizes[i]:
-                rests.append((i, taken, sizes[i] - taken))
-            used += taken
-        out.append(pieces)
-        heapq.heappush(room, (used - capacity, len(out) - 1))
-    for i, start, length in sorted(rests, key=lambda rest: (-rest[2], rest[0])):
-        while length:
-            free, at = heapq.heappop(room)
-            taken = min(length, -free)
-            out[at].append((i, start, taken))
-            start, length = start + taken, length - taken
-            if free + taken:
-                heapq.heappush(room, (free + taken, at))
-    return [pieces for pieces in out if pieces]
+        windows += -(-over // capacity)
+    return [[i for bundle in group for i in bundles[bundle]] for group in groups if group]
 
 
 # --- the operator ---------------------------------------------------------------------
@@ -202,6 +214,7 @@ def pack(
     stay. `folder` names the vocabulary files; None takes the installed ones.
     """
     kind = dict(docs.dtypes)[id_column]
+    piece = max(1, int(capacity * PIECE))
 
     def run(batches):
         sequence = TaskContext.get().partitionId() << 40
@@ -221,11 +234,10 @@ def pack(
             out = []
             for pieces in fill([len(ids) for _, _, ids, _ in waiting], capacity):
                 offset = 0
-                for i, start, length in pieces:
-                    key, before, ids, total = waiting[i]
-                    part = ids[start : start + length].tobytes()
-                    out.append((key, before + start, length, part, total, sequence, offset))
-                    offset += length
+                for i in pieces:
+                    key, start, ids, total = waiting[i]
+                    out.append((key, start, len(ids), ids.tobytes(), total, sequence, offset))
+                    offset += len(ids)
                 sequence += 1
             waiting, held = [], 0
             return out
@@ -241,9 +253,9 @@ def pack(
                     part = ids[start : start + capacity].tobytes()
                     out.append((key, start, capacity, part, len(ids), sequence, 0))
                     sequence += 1
-                if whole < len(ids):
-                    waiting.append((key, whole, ids[whole:], len(ids)))
-                    held += len(ids) - whole
+                for start in range(whole, len(ids), piece):
+                    waiting.append((key, start, ids[start : start + piece], len(ids)))
+                held += len(ids) - whole
                 if held >= capacity * block_windows:
                     out += block()
                 if len(out) > 2000:

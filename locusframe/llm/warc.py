@@ -14,16 +14,16 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import bounded_batches, stored
 from locusframe.storage import new_path
 
-CHUNK_CHARS = 1 << 18
 CHUNK_BYTES = 1 << 20
 MIN_REVISIT = 1000
 # Bytes of an archive after which the writer begins the next one.
@@ -33,8 +33,73 @@ MOST_TASKS = 50_000
 EMPTY_SHA1 = hashlib.sha1().hexdigest()
 
 
-def payload(text: Column) -> Column:
-    return F.coalesce(text.cast("string"), F.lit(""))
+CHUNKS = (
+    "record_id {kind}, url string, row bigint, chunk bigint, last boolean, data binary, digest string, bytes bigint, "
+    "payload_digest string, payload_bytes bigint"
+)
+
+
+def chunks(
+    pages: DataFrame,
+    id_column: str = "page_id",
+    url_column: str = "url",
+    html_column: str = "html",
+    with_data: bool = True,
+) -> DataFrame:
+    """The chunk table of the payloads, a row per record and chunk number.
+
+    A payload is cut where it lies; `digest` and `bytes` are those of all its bytes up to the end of
+    the chunk, `payload_digest` and `payload_bytes` those of the last one, by which the chunks of a record
+    find its header. `row` tells repeated rows apart inside one job. `with_data=False` gives the last
+    chunks alone, without data. A NULL payload is empty.
+    """
+    kind = dict(pages.dtypes)[id_column]
+    schema = CHUNKS.format(kind=kind)
+    names = [field.split()[0] for field in schema.split(", ")]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+
+    def digests(data: memoryview) -> Iterator[tuple[memoryview, str]]:
+        state = hashlib.sha1()
+        for at in range(0, max(len(data), 1), CHUNK_BYTES):
+            part = data[at : at + CHUNK_BYTES]
+            state.update(part)
+            yield part, state.hexdigest()
+
+    def run(batches):
+        for batch in batches:
+            out, held = [], 0
+
+            def rows():
+                kinds = [batch.schema.field(0).type, *types]
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+            for key, url, row, html in zip(*batch.columns):
+                # The bytes of the cell are cut where they are; only chunks are copied.
+                data = memoryview(html.as_buffer()) if html.is_valid else memoryview(b"")
+                size, whole = len(data), None
+                for _, whole in digests(data):
+                    pass
+                record = key.as_py(), url.as_py(), row.as_py()
+                parts = digests(data) if with_data and size > CHUNK_BYTES else [(data, whole)]
+                done = 0
+                for chunk, (part, digest) in enumerate(parts):
+                    done += len(part)
+                    own = bytes(part) if with_data else None
+                    out.append((*record, chunk, done == size, own, digest, done, whole, size))
+                    held += len(part) if with_data else 100
+                    if held >= 4 * CHUNK_BYTES:
+                        yield rows()
+                        out, held = [], 0
+            if out:
+                yield rows()
+
+    columns = [
+        F.col(id_column).alias("record_id"),
+        F.col(url_column).cast("string").alias("url"),
+        F.monotonically_increasing_id().alias("row"),
+        F.col(html_column).cast("string").alias("html"),
+    ]
+    return bounded_batches(pages).select(*columns).mapInArrow(run, schema)
 
 
 def records(
@@ -48,14 +113,10 @@ def records(
 
     Of equal payloads of `min_revisit` bytes or more, the one with the largest id is the
     response that the others revisit. Rows that repeat this id are all responses. A NULL id
-    is the smallest; a NULL payload is empty.
+    is the smallest; a NULL payload is empty. Ids of any type keep it.
     """
-    rows = pages.select(
-        F.col(id_column).cast("bigint").alias("record_id"),
-        F.col(url_column).cast("string").alias("url"),
-        F.octet_length(payload(F.col(html_column))).cast("bigint").alias("bytes"),
-        F.sha1(payload(F.col(html_column)).cast("binary")).alias("digest"),
-    )
+    last = chunks(pages, id_column, url_column, html_column, with_data=False)
+    rows = stored(last.select("record_id", "url", "bytes", "digest"), "payloads")
     groups = (
         rows.where(F.col("bytes") >= min_revisit)
         .groupBy("digest", "bytes")
@@ -75,50 +136,27 @@ def records(
     )
 
 
-def chunks(
-    pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html"
-) -> DataFrame:
-    """The chunk table of the payloads: `(record_id, digest, url, bytes, row, chunk, of, data)`.
-
-    `row` tells repeated rows apart inside one job.
-    """
-    html = payload(F.col(html_column))
-    rows = pages.select(
-        F.col(id_column).cast("bigint").alias("record_id"),
-        F.col(url_column).cast("string").alias("url"),
-        html.alias("html"),
-        F.sha1(html.cast("binary")).alias("digest"),
-        F.octet_length(html).cast("bigint").alias("bytes"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    count = F.greatest(F.ceil(F.length("html") / CHUNK_CHARS), F.lit(1)).cast("int")
-    rows = rows.withColumn("of", count)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("chunk"))
-    part = F.substring("html", F.col("chunk") * CHUNK_CHARS + 1, F.lit(CHUNK_CHARS))
-    data = F.when(F.col("of") == 1, F.col("html")).otherwise(part).cast("binary")
-    return rows.select("record_id", "digest", "url", "bytes", "row", "chunk", "of", data.alias("data"))
-
-
 # --- writing --------------------------------------------------------------------------
 
 
-def _head(row: dict) -> bytes:
+def _head(record, url: str | None, digest: str, size: int, kind: str, refers_to) -> bytes:
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {row['type']}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(row['record_id']))}>",
-        f"X-Record-Key: {'' if row['record_id'] is None else row['record_id']}",
-        f"WARC-Payload-Digest: sha1:{row['digest']}",
-        f"X-Payload-Length: {row['bytes']}",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, str(record))}>",
+        f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Payload-Length: {size}",
         "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {0 if row['type'] == 'revisit' else row['bytes']}",
+        f"Content-Length: {0 if kind == 'revisit' else size}",
     ]
-    if row["url"] is not None:
-        target = "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in row["url"])
+    if url is not None:
+        target = "".join(c if c.isprintable() else "%{:02X}".format(ord(c)) for c in url)
         lines.insert(3, f"WARC-Target-URI: {target}")
-    if row["refers_to"] is not None:
+    if record is not None:
+        lines.append(f"X-Record-Key: {quote(str(record))}")
+    if refers_to is not None:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        lines.append(f"X-Refers-To-Key: {row['refers_to']}")
+        lines.append(f"X-Refers-To-Key: {quote(str(refers_to))}")
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -158,31 +196,33 @@ class _Archive:
         return self.path, self.records, self.size
 
 
+# What the writer reads, in this order.
+_WRITTEN = ["record_id", "url", "chunk", "last", "data", "payload_digest", "payload_bytes", "type", "refers_to"]
+
+
 def _written(folder: str):
     """Write sorted rows, a decision before the chunks of its records; a row per archive comes back."""
 
     def run(batches):
         attempt = uuid.uuid4().hex
         part = TaskContext.get().partitionId()
-        archive, number, done, decision = None, 0, [], {}
+        archive, number, done, kind, refers_to = None, 0, [], None, None
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                if row["chunk"] < 0:
-                    decision = {"type": row["type"], "refers_to": row["refers_to"]}
+            for record, url, chunk, last, data, digest, size, *decision in zip(*(c.to_pylist() for c in batch.columns)):
+                if chunk < 0:
+                    kind, refers_to = decision
                     continue
-                row |= decision
-                if row["chunk"] == 0:
+                if chunk == 0:
                     if archive and archive.size >= ARCHIVE_BYTES:
                         done.append(archive.close())
                         archive = None
                     if archive is None:
                         archive = _Archive(folder, f"part-{part:06d}-{attempt}-{number:04d}.warc.gz")
                         number += 1
-                    archive.begin(_head(row))
-                if row["type"] == "response":
-                    archive.append(row["data"])
-                if row["chunk"] == row["of"] - 1:
+                    archive.begin(_head(record, url, digest, size, kind, refers_to))
+                if kind == "response":
+                    archive.append(data)
+                if last:
                     archive.end()
         if archive:
             done.append(archive.close())
@@ -208,14 +248,14 @@ def write_archives(
     executors share. Payloads are shuffled once, with the decision on each record.
     """
     headers = records(pages, id_column, url_column, html_column, min_revisit)
-    decisions = headers.select("record_id", "digest", "type", "refers_to").distinct()
+    decisions = headers.select("record_id", F.col("digest").alias("payload_digest"), "type", "refers_to").distinct()
     rows = chunks(pages, id_column, url_column, html_column).unionByName(
-        decisions.withColumn("chunk", F.lit(-1)), allowMissingColumns=True
+        decisions.withColumn("chunk", F.lit(-1).cast("bigint")), allowMissingColumns=True
     )
     # NULL comes before all row numbers, so a decision is read before its chunks.
-    order = ["record_id", "digest", "row", "chunk"]
-    rows = bounded_batches(rows.repartition("record_id", "digest").sortWithinPartitions(*order))
-    return stored(rows.mapInArrow(_written(folder), "path string, records bigint, size bigint"), "manifest")
+    order = ["record_id", "payload_digest", "row", "chunk"]
+    rows = bounded_batches(rows.repartition("record_id", "payload_digest").sortWithinPartitions(*order))
+    return stored(rows.select(*_WRITTEN).mapInArrow(_written(folder), "path string, records bigint, size bigint"), "manifest")
 
 
 # --- reading --------------------------------------------------------------------------
@@ -273,13 +313,13 @@ def archive_records(stream) -> Iterator[tuple[dict, Iterator[bytes]]]:
 
 
 READ = (
-    "record_id bigint, chunk bigint, last boolean, data binary, digest string, bytes bigint, "
-    "type string, refers_to bigint, payload_digest string, payload_bytes bigint, url string"
+    "record_id string, chunk bigint, last boolean, data binary, digest string, bytes bigint, "
+    "type string, refers_to string, payload_digest string, payload_bytes bigint, url string"
 )
 
 
-def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
-    """The chunk table of the archives of a manifest.
+def read_archives(manifest: DataFrame, with_data: bool = True, kind: str = "bigint") -> DataFrame:
+    """The chunk table of the archives of a manifest; ids are of the type `kind`.
 
     `digest` and `bytes` cover the payload up to the end of the chunk; `payload_digest` and
     `payload_bytes` are those that the record states for its whole payload. A record without
@@ -301,12 +341,15 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
                 out, held = [], 0
                 with system.open_input_stream(place, compression=None) as stream:
                     for fields, parts in archive_records(stream):
-                        key, refers = fields.get("X-Record-Key", ""), fields.get("X-Refers-To-Key")
+                        key, refers = (
+                            None if name not in fields else unquote(fields[name])
+                            for name in ("X-Record-Key", "X-Refers-To-Key")
+                        )
                         state, total, chunk = hashlib.sha1(), 0, 0
                         stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
                         rest = [
                             fields["WARC-Type"],
-                            None if refers is None else int(refers),
+                            refers,
                             stated,
                             int(fields["X-Payload-Length"]),
                             fields.get("WARC-Target-URI"),
@@ -315,14 +358,14 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
                         for part in parts:
                             state.update(part)
                             total += len(part)
-                            out.append((int(key) if key else None, chunk, total == length,
+                            out.append((key, chunk, total == length,
                                         part if with_data else None, state.hexdigest(), total, *rest))
                             chunk, held = chunk + 1, held + len(part)
                             if held >= 4 * CHUNK_BYTES:
                                 yield batch_of(out)
                                 out, held = [], 0
                         if not length:
-                            out.append((int(key) if key else None, 0, True, b"" if with_data else None,
+                            out.append((key, 0, True, b"" if with_data else None,
                                         EMPTY_SHA1, 0, *rest))
                         elif state.hexdigest() != stated:
                             raise ValueError(f"record {key} does not have its stated digest")
@@ -334,10 +377,12 @@ def read_archives(manifest: DataFrame, with_data: bool = True) -> DataFrame:
 
     # A number of partitions that is asked for is not merged: an archive is a task of its own.
     paths = manifest.select("path")
-    return paths.repartition(max(1, min(paths.count(), MOST_TASKS))).mapInArrow(run, READ)
+    rows = paths.repartition(max(1, min(paths.count(), MOST_TASKS))).mapInArrow(run, READ)
+    return rows.withColumns({name: F.col(name).cast(kind) for name in ("record_id", "refers_to")})
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
     """Write the pages as archives, read them back, and give one row per record."""
+    kind = dict(pages.dtypes)[options.get("id_column", "page_id")]
     manifest = write_archives(pages, folder or new_path(spark, "archives"), **options)
-    return read_archives(manifest, with_data=False).where("last")
+    return read_archives(manifest, with_data=False, kind=kind).where("last")

@@ -51,26 +51,37 @@ def test_cuts_leave_added_tokens_with_spaces_whole():
     assert sum(len(added.findall(p)) for p in parts) == len(added.findall(text))
 
 
-@pytest.mark.parametrize("cut", [True, False])
-def test_fill_places_everything_within_capacity(cut):
+def test_fill_places_everything_within_capacity():
     rng = random.Random(4)
-    for n in (1, 2, 7, 60, 400):
-        sizes = [rng.randint(1, 1023) for _ in range(n)]
-        windows = packing.fill(sizes, cut=cut)
-        assert all(0 < sum(length for _, _, length in w) <= 1024 for w in windows)
-        pieces = defaultdict(list)
-        for w in windows:
-            for i, start, length in w:
-                pieces[i].append((start, length))
-        for i, size in enumerate(sizes):
-            at = 0
-            for start, length in sorted(pieces[i]):
-                assert start == at
-                at += length
-            assert at == size
-        assert cut or all(len(p) == 1 for p in pieces.values())
-        if cut:
-            assert len(windows) == -(-sum(sizes) // 1024)
+    for n in (1, 2, 7, 60, 400, 3000):
+        sizes = [rng.choice([rng.randint(1, 256), rng.randint(1, 9)]) for _ in range(n)]
+        windows = packing.fill(sizes)
+        assert all(0 < sum(sizes[i] for i in w) <= 1024 for w in windows)
+        assert sorted(i for w in windows for i in w) == list(range(n))
+        assert len(windows) <= max(1.03 * sum(sizes) / 1024, sum(sizes) / 1024 + 2)
+
+
+def test_the_window_count_rises_until_all_fit():
+    # Two such pieces share no window.
+    assert sorted(map(len, packing.fill([600] * 70))) == [1] * 70
+    assert len(packing.fill([1024] * 5 + [1])) == 6
+    assert packing.fill([]) == [] and packing.fill([7]) == [[0]]
+    with pytest.raises(ValueError):
+        packing.fill([1025])
+
+
+def test_a_block_of_tiny_pieces_is_small():
+    import time
+    import tracemalloc
+
+    sizes = [1] * (packing.WINDOW * packing.BLOCK_WINDOWS)
+    start = time.process_time()
+    tracemalloc.start()
+    windows = packing.fill(sizes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(windows) == packing.BLOCK_WINDOWS and {len(w) for w in windows} == {packing.WINDOW}
+    assert peak < 150 << 20 and time.process_time() - start < 40
 
 
 def test_differencing_is_near_equal():
@@ -156,3 +167,20 @@ def test_archives_are_plain_gzip_members(spark, pages, tmp_path):
 def test_no_pages(spark, pages, tmp_path):
     _, df = pages
     assert warc.round_trip(spark, df.limit(0), f"file://{tmp_path}/archives").count() == 0
+
+
+def test_chunks_are_cut_in_one_pass(spark):
+    import time
+
+    payload = "añb" * (5 << 20)
+    df = spark.range(1).selectExpr("'u/1 é\\n' AS page_id", "CAST(NULL AS STRING) AS url", f"repeat('añb', {5 << 20}) AS html")
+    start = time.time()
+    rows = warc.chunks(df).select("chunk", "last", "digest", "bytes", "payload_digest", "payload_bytes").collect()
+    assert time.time() - start < 30
+    data = payload.encode()
+    assert len(rows) == 20 and [r.chunk for r in rows if r.last] == [19]
+    for r in rows[:3] + rows[-1:]:
+        assert r.digest == hashlib.sha1(data[: r.bytes]).hexdigest()
+    assert {(r.payload_digest, r.payload_bytes) for r in rows} == {(hashlib.sha1(data).hexdigest(), len(data))}
+    (out,) = warc.round_trip(spark, df.withColumn("html", df.html.substr(1, 5000))).collect()
+    assert out.record_id == "u/1 é\n" and out.refers_to is None and out.payload_bytes == len(payload[:5000].encode())
