@@ -2,11 +2,16 @@
 
 A page is a sequence of words and tags. A word has a positive score, a tag a negative one;
 their sizes come from labelled pages, those whose markup says where the article is. A word
-counts by the block it stands in and by whether it is in a link, a tag by its name. One scan
-finds the run with the largest sum, and the text of this run is returned.
+counts by the block it stands in and by whether it is in a link, a tag by its name, and both by
+their side of the article, if the page marks one. One scan finds the run with the largest sum, and
+the text of this run is returned. A gap in an article, such as a table of links, has positive words
+on labelled pages, so the run goes on behind it.
 
 Elements that never hold main text (menus, sidebars, forms, scripts and the like, by tag name,
-role, or a word of their class or id) have no words and score as tags alone.
+role, or a whole name of their class or id) have no words and score as tags alone. A class name
+counts if it is one of the marks, or marks with words of place (`sidebar-left`), so `no-sidebar` or
+`comment-policy` mark nothing. No class name drops the first article of a page or what is around it,
+and inside an article none drops a paragraph, heading, quote or list item.
 """
 
 import re
@@ -30,7 +35,8 @@ _TAG = re.compile(
 )
 _MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-_PART = re.compile(r"[a-z]+")
+_PART = re.compile(r"[a-z0-9]+")
+_LABEL = re.compile(r"<(?:article|main)(?=[\s/>])", re.I)
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +55,17 @@ MARKS = frozenset(
     "newsletter notice notices pagination popup promo promotion related search share sharing sidebar "
     "signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# Words that say where such an element is or what it is built of.
+PLACES = frozenset(
+    "site page main left right top bottom upper lower area box block wrapper wrap container list item items slot unit "
+    "section primary secondary global inner outer row col column bar header panel group links".split()
+)
+# What a page's header is called outside of an article.
+HEADERS = frozenset("header masthead topbar".split())
+# Elements of running text, which no class name drops inside an article.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
+# Marks of articles that are comments or teasers, if they follow the first one.
+LATER = frozenset("comment comments reply related teaser promo sponsored ad".split())
 KNOWN = frozenset(
     "article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th tbody thead "
     "blockquote pre figure figcaption header address body html a b i em strong span br hr img".split()
@@ -59,13 +76,20 @@ PRIOR = 2.0
 Token = tuple[str, int, str, int]  # feature, words, text, block
 
 
-def _marked(attributes: str) -> bool:
+def _names(attributes: str) -> Iterator[list[str]]:
+    """The words of every class name, id and role."""
+    for value in _MARK.findall(attributes):
+        for name in value.strip("\"'").lower().split():
+            yield _PART.findall(name)
+
+
+def _marked(attributes: str, marks: frozenset = MARKS) -> bool:
     if not attributes:
         return False
-    for value in _MARK.findall(attributes):
-        if any(part in MARKS for part in _PART.findall(value.lower())):
+    for words in _names(attributes):
+        if any(word in marks for word in words) and all(word in marks or word in PLACES or word.isdigit() for word in words):
             return True
-    return bool(_HIDDEN.search(attributes))
+    return marks is MARKS and bool(_HIDDEN.search(attributes))
 
 
 def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool]]:
@@ -80,7 +104,25 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
     blocks = ["body"]
     opened: Counter = Counter()  # names in `blocks` and in `skipped`
     skipped: list[str] = []  # open elements below and with the one that has no main text
-    links = articles = 0
+    wraps = False  # whether it was chosen by a class name, and may be wrapped around the article
+    links = articles = seen = 0
+    labelled = bool(_LABEL.search(html))
+
+    def side() -> str:
+        return "" if not labelled else " in" if articles else " out"
+
+    def dropped(name: str, attributes: str) -> bool:
+        """Whether an element never holds main text."""
+        if name in NEVER:
+            return True
+        if name in ("body", "html"):
+            return False
+        if name in ("article", "main"):
+            return seen > 0 and _marked(attributes, LATER)
+        if not articles and (name == "header" and len(blocks) == 1 or _marked(attributes, HEADERS)):
+            return True
+        return not (articles and name in TEXT) and _marked(attributes)
+
     while at < len(html):
         m = _TAG.search(html, at, end) if at < end else None
         stop = m.start() if m else len(html)
@@ -88,7 +130,7 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
             stop = comment
         if stop > at and not skipped:
             text = html[at:stop]
-            yield f"word {'link' if links else blocks[-1]}", text, articles > 0
+            yield f"word {'link' if links else blocks[-1]}{side()}", text, articles > 0
         if not m:
             return
         at = m.end()
@@ -96,6 +138,11 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
         if not name:
             continue
         closing, name, attributes = bool(m[1] or m[4]), name.lower(), m[3] or m[6] or ""
+        if skipped and wraps and not closing and name in ("article", "main") and not seen:
+            # What seemed to be a part beside the article is around it.
+            skipped.clear()
+            for key in [key for key in opened if isinstance(key, tuple)]:
+                del opened[key]
         if skipped:
             if closing:
                 if opened["-", name]:
@@ -110,20 +157,22 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
                     skipped.append(name)
                     opened["-", name] += 1
             continue
-        if name in ("article", "main"):
-            articles = max(0, articles - 1) if closing else articles + 1
-        feature = f"tag {name if name in KNOWN else 'other'}"
         if not closing and everything and name in RAW:
             at = _raw_end(html, name, at)
             continue
-        if not closing and not everything and (name in NEVER or name not in ("body", "html", "article", "main") and _marked(attributes)):
+        if not closing and not everything and dropped(name, attributes):
             if name in RAW:
                 at = _raw_end(html, name, at)
             elif name not in VOID and not attributes.endswith("/"):
                 skipped.append(name)
                 opened["-", name] += 1
+                wraps = name not in NEVER
             yield "tag none", "", articles > 0
             continue
+        if name in ("article", "main"):
+            articles = max(0, articles - 1) if closing else articles + 1
+            seen += not closing
+        feature = f"tag {name if name in KNOWN else 'other'}{side()}"
         if name == "a":
             links = 0 if closing else 1
         elif name not in INLINE and name not in VOID:
@@ -133,7 +182,7 @@ def tokens(html: str, everything: bool = False) -> Iterator[tuple[str, str, bool
                     opened[last := blocks.pop()] -= 1
                     if last == block:
                         break
-            else:
+            elif name not in ("html", "body"):
                 if blocks[-1] == "p":
                     opened[blocks.pop()] -= 1
                 blocks.append(block)
@@ -151,10 +200,10 @@ def counted(html: str) -> Counter:
     """Words and tags of a labelled page by `(feature, inside the article)`."""
     out: Counter = Counter()
     for feature, text, inside in tokens(html, everything=True):
-        if feature.startswith("word"):
-            out[feature, inside] += len(text.split())
-        else:
-            out[feature, inside] += 1
+        count = len(text.split()) if feature.startswith("word") else 1
+        out[feature, inside] += count
+        # Pages that mark no article have features without a side.
+        out[feature.removesuffix(" in").removesuffix(" out"), inside] += count
     return out
 
 
@@ -209,12 +258,14 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     best = total = 0.0
     span, start = (0, 0), 0
     parts: list[str] = []
+    default = {" in": 1.0, " out": -0.5}
     for feature, text, _ in tokens(html):
         if total <= 0:
             total, start = 0.0, len(parts)
         if feature.startswith("word"):
             words = len(text.split())
-            total += words * weights.get(feature, 1.0)
+            unknown = default.get(feature[feature.rfind(" ") :], 1.0)
+            total += words * weights.get(feature, unknown)
             parts.append(text)
         else:
             words = 0

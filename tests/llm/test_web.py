@@ -27,6 +27,38 @@ def test_main_text(weights):
     assert html_text.main_text("plain words", weights) == "plain words"
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "post with-sidebar", "content-area share-enabled", "entry comment-policy", "related-work", "Sidebar left"])
+def test_class_names_around_the_article(weights, name):
+    page = f'<div class="{name}"><p>before</p><article><h1>A</h1><p>{LONG}</p></article></div>'
+    assert html_text.main_text(page, weights) == f"A {LONG}"
+    # Beside the article, whole names mark a part that is none of it.
+    beside = f'<article><p>{LONG}</p></article><div class="{name}"><article><p>{LONG}</p></article></div>'
+    kept = name != "Sidebar left"
+    assert html_text.main_text(beside, weights) == (f"{LONG} {LONG}" if kept else LONG)
+
+
+def test_marks_inside_an_article(weights):
+    page = f'''<article><h1 class="ad">A</h1><section id="related-work"><p class="notice">old work</p></section>
+<div class="share">share it</div><div class="ad-box">buy</div><p>{LONG}</p><div class="cookie-notice">cookies</div></article>
+<section id="comments"><article class="comment"><p>{LONG}</p></article></section><article class="related"><p>next</p></article>'''
+    assert html_text.main_text(page, weights) == f"A old work {LONG}"
+
+
+def test_page_headers_are_left_out_and_article_headers_are_not(weights):
+    page = f"<body><header><h1>Site name here</h1></header>{{}}<header><h2>Title</h2></header><p>{LONG}</p>{{}}</body>"
+    for before, after in (("<article>", "</article>"), ("<div class=post>", "</div>"), ("<main>", "</main>")):
+        assert html_text.main_text(page.format(before, after), weights) == f"Title {LONG}"
+    for name in ("site-header", "page header", "masthead"):
+        page = f'<div class="{name}"><p>Site name here</p></div><div><p>{LONG}</p></div>'
+        assert html_text.main_text(page, weights) == LONG
+
+
+def test_an_article_goes_on_behind_a_table_of_links(weights):
+    cells = "".join(f"<tr><td><a href=/{i}>cell{i}</a></td></tr>" for i in range(40))
+    page = f"<nav><a href=/>home</a></nav><article><p>{LONG}</p><table>{cells}</table><p>{LONG}</p></article>"
+    assert html_text.main_text(page, weights) == f"{LONG} {' '.join(f'cell{i}' for i in range(40))} {LONG}"
+
+
 def test_best_region_without_article(weights):
     page = "<div><a href=x>link</a></div>" * 8 + "<p>" + "real words here " * 30 + "</p>" + "<div><a>more</a></div>" * 8
     assert html_text.main_text(page, weights) == ("real words here " * 30).strip()
