@@ -1,14 +1,19 @@
 """License scans by conditional compression.
 
-A block of text that may be a license is compressed alone and with every license template as a
-raw dictionary. The template that saves most is the likeliest one; it is confirmed by the
-exact differences in wording: every word of the template has to be in the block, in order, but
-for the few that the template leaves open, and numbers have to agree.
+Words that speak of licenses make regions, with what is around them. Where a region shares neighbouring words with a
+license template, at about one offset, the words there are a candidate block. It is compressed alone and
+with every such template as a raw dictionary; the template that saves most is the likeliest one. Each is
+confirmed by the exact differences in wording: every word of the template has to be in the block, in order,
+but for the few that the template leaves open, and numbers have to agree.
+
+A region may be as long as a text: its words are gone over once, and a block is no longer than its
+template with what may be added to it.
 """
 
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +72,61 @@ TEMPLATES: list[tuple[str, str]] = [
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     ),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+        'associated documentation files (the "Software"), to deal in the Software without restriction, '
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be "
+        'included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT '
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSD",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE "
+        'COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED '
+        "TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO "
+        "EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+        "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+        "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY "
+        "WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE '
+        "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR "
+        "ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, "
+        "DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be "
+        "held liable for any damages arising from the use of this software. Permission is granted to anyone to use "
+        "this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; "
+        "you must not claim that you wrote the original software. If you use this software in a product, an "
+        "acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source "
+        "versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -76,22 +136,14 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 CUE = re.compile(
-    r"licen[cs]|copyright|all rights reserved|permission (?:is hereby|to use)|redistribut|warrant|public domain|"
-    r"creative commons|\bCC[ -](?:BY|0)|\bCC0\b",
+    r"licen[cs]|copyright|all\W+rights\W+reserved|permission\W+(?:is\W+hereby|to\W+use)|redistribut|warrant|"
+    r"public\W+domain|creative\W+commons|\bCC[ -](?:BY|0)|\bCC0\b",
     re.I,
 )
 # One of these is in every cue; looking for them first passes most texts quickly.
-CUE_PARTS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "warrant", "public domain",
-             "creative commons", "cc0", "cc by", "cc-by", "cc 0", "cc-0")
-# A full stop before a number, as in "v. 2.0", ends no sentence.
-_SENTENCE = re.compile(r"[^.!?\n]+(?:(?:[.!?](?!\s|\Z)|\.(?=[ \t]\d))[^.!?\n]*)*[.!?]*")
+CUE_PARTS = ("licen", "copyright", "reserved", "permission", "redistribut", "warrant", "domain", "commons",
+             "cc0", "cc by", "cc-by", "cc 0", "cc-0")
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
-# Cue sentences so close to each other make one block; longer blocks are cut at a sentence.
-GAP, BLOCK_CHARS = 300, 6000
-# A template is compared word by word if it saves so much of the block's compressed size.
-MIN_REDUCTION = 0.25
-# Templates compared, from the largest saving on.
-TRIED = 4
 # Part of a template's words that may be missing.
 MAX_MISSING = 0.05
 
@@ -100,8 +152,14 @@ def words_of(text: str) -> list[str]:
     return [m.lower() for m in _WORD.findall(text)]
 
 
+def _allowed(template: list[str]) -> tuple[int, int]:
+    """How many words of a template may be missing, and how many may be added between its words."""
+    size = len(template)
+    return int(MAX_MISSING * size), min(max(2, size // 4), max(size - 2, 0))
+
+
 class Templates:
-    """The compressors of all templates, built once per task."""
+    """The compressors and the pairs of words of all templates, built once per task."""
 
     def __init__(self, templates: list[tuple[str, str]] = TEMPLATES):
         import zstandard
@@ -118,68 +176,115 @@ class Templates:
             )
             for _, text, _ in self.templates
         ]
-        self._remembered = lru_cache(maxsize=50_000)(self._found)
-
-    def found(self, block: str) -> tuple[tuple[str, float, int, int], ...]:
-        """Confirmed `(license, reduction, missing, added)` of a block; short ones are remembered."""
-        return self._remembered(block) if len(block) <= 400 else self._found(block)
-
-    def reductions(self, block: str) -> list[tuple[float, int]]:
-        """Saved part of the compressed size by template, the largest first."""
-        data = block.encode()
-        alone = len(self.alone.compress(data))
-        sizes = [(1 - len(c.compress(data)) / alone, i) for i, c in enumerate(self.given)]
-        # Ties go to the longer template, which says more.
-        return sorted(sizes, key=lambda s: (-round(s[0], 3), -len(self.templates[s[1]][2]), s[1]))
-
-    def _differences(self, words: list[str], template: list[str]) -> tuple[int, int] | None:
-        """Words `(missing, added)` against a template, or None if a number or too much differs."""
+        # Where each pair of neighbouring words stands in the templates.
+        self.pairs: dict[tuple[str, str], list[tuple[int, int]]] = defaultdict(list)
+        for i, (_, _, words) in enumerate(self.templates):
+            for at, pair in enumerate(zip(words, words[1:])):
+                self.pairs[pair].append((i, at))
+
+    def candidates(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
+        """`(template, first word, end word)` of the blocks that share enough pairs with a template."""
+        met: dict[int, list[int]] = defaultdict(list)
+        for at, pair in enumerate(zip(words, words[1:])):
+            for i, place in self.pairs.get(pair, ()):
+                met[i].append(at - place)
+        for i, starts in met.items():
+            template = self.templates[i][2]
+            missing, added = _allowed(template)
+            # Every word that is missing or added parts some neighbours; the others are here.
+            least = max(1, len(template) - 1 - added - 2 * missing)
+            starts.sort()
+            low, beyond = 0, -len(words)
+            for high, start in enumerate(starts):
+                while start - starts[low] > missing + added:
+                    low += 1
+                if high - low + 1 >= least and starts[high] > beyond:
+                    # The block may begin anywhere around here.
+                    first, last = max(0, starts[low] - added), min(len(words) - 1, start + missing + added)
+                    beyond = start + missing
+                    yield i, first, min(len(words), last + len(template) + added)
+
+    def reduction(self, block: bytes, i: int) -> float:
+        """The part of the block's compressed size that a template saves."""
+        return 1 - len(self.given[i].compress(block)) / len(self.alone.compress(block))
+
+    def differences(self, words: list[str], template: list[str]) -> tuple[int, int, int] | None:
+        """Words `(missing, added, end)` against a template that begins here, or None if a number or too much differs."""
         matcher = SequenceMatcher(None, template, words, autojunk=False)
         blocks = [b for b in matcher.get_matching_blocks() if b.size]
         if not blocks:
             return None
         kept = {i for b in blocks for i in range(b.a, b.a + b.size)}
-        missing = [w for i, w in enumerate(template) if i not in kept]
-        if len(missing) > MAX_MISSING * len(template) or any(c.isdigit() for w in missing for c in w):
+        gone = [w for i, w in enumerate(template) if i not in kept]
+        missing, most = _allowed(template)
+        if len(gone) > missing or any(c.isdigit() for w in gone for c in w):
             return None
-        span = blocks[-1].b + blocks[-1].size - blocks[0].b
-        added = span - len(kept)
-        return (len(missing), added) if added <= max(2, len(template) // 4) else None
-
-    def _found(self, block: str) -> tuple[tuple[str, float, int, int], ...]:
-        words, out = words_of(block), {}
-        ranked = self.reductions(block)
-        # A block of several notices is saved less by each; all with any saving are compared.
-        tried = ranked[:TRIED] if len(words) < 60 else [r for r in ranked if r[0] > 0.02]
-        for reduction, i in tried:
+        end = blocks[-1].b + blocks[-1].size
+        added = end - blocks[0].b - len(kept)
+        return (len(gone), added, end) if added <= most else None
+
+    def best(self, words: list[str], template: list[str]) -> tuple[int, int, int, int] | None:
+        """The fewest differences `(missing, added, first, end)` of a template that begins at one of the words."""
+        missing, added = _allowed(template)
+        heads, out = set(template[: missing + 1]), None
+        for first, word in enumerate(words):
+            if word in heads:
+                found = self.differences(words[first : first + len(template) + added], template)
+                if found and (out is None or found[:2] < out[:2]):
+                    out = (*found[:2], first, first + found[2])
+        return out
+
+    def found(self, region: str) -> list[tuple[str, float, int, int, int, int]]:
+        """Confirmed `(license, reduction, missing, added, start, end)` of a region of a text."""
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(region)]
+        words = [region[a:b].lower() for a, b in spans]
+        ranked = []
+        for i, low, high in self.candidates(words):
+            block = region[spans[low][0] : spans[high - 1][1]].encode()
+            ranked.append((self.reduction(block, i), i, low, high))
+        out = []
+        # The likeliest first; ties go to the longer template, which says more.
+        for reduction, i, low, high in sorted(ranked, key=lambda r: (-round(r[0], 3), -len(self.templates[r[1]][2]), r[1:])):
             name, _, template = self.templates[i]
-            if reduction < MIN_REDUCTION and len(words) < 60:
-                continue
-            found = self._differences(words, template)
-            if found and (name not in out or found[0] < out[name][2]):
-                out[name] = (name, round(reduction, 4), *found)
-        return tuple(out[name] for name in sorted(out))
+            found = self.best(words[low:high], template)
+            if found:
+                missing, added, first, end = found
+                start, stop = spans[low + first][0], spans[low + end - 1][1]
+                out.append((name, round(reduction, 4), missing, added, start, stop))
+        return out
+
+
+def _longest_gap(templates: list[tuple[str, str]]) -> int:
+    """The most characters of a template without a cue, and half as many for what may be added."""
+    gaps = [0]
+    for _, text in templates:
+        places = [0, *(at for m in CUE.finditer(text) for at in m.span()), len(text)]
+        gaps += [b - a for a, b in zip(places[::2], places[1::2])]
+    return max(gaps) * 3 // 2
+
+
+# Characters around a cue that its region has too; parts of a notice have no cue.
+AROUND = _longest_gap(TEMPLATES)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks: sentences with a cue, and runs of them."""
+def regions(text: str) -> list[tuple[int, int]]:
+    """Cues and what is around them, in parts that do not overlap."""
     folded = text.lower()
     if not any(part in folded for part in CUE_PARTS):
         return []
-    spans = []
-    for m in _SENTENCE.finditer(text):
-        if CUE.search(m[0]):
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            spans.append((start, m.end()))
     out: list[tuple[int, int]] = []
-    for start, end in spans:
-        if out and start - out[-1][1] <= GAP and end - out[-1][0] <= BLOCK_CHARS:
-            out[-1] = (out[-1][0], end)
+    for m in CUE.finditer(text):
+        start, end = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
+        # Words of usual length are not cut.
+        while 0 < start and not text[start - 1].isspace() and start > m.start() - AROUND - 50:
+            start -= 1
+        while end < len(text) and not text[end].isspace() and end < m.end() + AROUND + 50:
+            end += 1
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
             out.append((start, end))
-    joined = set(out)
-    # A sentence is a candidate of its own too: a short notice is lost inside a long run.
-    return sorted(joined | {(a, b) for a, b in spans})
+    return out
 
 
 SCHEMA = "id {kind}, license string, start bigint, end bigint, reduction double, missing int, added int, block string"
@@ -188,10 +293,10 @@ SCHEMA = "id {kind}, license string, start bigint, end bigint, reduction double,
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document and confirmed license.
 
-    `start` and `end` bound the block in code points, `missing` and `added` count the words
-    that differ from the template. Of several blocks with one license the one with the fewest
-    differences is given, then the first. NULL and empty texts have none; rows are scanned one
-    by one.
+    `start` and `end` bound the words of the template in code points, `missing` and `added` count the words
+    that differ from it. Of several blocks with one license the one with the fewest differences is
+    given, then the first. NULL and empty texts have none; rows are scanned one by one, repeated ones
+    too, and other columns are not read.
     """
     kind = dict(docs.dtypes)[id_column]
     names = [field.split()[0] for field in SCHEMA.split(", ")]
@@ -203,14 +308,14 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             out = []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text, best = value.as_py() or "", {}
-                for start, end in blocks(text):
-                    for name, reduction, missing, added in templates.found(text[start:end]):
-                        row = (missing + added, start, end, reduction, missing, added)
+                for begin, stop in regions(text):
+                    for name, reduction, missing, added, start, end in templates.found(text[begin:stop]):
+                        row = (missing + added, begin + start, begin + end, -reduction, missing, added)
                         if name not in best or row < best[name]:
                             best[name] = row
                 for name in sorted(best):
                     _, start, end, reduction, missing, added = best[name]
-                    out.append((key, name, start, end, reduction, missing, added, text[start:end]))
+                    out.append((key, name, start, end, -reduction, missing, added, text[start:end]))
             columns = list(zip(*out)) if out else [[] for _ in names]
             arrays = [pa.array(columns[0], batch.schema.field(0).type)]
             arrays += [pa.array(c, t) for c, t in zip(columns[1:], types)]

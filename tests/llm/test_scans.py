@@ -87,17 +87,57 @@ def test_keys_behind_breaks_escapes_and_encodings():
 # --- licenses -------------------------------------------------------------------------
 
 
+def licenses_of(text, templates):
+    return {r[0] for a, b in license_scan.regions(text) for r in templates.found(text[a:b])}
+
+
+def brute_licenses(text, templates):
+    """Every template against the words from every word of the text on, without regions and pairs."""
+    words = license_scan.words_of(text)
+    return {name for name, _, template in templates.templates if templates.best(words, template)}
+
+
 def test_every_template_finds_itself_and_its_neighbours_do_not():
     templates = license_scan.Templates()
     for name, text, _ in templates.templates:
-        for place in (text, f"Some words before.\n{text}\nAnd after."):
-            got = {r[0] for a, b in license_scan.blocks(place) for r in templates.found(place[a:b])}
-            assert name in got, (name, got)
-    assert templates.found("Licensed under the Apache License, Version 3.0.") == ()
+        for place in (text, f"Some words before.\n{text}\nAnd after.", re.sub(r"((?:\S+ ){5})", r"\1\n * ", text)):
+            assert name in licenses_of(place, templates), name
+    assert licenses_of("Licensed under the Apache License, Version 3.0.", templates) == set()
+
+
+def test_licenses_equal_brute_force():
+    """Notices with dropped, added and exchanged words, between other sentences."""
+    templates, rng = license_scan.Templates(), random.Random(6)
+    others = ["Copyright (c) 2019 Some Body.", "The plate was red.", "No licence is needed for a dog.", "Version 3.0 came in 2011.",
+              "All rights are reserved.", "Permission was granted to the public.", "This is free software."]
+    found = 0
+    for _ in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(templates.templates)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice([[], ["the"], [words[at]], ["license"]])
+            parts += [rng.choice(others) for _ in range(rng.randrange(4))] + [" ".join(words)]
+        text = "\n".join(parts)
+        got, expected = licenses_of(text, templates), brute_licenses(text, templates)
+        assert got == expected, (text, got, expected)
+        found += len(got)
+    assert found > 100
+
+
+def test_a_license_behind_any_number_of_lines_is_found():
+    templates = license_scan.Templates()
+    for name in ("MIT", "BSD", "ISC", "Zlib"):
+        text = max((t for n, t, _ in templates.templates if n == name), key=len)
+        for lines in [*range(0, 200, 23), *range(100, 140)] if name == "MIT" else [0, 117, 400]:
+            head = "".join(f"Copyright (c) {1900 + i} Holder Number {i}. All rights reserved.\n" for i in range(lines))
+            wrapped = re.sub(r"(.{60,75}) ", r"\1\n", text)
+            assert name in licenses_of(f"{head}{wrapped}\n{head}", templates), (name, lines)
 
 
 def test_license_rows(documents):
-    mit = license_scan.TEMPLATES[3][1]
+    mit = license_scan.TEMPLATES[3][1].rstrip(".")
     texts = [None, "", "no word of it", f"Intro here.\nCopyright (c) 2020 A. Author\n\n{mit}\nmore",
              "é first. All rights reserved. last", "The license plate was stolen.",
              "Released under the MIT License.\nAll rights reserved."]
@@ -116,6 +156,6 @@ def test_long_runs_take_linear_time():
         secret_scan.spans(text)
     for text in ("copyright " * 50_000, "All rights reserved. " * 5_000, "license\n" * 5_000):
         templates = license_scan.Templates()
-        for a, b in license_scan.blocks(text):
+        for a, b in license_scan.regions(text):
             templates.found(text[a:b])
     assert time.process_time() - start < 120
