@@ -76,9 +76,14 @@ def _chunk(id: Column, type: Column | str, content: Column, meta: Column, raw: b
 
 
 def _continued(id: Column) -> Column:
-    """Chunk id with a part suffix from the second part of a long group on."""
+    """Chunk id with a part suffix from the second part of a long group on.
+
+    Where a group is split, a name that ends like such a suffix has one from its first part on, so
+    it cannot meet the part of another group.
+    """
     suffix = F.concat(F.lit("_part_"), F.col("block").cast("string"))
-    return F.concat(id, F.when(F.col("block") > 1, suffix).otherwise(""))
+    alike = F.col("split") & id.rlike(r"_part_\d+$")
+    return F.concat(id, F.when((F.col("block") > 1) | alike, suffix).otherwise(""))
 
 
 def _figures(records: DataFrame, by: str, spec: RecordSpec) -> dict[str, Column]:
@@ -105,7 +110,7 @@ def _with_figures(
     groups = F.array_distinct(_names(spec.row_id, spec.group)).alias("groups")
     if largest_group(df, [by]) <= max_records:
         rows = df.repartition(by).groupBy(by).agg(*texts, *figures, groups)
-        return rows.select("*", F.lit(1).alias("block"), F.lit(1).alias("parts"))
+        return rows.select("*", F.lit(1).alias("block"), F.lit(1).alias("parts"), F.lit(False).alias("split"))
     parts = blocks_in_order(df, order, max_records, [by], rows_per_task).groupBy(by, "block").agg(*texts)
     # The groups of a record set are few; their first places give their order.
     first = df.filter(F.col(spec.group).isNotNull()).groupBy(by, spec.group).agg(
@@ -114,7 +119,8 @@ def _with_figures(
     seen = first.groupBy(by).agg(_in_order("_first", F.col(spec.group)).alias("groups"))
     whole = df.groupBy(by).agg(*figures).join(seen, by, "left")
     whole = whole.withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
-    return parts.join(whole, by).withColumn("parts", F.ceil(F.col("rows") / max_records))
+    count = F.ceil(F.col("rows") / max_records)
+    return parts.join(whole, by).withColumns({"parts": count, "split": F.lit(True)})
 
 
 def chunk_by_row(

@@ -13,15 +13,32 @@ from locusframe.storage import broadcast_small, number_written_rows, write_table
 # A window sorts each of its groups in one task; up to this many rows that is cheap.
 ROWS_PER_TASK = 1_000_000
 
+# A group of more rows than this and of more than a quarter of the table would leave most tasks
+# waiting for its own.
+HOT_ROWS, HOT_SHARE = 100_000, 1 / 4
+
 # The largest n that orderBy().limit() keeps in the memory of every task.
 TOP_ROWS_IN_MEMORY = 100_000
 
 
 def largest_group(df: DataFrame, by: Sequence[str] = ()) -> int:
     """Row count of the biggest `by` group (of the table without `by`)."""
+    return _group_rows(df, by)[0]
+
+
+def _group_rows(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Rows of the biggest group and of the table."""
     if not by:
-        return df.count()
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+        rows = df.count()
+        return rows, rows
+    most, rows = df.groupBy(*by).count().agg(F.max("count"), F.sum("count")).first()
+    return most or 0, rows or 0
+
+
+def _fits_a_window(df: DataFrame, by: Sequence[str], rows_per_task: int, hot_rows: int) -> bool:
+    """Whether no group is too big for one task, or so big that the others would wait for it."""
+    most, rows = _group_rows(df, by)
+    return most <= rows_per_task and (not by or most <= hot_rows or most <= rows * HOT_SHARE)
 
 
 def position_in_order(
@@ -30,15 +47,16 @@ def position_in_order(
     by: Sequence[str] = (),
     name: str = "position",
     rows_per_task: int = ROWS_PER_TASK,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add the 0-based position of each row in `order`, counted within `by` groups.
 
-    `order` must be total (end it in the row id). While every group fits one task this
-    is a window. Otherwise the table is sorted over the whole cluster, where the range
+    `order` must be total (end it in the row id). While every group fits one task, and none of
+    more than `hot_rows` rows is a quarter of the table, this is a window. Otherwise the table is sorted over the whole cluster, where the range
     boundaries cut through a hot group or a frequent value, written once, and numbered
     from the row counts of the written files.
     """
-    if largest_group(df, by) <= rows_per_task:
+    if _fits_a_window(df, by, rows_per_task, hot_rows):
         return _placed_by_window(df, order, by, name)
     return _placed_by_sort(df, order, by, name)
 
@@ -67,6 +85,7 @@ def blocks_in_order(
     size: int | Column,
     by: Sequence[str] = (),
     rows_per_task: int = ROWS_PER_TASK,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add `position` and the 1-based `block` of `size` rows, within `by` groups.
 
@@ -74,7 +93,7 @@ def blocks_in_order(
     further shuffle when they are collected per group and block.
     """
     block = block_number(F.col("position"), size)
-    if largest_group(df, by) <= rows_per_task:
+    if _fits_a_window(df, by, rows_per_task, hot_rows):
         return _placed_by_window(df, order, by, "position").withColumn("block", block)
     placed = _placed_by_sort(df, order, by, "position").withColumn("block", block)
     return placed.repartition(*by, "block")

@@ -11,8 +11,14 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a running session."""
+def configure(spark: SparkSession, folder: str | None = None) -> SparkSession:
+    """Apply the settings to a running session.
+
+    `folder` is for intermediate tables, and must be shared by all executors; it is taken where
+    the session names none in `spark.checkpoint.dir`.
+    """
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    if folder is not None and not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", folder)
     return spark

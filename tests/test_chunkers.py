@@ -126,3 +126,12 @@ def test_chunk_files_that_are_one_array(spark, make_records, tmp_path):
     x, y = read_chunks_json(spark, f"file://{tmp_path}/c.json", record, array_file=True).orderBy("id").collect()
     assert (x.metadata.qtl_lod, x.metadata.lod_range, x.raw_data[0].gene_symbol, x.raw_data[0].qtl_lod) == (None, [None, 2.0], "a", None)
     assert [(r.gene_symbol, r.qtl_lod) for r in y.raw_data] == [("a", 1.5), ("b", None)]
+
+
+def test_parts_have_ids_of_their_own(make_records):
+    """A gene may be called like the part of another one."""
+    rows = [dict(gene_symbol="X", qtl_lod=1.0)] * 25 + [dict(gene_symbol="X_part_2", qtl_lod=1.0)] * 3 + [dict(gene_symbol="Y")]
+    ids = [r.id for r in chunkers.chunk_by_gene(make_records(rows), max_records=10).collect()]
+    assert sorted(ids) == ["gene_X", "gene_X_part_2", "gene_X_part_2_part_1", "gene_X_part_3", "gene_Y"]
+    ids = [r.id for r in chunkers.chunk_by_gene(make_records(rows[24:]), max_records=10).collect()]
+    assert sorted(ids) == ["gene_X", "gene_X_part_2", "gene_Y"]

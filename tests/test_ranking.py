@@ -31,6 +31,29 @@ def test_sorted_positions_equal_the_window(spark, parts):
         assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in sorted_.collect()}
 
 
+def test_a_hot_group_spreads_over_tasks(spark):
+    """Nine tenths of the rows are in one group, which fits a task but would keep all others waiting."""
+    random.seed(9)
+    values = [("a" if i % 10 else random.choice("bcde"), random.choice([1.0, 2.0, None])) for i in range(4000)]
+    df = scored(spark, values, 4)
+    # As many tasks as there would be for more bytes.
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.openCostInBytes": "64m"}
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        for name, value in small.items():
+            spark.conf.set(name, value)
+        spread = ranking.position_in_order(df, order(), ["g"], hot_rows=1000)
+        tasks = spread.where("g = 'a'").groupBy(F.spark_partition_id().alias("t")).count().collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(tasks) > 3 and max(t["count"] for t in tasks) < 3600 / 2
+    plain = ranking.position_in_order(df, order(), ["g"])
+    assert {tuple(r) for r in plain.collect()} == {tuple(r) for r in spread.collect()}
+    blocks = [ranking.blocks_in_order(df, order(), 50, ["g"], hot_rows=n) for n in (1000, 10_000)]
+    assert {tuple(r) for r in blocks[0].collect()} == {tuple(r) for r in blocks[1].collect()}
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 @given(
     st.lists(
