@@ -8,18 +8,22 @@ literal words in them, so a window of placeholders alone tells nothing; a table
 names is found by its literal windows, and never by its layout.
 
 Windows of the benchmark and of the documents meet in one hash join. What carries an item into
-the join are its rare windows; a window of many items only confirms. A filter of bounded size
-goes to the documents first, so that the windows of other texts are never rows, and documents
-are read once, whatever the benchmark.
+the join are its rare windows, and so many of the others, from the rarest on, that what is left
+is too little for a leak: no leak is without a window that carries. The rest only confirms. A filter of
+bounded size goes to the documents first, so that the windows of other texts are never rows, and
+documents are read once, whatever the benchmark.
 
-A hit puts the item at an offset of the document. There all tokens are compared, and windows
+Where a document and an item have met, the offsets of all windows that they share are looked up
+in the two texts, frequent ones too. At an offset all tokens are compared, and windows
 count if their slots are consistent: the same value in the item always meets the same value in
 the document. Where it meets others, only the windows that need them are dropped; literally equal
 ones always stay. So a question is found again when its numbers, names or units were exchanged.
 """
 
+import bisect
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ WINDOW = 8
 SHORTEST = 4
 # Of the tokens of a window with placeholders, literal words must be three eighths.
 LITERAL_SHARE = 3 / 8
-# A window of more items than this carries none of them, unless an item has no rarer one.
+# A window of more items than this carries one of them only where the item could leak without it.
 FREQUENT = 64
 # An item leaks if so much of it is found, or a run of so many tokens.
 MIN_COVERAGE = 0.5
@@ -296,41 +300,139 @@ def unsearched_items(benchmark: DataFrame, item_column: str = "item_id", text_co
     return _items(benchmark, item_column, text_column).where(F.col("tokens") < SHORTEST).select("item", "tokens")
 
 
-def _carriers(entries: DataFrame, frequent: int) -> DataFrame:
+def carrying_limit(length: int, places: np.ndarray, entries: np.ndarray) -> int:
+    """How many entries a window may have and still carry this item, of `length` tokens.
+
+    It is the least number, from `FREQUENT` on, at which the places with a window of more entries hold too
+    little for a leak: less than the coverage, and no run.
+    """
+    size = min(WINDOW, length)
+    most = np.zeros(length - size + 1, np.int64)
+    np.maximum.at(most, places, entries)
+
+    def too_little(level: int) -> bool:
+        edges = np.zeros(length + 1, np.int64)
+        starts = np.flatnonzero(most > level)
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + size, -1)
+        held = np.flatnonzero(np.cumsum(edges))
+        return len(held) < MIN_COVERAGE * length and longest_run(set(held.tolist())) < MIN_RUN
+
+    levels = [FREQUENT, *np.unique(most[most > FREQUENT]).tolist()]
+    return levels[bisect.bisect_left(levels, True, key=too_little)]
+
+
+def _limits(counted: DataFrame) -> DataFrame:
+    """`(entry, limit)` of the entries with a window of more than `FREQUENT` entries."""
+
+    def run(batches):
+        for batch in batches:
+            names, lengths, found = (batch.column(i) for i in range(3))
+            limits = [
+                carrying_limit(length, np.array([f["place"] for f in some]), np.array([f["entries"] for f in some]))
+                for length, some in zip(lengths.to_pylist(), found.to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([names, pa.array(limits, pa.int64())], names=["entry", "limit"])
+
+    # An entry is an item, so a group holds the windows of one text.
+    of = counted.groupBy("entry").agg(
+        F.max("tokens").alias("tokens"), F.collect_list(F.struct("place", "entries")).alias("found"), F.max("entries").alias("most")
+    )
+    many = of.where(F.col("most") > FREQUENT).select("entry", "tokens", "found")
+    return bounded_batches(many).mapInArrow(run, "entry binary, limit bigint")
+
+
+def _carriers(entries: DataFrame, frequent: int | None) -> DataFrame:
     """`(window, entry, place)` of the windows that carry an entry into the join.
 
     Entries of one shape differ in values alone; the first of them stands for all in windows with
-    placeholders, so a family of questions does not make its own windows frequent.
+    placeholders and in literal ones that it shares, so a family of questions does not make its own
+    windows frequent. A first entry has no place here: all its offsets are looked up in the texts.
     """
 
     def run(batches):
         for batch in batches:
             out = []
-            for entry, values, kinds, first in zip(*(c.to_pylist() for c in batch.columns)):
+            for entry, values, kinds, lead in zip(*(c.to_pylist() for c in batch.columns)):
                 template = Template(np.frombuffer(values, np.uint64), np.frombuffer(kinds, np.int8))
-                readings = template.windows(min(WINDOW, len(template)))
-                for places, windows in readings if first else readings[2:]:
-                    out += zip(windows.view(np.int64).tolist(), [entry] * len(places), places.tolist())
+                first, size = values == lead, min(WINDOW, len(template))
+                readings = template.windows(size)
+                # A literal window is an entry's own if the first entry has another one there.
+                theirs = Template(np.frombuffer(lead, np.uint64), template.kinds).windows(size)[2][1]
+                own = [[True] * len(places) for places, _ in readings[:2]] + [(readings[2][1] != theirs).tolist()]
+                for (places, windows), mine in zip(readings if first else readings[2:], own if first else own[2:]):
+                    count = len(places)
+                    out += zip(
+                        windows.view(np.int64).tolist(), [entry] * count, places.tolist(), [len(template)] * count,
+                        [first] * count, mine,
+                    )
             if out:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.int64()))],
-                    names=["window", "entry", "place"],
+                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)],
+                    names=["window", "entry", "place", "tokens", "first", "own"],
                 )
 
-    rows = entries.select("literal", "values", "kinds", "first")
-    windows = stored(rows.mapInArrow(run, "window bigint, entry binary, place bigint"), "item-windows")
+    schema = "window bigint, entry binary, place bigint, tokens bigint, first boolean, own boolean"
+    windows = stored(entries.select("literal", "values", "kinds", "lead").mapInArrow(run, schema), "item-windows")
     counts = windows.groupBy("window", "entry").agg(F.lit(1).alias("one")).groupBy("window").agg(F.count("*").alias("entries"))
     counted = windows.join(counts, "window")
+    most = FREQUENT if frequent is None else frequent
     rarest = Window.partitionBy("entry")
     rare = F.min("entries").over(rarest)
-    carried = (F.col("entries") <= frequent) | ((rare > frequent) & (F.col("entries") == rare))
     # An entry is an item, so this window holds the windows of one text.
-    return counted.withColumn("carries", carried).where("carries").select("window", "entry", "place")
+    counted = counted.withColumn("rarest", (rare > most) & (F.col("entries") == rare))
+    carried = (F.col("entries") <= most) | F.col("rarest")
+    if frequent is not None:
+        return counted.where(carried).select("window", "entry", "place")
+    counted = stored(counted, "item-windows")
+    firsts, others = counted.where("first"), counted.where("not first").where(carried | F.col("own"))
+    limits = _limits(firsts)
+    enough = F.col("entries") <= F.coalesce("limit", F.lit(FREQUENT))
+    leading = firsts.join(limits, "entry", "left").where(enough)
+    nowhere = F.lit(None).cast("bigint").alias("place")
+    return leading.select("window", "entry", nowhere).distinct().union(others.select("window", "entry", "place"))
 
 
 # --- the operator ---------------------------------------------------------------------
 
 
+def _pieces(template: Template, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places and hashes of the windows of a text, in pieces of bounded size."""
+    for start in range(0, max(len(template) - size + 1, 0), _AT_ONCE):
+        part = slice(start, start + _AT_ONCE + size - 1)
+        for places, windows in Template(template.values[part], template.kinds[part]).windows(size):
+            yield start + places, windows
+
+
+class _Places:
+    """Where the windows of a text are; those of a long one are made anew for every item."""
+
+    def __init__(self, text: Template):
+        self.text = text
+        self.known: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def _sorted(self, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for places, windows in _pieces(self.text, size):
+            order = np.argsort(windows)
+            yield windows[order], places[order]
+
+    def offsets(self, item: Template) -> list[int]:
+        """The offsets of all windows that an item shares with the text."""
+        size = min(WINDOW, len(item))
+        pieces = self.known.get(size) or self._sorted(size)
+        if len(self.text) <= _AT_ONCE and size not in self.known:
+            pieces = self.known[size] = list(pieces)
+        mine, found = item.windows(size), set()
+        for windows, at in pieces:
+            # Readings have hashes of their own, so each meets its own kind only.
+            for places, wanted in mine:
+                low, high = np.searchsorted(windows, wanted, "left"), np.searchsorted(windows, wanted, "right")
+                for i in np.flatnonzero(high > low):
+                    found.update((at[low[i] : high[i]] - places[i]).tolist())
+        return sorted(found)
+
+
 def _scanned(docs: DataFrame, kind: str, chosen: HashFilter, sizes: list[int]) -> DataFrame:
     """Documents with a window that the filter knows: their tokens and these windows."""
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
@@ -339,12 +441,10 @@ def _scanned(docs: DataFrame, kind: str, chosen: HashFilter, sizes: list[int]) -
         held = shared.value
         hits = []
         for size in sizes:
-            for start in range(0, max(len(template) - size + 1, 0), _AT_ONCE):
-                part = slice(start, start + _AT_ONCE + size - 1)
-                for places, windows in Template(template.values[part], template.kinds[part]).windows(size):
-                    maybe = np.flatnonzero(held.may_hold(windows))
-                    found = zip(windows[maybe].view(np.int64).tolist(), (start + places[maybe]).tolist())
-                    hits += [{"window": window, "at": at} for window, at in found]
+            for places, windows in _pieces(template, size):
+                maybe = np.flatnonzero(held.may_hold(windows))
+                found = zip(windows[maybe].view(np.int64).tolist(), places[maybe].tolist())
+                hits += [{"window": window, "at": at} for window, at in found]
         if hits:
             yield *key, template.values.tobytes(), template.kinds.tobytes(), hits
 
@@ -360,7 +460,7 @@ def _found(kind: str, item_kind: str):
     names = [field.split()[0] for field in schema.split(", ")]
 
     def run(batches):
-        text = entry = now = None
+        text = places = entry = now = None
 
         def leak():
             """The row of the entry that was read, if it leaks."""
@@ -382,16 +482,17 @@ def _found(kind: str, item_kind: str):
                 tokens = Template(np.frombuffer(row[5], np.uint64), np.frombuffer(row[6], np.int8))
                 if of is None:
                     # A document comes before its entries.
-                    text = tokens
+                    text, places = tokens, _Places(tokens)
                     continue
-                kept, changed = aligned(tokens, text, offset)
-                if kept:
-                    now = now or [key, item, tokens, set(), 0, offset + min(kept), 0, 0]
-                    now[3] |= kept
-                    now[4] = max(now[4], longest_run(kept))
-                    now[5] = min(now[5], offset + min(kept))
-                    now[6] = max(now[6], offset + max(kept) + 1)
-                    now[7] += changed
+                for at in places.offsets(tokens) if offset is None else [offset]:
+                    kept, changed = aligned(tokens, text, at)
+                    if kept:
+                        now = now or [key, item, tokens, set(), 0, at + min(kept), 0, 0]
+                        now[3] |= kept
+                        now[4] = max(now[4], longest_run(kept))
+                        now[5] = min(now[5], at + min(kept))
+                        now[6] = max(now[6], at + max(kept) + 1)
+                        now[7] += changed
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
         if now:
@@ -409,7 +510,7 @@ def leaks(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text_column: str = "text",
-    frequent: int = FREQUENT,
+    frequent: int | None = None,
     most_bits: int = MOST_BITS,
 ) -> DataFrame:
     """One row per document and benchmark item that leaked into it.
@@ -419,8 +520,9 @@ def leaks(
     and `end_token` bound the place, and `changed_slots` counts numbers, names and units with
     another value than the item has. Items of equal tokens are reported as the smallest of
     their ids; of items that differ in their values alone, the smallest is reported where it is found with
-    other values, and any that a rare literal window leads to. A window that more than `frequent` such families
-    have carries none of them, unless a family has no rarer one.
+    other values, and any that a literal window leads to which is rare or has values that the smallest has not. However
+    frequent its windows are, no leak is left out. Only a caller that names `frequent` leaves some out: a window that
+    more than so many families have then carries none of them, unless a family has no rarer one.
 
     NULL and empty texts leak nothing, NULL and empty items are in nothing, and items with fewer
     than four tokens are those of `unsearched_items`. Ids may be of any type; other columns are not read.
@@ -431,9 +533,9 @@ def leaks(
         F.min("item").alias("item"), *(F.first(c).alias(c) for c in ("tokens", "values", "kinds", "shape"))
     )
     entries = stored(entries, "items")
-    families = entries.groupBy("shape").agg(F.min(F.struct("item", "literal")).alias("least"))
-    first = families.select("shape", F.col("least.literal").alias("first_literal"))
-    entries = stored(entries.join(first, "shape").withColumn("first", F.col("literal") == F.col("first_literal")), "items")
+    families = entries.groupBy("shape").agg(F.min(F.struct("item", "literal", "values")).alias("least"))
+    leads = families.select("shape", F.col("least.values").alias("lead"))
+    entries = stored(entries.join(leads, "shape"), "items")
     carriers = stored(_carriers(entries, frequent), "carriers")
     sizes = [r[0] for r in entries.select(F.least("tokens", F.lit(WINDOW))).distinct().collect()]
 

@@ -3,6 +3,7 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from locusframe.llm import decontaminate as D
@@ -283,3 +284,37 @@ def test_alignments_take_linear_time():
     for offset in range(-20, 400):
         D.aligned(item, table, offset)
     assert time.process_time() - start < 1
+
+
+def test_frequent_windows_leave_no_leak_out(spark, documents):
+    """100 items share their first 25 words: a document with these alone has leaked all of them."""
+    shared = " ".join(f"word{c}{d}" for c in "abcde" for d in "vwxyz")
+    items = [f"{shared} {' '.join(f'own{a}{chr(97 + i // 26)}{chr(97 + i % 26)}' for a in 'abcdefghijk')}" for i in range(100)]
+    found = D.leaks(documents([(1, shared), (2, f"so {items[7]}"), (3, " ".join(shared.split()[:10]))]), items_of(spark, *items)).collect()
+    assert {(r.id, r.item_id, r.run) for r in found} == {(d, i, 36 if (d, i) == (2, 8) else 25) for d in (1, 2) for i in range(1, 101)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_leaks_of_frequent_windows_equal_brute_force(spark, documents, monkeypatch, seed):
+    """With every shared window frequent, the rows are those of all windows."""
+    rng = random.Random(seed)
+    words = [a + b for a in "bdfgk" for b in ("al", "er", "in", "ot", "un", "esh")]
+    blocks = [" ".join(rng.choice(words) for _ in range(rng.randrange(9, 16))) for _ in range(4)]
+    items = [(i, " ".join(rng.choice(blocks) for _ in range(3)) + f" {rng.choice(words)} {rng.choice(words)}") for i in range(20)]
+    docs = [(i, f"{rng.choice(blocks)} {rng.choice(words)} {rng.choice(blocks)} and so {rng.choice(blocks)}") for i in range(25)]
+    docs += [(50 + i, blocks[i]) for i in range(4)]
+    expected = brute(docs, items, 1000)
+    assert brute(docs, items, 1) < expected
+    monkeypatch.setattr(D, "FREQUENT", 1)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    assert rows_of(D.leaks(documents(docs).repartition(4), benchmark)) == expected
+
+
+def test_windows_carry_until_the_rest_cannot_leak():
+    # Ten places of windows in seventeen tokens, each with its own number of entries.
+    limit = D.carrying_limit(17, np.arange(10), np.array([1, 900, 800, 700, 1, 1, 1, 1, 1, 1]))
+    # Two windows cover nine tokens, more than half; one alone does not.
+    assert limit == 800
+    assert D.carrying_limit(17, np.arange(10), np.full(10, 5)) == D.FREQUENT
+    assert D.carrying_limit(60, np.arange(53), np.array([99] * 12 + [1] * 41)) == D.FREQUENT
+    assert D.carrying_limit(60, np.arange(53), np.array([99] * 13 + [1] * 40)) == 99
