@@ -1,16 +1,16 @@
 """Registered queries that build, store and read chunk tables."""
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from locusframe.catalog import sql as S
 from locusframe.catalog.inputs import peaks
 from locusframe.catalog.registry import query
 from locusframe.operators import chunkers, stats
 from locusframe.sources import chunks as json_chunks
-from locusframe.storage import new_path
+from locusframe.storage import bounded_batches, new_path
 
 
 def flat(chunks: DataFrame, *fields: str, raw: bool = True) -> DataFrame:
@@ -306,7 +306,7 @@ def _(spark, folder):
 
 
 def _array_file(spark, folder) -> DataFrame:
-    """Row and gene chunks of one array file, the first with an object as raw data."""
+    """Row and gene chunks of array files, one of every task, the first kind with an object as raw data."""
     df = peaks(spark, folder)
     single = chunkers.chunk_by_row(df).select("id", "type", "content", "metadata", F.get("raw_data", F.lit(0)).alias("raw"))
     groups = chunkers.chunk_by_gene(df).select("id", "type", "content", "metadata", F.col("raw_data").alias("raw"))
@@ -316,13 +316,19 @@ def _array_file(spark, folder) -> DataFrame:
         text = F.to_json(given, {"ignoreNullFields": "false"})
         return chunks.select(F.regexp_replace(text, '"qtl_lod":null', '"qtl_lod":NaN').alias("value"))
 
-    lines = line(single).union(line(groups)).withColumn("n", F.monotonically_increasing_id())
-    # The file begins with "[", and every line but the first with a comma.
-    mark = F.when(F.row_number().over(Window.orderBy("n")) == 1, "[").otherwise(",")
-    body = lines.select("n", F.concat(mark, F.col("value")).alias("value"))
-    end = spark.range(1).select(F.lit((1 << 62)).alias("n"), F.lit("]").alias("value"))
+    def arrays(batches):
+        """Every task's lines as one array: a comma ahead of each but the first, brackets around all."""
+        mark = "["
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([mark + value])], names=["value"])
+                mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
     path = new_path(spark, "array")
-    body.union(end).orderBy("n").coalesce(1).select("value").write.text(path)
+    lines = line(single).union(line(groups))
+    bounded_batches(lines).mapInArrow(arrays, "value string").write.text(path)
     return json_chunks.read_chunks_json(spark, path, df.schema, array_file=True)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.storage import stored, write_table
+from locusframe.storage import bounded_batches, stored, write_table
 
 __all__ = [
     "MOST_BITS", "SPACE", "HashFilter", "bounded_batches", "count_words", "hash_filter", "identity", "line_array",
@@ -16,23 +16,12 @@ __all__ = [
 # The characters that separate words, as a Java character class.
 SPACE = r"[ \t\n\x0B\f\r]"
 
-BATCH_BYTES = 4 << 20
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """Let Arrow batches be bounded by bytes as well as by rows.
-
-    Texts may be very long, so a batch of 10,000 rows has no bounded size.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df
-
-
 def word_array(text: Column) -> Column:
     """The words of a text; none for a NULL or blank one."""
     parts = F.split(F.coalesce(text, F.lit("")), f"{SPACE}+")
