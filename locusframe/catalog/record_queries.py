@@ -72,11 +72,11 @@ def _(spark, folder):
     ),
 )
 def _(spark, folder):
-    """Cells with line breaks, in one file that several tasks read."""
+    """Cells with line breaks, in files that are cut anywhere."""
     symbol = F.concat(F.lit('a "'), F.col("gene_symbol"), F.lit('",\n'), F.col("qtl_chr"))
     broken = peaks(spark, folder).withColumn("gene_symbol", symbol)
     path = new_path(spark, "multi-line")
-    broken.sort("row_id").drop("row_id").coalesce(1).write.csv(path, header=True, escape='"')
+    broken.sort("row_id").drop("row_id").write.csv(path, header=True, escape='"')
     return read_records_csv(spark, path, multi_line=True).select("row_id", "gene_symbol", "gene_id", "qtl_lod")
 
 
