@@ -370,3 +370,57 @@ def test_texts_are_embedded_where_they_lie(spark, tmp_path):
         assert embed.embed_text(read, "content", tasks=3).rdd.getNumPartitions() == 3
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", before)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-9])
+def test_single_precision_rules_out_no_neighbour(monkeypatch, scale):
+    """Neighbours that differ by less than single precision tells, copies, zero vectors and wrong norms."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 24))
+    vectors = np.concatenate([np.repeat(base, 60, axis=0) + scale * rng.normal(size=(360, 24)), base, base, np.zeros((3, 24))])
+    vectors = vectors.astype("float32").astype("float64")[rng.permutation(len(base) * 62 + 3)]
+    queries = np.concatenate([base + 1e-3, rng.normal(size=(200, 24)), np.zeros((1, 24))])
+    norms = np.linalg.norm(vectors, axis=1) * rng.choice([1.0, 0.01], len(vectors))
+    ids = rng.permutation(len(vectors))
+    full = search._scores
+    compared = []
+    monkeypatch.setattr(search, "_scores", lambda q, v, *a: compared.append(len(q) * len(v)) or full(q, v, *a))
+    for given in (None, norms):
+        squares = (vectors * vectors).sum(axis=1) if given is None else given * given
+        scores = full(queries, vectors, "cosine", (queries * queries).sum(axis=1), squares)
+        expected = [ids[np.lexsort((ids, -row))][:4].tolist() for row in scores]
+        best = search._Running(queries, 4, "cosine")
+        compared.clear()
+        for start in range(0, len(vectors), 40):
+            part = slice(start, start + 40)
+            best.add(ids[part], vectors[part], None if given is None else given[part])
+        assert [row.tolist() for row in best.ids] == expected
+        assert np.array_equal(best.scores, -np.sort(-scores, axis=1)[:, :4])
+        if scale == 1.0 and given is None:
+            # Before, every block was compared in double precision.
+            assert sum(compared) < len(queries) * len(vectors) / 2
+
+
+def test_embedders_get_bounded_portions(spark):
+    """What an embedder is given, and so what a task holds, does not grow with the table."""
+    given = spark.range(0, 3000, 1, 1).selectExpr("id", "IF(id % 7 = 0, NULL, repeat('ab cd ', 50 + 1000 * int(id % 5 = 0))) AS text")
+    limit = embed.EMBED_BYTES
+
+    def factory(**_):
+        def run(texts):
+            size = float(sum(map(len, texts)))
+            assert (size <= limit or len(texts) == 1) and len(texts) <= 1024
+            return [[size, float(len(text))] for text in texts]
+
+        return run
+
+    embed.register_embedder("measuring", factory)
+    rows = embed.embed_text(given, "text", "measuring", tasks=1).collect()
+    assert len(rows) == 3000
+    for row in rows:
+        if row["text"] is None:
+            assert row["embedding"] is None and row["embed_error"] == "text is missing"
+        else:
+            assert row["embed_error"] is None and row["embedding"][1] == len(row["text"])
+    # Several texts come at once.
+    assert max(r["embedding"][0] / r["embedding"][1] for r in rows if r["embedding"]) > 50
