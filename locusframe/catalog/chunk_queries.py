@@ -1,6 +1,7 @@
 """Registered queries that build, store and read chunk tables."""
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -320,8 +321,11 @@ def _array_file(spark, folder) -> DataFrame:
         """Every task's lines as one array: a comma ahead of each but the first, brackets around all."""
         mark = "["
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([mark + value])], names=["value"])
+            values = batch.column(0)
+            if len(values):
+                marks = pa.array([mark] + [","] * (len(values) - 1), values.type)
+                joined = pc.binary_join_element_wise(marks, values, pa.scalar("", values.type))
+                yield pa.RecordBatch.from_arrays([joined], names=["value"])
                 mark = ","
         if mark == ",":
             yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
