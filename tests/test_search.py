@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -424,3 +425,22 @@ def test_embedders_get_bounded_portions(spark):
             assert row["embed_error"] is None and row["embedding"][1] == len(row["text"])
     # Several texts come at once.
     assert max(r["embedding"][0] / r["embedding"][1] for r in rows if r["embedding"]) > 50
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("count", [1000, 5000])
+def test_scores_of_a_batch_are_held_in_small_blocks(metric, count):
+    random = np.random.default_rng(8)
+    corpus, queries = random.normal(size=(4000, 16)), random.normal(size=(count, 16))
+    best = search._Running(queries, 3, metric)
+    tracemalloc.start()
+    best.add(np.arange(4000), corpus)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 64 << 20
+    # Scores of all pairs at once put the same candidates in the same order.
+    squares = (queries * queries).sum(axis=1), (corpus * corpus).sum(axis=1)
+    asked = np.array([0, 1, count // 2, count - 1])
+    scores = search._scores(queries[asked], corpus, metric, squares[0][asked], squares[1])
+    expected = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert (best.id.reshape(-1, 3)[asked] == expected).all()
