@@ -1,10 +1,11 @@
-"""Line dedup by winnowing: later repeated runs of words are deleted.
+"""Line dedup by anchored windows: later repeated runs of words are deleted.
 
-Line ends differ between copies, and a passage may begin and end inside a line, so hashes are
-taken over lines of eight words, one from every word on, wherever the text breaks. Of every window of
-`min_words` words the smallest of these hashes is the fingerprint. Equal windows choose the same
-hash, so every run of `min_words` words that two places share is guaranteed to share a
-fingerprint. Neighbouring windows of one fingerprint form a group.
+Line ends differ between copies, and a passage may begin and end inside a line, so windows of `min_words`
+words are taken from every word on, wherever the text breaks. A word is an anchor if the hash of it and the
+next word is small. The eight words from its first anchor on are the fingerprint of a window; they must lie
+in it. Windows without such an anchor look for one of a more frequent kind, and are their own fingerprint in the end.
+Equal windows choose the same anchor, so every run of `min_words` words that two places share is
+guaranteed to share a fingerprint. Neighbouring windows of one anchor form a group.
 
 Groups whose fingerprint occurs once are left behind. Of the others, groups of equal windows are
 joined with their first place, in the order of document and position; all other places are
@@ -13,14 +14,14 @@ there the first places are extended word by word, one window for each word, and
 compared with their first place. The words of all repeated windows are deleted, so a match
 reaches as far both ways as the words agree, into the lines around it.
 
-Hashes are made of whole batches of texts by array arithmetic, where the texts lie, once for each
-of the three steps: which fingerprints repeat, their groups, and the windows at the ends of
-matches. Filters of bounded size tell the second and third one what to pass on, so what is shuffled
-are groups, about one for 22 words of repeated text, and single windows; never texts or pairs. A
-passage in a third of all documents costs one row per place, and is extended at its first place only.
+Every step is an expression, aggregation, join or window function of Spark. Texts are split twice: for all groups, and
+for the windows at the ends of matches. What is shuffled are groups, about one for ten words, and
+single windows; never pairs, and texts only if the places asked for are too many to broadcast. A passage in a
+third of all documents costs one row per place, and is extended at its first place only. The words of a
+document are held at once by its task.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +29,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import HashFilter, SPACE, bounded_batches, hash_filter, stored
+from locusframe.llm.common import SPACE, stored
 
 MIN_WORDS = 50
 # Words under one hash.
 GRAM = 8
-# Bytes of text hashed at once; a longer text is taken in parts.
+# One word in so many is an anchor of the first and of the second kind.
+ANCHORS = (20, 8)
+# Anchors of a window that are looked at one by one.
+NEAR = 6
+# Bytes of the hash of one word in an array of bytes.
+CODE = 16
+# Bytes of text that `winnowed` hashes at once; a longer text is taken in parts.
 PIECE_BYTES = 1 << 20
-# Runs that are sent to the documents: up to so many bytes are broadcast.
+# Runs or places that are sent to the documents: up to so many bytes are broadcast.
 BROADCAST_BYTES = 64 << 20
 BLANKS = " \t\n\x0b\f\r"
 DOC = ["rank", "id", "text_hash"]
@@ -63,7 +70,7 @@ def _identity(docs: DataFrame, id_column: str, text_column: str) -> list[Column]
     ]
 
 
-# --- hashes ---------------------------------------------------------------------------
+# --- hashes by array arithmetic: the second implementation that tests compare with ---------
 
 
 @lru_cache(maxsize=4)
@@ -189,84 +196,156 @@ def winnowed(texts: pa.Array, min_words: int) -> Iterator[Winnowed]:
         yield Winnowed(held, min_words)
 
 
-_DOC_TYPES = [pa.int64(), pa.string(), pa.int64()]
-_GROUP = "rank bigint, id string, text_hash bigint, fingerprint bigint, start bigint, windows bigint, whole bigint, loops boolean"
-_SINGLE = "rank bigint, id string, text_hash bigint, fingerprint bigint, start bigint, window bigint"
+# --- native hashes --------------------------------------------------------------------
 
 
-def _batches(columns: list, schema: str) -> Iterator[pa.RecordBatch]:
-    names = [field.split()[0] for field in schema.split(", ")]
-    yield from pa.table(columns, names=names).to_batches(max_chunksize=10_000)
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """`of` a value that is computed once. `transform` would do too, but copies what it returns."""
+    return F.aggregate(F.array(F.lit(0)), value, lambda bound, _: bound, of)
 
 
-def _signed(hashes: np.ndarray) -> np.ndarray:
-    return hashes.view(np.int64)
+def _words(text: str) -> Column:
+    """The words of a text."""
+    # Only white space at the ends makes empty words.
+    padded = lambda w: (F.get(w, F.lit(0)) == "") | (F.element_at(w, -1) == "")
+    return _bound(
+        F.split(text, f"{SPACE}++"),
+        lambda words: F.when(padded(words), F.filter(words, lambda word: word != "")).otherwise(words),
+    )
+
+
+def _hash_of(values: Column, start: Column, count: int) -> Column:
+    """The hash of `count` values of an array."""
+    return F.xxhash64(*(F.get(values, start + k) for k in range(count)))
+
+
+def _codes(words: Column, start: Column, count: Column) -> Column:
+    """The hashes of `count` words, of `CODE` bytes each: any run of them is a slice of bytes."""
+    # The first digit is never 0, so there are always sixteen.
+    code = lambda word: F.hex(F.xxhash64(word).bitwiseOR(F.lit(-1 << 63)))
+    return F.array_join(F.transform(F.slice(words, start + 1, count), code), "").cast("binary")
+
+
+def _window(codes: Column, at: Column, min_words: int) -> Column:
+    """The hash of the window that begins `at` words behind the first of `codes`."""
+    return F.xxhash64(F.substring(codes, CODE * at + 1, F.lit(CODE * min_words)))
+
+
+def _level(low: Column, high: Column, edges: Column, parts: Column, grams: Column) -> Column:
+    return F.struct(
+        low.alias("low"), high.alias("high"), edges.alias("edges"), parts.alias("parts"), grams.alias("grams")
+    )
 
 
-def fingerprints(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`(fingerprint)` of every group of `(rank, id, text_hash, text)`; of one that loops twice."""
+def _lone_windows(words: Column, low: Column, high: Column, min_words: int) -> Column:
+    """A level of groups of one window each, which is its own fingerprint."""
+    none = F.array()
 
-    def run(batches):
-        for batch in batches:
-            for made in winnowed(batch.column(0), min_words):
-                found = made.least[np.concatenate([made.begins, made.begins[made.loops()]])]
-                yield from _batches([_signed(found)], "fingerprint bigint")
+    def lone(codes):
+        windows = F.transform(F.sequence(F.lit(0), high - low), lambda i: _window(codes, i, min_words))
+        return F.array(_level(low, high, none.cast("array<int>"), none.cast("array<bigint>"), windows))
 
-    return bounded_batches(texts).select("text").mapInArrow(run, "fingerprint bigint")
+    return _bound(_codes(words, low, high - low + min_words), lone)
 
 
-def window_groups(texts: DataFrame, repeated: HashFilter, min_words: int = MIN_WORDS) -> DataFrame:
-    """The groups of windows whose fingerprint may be in `repeated`.
+def _levels(words: Column, low: Column, high: Column, min_words: int, every: tuple[int, ...]) -> Column:
+    """The windows that begin at the words `low` to `high`, by the first anchor of each.
 
-    `start` is the first word, `windows` the number of windows, `whole` the hash of them all, and
-    `loops` tells that some of them are equal.
+    One level has the `grams` of the anchors of the first kind in `every`, its `edges` are the word before `low`, the
+    anchors and the last word, and `parts` are the hashes of the words between them, later edge included.
+    Windows without such an anchor make levels of the next kind, and of themselves in the end.
     """
-    shared = texts.sparkSession.sparkContext.broadcast(repeated)
-
-    def run(batches):
-        held = shared.value
-        for batch in batches:
-            for made in winnowed(batch.column(3), min_words):
-                if not len(made.begins):
-                    continue
-                chosen = np.flatnonzero(held.may_hold(made.least[made.begins]))
-                begins = made.begins[chosen]
-                doc = made.document[begins]
-                columns = [batch.column(i).take(pa.array(doc)) for i in range(3)]
-                columns += [
-                    _signed(made.least[begins]), made.start[begins], (made.ends - made.begins)[chosen],
-                    _signed(made.wholes()[chosen]), made.loops()[chosen],
-                ]
-                yield from _batches(columns, _GROUP)
-
-    return bounded_batches(texts).select(*DOC, "text").mapInArrow(run, _GROUP)
-
-
-def _place_key(doc: Column, start: Column) -> Column:
-    return doc.bitwiseXOR(F.shiftleft(start, 24))
-
-
-def single_windows(texts: DataFrame, places: HashFilter, min_words: int = MIN_WORDS) -> DataFrame:
-    """The windows of the groups whose place may be in `places`."""
-    shared = texts.sparkSession.sparkContext.broadcast(places)
-
-    def run(batches):
-        held = shared.value
-        for batch in batches:
-            keys = batch.column(4).to_numpy().view(np.uint64)
-            for made in winnowed(batch.column(3), min_words):
-                if not len(made.begins):
-                    continue
-                at = made.begins
-                key = keys[made.document[at]] ^ (made.start[at].astype(np.uint64) << np.uint64(24))
-                group = np.repeat(held.may_hold(key), made.ends - made.begins)
-                chosen = np.flatnonzero(group)
-                columns = [batch.column(i).take(pa.array(made.document[chosen])) for i in range(3)]
-                columns += [_signed(made.least[chosen]), made.start[chosen], _signed(made.hash[chosen])]
-                yield from _batches(columns, _SINGLE)
-
-    rows = bounded_batches(texts).select(*DOC, "text", F.xxhash64(*DOC).alias("key"))
-    return rows.mapInArrow(run, _SINGLE)
+    if not every:
+        return _lone_windows(words, low, high, min_words)
+    gram = min(GRAM, min_words)
+    reach = _reach(min_words)
+
+    def made(anchors, edges):
+        parts = F.transform(
+            F.slice(edges, F.lit(2), F.size(edges) - 1), lambda x, j: part(F.get(edges, j) + 1, x)
+        )
+        grams = F.transform(anchors, lambda x: _hash_of(words, x, gram))
+        bare = F.transform(
+            F.concat(anchors, F.array(high + reach + 1)),
+            lambda x, j: F.struct((F.get(edges, j) + 1).alias("low"), (x - reach - 1).alias("high")),
+        )
+        others = F.transform(
+            F.filter(bare, lambda g: g["low"] <= g["high"]),
+            lambda g: _levels(words, g["low"], g["high"], min_words, every[1:]),
+        )
+        return F.concat(F.array(_level(low, high, edges, parts, grams)), F.flatten(others))
+
+    def part(first, last):
+        run = F.when(first <= last, F.sequence(first, last))
+        return F.aggregate(run, F.lit(0).cast("bigint"), lambda h, i: F.xxhash64(h, F.get(words, i)))
+
+    def chosen(i):
+        # Two words tell more evenly than one, as some words are frequent.
+        first = [F.get(words, i + k) for k in range(min(2, gram))]
+        return F.xxhash64(*first) < -(1 << 63) + (1 << 64) // every[0]
+
+    def edged(anchors):
+        edges = F.concat(F.array(low - 1), anchors, F.array(high + min_words - 1))
+        return _bound(edges, lambda e: made(anchors, e))
+
+    return _bound(F.filter(F.sequence(low, high + reach), chosen), edged)
+
+
+def _reach(min_words: int) -> int:
+    """Words before an anchor in a window that still holds the gram of the anchor."""
+    return min_words - min(GRAM, min_words)
+
+
+def window_groups(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The groups of windows of `(rank, id, text_hash, text)`; every window lies in one of them.
+
+    `start` is the first word and `windows` the number of windows. Groups of one `whole` have the same windows.
+    """
+
+    def levels(words):
+        high = F.size(words) - min_words
+        return F.when(high >= 0, _levels(words, F.lit(0), high, min_words, ANCHORS))
+
+    rows = texts.select(*DOC, F.explode(_bound(_words("text"), levels)).alias("level")).select(*DOC, "level.*")
+    rows = rows.select(*DOC, "low", "high", "edges", "parts", F.posexplode("grams").alias("j", "fingerprint"))
+    edge, part = (lambda k: F.get("edges", F.col("j") + k)), (lambda k: F.get("parts", F.col("j") + k))
+    lone, at = F.size("parts") == 0, edge(1)
+    start = F.when(lone, F.col("low") + F.col("j")).otherwise(F.greatest(edge(0) + 1, at - _reach(min_words)))
+    last = F.when(lone, F.col("low") + F.col("j")).otherwise(F.least(at, F.col("high")))
+    # The parts up to the anchor and after it, and those that begin inside the last window.
+    inside = lambda k: edge(k) < at + (min_words - 1)
+    further = [F.when(inside(k), part(k)) for k in range(2, NEAR)]
+    others = F.when(inside(NEAR), F.xxhash64(F.slice("parts", F.col("j") + NEAR + 1, F.lit(min_words))))
+    whole = F.xxhash64(F.col("windows"), at - F.col("start"), part(0), part(1), *further, others)
+    rows = rows.withColumn("start", start).withColumn("windows", last - F.col("start") + 1).where("windows > 0")
+    return rows.select(*DOC, "start", "windows", "fingerprint", F.when(lone, F.col("fingerprint")).otherwise(whole).alias("whole"))
+
+
+def single_windows(texts: DataFrame, asked: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The hash `window` of every window of the groups `(rank, id, text_hash, start, windows)`."""
+    groups = asked.groupBy(*DOC).agg(F.collect_list(F.struct("start", "windows")).alias("groups"))
+    joined = _with_found(texts, stored(groups, "asked-groups"), "groups")
+
+    def cut(words):
+        codes = lambda g: _codes(words, g["start"], g["windows"] + min_words - 1)
+        return lambda g: F.struct(g["start"].alias("start"), g["windows"].alias("windows"), codes(g).alias("codes"))
+
+    made = _bound(F.struct(_words("text").alias("words"), "groups"), lambda d: F.transform(d["groups"], cut(d["words"])))
+    spans = joined.select(*DOC, F.explode(made).alias("g")).select(*DOC, "g.*")
+    rows = spans.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
+    return rows.select(
+        *DOC, (F.col("start") + F.col("at")).alias("start"), _window(F.col("codes"), F.col("at"), min_words).alias("window")
+    )
+
+
+def _with_found(rows: DataFrame, found: DataFrame, name: str, how: str = "inner") -> DataFrame:
+    """`rows` with the array column `name` of the stored table `found` of documents."""
+    size = found.agg(F.sum(F.size(name) * 32 + 64)).first()[0] or 0
+    found = found.select(*(F.col(c).alias(f"found_{c}") for c in DOC), name)
+    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
+    same = (F.col("rank") == F.col("found_rank")) & (F.col("text_hash") == F.col("found_text_hash"))
+    joined = rows.join(found, same & F.col("id").eqNullSafe(F.col("found_id")), how)
+    return joined.drop(*(f"found_{c}" for c in DOC))
 
 
 # --- runs -----------------------------------------------------------------------------
@@ -298,28 +377,25 @@ def repeated_runs(
     """
     texts = docs.select(*_identity(docs, id_column, text_column), F.col(text_column).cast("string").alias("text"))
     texts = texts.where("text IS NOT NULL")
-    again = fingerprints(texts, min_words).groupBy("fingerprint").agg(F.count("*").alias("places")).where("places > 1")
-    again = stored(again.select("fingerprint"), "fingerprints")
-    groups = stored(window_groups(texts, hash_filter(again), min_words), "window-groups")
+    groups = stored(window_groups(texts, min_words), "all-groups")
+    again = groups.groupBy("fingerprint").agg(F.count("*").alias("places")).where("places > 1")
+    groups = stored(groups.join(again.select("fingerprint"), "fingerprint", "left_semi"), "window-groups")
     place = F.struct(*DOC, "start")
     wholes = groups.groupBy("fingerprint", "whole").agg(
         F.min(place).alias("first"),
-        F.first("loops").alias("loops"),
+        F.first("windows").alias("windows"),
         F.count("*").alias("places"),
     )
     wholes = stored(wholes, "equal-groups")
     firsts = wholes.where("places > 1").select("fingerprint", "whole", "first")
     later = _later(groups.join(firsts, ["fingerprint", "whole"]), min_words)
 
-    # Groups of one fingerprint that differ may still share some of their windows, and a
-    # text that repeats itself has equal windows in one group.
-    mixed = wholes.groupBy("fingerprint").agg(F.count("*").alias("kinds"), F.max("loops").alias("loop"))
-    mixed = mixed.where((F.col("kinds") > 1) | F.col("loop")).select("fingerprint")
-    ends = wholes.join(mixed, "fingerprint", "left_semi").select("first.*")
-    keys = stored(ends.select(_place_key(F.xxhash64(*DOC), F.col("start")).alias("key")), "places")
-    single = single_windows(texts, hash_filter(keys), min_words)
+    # Groups of one fingerprint that differ may still share some of their windows.
+    mixed = wholes.groupBy("fingerprint").agg(F.count("*").alias("kinds")).where("kinds > 1").select("fingerprint")
+    ends = wholes.join(mixed, "fingerprint", "left_semi").select("first.*", "windows")
     # A window is met at the first places of groups only, however many copies these have.
-    alike = Window.partitionBy("fingerprint", "window")
+    alike = Window.partitionBy("window")
+    single = single_windows(texts, ends, min_words)
     single = single.withColumn("first", F.min(place).over(alike)).withColumn("windows", F.lit(1))
     extended = _later(single, min_words)
 
@@ -375,11 +451,7 @@ def dedup_lines(
         F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"),
         *_identity(base, id_column, text_column),
     )
-    size = found.agg(F.sum(F.size("runs") * 32 + 64)).first()[0] or 0
-    found = found.select(*(F.col(c).alias(f"found_{c}") for c in DOC), "runs")
-    found = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    same = (F.col("rank") == F.col("found_rank")) & (F.col("text_hash") == F.col("found_text_hash"))
-    joined = keyed.join(found, same & F.col("id").eqNullSafe(F.col("found_id")), "left")
+    joined = _with_found(keyed, found, "runs", "left")
     text = F.col("row").getField(text_column)
     rows = joined.select("row", "runs", F.when(F.col("runs").isNotNull(), _without(text, F.col("runs"))).alias("left"))
     gone = F.aggregate("runs", F.lit(0).cast("bigint"), lambda n, r: n + r["end"] - r["begin"])

@@ -203,6 +203,45 @@ def test_hashes_do_not_depend_on_batches_and_parts(monkeypatch):
     assert all(len(v) == 1 for v in equal.values())
 
 
+def test_line_dedup_runs_no_python_on_executors(documents, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("Python on the executors")
+
+    docs = documents([(i, f"{numbered('p', 60)} {numbered(f'a{i}x', 9)}") for i in range(3)])
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, refuse)
+    found = line_dedup.dedup_lines(docs)
+    assert {r.doc_id: r.removed_words for r in found.collect()} == {0: 0, 1: 60, 2: 60}
+    texts = docs.select(*line_dedup._identity(docs, "doc_id", "text"), "text")
+    plan = line_dedup.window_groups(texts)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas|Cartesian|NestedLoop", plan)
+
+
+def test_every_window_lies_in_one_group(documents):
+    """Groups of one `whole` have the same windows, and equal windows one fingerprint."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(kind) + str(rng.randrange(n)) for _ in range(size)) for kind, n, size in
+             (("ab", 1, 200), ("abc", 2, 300), ("xyz", 90, 400), ("q", 1, 50), ("q", 1, 49), ("xyz", 900, 120))]
+    texts += [texts[2][300:1500], f" {texts[2]}\n"]
+    docs = documents(list(enumerate(texts)))
+    rows = line_dedup.window_groups(docs.select(*line_dedup._identity(docs, "doc_id", "text"), "text")).collect()
+    windows = {}
+    for made in line_dedup.winnowed(pa.array(texts), 50):
+        windows.update(zip(zip(made.document.tolist(), made.start.tolist()), made.hash.tolist()))
+    places = [(r["rank"], r.start + i) for r in rows for i in range(r.windows)]
+    assert sorted(places) == sorted(windows)
+    contents, prints = defaultdict(set), defaultdict(set)
+    for r in rows:
+        held = tuple(windows[r["rank"], r.start + i] for i in range(r.windows))
+        contents[r.whole].add(held)
+        for window in held:
+            prints[window].add(r.fingerprint)
+    assert all(len(v) == 1 for v in (*contents.values(), *prints.values()))
+    assert len(contents) < len(rows) and max(map(len, (h for v in contents.values() for h in v))) > 5
+
+
 def test_native_plans_have_no_python(documents):
     for df in (quality_rules.ledger(documents([(1, "x")])),):
         plan = df._jdf.queryExecution().executedPlan().toString()
