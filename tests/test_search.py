@@ -444,3 +444,47 @@ def test_scores_of_a_batch_are_held_in_small_blocks(metric, count):
     scores = search._scores(queries[asked], corpus, metric, squares[0][asked], squares[1])
     expected = np.argsort(-scores, axis=1, kind="stable")[:, :3]
     assert (best.id.reshape(-1, 3)[asked] == expected).all()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+@pytest.mark.parametrize("kind", ["float32", "float64"])
+def test_short_queries_are_held_and_multiplied_in_their_cells_alone(monkeypatch, metric, kind):
+    random = np.random.default_rng(11)
+    queries = np.zeros((6000, 256), kind)
+    words = np.minimum(random.zipf(1.3, (6000, 6)), 255)
+    np.put_along_axis(queries, words, random.choice([-0.5, 0.5, 1.0], words.shape).astype(kind), axis=1)
+    queries[7] = 0
+    corpus = random.normal(size=(700, 256)).round(1)
+    corpus[300:420] = corpus[5]  # ties
+    corpus[9] = 0
+    # Ids are texts, in no order, and some repeat.
+    ids = np.array([f"c{i % 650}" for i in random.permutation(700)], dtype=object)
+    full, cells = search._scores, []
+    monkeypatch.setattr(search, "_scores", lambda q, v, *a: cells.append(q.shape[1]) or full(q, v, *a))
+    tracemalloc.start()
+    best = search._Running(queries, 3, metric)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    # Before, all cells of a query were held, in single precision beside the caller's, and all in every product.
+    assert held < queries.nbytes * 0.75
+    for start in range(0, 700, 90):
+        best.add(ids[start : start + 90], corpus[start : start + 90])
+    assert np.mean(cells) < 180
+    wide = queries.astype("float64")
+    scores = full(wide, corpus, metric, (wide * wide).sum(axis=1), (corpus * corpus).sum(axis=1))
+    by_id = np.argsort(np.argsort(ids, kind="stable"))
+    order = np.lexsort((np.broadcast_to(by_id, scores.shape), -scores))[:, :3]
+    assert (best.ids == ids[order]).all()
+    assert np.array_equal(best.scores, np.take_along_axis(scores, order, axis=1))
+
+
+def test_a_cell_of_the_grid_holds_more_queries_than_are_sent(spark):
+    """Every block of queries copies the corpus, so blocks are as few as before at twice the queries."""
+    rng = np.random.default_rng(5)
+    corpus = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "chunk_id")
+    asked = _vectors(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 4)))], "query_id")
+    # 40 queries of 48 bytes.
+    found = search.nearest(corpus, asked, 2, query_bytes=960, tasks=1)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "sequence(0, 0" in plan and "sequence(0, 1" not in plan
+    assert sorted(found.collect()) == sorted(search.nearest(corpus, asked, 2).collect())
