@@ -488,3 +488,31 @@ def test_a_cell_of_the_grid_holds_more_queries_than_are_sent(spark):
     plan = found._jdf.queryExecution().analyzed().toString()
     assert "sequence(0, 0" in plan and "sequence(0, 1" not in plan
     assert sorted(found.collect()) == sorted(search.nearest(corpus, asked, 2).collect())
+
+
+@pytest.mark.parametrize("sent", [0, 100_000])
+def test_results_stream_past_the_texts(spark, monkeypatch, sent):
+    """A join that streams texts keeps a copy of a text for each of its results, all at once."""
+    monkeypatch.setattr(search, "BROADCAST_ROWS", sent)
+    rows = [("a", "text a", 1), ("b", "text b", 2), ("b", "text b again", 3), ("c", "text c", 4), (None, "text of none", 5)]
+    corpus = spark.createDataFrame(rows, "id string, content string, size int")
+    found = [(i, rank, id) for i in range(300) for rank, id in ((1, "b"), (2, "a"))] + [(None, 1, "a"), (7, 3, None), (8, 3, "x")]
+    results = spark.createDataFrame(found, "query_id long, rank long, chunk_id string")
+    looked = search.lookup_chunks(results, corpus, "id")
+    assert looked.columns == ["chunk_id", "content", "size", "query_id", "rank"]
+    expected = [(id, text, size, q, rank) for q, rank, id in found for key, text, size in rows if id is not None and id == key]
+    by_text = lambda row: tuple(map(str, row))
+    assert sorted(map(tuple, looked.collect()), key=by_text) == sorted(expected, key=by_text)
+
+    plan = looked._jdf.queryExecution().sparkPlan()
+    nodes, joins = [plan], []
+    while nodes:
+        node = nodes.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += kids
+        if node.getClass().getSimpleName().endswith("JoinExec"):
+            joins.append((node.nodeName(), *("content" in kid.output().toString() for kid in kids)))
+    # The streamed side of a merge join is the left one.
+    assert joins[0] == ("SortMergeJoin", False, True)
+    assert joins[1:] == ([("BroadcastHashJoin", True, False)] if sent else [])
+    assert ("LeftSemi" in plan.toString()) == bool(sent)
